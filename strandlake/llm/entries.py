@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, quality, simhash, suffix_dedup, toxicity
+from . import bpe, chat, exact_dedup, lm, packing, quality, simhash, suffix_dedup, toxicity
 from .common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -58,6 +58,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(said.unionByName(rows))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = lm.lm_scores(docs, fold("doc_id") != 1)
+    return scores.withColumn("held_out", fold("doc_id") == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
+    "op10_lm": op10_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
