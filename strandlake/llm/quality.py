@@ -27,7 +27,7 @@ from .labelled import SAMPLE_ROWS, labelled_sample
 BUCKETS, SYMBOLS, DIM, NONZERO = 8192, 512, 32, 4
 #: A row of the table of sums is sent in so many chunks.
 CHUNKS = 16
-HIDDEN, EPOCHS, SEED = 32, 60, 7
+HIDDEN, EPOCHS, DECAY, SEED = 32, 40, 1e-3, 7
 CACHE = 300_000
 
 _RUN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -35,7 +35,10 @@ _cache: dict[str, bytes] = {}
 
 
 def word_rows(word: str) -> bytes:
-    """Rows (16-bit numbers) of a word: one for each run, and one that says that it is in capitals."""
+    """Rows (16-bit numbers) of a word: one for each run, and one (2) that says that it is in capitals.
+
+    Row 0 is padding, 1 digits, 3 the mark of a row that repeats the row before it.
+    """
     rows = []
     for run in _RUN.findall(word):
         code = zlib.crc32(run.lower().encode("utf-8", "surrogatepass"))
@@ -46,7 +49,7 @@ def word_rows(word: str) -> bytes:
         elif run[0].isdigit():
             rows.append(1)
         else:
-            rows.append(3 + code % (SYMBOLS - 3))
+            rows.append(4 + code % (SYMBOLS - 4))
     return np.array(rows, "<u2").tobytes()
 
 
@@ -117,8 +120,10 @@ def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
     rows = text_rows(text)
     if not len(rows):
         return np.zeros(2 * DIM, np.float32)
-    used, counts = np.unique(rows, return_counts=True)
-    share = (counts / len(rows)).astype(np.float32)
+    counts = np.bincount(rows, minlength=4)
+    counts[3] = np.count_nonzero(rows[1:] == rows[:-1])
+    used = np.flatnonzero(counts)
+    share = (counts[used] / len(rows)).astype(np.float32)
     found = vectors[used]
     mean = share @ found
     return np.concatenate((mean, np.sqrt(np.maximum(share @ (found * found) - mean * mean, 0))))
@@ -161,7 +166,7 @@ class Network:
         h = np.tanh(z @ a + b)
         e = (1 / (1 + np.exp(-(h @ c + d[0]))) - y) / len(y)
         back = np.outer(e, c) * (1 - h * h)
-        return [z.T @ back + 1e-4 * a, back.sum(0), h.T @ e + 1e-4 * c, np.array([e.sum()])]
+        return [z.T @ back + DECAY * a, back.sum(0), h.T @ e + DECAY * c, np.array([e.sum()])]
 
     def _logit(self, z: np.ndarray) -> np.ndarray:
         a, b, c, d = self.w
@@ -228,7 +233,7 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = SAMPLE_ROWS, where=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
-    scored = quality_scores(docs, labels, threshold, rows, None, True, id_col, text_col)
+    scored = quality_scores(docs, labels, threshold, rows, where, True, id_col, text_col)
     return scored.where(F.col(_free("predicted", docs.columns)) == 1).select(*docs.columns)

@@ -144,13 +144,13 @@ def _block_distances(fps: DataFrame, blocks: list[list[int]]) -> np.ndarray:
 
 
 def _cost(n: int, share: np.ndarray, width: int, t: int) -> float:
-    """Rows dealt for a partition of threshold t, and a fraction of the candidates they meet."""
+    """Rows dealt for a partition of threshold t (of two keys one bit apart, one is dealt), and the pairs they meet."""
     from math import comb
 
     if t < 0:
         return 0.0
-    probes = sum(comb(width, e) for e in range(t + 1))
-    return n * (1.0 + (probes - 1 if t else 0)) + 0.02 * n * n * float(share[: t + 1].sum()) / 2
+    probes = 1 + sum(comb(width, e) / (2 if e == 1 else 1) for e in range(1, t + 1))
+    return n * probes + n * n * float(share[: t + 1].sum()) / 2
 
 
 def allocate(n: int, shares: list[np.ndarray], widths: list[int], max_bits: int, most: int = 3) -> tuple[float, list[int]]:

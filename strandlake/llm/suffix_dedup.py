@@ -446,7 +446,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def merged(spans: list) -> list[list[int]]:
     """Maximal runs of the intervals."""
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for s, e in sorted((x["s"], x["e"]) for x in (() if spans is None else spans)):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
