@@ -51,7 +51,7 @@ def without_query_gaps(long: DataFrame, query: Column, gap: int) -> DataFrame:
 
 def good_sequences(sequences: DataFrame, letters: str, seq_col: str = "seq") -> DataFrame:
     """Rows made of the given characters and gaps only."""
-    return sequences.where(F.col(seq_col).rlike("^[" + "".join("\\" + c if c in "\\]^-" else c for c in letters + "-") + "]*$"))
+    return sequences.where(F.col(seq_col).rlike("^[" + "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in letters + "-") + "]*$"))
 
 
 def gap_share(long: DataFrame, gap: int) -> DataFrame:

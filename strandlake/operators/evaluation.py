@@ -103,8 +103,8 @@ def signed_rank(pairs: DataFrame, by: list[str]) -> DataFrame:
     approximation with the tie correction (null where it has no deviation).
     """
     diff = pairs.select(*by, F.round(F.col("a") - F.col("b"), 9).alias("d")).where("d <> 0")
-    size = diff.groupBy(*by, F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = diff.groupBy(*by, F.abs("d").alias("_m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = size.withColumn("rank", before + (F.col("t") + 1) / 2)
     got = ranks.groupBy(*by).agg(
         F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("w_minus"),

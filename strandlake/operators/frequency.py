@@ -142,7 +142,7 @@ def transition_scores(packed: DataFrame) -> DataFrame:
         .groupBy("node", "pos_i", "pos_j")
         .agg(
             part(True, F.col("cnt")).alias("m_cnt"), part(False, F.col("cnt")).alias("mm_cnt"),
-            (-part(True, f * F.ln(f))).alias("m_ent"), (-part(False, f * F.ln(f))).alias("mm_ent"),
+            (0.0 - part(True, f * F.ln(f))).alias("m_ent"), (0.0 - part(False, f * F.ln(f))).alias("mm_ent"),
         )
     )
     zero = {"m_cnt": 0, "mm_cnt": 0, "m_ent": 0.0, "mm_ent": 0.0}
