@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words that one Python worker remembers (about 250 bytes each).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
 class MergeReplay:
@@ -149,22 +149,24 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-#: A space that does not simply begin the next word.
-_ODD_SPACE = re.compile(r" (?:\s|$)")
+#: A space or line end that does not simply stand before the next word.
+_ODD_SPACE = re.compile(r"[ \n](?:\s|\Z)")
 
 
 def cut_at_spaces(text: str) -> list:
     """Keys of pieces of ``text`` whose words can be found separately, in order.
 
     A space before a character that is no white space always begins a word of the
-    pattern, so the text may be cut there; other white space stays inside a piece.
-    The first key is a tuple of the first piece; each other key is a piece without
-    the space that it begins with.
+    pattern, so the text may be cut there; a line end before such a character is a word
+    of its own.  Other white space stays inside a piece.  The first key is a tuple of
+    the first piece; each other key is a piece without the space that it begins with,
+    or a piece that begins with a line end.
     """
-    parts: list = text.split(" ")
     if _ODD_SPACE.search(text) is None:
+        parts: list = text.replace("\n", " \n").split(" ")
         parts[0] = (parts[0],)
         return parts
+    parts = text.split(" ")
     keys: list = [parts[0]]
     for p in parts[1:]:
         if p and not p[0].isspace():
@@ -187,19 +189,23 @@ class PieceCache:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; what is unknown in them is encoded as one corpus."""
         cut = [cut_at_spaces(t) for t in texts]
-        if len(self.known) > self.size:
-            self.known = {}
-        known = self.known
-        has, fresh = known.__contains__, set()
-        for keys in cut:
-            fresh.update(filterfalse(has, keys))
-        keys = list(fresh)
-        known.update(zip(keys, self.encode([k[0] if type(k) is tuple else " " + k for k in keys]), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, keys)) for keys in cut]
-
-
-def gathered(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 10_000_000) -> Iterator[list[pa.RecordBatch]]:
+        if len(self.known) > self.size:  # what these texts use stays: the frequent pieces are among it
+            self.known = {k: self.known[k] for k in set().union(*cut) if k in self.known}
+        known, fresh, holes = self.known, set(), []
+        found = [list(map(known.get, keys)) for keys in cut]
+        for keys, row in zip(cut, found, strict=True):
+            at = [i for i, x in enumerate(row) if x is None] if None in row else []
+            holes.append(at)
+            fresh.update([keys[i] for i in at])
+        new = list(fresh)
+        known.update(zip(new, self.encode([k[0] if type(k) is tuple else k if k[:1] == "\n" else " " + k for k in new]), strict=True))
+        for keys, row, at in zip(cut, found, holes, strict=True):
+            for i in at:
+                row[i] = known[keys[i]]
+        return list(map(b"".join, found))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 6_000_000) -> Iterator[list[pa.RecordBatch]]:
     """Runs of batches of about ``most`` bytes of text: what one replay takes as its corpus."""
     group: list[pa.RecordBatch] = []
     size = 0

@@ -46,7 +46,14 @@ def _coder(path: str) -> PieceCache:
         tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
 
         def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+            out: list[bytes] = []
+            for at in range(0, len(pieces), 2000):
+                lot = pieces[at : at + 2000]
+                got = tokenizer.encode(lot, is_pretokenized=True, add_special_tokens=False)  # one result for the lot
+                sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(lot))
+                data, to = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                out += [data[x:y] for x, y in zip([0, *to], to, strict=False)]
+            return out
 
         _coders[path] = PieceCache(encode)
     return _coders[path]
