@@ -113,13 +113,21 @@ def flat_file_sequence(value: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(value, r"(?s)\nSQ [^\n]*\n(.*?)//", 1), r"\s+", "")
 
 
+_BLAST = (
+    "BlastOutput_iterations STRUCT<Iteration: ARRAY<STRUCT<`Iteration_query-def`: STRING, Iteration_hits: STRUCT<Hit: ARRAY<STRUCT<"
+    "Hit_id: STRING, Hit_def: STRING, Hit_hsps: STRUCT<Hsp: ARRAY<STRUCT<Hsp_evalue: DOUBLE, Hsp_identity: INT, `Hsp_align-len`: INT, Hsp_hseq: STRING>>>>>>>>>"
+)
+
+
 def blast_hits(documents: DataFrame, value: str = "value") -> DataFrame:
-    """query, hit, definition and one row per HSP from BLAST XML texts."""
-    iterations = documents.select(F.explode(F.expr(f"xpath({value}, '//Iteration/Iteration_query-def/text()')")).alias("query"), value)
-    hits = iterations.select("query", F.posexplode(F.expr(f"xpath({value}, '//Hit/Hit_id/text()')")).alias("n", "hit_id"), value)
-    at = lambda name: F.expr(f"xpath({value}, concat('//Hit[', n + 1, ']/Hit_hsps/Hsp/{name}/text()'))")
-    rows = hits.withColumn("hsp", F.explode(F.arrays_zip(at("Hsp_evalue").alias("e"), at("Hsp_identity").alias("i"), at("Hsp_align-len").alias("l"), at("Hsp_hseq").alias("s"))))
-    return rows.select("query", "hit_id", F.col("hsp.e").cast("double").alias("expect"), F.col("hsp.i").cast("int").alias("identities"), F.col("hsp.l").cast("int").alias("align_length"), F.col("hsp.s").alias("sbjct"))
+    """query, hit_id, definition and one row per HSP from BLAST XML texts."""
+    found = documents.select(F.explode(F.from_xml(value, _BLAST)["BlastOutput_iterations"]["Iteration"]).alias("q"))
+    hits = found.select(F.col("q.`Iteration_query-def`").alias("query"), F.explode("q.Iteration_hits.Hit").alias("h"))
+    rows = hits.select("query", F.col("h.Hit_id").alias("hit_id"), F.col("h.Hit_def").alias("definition"), F.explode("h.Hit_hsps.Hsp").alias("s"))
+    return rows.select(
+        "query", "hit_id", "definition", F.col("s.Hsp_evalue").alias("expect"), F.col("s.Hsp_identity").alias("identities"),
+        F.col("s.`Hsp_align-len`").alias("align_length"), F.col("s.Hsp_hseq").alias("sbjct"),
+    )
 
 
 def protein_list(rows: DataFrame, value: str = "value") -> DataFrame:
