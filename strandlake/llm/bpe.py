@@ -197,8 +197,15 @@ class PieceCache:
             at = [i for i, x in enumerate(row) if x is None] if None in row else []
             holes.append(at)
             fresh.update([keys[i] for i in at])
+        # A letter and the full stop or comma after it never share a word: the rest may be known already.
+        ended = {k for k in fresh if k[-1:] in (".", ",") and "a" <= k[-2:-1].lower() <= "z"}
+        fresh -= ended
+        fresh.update(k[:-1] for k in ended if k[:-1] not in known)
+        fresh.update(t for t in ((".",), (",",)) if t not in known)
         new = list(fresh)
         known.update(zip(new, self.encode([k[0] if type(k) is tuple else k if k[:1] == "\n" else " " + k for k in new]), strict=True))
+        stops = {t: known[(t,)] for t in ".,"}
+        known.update([(k, known[k[:-1]] + stops[k[-1]]) for k in ended])
         for keys, row, at in zip(cut, found, holes, strict=True):
             for i in at:
                 row[i] = known[keys[i]]

@@ -370,14 +370,15 @@ def _refined(contexts: DataFrame, kind: str, cell: int, length: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[] for _ in range(8)]
-            a, xlo, xhi, known, data = (b.column(n).to_pylist() for n in ("a", "xlo", "xhi", "known", "data"))
+            old, a, xlo, xhi, known, data = (b.column(n).to_pylist() for n in ("key", "a", "xlo", "xhi", "known", "data"))
             for k in range(b.num_rows):
+                before = old[k].to_bytes(8, "little", signed=True)
                 for first in range(xlo[k] // cell * cell, xhi[k] + 1, cell):
                     last = first + cell - 1
                     lo, hi = max(first, xlo[k]), min(last, xhi[k])
                     part = data[k][xhi[k] - hi : xhi[k] - lo + length]
-                    shared = data[k][xhi[k] - first : xhi[k] - last + length]
-                    key = hashlib.blake2b(shared, digest_size=8, salt=first.to_bytes(8, "little")).digest()
+                    shared = data[k][xhi[k] - first : max(xhi[k] - last + length, 0)]  # may be empty for short strings
+                    key = hashlib.blake2b(shared, digest_size=8, salt=first.to_bytes(8, "little"), person=before).digest()
                     whole = hashlib.blake2b(part, digest_size=16, salt=lo.to_bytes(8, "little"), person=hi.to_bytes(8, "little")).digest()
                     new = (k, int.from_bytes(key, "little", signed=True), a[k], lo, hi, known[k], part, whole)
                     for col, v in zip(rows, new, strict=True):
