@@ -32,7 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints (five-word shingles) are linked, keep the smallest doc_id."""
+    """Of documents that are similar (five-word shingles, about 0.8 or more), keep the smallest doc_id."""
     return near_dedup(docs, words=5)
 
 

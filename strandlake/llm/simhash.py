@@ -38,11 +38,18 @@ BLOCK = 2048
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
-    """Majority fingerprint of the XXH64 hashes of all word shingles, repeats included."""
+def _majority(hashes: np.ndarray) -> int:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
+    return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(text: str | None, words: int, wide: int = 0, seed: int = SEED) -> list[int]:
+    """Majority fingerprint of the XXH64 hashes of all word shingles, repeats included; then
+    ``wide`` more words of 64 bits from the same hashes, mixed anew for each."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and \x20 \x09-\x0D only
     if not tokens:
-        return 0
+        return [0] * (wide + 1)
     line = b" ".join(tokens)
     k = min(words, len(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
@@ -51,19 +58,28 @@ def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
     hashes = np.fromiter(
         [digest(view[a:b], seed) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64, len(starts)
     )
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
+    out = [_majority(hashes)]
+    for n in range(wide):
+        h = (hashes + np.uint64(0x9E3779B97F4A7C15 * (n + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(h ^ (h >> np.uint64(32))))
+    return out
 
 
-def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """id, fp bigint (the 64 bits as a signed number); a null or blank text has fingerprint 0."""
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+def fingerprint(text: str | None, words: int, seed: int = SEED) -> int:
+    return fingerprints(text, words, 0, seed)[0]
+
+
+def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, wide: int = 0) -> DataFrame:
+    """id, fp bigint (64 bits as a signed number), w1.. for ``wide`` more; a null or blank text has zeros."""
+    names = ["fp", *[f"w{n + 1}" for n in range(wide)]]
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=schema.names)
+            rows = [fingerprints(t, words, wide) for t in b.column(1).to_pylist()]
+            fps = np.array(rows, np.uint64).reshape(-1, wide + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, n]) for n in range(wide + 1)]], names=schema.names)
 
     return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -143,17 +159,17 @@ def _block_distances(fps: DataFrame, blocks: list[list[int]]) -> np.ndarray:
     return out
 
 
-def _cost(n: int, share: np.ndarray, width: int, t: int) -> float:
+def _cost(n: int, share: np.ndarray, width: int, t: int, pair_cost: float) -> float:
     """Rows dealt for a partition of threshold t (of two keys one bit apart, one is dealt), and the pairs they meet."""
     from math import comb
 
     if t < 0:
         return 0.0
     probes = 1 + sum(comb(width, e) / (2 if e == 1 else 1) for e in range(1, t + 1))
-    return n * probes + n * n * float(share[: t + 1].sum()) / 2
+    return n * probes + pair_cost * n * n * float(share[: t + 1].sum()) / 2
 
 
-def allocate(n: int, shares: list[np.ndarray], widths: list[int], max_bits: int, most: int = 3) -> tuple[float, list[int]]:
+def allocate(n: int, shares: list[np.ndarray], widths: list[int], max_bits: int, most: int = 3, pair_cost: float = 1.0) -> tuple[float, list[int]]:
     """Thresholds of least estimated cost that sum to max_bits - m + 1, by dynamic programming."""
     m = len(widths)
     total = max_bits - m + 1
@@ -162,14 +178,14 @@ def allocate(n: int, shares: list[np.ndarray], widths: list[int], max_bits: int,
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, ts) in best.items():
             for t in range(-1, min(most, width) + 1):
-                got = (cost + _cost(n, share, width, t), [*ts, t])
+                got = (cost + _cost(n, share, width, t, pair_cost), [*ts, t])
                 if used + t not in step or got[0] < step[used + t][0]:
                     step[used + t] = got
         best = step
     return best.get(total, (float("inf"), []))
 
 
-def plan(n: int, both: np.ndarray, blocks: list[list[int]], distances: np.ndarray, max_bits: int) -> list[tuple[list[int], int]]:
+def plan(n: int, both: np.ndarray, blocks: list[list[int]], distances: np.ndarray, max_bits: int, pair_cost: float = 1.0) -> list[tuple[list[int], int]]:
     """Partitions (bits, threshold): the cheapest over 2 to 8 partitions of neighbouring blocks."""
     found: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(2, len(blocks) + 1):
@@ -181,7 +197,7 @@ def plan(n: int, both: np.ndarray, blocks: list[list[int]], distances: np.ndarra
             for k in g:
                 share = np.convolve(share, distances[k])
             shares.append(share)
-        cost, ts = allocate(n, shares, [len(b) for b in bits], max_bits)
+        cost, ts = allocate(n, shares, [len(b) for b in bits], max_bits, pair_cost=pair_cost)
         if cost < found[0]:
             found = (cost, [(b, t) for b, t in zip(bits, ts, strict=True) if t >= 0])
     return found[1]
@@ -190,30 +206,27 @@ def plan(n: int, both: np.ndarray, blocks: list[list[int]], distances: np.ndarra
 # -- probing and verifying -----------------------------------------------------------
 
 
-def _probe_rows(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, key, probe, fp): each fingerprint's own key, and for thresholds above 0 the keys around it."""
-    schema = "part int, key bigint, probe boolean, fp bigint"
+def _probe_rows(fps: DataFrame, parts: list[tuple[list[int], int]], wide: list[str]) -> DataFrame:
+    """(part, key, probe, node, fp, wide...): each fingerprint's own key, and for thresholds above 0 the keys around it."""
+    names = ["node", "fp", *wide]
+    schema = "part int, key bigint, probe boolean, " + ", ".join(f"{n} bigint" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False)
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             for p, (bits, t) in enumerate(parts):
-                own = _values(x, bits)
+                own = _values(cols[1], bits)
                 for e in range(t + 1):
                     for flips in combinations(range(len(bits)), e):
                         mask = np.uint64(sum(1 << f for f in flips))
-                        keys, fp = own ^ mask, x
-                        if e == 1:  # of two keys that differ in one bit, the one that has it probes the other
-                            has = (own & mask) != 0
-                            keys, fp = keys[has], x[has]
-                        size = len(fp)
-                        if size:
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(size, p, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(size, e > 0)), pa.array(fp)],
-                                names=["part", "key", "probe", "fp"],
-                            )
+                        # of two keys that differ in one bit, the one that has it probes the other
+                        has = (own & mask) != 0 if e == 1 else slice(None)
+                        keys = (own ^ mask)[has].view(np.int64)
+                        if size := len(keys):
+                            head = [pa.array(np.full(size, p, np.int32)), pa.array(keys), pa.array(np.full(size, e > 0))]
+                            yield pa.RecordBatch.from_arrays([*head, *[pa.array(c[has]) for c in cols]], names=["part", "key", "probe", *names])
 
-    return fps.select("fp").mapInArrow(run, schema)
+    return fps.select(*names).mapInArrow(run, schema)
 
 
 class _Forest:
@@ -235,32 +248,45 @@ class _Forest:
         return i != j
 
 
-def _tree_links(own: np.ndarray, probes: np.ndarray, max_bits: int, among_own: bool) -> list[tuple[int, int]]:
-    """Spanning forest of the verified links of one bucket: own x own and own x probes."""
-    fps = np.unique(np.concatenate((own, probes)))
-    forest, links = _Forest(len(fps)), []
-    at_own = np.searchsorted(fps, own)
-    for others, start in ((own, True), (probes, False)):
-        if start and not among_own or not len(others) or not len(own):
-            continue
-        at = np.searchsorted(fps, others)
-        for a in range(0, len(others), 512):
-            near = np.bitwise_count(others[a : a + 512, None] ^ own[None, :]) <= max_bits
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                i, j = int(at[a + i]), int(at_own[j])
-                if i != j and forest.link(i, j):
-                    links.append((int(fps[i]), int(fps[j])))
+class _Near:
+    """Which signatures are near: at most max_bits differ in the first word, and wide_bits in all of them."""
+
+    def __init__(self, max_bits: int, wide_bits: int | None):
+        self.max_bits, self.wide_bits = max_bits, wide_bits
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a, b: signatures along the last axis; the other axes are broadcast."""
+        first = np.bitwise_count(a[..., 0] ^ b[..., 0])
+        if self.wide_bits is None:
+            return first <= self.max_bits
+        near = first <= self.max_bits
+        if near.any():
+            total = first.astype(np.int64)
+            for k in range(1, a.shape[-1]):
+                total = total + np.bitwise_count(a[..., k] ^ b[..., k])
+            near &= total <= self.wide_bits
+        return near
+
+
+def _tree_links(own: np.ndarray, probes: np.ndarray, sigs: np.ndarray, near: _Near) -> list[tuple[int, int]]:
+    """Spanning forest, as row numbers, of the verified links own x own and own x probes; small buckets."""
+    forest, links = _Forest(len(sigs)), []
+    rest = np.concatenate((own, probes))
+    hit = near(sigs[rest][:, None, :], sigs[own][None, :, :])
+    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+        i, j = int(rest[i]), int(own[j])
+        if i != j and forest.link(i, j):
+            links.append((i, j))
     return links
 
 
-def _near_matrix_links(own: np.ndarray, probes: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """The same for large buckets, where the rows already joined are skipped in bulk."""
-    fps = np.unique(np.concatenate((own, probes)))
-    is_own = np.zeros(len(fps), bool)
-    is_own[np.searchsorted(fps, own)] = True
-    left = np.ones(len(fps), bool)  # not reached yet
+def _sweep_links(own: np.ndarray, probes: np.ndarray, sigs: np.ndarray, near: _Near) -> list[tuple[int, int]]:
+    """The same for large buckets: a row that has been reached is not compared as a partner again."""
+    is_own = np.zeros(len(sigs), bool)
+    is_own[own] = True
+    left = np.ones(len(sigs), bool)
     links: list[tuple[int, int]] = []
-    for s in range(len(fps)):
+    for s in range(len(sigs)):
         if not left[s]:
             continue
         left[s] = False
@@ -270,34 +296,37 @@ def _near_matrix_links(own: np.ndarray, probes: np.ndarray, max_bits: int) -> li
             rest = np.flatnonzero(left if is_own[i] else left & is_own)  # two probes do not link here
             if not len(rest):
                 continue
-            near = rest[np.bitwise_count(fps[rest] ^ fps[i]) <= max_bits]
-            left[near] = False
-            links += [(int(fps[i]), int(fps[j])) for j in near.tolist()]
-            queue += near.tolist()
+            got = rest[near(sigs[rest], sigs[i][None, :])]
+            left[got] = False
+            links += [(i, j) for j in got.tolist()]
+            queue += got.tolist()
     return links
 
 
-def _verified(max_bits: int):
+def _verified(near: _Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-            probe = np.concatenate([r[0] for r in rows])
-            fp = np.concatenate([r[1] for r in rows]).view(np.uint64)
-            own, probes = np.unique(fp[~probe]), np.unique(fp[probe])
-            if len(own) + len(probes) < 2 or not len(own):
+        def done(rows: list[tuple[np.ndarray, ...]]) -> list[tuple[int, int]]:
+            probe, node, *words = (np.concatenate(c) for c in zip(*rows, strict=True))
+            if len(node) < 2 or probe.all():
+                return []
+            # a row is one node; a node that is its bucket's own needs no probe into it
+            order = np.lexsort((probe, node))
+            order = order[np.append(True, node[order][1:] != node[order][:-1])]
+            probe, node = probe[order], node[order]
+            sigs = np.column_stack([w[order] for w in words]).view(np.uint64)
+            own, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
+            if len(node) < 2 or not len(own):
                 return []
-            if len(own) == 2 and not len(probes):
-                return [(int(own[0]), int(own[1]))] if (int(own[0]) ^ int(own[1])).bit_count() <= max_bits else []
-            if len(own) + len(probes) <= 64:
-                return _tree_links(own, probes, max_bits, True)
-            return _near_matrix_links(own, probes, max_bits)
+            links = (_tree_links if len(node) * len(own) <= 40_000 else _sweep_links)(own, probes, sigs, near)
+            return [(int(node[i]), int(node[j])) for i, j in links]
 
         def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            x = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+            x = np.array(links, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
         last, rows, links = None, [], []
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             group = np.rec.fromarrays(cols[:3])
             cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
@@ -307,7 +336,7 @@ def _verified(max_bits: int):
                     links += done(rows)
                     rows = []
                 last = group[a].item()
-                rows.append((cols[3][a:z], cols[4][a:z]))
+                rows.append(tuple(c[a:z] for c in cols[3:]))
             if len(links) > 50_000:
                 yield out(links)
                 links = []
@@ -319,27 +348,36 @@ def _verified(max_bits: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) among the distinct values of ``fp`` that connect all pairs within ``max_bits``."""
+def fingerprint_links(
+    fps: DataFrame, max_bits: int = 4, block: int = BLOCK, wide: list[str] | None = None, wide_bits: int | None = None, pair_cost: float = 1.0
+) -> DataFrame:
+    """Links (a, b) among nodes that connect all pairs within ``max_bits`` of the first 64 bits.
+
+    fps: fp, the columns ``wide``, and node (fp itself where that column is absent), one row per node.
+    With ``wide_bits`` a link also needs at most so many different bits in all words together.
+    """
     spark: SparkSession = fps.sparkSession
+    wide = wide or []
+    if "node" not in fps.columns:
+        fps = fps.withColumn("node", F.col("fp"))
     n, both = _bit_statistics(fps)
     if n < 2:
         return spark.createDataFrame([], "a bigint, b bigint")
     blocks = group_bits(n, both)
-    parts = plan(n, both, blocks, _block_distances(fps, blocks), max_bits)
-    rows = _probe_rows(fps, parts)
+    parts = plan(n, both, blocks, _block_distances(fps, blocks), max_bits, pair_cost)
+    rows = _probe_rows(fps, parts, wide)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size"), F.count_if(~F.col("probe")).alias("own"))
     shared = sizes.where("size > 1 and own > 0").drop("own")
     met = rows.join(shared, ["part", "key"])
     # A bucket is cut into blocks by hash; two blocks meet in the task of their pair.
     cuts = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), cuts).cast("int")
+    mine = F.pmod(F.xxhash64("node"), cuts).cast("int")
     other = F.explode(F.when(cuts <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), cuts - 1))).alias("_o")
-    met = met.select("part", "key", "probe", "fp", cuts.alias("_c"), mine.alias("_m"), other)
+    met = met.select("part", "key", "probe", "node", "fp", *wide, cuts.alias("_c"), mine.alias("_m"), other)
     pair = (F.least("_m", "_o") * F.col("_c") + F.greatest("_m", "_o")).cast("int")
-    dealt = met.select("part", "key", pair.alias("pair"), "probe", "fp")
+    dealt = met.select("part", "key", pair.alias("pair"), "probe", "node", "fp", *wide)
     dealt = dealt.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
-    return dealt.mapInArrow(_verified(max_bits), "a bigint, b bigint")
+    return dealt.mapInArrow(_verified(_Near(max_bits, wide_bits)), "a bigint, b bigint")
 
 
 def near_groups(
@@ -360,13 +398,26 @@ def near_groups(
     return marks.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
+#: near_dedup: bits that may differ in 64 to be a candidate, more words of 64 bits, and bits that
+#: may differ in all 256.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 39 bits of 256 on
+#: average; 52 leaves room for two standard deviations.
+CANDIDATE_BITS, WIDE, WIDE_BITS = 8, 3, 52
+
+
 def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = CANDIDATE_BITS, wide_bits: int = WIDE_BITS
 ) -> DataFrame:
-    """The rows that stay: of each component the row with the smallest id; all columns kept.
+    """The rows that stay: of each group of similar texts the row with the smallest id; all columns kept.
 
-    Rows with a null id stay (they have no name to be dropped by).
+    Candidates differ in at most ``max_bits`` of 64 bits and are verified on 256 bits, so that
+    dissimilar texts whose short fingerprints happen to be near stay.  Rows with a null id stay
+    (they have no name to be dropped by); rows that repeat an id stay or go together.
     """
-    groups = near_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, words, max_bits)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    wide = [f"w{n + 1}" for n in range(WIDE)]
+    marks = written(simhash(df.where(F.col(id_col).isNotNull()), id_col, text_col, words, WIDE))
+    distinct = written(marks.groupBy("fp", *wide).agg(F.min(id_col).cast("bigint").alias("node")))
+    roots = connected_components(fingerprint_links(distinct, max_bits, BLOCK, wide, wide_bits, pair_cost=0.05))
+    # A node is the smallest id of its signature, so the root is the smallest id of the group.
+    named = distinct.join(roots, "node", "left").select("fp", *wide, F.coalesce("root", "node").alias("_keep"))
+    gone = marks.join(named, ["fp", *wide]).where(F.col(id_col) != F.col("_keep")).select(F.col(id_col).alias("_gone")).distinct()
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

@@ -118,11 +118,40 @@ def test_thresholds_sum_to_the_pigeonhole_bound():
         assert simhash.plan(n, np.eye(64) * n / 2, blocks, shares, max_bits)
 
 
-def test_near_dedup_keeps_one_of_a_group(docs, texts):
+def test_near_dedup_against_brute_force(docs, texts):
     kept = simhash.near_dedup(docs, words=5)
-    groups = simhash.near_groups(docs, words=5)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in groups.collect()})
+    sigs = [simhash.fingerprints(t, 5, simhash.WIDE) for _, t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        bits = [(a ^ b).bit_count() for a, b in zip(sigs[i], sigs[j], strict=True)]
+        if bits[0] <= simhash.CANDIDATE_BITS and sum(bits) <= simhash.WIDE_BITS:
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+    groups = {}
+    for k, (i, _) in enumerate(texts):
+        groups.setdefault(root(k), []).append(i)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(map(min, groups.values()))
+
+
+def test_near_dedup_drops_similar_texts_and_leaves_others(spark):
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(60)]
+    edited = []
+    for t in base:
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        edited.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(base)] + [(1000 + i, t) for i, t in enumerate(edited)] + [(None, base[0])]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(range(60)) <= kept and None in kept
+    assert len(kept) < 75  # most of the 60 edited copies go
 
 
 def test_components_of_chains_and_loops(spark):
