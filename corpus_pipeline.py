@@ -19,6 +19,8 @@ from strandlake.llm.simhash import near_dedup
 from strandlake.llm.suffix_dedup import suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Bytes of a repeated string that is cut out: about 50 words' worth, also of short words.
+REPEAT_BYTES = 250
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings that occur twice anywhere out of the texts; n_chars follows the text."""
-    cut = suffix_dedup(docs)
+    cut = suffix_dedup(docs, length=REPEAT_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -178,7 +178,7 @@ def test_pipeline_stage_by_stage(spark, small):
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(r["doc_id"] for r in simhash.near_dedup(exact, words=5).collect())
     assert 0.95 * exact.count() < near.count() < exact.count()
     cut = corpus_pipeline.repeats(spark, near, small).cache()
-    report = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffix_dedup.repeat_report(near).collect()}
+    report = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffix_dedup.repeat_report(near, length=corpus_pipeline.REPEAT_BYTES).collect()}
     assert cut.columns == docs.columns
     for r in cut.collect():
         assert r["n_chars"] == len(r["text"]) and report[r["doc_id"]] <= len(r["text"].encode()) <= report[r["doc_id"]] + 6 * 20
