@@ -147,3 +147,19 @@ def transition_scores(packed: DataFrame) -> DataFrame:
     )
     zero = {"m_cnt": 0, "mm_cnt": 0, "m_ent": 0.0, "mm_ent": 0.0}
     return grid.join(scored, ["node", "pos_i", "pos_j"], "left").fillna(zero)
+
+
+def match_status(packed: DataFrame) -> DataFrame:
+    """node, pos, s, t, status (1 or -1) and the two characters, for all rows s < t of a node."""
+    left = packed.select("node", F.col("seq_idx").alias("s"), F.col("codes").alias("a"))
+    right = packed.select("node", F.col("seq_idx").alias("t"), F.col("codes").alias("b"))
+    met = left.join(right, "node").where("s < t")
+    cells = met.select("node", "s", "t", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "c"))
+    status = F.when(F.col("c.a") == F.col("c.b"), 1).otherwise(-1)
+    return cells.select("node", "pos", "s", "t", status.alias("status"), F.col("c.a").alias("from_code"), F.col("c.b").alias("to_code"))
+
+
+def pair_status(status: DataFrame, pos_i: int, pos_j: int) -> DataFrame:
+    """s, t, is_match at two columns: both match or neither does."""
+    at = status.where(F.col("pos").isin(pos_i, pos_j))
+    return at.groupBy("node", "s", "t").agg((F.abs(F.sum("status")) == 2).alias("is_match"))

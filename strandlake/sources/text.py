@@ -144,7 +144,7 @@ def header_value(header: Column, key: str) -> Column:
 
 def lineage(value: Column, separator: str = ";") -> Column:
     """Taxa of a lineage line, without its final stop."""
-    return F.transform(F.split(F.rtrim(F.lit("."), value), separator), lambda x: F.trim(x))
+    return F.transform(F.split(F.rtrim(value, F.lit(".")), separator), lambda x: F.trim(x))
 
 
 def _pairs(rows: DataFrame, value: str, separator: str) -> DataFrame:
