@@ -34,10 +34,10 @@ class Settings:
 
 
 PRESETS = {
-    "intET": Settings("single", "identity"),
-    "rvET": Settings("single", "plain_entropy", 0.6),
-    "ET-MIp": Settings("pair", "filtered_average_product_corrected_mutual_information"),
-    "CovET": Settings("pair", "mismatch_diversity"),
+    "integer": Settings("single", "identity"),
+    "entropy": Settings("single", "plain_entropy", 0.6),
+    "mutual-information": Settings("pair", "filtered_average_product_corrected_mutual_information"),
+    "transitions": Settings("pair", "mismatch_diversity"),
 }
 
 

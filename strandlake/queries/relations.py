@@ -155,7 +155,7 @@ def _preset_query(name):
 
 
 for _p in presets.PRESETS:
-    query("trace_" + _p.lower().replace("-", "_"))(_preset_query(_p))
+    query("trace_preset_" + _p.replace("-", "_"))(_preset_query(_p))
 
 # -- structures: three dimensions of each embedding are an atom, five atoms a residue ---------------------
 

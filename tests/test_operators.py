@@ -202,8 +202,8 @@ def test_full_trace_equals_ranks_one_by_one(spark):
 
 
 def test_presets():
-    assert presets.preset("rvET").gap_correction == 0.6
-    assert presets.preset("CovET").pos_size == 2
+    assert presets.preset("entropy").gap_correction == 0.6
+    assert presets.preset("transitions").pos_size == 2
     with pytest.raises(ValueError):
         presets.preset("other")
     with pytest.raises(ValueError):
