@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,14 @@ OWN_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep Arrow batches small enough for long texts, and let Python workers find this package.
+
+    The second matters where workers start in another folder than the driver but see its files; a
+    cluster that does not share them needs the package installed or sent with ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ARROW_ROWS:
