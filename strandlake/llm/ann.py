@@ -72,6 +72,9 @@ class ProjectionTree:
         self.leaves = np.full((len(leaves), leaf), -1)
         for k, part in enumerate(leaves):
             self.leaves[k, : len(part)] = part
+        # leaf by leaf in single precision: what a first look at a leaf reads
+        self.coarse = np.where((self.leaves >= 0)[:, :, None], vectors[self.leaves], 0).astype(np.float32)
+        self.coarse_error = 2.0**-18 * float(np.sqrt(max(top, 1e-300)))  # times the query's norm
         self.low = np.array([points[p].min(axis=0) for p in leaves])
         self.high = np.array([points[p].max(axis=0) for p in leaves])
 
@@ -86,20 +89,31 @@ class ProjectionTree:
         order = np.argsort(gap, axis=1, kind="stable")
         gap = np.take_along_axis(gap, order, axis=1)
         norm = (queries * queries).sum(axis=1) + self.top
+        single = queries.astype(np.float32)
+        slack = self.coarse_error * np.sqrt((queries * queries).sum(axis=1))
         best_id = np.full((n, k), -1)
         best = np.full((n, k), -np.inf)
         alive, step, size = np.arange(n), 0, max(1, 128 // self.leaves.shape[1])
         while len(alive) and step < len(self.leaves):
-            rows = self.leaves[order[alive, step : step + size]].reshape(len(alive), -1)
-            # the same sum, in the same order, wherever a vector stands: equal vectors tie exactly
-            score = (self.vectors[rows] * queries[alive, None, :]).sum(axis=2)
-            found = np.where(rows >= 0, self.ids[rows], -1)
-            score = np.where((rows >= 0) & (found != ids[alive, None]), score, -np.inf)
-            all_id = np.concatenate((best_id[alive], found), axis=1)
-            all_score = np.concatenate((best[alive], score), axis=1)
-            pick = np.lexsort((all_id, -all_score), axis=1)[:, :k]
-            best_id[alive] = np.take_along_axis(all_id, pick, axis=1)
-            best[alive] = np.take_along_axis(all_score, pick, axis=1)
+            pick = order[alive, step : step + size]
+            rows = self.leaves[pick].reshape(len(alive), -1)
+            look = np.einsum("qlrd,qd->qlr", self.coarse[pick], single[alive]).reshape(len(alive), -1)
+            better = look >= (best[alive, -1] - slack[alive])[:, None]
+            better &= (rows >= 0) & (self.ids[rows] != ids[alive, None])
+            at = np.flatnonzero(better.any(axis=1))
+            if len(at):  # only these queries have something to verify and merge
+                q, (one, col) = alive[at], np.nonzero(better[at])
+                found = np.full((len(at), better.shape[1]), -1)
+                exact = np.full(found.shape, -np.inf)
+                row = rows[at][one, col]
+                found[one, col] = self.ids[row]
+                # on the original vectors in double precision; the same sum wherever a vector stands, so equal vectors tie
+                exact[one, col] = (self.vectors[row] * queries[q[one]]).sum(axis=1)
+                all_id = np.concatenate((best_id[q], found), axis=1)
+                all_score = np.concatenate((best[q], exact), axis=1)
+                pick = np.lexsort((all_id, -all_score), axis=1)[:, :k]
+                best_id[q] = np.take_along_axis(all_id, pick, axis=1)
+                best[q] = np.take_along_axis(all_score, pick, axis=1)
             step += size
             if step < len(self.leaves):
                 far = norm[alive] - 2 * best[alive, -1]  # infinite until k rows are found
