@@ -399,9 +399,9 @@ def near_groups(
 
 
 #: near_dedup: bits that may differ in 64 to be a candidate, more words of 64 bits, and bits that
-#: may differ in all 256.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 39 bits of 256 on
-#: average; 52 leaves room for two standard deviations.
-CANDIDATE_BITS, WIDE, WIDE_BITS = 8, 3, 52
+#: may differ in all 128.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 19 bits of 128 on
+#: average; 27 leaves room for two standard deviations.
+CANDIDATE_BITS, WIDE, WIDE_BITS = 6, 1, 27
 
 
 def near_dedup(
@@ -409,7 +409,7 @@ def near_dedup(
 ) -> DataFrame:
     """The rows that stay: of each group of similar texts the row with the smallest id; all columns kept.
 
-    Candidates differ in at most ``max_bits`` of 64 bits and are verified on 256 bits, so that
+    Candidates differ in at most ``max_bits`` of 64 bits and are verified on 128 bits, so that
     dissimilar texts whose short fingerprints happen to be near stay.  Rows with a null id stay
     (they have no name to be dropped by); rows that repeat an id stay or go together.
     """
