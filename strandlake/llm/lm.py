@@ -4,9 +4,11 @@ Counts of words, of word pairs and of distinct successors come from all training
 documents.  A count c is stored as its level, 1 + floor(steps * log2 c): the filter
 holds (n-gram, 1), ..., (n-gram, level), and a count is read by probing levels
 from 1 until one is missing.  The filter is cut into segments by a hash of
-the n-gram, so that each segment is built in one task from its own n-grams and sent to the
-driver once; its size is bounded by ``FILTER_BITS``, and where the corpus has more
-n-grams than that holds, the lowest count that pairs must have is raised.
+the n-gram; each segment is built in one task from its own n-grams, has ``BITS_PER_LEVEL``
+bits for each level it stores, and stays in a written table.  More n-grams make more segments:
+nothing is dropped and false hits stay as rare at every size.  No task and no driver
+holds a whole filter: documents are written as lots of word numbers, the distinct n-grams of a lot go to
+their segments, and the levels come back to the lot.
 
 Pairs are smoothed by absolute discounting; a document's probability is the even
 mixture of what the word model and the pair model give to the whole text, both from
@@ -19,8 +21,7 @@ are broadcast with their counts, all other words are joined with the count table
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,14 @@ from pyspark.sql import types as T
 
 from .common import drop_written, written
 
-#: Bits of a filter at most (32 MB), and bits for each stored level below that.
-FILTER_BITS, BITS_PER_LEVEL, PROBES = 1 << 28, 8, 3
+#: Bits of a filter for each level that it stores, and bits that are set for one.
+BITS_PER_LEVEL, PROBES = 8, 3
 #: Words that are broadcast with their exact counts, at most.
 HEAD = 100_000
 #: N-grams of one segment, about.
 SEGMENT = 1_000_000
+#: Bytes of text in one lot of documents, about.
+LOT = 4_000_000
 DISCOUNT = 0.75
 #: Levels for each doubling of a count: words and successors, pairs.
 FINE, COARSE = 4, 1
@@ -82,18 +85,32 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 # -- packed tables of (key, count), dealt by bucket ------------------------------------------
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, compressed."""
+    planes = x.view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _expand(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _squeeze(np.diff(keys, prepend=_U(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_expand(data, "<u8"), dtype=np.uint64)
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as differences, bytes of equal weight together; both compressed."""
-    z = zstandard.ZstdCompressor(level=1)
-    gaps = np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T
-    return z.compress(np.ascontiguousarray(gaps).tobytes()), z.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _pack_keys(keys), _squeeze(counts.astype("<i8"))
 
 
 def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    z = zstandard.ZstdDecompressor()
-    gaps = np.frombuffer(z.decompress(keys), np.uint8).reshape(8, -1).T
-    n = np.frombuffer(z.decompress(counts), np.uint8).reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(gaps).view(np.uint64).ravel(), dtype=np.uint64), np.ascontiguousarray(n).view("<i8").ravel()
+    return _unpack_keys(keys), _expand(counts, "<i8")
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +123,9 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
 _BLOB = "bucket bigint, keys binary, counts binary"
 
 
-def _blobs(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row for each bucket of sorted distinct keys."""
-    bucket = _bucket(keys, buckets)
+def _blobs(keys: np.ndarray, counts: np.ndarray, buckets: int, by: Callable = lambda keys: keys) -> pa.RecordBatch:
+    """One row for each bucket of sorted distinct keys; ``by`` is what of a key chooses the bucket."""
+    bucket = _bucket(by(keys), buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, keys, counts = bucket[order], keys[order], counts[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -149,29 +166,16 @@ def _merged(blobs: DataFrame) -> DataFrame:
 # -- counting -----------------------------------------------------------------------------------
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word binary, n) over the first column of ``texts``, ends included; written."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-
-        seen: Counter = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > 400_000:
-                yield out(seen)
-                seen = Counter()
-        yield out(seen)
-
-    return written(texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-
+class _Lot:
+    """Some documents as numbers of words, and each number's hash."""
 
-class _Numbered:
-    """The words of some texts as numbers, and each number's hash."""
+    def __init__(self, words: list[bytes], number: np.ndarray, size: np.ndarray, learn: np.ndarray):
+        self.words, self.number, self.size, self.learn = words, number, size, learn
+        self.hash = word_hashes(words)
+        self.end = np.cumsum(size)
 
-    def __init__(self, texts: list[str | None]):
+    @classmethod
+    def of_texts(cls, texts: list[str | None], learn: list[bool]) -> _Lot:
         index: dict[bytes, int] = {}
         put = index.setdefault
         numbers: list[int] = []
@@ -180,38 +184,91 @@ class _Numbered:
             words = words_of(text)
             sizes.append(len(words))
             numbers += [put(w, len(index)) for w in words]
-        self.words = list(index)
-        self.hash = word_hashes(self.words)
-        self.number = np.array(numbers, np.int64)
-        self.size = np.array(sizes, np.int64)
-        self.end = np.cumsum(self.size)
+        return cls(list(index), np.array(numbers, np.int64), np.array(sizes, np.int64), np.array(learn, bool))
+
+    def row(self) -> list[bytes]:
+        words = zstandard.ZstdCompressor(level=1).compress(b" ".join(self.words))  # no word holds a space
+        return [words, _squeeze(self.number.astype("<i4")), _squeeze(self.size.astype("<i8")), self.learn.astype(np.uint8).tobytes()]
+
+    @classmethod
+    def of_row(cls, words: bytes, number: bytes, size: bytes, learn: bytes) -> _Lot:
+        names = zstandard.ZstdDecompressor().decompress(words).split(b" ")
+        return cls(names, _expand(number, "<i4").astype(np.int64), _expand(size, "<i8"), np.frombuffer(learn, np.uint8) == 1)
 
     def before(self) -> np.ndarray:
-        """Number of the word before each word; -1 (an end) at the start of a text."""
-        out = np.append(-1, self.number[:-1])
-        out[(self.end - self.size)] = -1
+        """Number of the word before each word; an end's at the start of a text."""
+        out = np.append(0, self.number[:-1])
+        out[self.end - self.size] = self.words.index(END)
         return out
 
+    def pairs(self) -> np.ndarray:
+        return pair_keys(self.hash[self.before()], self.hash[self.number])
+
+    def learned(self) -> np.ndarray:
+        """Which words are of documents to learn from."""
+        return np.repeat(self.learn, self.size)
+
 
-def _pairs(numbered: _Numbered) -> np.ndarray:
-    start = word_hashes([END])
-    h = np.append(numbered.hash, start)  # number -1 finds the end's hash
-    return pair_keys(h[numbered.before()], h[numbered.number])
+_LOT = ["words", "number", "size", "learn"]
 
 
-def pair_counts(texts: DataFrame, buckets: int) -> DataFrame:
+def _lots_of(batch: pa.RecordBatch) -> Iterator[_Lot]:
+    """The lots of a batch whose last columns are those of a lot."""
+    for row in zip(*(batch.column(n).to_pylist() for n in _LOT), strict=True):
+        yield _Lot.of_row(*row)
+
+
+def lots(texts: DataFrame) -> DataFrame:
+    """(lot, ids, and the columns of a lot) over (id, text, learn); written, so that a lot keeps its name."""
+    kind = texts.schema[0].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = TaskContext.get().partitionId() << 40
+        for b in batches:
+            text, learn = b.column(1).to_pylist(), b.column(2).to_pylist()
+            at = 0
+            while at < len(text):
+                to, held = at, 0
+                while to < len(text) and held < LOT:
+                    held += len(text[to] or "")
+                    to += 1
+                row = _Lot.of_texts(text[at:to], learn[at:to]).row()
+                ids = b.column(0).slice(at, to - at)
+                ids = pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), ids, *[pa.array([x], pa.binary()) for x in row]], names=["lot", "ids", *_LOT])
+                lot += 1 << 20  # rows of a lot are numbered on from its name
+                at = to
+
+    schema = T.StructType([T.StructField("lot", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *[T.StructField(n, T.BinaryType()) for n in _LOT]])
+    return written(texts.mapInArrow(run, schema))
+
+
+def word_counts(of: DataFrame) -> DataFrame:
+    """(word binary, n) over the lots' documents to learn from, ends included; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lot in _lots_of(b):
+                n = np.bincount(lot.number[lot.learned()], minlength=len(lot.words))
+                met = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(lot.words, pa.binary()).take(pa.array(met)), pa.array(n[met])], names=["word", "n"])
+
+    return written(of.select(*_LOT).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def pair_counts(of: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for b in batches:
-            if b.num_rows:
-                held.append(_pairs(_Numbered(b.column(0).to_pylist())))
-            if sum(map(len, held)) > 3_000_000:
-                yield _blobs(*_summed(np.concatenate(held), None), buckets)
-                held = []
+            for lot in _lots_of(b):
+                held.append(lot.pairs()[lot.learned()])
+                if sum(map(len, held)) > 3_000_000:
+                    yield _blobs(*_summed(np.concatenate(held), None), buckets)
+                    held = []
         if held:
             yield _blobs(*_summed(np.concatenate(held), None), buckets)
 
-    return _merged(texts.mapInArrow(run, _BLOB))
+    return _merged(of.select(*_LOT).mapInArrow(run, _BLOB))
 
 
 def _word_blobs(counts: DataFrame, buckets: int) -> DataFrame:
@@ -220,7 +277,7 @@ def _word_blobs(counts: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             keys.append(word_hashes(b.column(0).to_pylist())), n.append(b.column(1).to_numpy())
         if keys:
-            yield _blobs(*_summed(np.concatenate(keys), np.concatenate(n)), buckets)
+            yield _blobs(*_summed(np.concatenate(keys), np.concatenate(n)), buckets, class_keys)  # with the word's successors
 
     return _merged(counts.select("word", "n").mapInArrow(run, _BLOB))
 
@@ -259,95 +316,162 @@ def _places(keys: np.ndarray, level: int | np.ndarray, bits: int) -> Iterator[np
         h = h + step
 
 
+class Segment:
+    """One segment's bits."""
+
+    def __init__(self, data: bytes):
+        self.data, self.bits = np.frombuffer(data, np.uint8), 8 * len(data)
+
+    @staticmethod
+    def of_levels(keys: np.ndarray, level: np.ndarray) -> bytes:
+        bits = max(1024, -(-int(level.sum()) * BITS_PER_LEVEL // 8) * 8)
+        on = np.zeros(bits, bool)
+        for k in range(1, int(level.max(initial=0)) + 1):
+            for place in _places(keys[level >= k], k, bits):
+                on[place] = True
+        return np.packbits(on, bitorder="little").tobytes()
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of distinct keys, by probing 1, 2, ... until one is missing."""
+        level = np.zeros(len(keys), np.uint8)  # 2^63 has level 253
+        alive = np.arange(len(keys))
+        for k in range(1, 256):
+            ok = np.ones(len(keys), bool)
+            for place in _places(keys, k, self.bits):
+                ok &= (self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            keys, alive = keys[ok], alive[ok]
+            if not len(alive):
+                break
+            level[alive] = k
+        return level
+
+
 class LogFrequencyFilter:
-    """Segments of ``bits`` bits; one bucket of n-grams in each."""
+    """A written table (bucket, data) of segments; one bucket of n-grams in each."""
 
-    def __init__(self, segments: int, bits: int, steps: int):
-        self.segments, self.bits, self.steps = segments, bits, steps
-        self.data = np.zeros(segments * bits // 8, np.uint8)
+    def __init__(self, table: DataFrame, segments: int, steps: int):
+        self.table, self.segments = table, segments
         self.values = _value_of_level(steps)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts as quantised, by probing levels 1, 2, ... until one is missing."""
+        """Counts as quantised, of a few keys; segments are read one after the other."""
         distinct, at = np.unique(keys, return_inverse=True)
-        base = _bucket(distinct, self.segments) * self.bits
+        bucket = _bucket(distinct, self.segments)
         level = np.zeros(len(distinct), np.int64)
-        alive = np.arange(len(distinct))
-        for k in range(1, len(self.values)):
-            ok = np.ones(len(alive), bool)
-            for place in _places(distinct[alive], k, self.bits):
-                place = place + base[alive]
-                ok &= (self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            alive = alive[ok]
-            if not len(alive):
-                break
-            level[alive] = k
+        for no, data in self.table.toLocalIterator():
+            mine = bucket == no
+            level[mine] = Segment(data).levels(distinct[mine])
         return self.values[level][at]
 
 
 def build_filter(table: DataFrame, segments: int, steps: int) -> LogFrequencyFilter:
-    """Filter of a merged table; each segment is made in a task and sent to the driver once."""
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(400, np.int64)
-        for b in batches:
-            for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                total += np.bincount(_levels(_unpack(k, c)[1], steps), minlength=400)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(400)), pa.array(total)], names=["level", "n"])
-
-    by_level = np.zeros(400, np.int64)
-    for level, n in table.mapInArrow(sizes, "level bigint, n bigint").groupBy("level").agg(F.sum("n")).collect():
-        by_level[level] = n
-    # the lowest level that is stored: 1 unless the corpus outgrows FILTER_BITS
-    least = 1
-    while (stored := int((by_level[least:] * np.arange(least, 400)).sum())) * BITS_PER_LEVEL // 2 > FILTER_BITS and least < 399:
-        least += 1
-    bits = max(1024, min(FILTER_BITS, stored * BITS_PER_LEVEL) // segments // 8 * 8)
+    """Filter of a merged table; each segment is made in a task and has bits for all of its levels."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 keys, counts = _unpack(k, c)
-                level = _levels(counts, steps)
-                keep = level >= least
-                keys, level = keys[keep], level[keep]
-                on = np.zeros(bits, bool)
-                for k2 in range(1, int(level.max(initial=0)) + 1):
-                    for place in _places(keys[level >= k2], k2, bits):
-                        on[place] = True
-                data = np.packbits(on, bitorder="little").tobytes()
+                data = Segment.of_levels(keys, _levels(counts, steps))
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "data"])
 
-    out = LogFrequencyFilter(segments, bits, steps)
-    size = bits // 8
-    for bucket, data in table.mapInArrow(segment, "bucket bigint, data binary").toLocalIterator():  # FILTER_BITS in all
-        out.data[bucket * size : (bucket + 1) * size] = np.frombuffer(data, np.uint8)
-    return out
+    return LogFrequencyFilter(written(table.mapInArrow(segment, "bucket bigint, data binary")), segments, steps)
 
 
 class LanguageModel:
-    """The three filters, and N and V of the training tokens."""
+    """The three filters, and N and V of the training tokens.
+
+    Words and successors have as many segments, dealt by the word's class.
+    """
 
     def __init__(self, words: LogFrequencyFilter, pairs: LogFrequencyFilter, successors: LogFrequencyFilter, tokens: int, types: int):
         self.words, self.pairs, self.successors, self.tokens, self.types = words, pairs, successors, tokens, types
 
-    def scores(self, numbered: _Numbered) -> np.ndarray:
-        """log10 probability of each text."""
-        h = np.append(numbered.hash, word_hashes([END]))
-        count = self.words.count(h)
-        after = self.successors.count(class_keys(h))
-        single = (count + 0.5) / (self.tokens + 0.5 * (self.types + 1))
-        before, now = numbered.before(), numbered.number
-        context = np.maximum(count[before], 1.0)
-        seen = np.minimum(self.pairs.count(pair_keys(h[before], h[now])), context)
-        rest = np.clip(DISCOUNT * after[before] / context, 0.01, 1.0)  # what discounting leaves to unseen pairs
-        found = np.minimum(np.maximum(seen - DISCOUNT, 0) / context, 1 - rest)
-        pair = np.where(count[before] > 0, found + rest * single[now], single[now])
-        start = numbered.end - numbered.size
-        a = np.add.reduceat(np.log10(single[now]), start)
-        b = np.add.reduceat(np.log10(np.minimum(pair, 1.0)), start)
-        top = np.maximum(a, b)
-        return top + np.log10(0.5 * 10.0 ** (a - top) + 0.5 * 10.0 ** (b - top))
+    def levels(self, of: DataFrame) -> DataFrame:
+        """(lot, levels): for each lot (kind, bucket, levels of its keys, of its classes).
+
+        Kind 0 are words, kind 1 pairs.  A lot's distinct n-grams are sent to the task that has their segment.
+        """
+        segments = (self.words.segments, self.pairs.segments)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lot_id, lot in zip(b.column("lot").to_pylist(), _lots_of(b), strict=True):
+                    for kind, keys in enumerate(_asked(lot)):
+                        bucket, order = _dealt(keys, kind, segments[kind])
+                        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                        data = [_pack_keys(k) for k in np.split(keys[order], cuts[1:])]
+                        head = [pa.array(np.full(len(cuts), kind, np.int32)), pa.array(bucket[cuts]), pa.array(np.full(len(cuts), lot_id))]
+                        yield pa.RecordBatch.from_arrays([*head, pa.array(data, pa.binary())], names=["kind", "bucket", "lot", "data"])
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, {}
+            for b in batches:
+                out = []
+                for kind, bucket, lot, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if (kind, bucket) != at:
+                        at, held = (kind, bucket), {}
+                    if lot < 0:
+                        held[lot] = Segment(data)
+                        continue
+                    keys = _unpack_keys(data)
+                    got = [held[-1].levels(keys) if -1 in held else np.zeros(len(keys), np.uint8)]
+                    if kind == 0:
+                        got.append(held[-2].levels(class_keys(keys)) if -2 in held else np.zeros(len(keys), np.uint8))
+                    out.append((lot, kind, bucket, _squeeze(np.concatenate(got))))
+                if out:
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["lot", "kind", "bucket", "levels"])
+
+        rows = of.select("lot", *_LOT).mapInArrow(ask, "kind int, bucket bigint, lot bigint, data binary")
+        for kind, lot, filt in ((0, -1, self.words), (0, -2, self.successors), (1, -1, self.pairs)):
+            held = filt.table.select(F.lit(kind).alias("kind"), "bucket", F.lit(lot).cast("bigint").alias("lot"), "data")
+            rows = rows.unionByName(held)
+        dealt = rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "lot")
+        found = dealt.mapInArrow(answer, "lot bigint, kind int, bucket bigint, levels binary")
+        return found.groupBy("lot").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "levels"))).alias("levels"))
+
+    def formula(self) -> Callable[[_Lot, list[dict]], np.ndarray]:
+        """What makes log10 probabilities of a lot's texts of its levels; numbers only, no tables."""
+        tokens, types, fine, coarse = self.tokens, self.types, self.words.values, self.pairs.values
+        segments = (self.words.segments, self.pairs.segments)
+
+        def scores(lot: _Lot, levels: list[dict]) -> np.ndarray:
+            got = []
+            for kind, keys in enumerate(_asked(lot)):
+                _, order = _dealt(keys, kind, segments[kind])
+                parts = [_expand(x["levels"], "u1").reshape(2 - kind, -1) for x in levels if x["kind"] == kind]
+                level = np.empty((2 - kind, len(keys)), np.int64)
+                level[:, order] = np.concatenate(parts, axis=1)
+                got.append(level)
+            place = np.unique(lot.hash, return_inverse=True)[1]
+            count, after = fine[got[0][0]][place], fine[got[0][1]][place]
+            keys = lot.pairs()
+            before, now = lot.before(), lot.number
+            single = (count + 0.5) / (tokens + 0.5 * (types + 1))
+            context = np.maximum(count[before], 1.0)
+            seen = np.minimum(coarse[got[1][0]][np.unique(keys, return_inverse=True)[1]], context)
+            rest = np.clip(DISCOUNT * after[before] / context, 0.01, 1.0)  # what discounting leaves to unseen pairs
+            found = np.minimum(np.maximum(seen - DISCOUNT, 0) / context, 1 - rest)
+            pair = np.where(count[before] > 0, found + rest * single[now], single[now])
+            start = lot.end - lot.size
+            a = np.add.reduceat(np.log10(single[now]), start)
+            b = np.add.reduceat(np.log10(np.minimum(pair, 1.0)), start)
+            top = np.maximum(a, b)
+            return top + np.log10(0.5 * 10.0 ** (a - top) + 0.5 * 10.0 ** (b - top))
+
+        return scores
+
+
+def _asked(lot: _Lot) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of a lot's words, and keys of its pairs."""
+    return np.unique(lot.hash), np.unique(lot.pairs())
+
+
+def _dealt(keys: np.ndarray, kind: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets in order, and the order that keys have in them."""
+    bucket = _bucket(keys if kind else class_keys(keys), segments)
+    order = np.argsort(bucket, kind="stable")
+    return bucket[order], order
 
 
 def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -368,15 +492,15 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
 
 
-def train(texts: DataFrame) -> tuple[LanguageModel, DataFrame]:
-    """The model of a table whose first column is text, and its exact word counts (written)."""
-    counts = word_counts(texts)
+def train(of: DataFrame) -> tuple[LanguageModel, DataFrame]:
+    """The model of the lots' documents to learn from, and their exact word counts (written)."""
+    counts = word_counts(of)
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     filters = []
     segments = lambda n: max(4, -(-n // SEGMENT))
     word_table = _word_blobs(counts, segments(types))
     filters.append(build_filter(word_table, segments(types), FINE))
-    pairs = pair_counts(texts, segments(tokens))
+    pairs = pair_counts(of, segments(tokens))
     filters.append(build_filter(pairs, segments(tokens), COARSE))
     successors = _successor_blobs(pairs, segments(types))
     filters.append(build_filter(successors, segments(types), FINE))
@@ -393,37 +517,38 @@ def lm_scores(df: DataFrame, train_where: Column, id_col: str = "doc_id", text_c
     tokens every word has the same probability of 1 in the base score.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
-    model, counts = train(df.where(train_where).select(text))
-    top = frequent_words(counts, head)
-    shared = df.sparkSession.sparkContext.broadcast((model, top))
+    of = lots(df.select(F.col(id_col), text, F.coalesce(train_where.cast("boolean"), F.lit(False)).alias("_learn")))
+    model, counts = train(of)
+    shared = df.sparkSession.sparkContext.broadcast(frequent_words(counts, head))
+    scores = model.formula()
     total = model.tokens + 0.5 * (model.types + 1)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, row bigint, n_tokens bigint, known bigint, base double, score double, words array<binary>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top = shared.value
-        row = TaskContext.get().partitionId() << 40
+        top = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            numbered = _Numbered(b.column(1).to_pylist())
-            exact = np.fromiter((top.get(w, -1) for w in numbered.words), np.int64, len(numbered.words))
-            start = numbered.end - numbered.size
-            each = exact[numbered.number]
-            common = each >= 0
-            logs = np.where(common, np.log10((np.maximum(each, 0) + 0.5) / total), 0.0)
-            doc = np.repeat(np.arange(b.num_rows), numbered.size)
-            # the other words of each document, with how often they stand in it
-            rest, times = np.unique(doc[~common] * len(numbered.words) + numbered.number[~common], return_counts=True)
-            offsets = np.searchsorted(rest // len(numbered.words), np.arange(b.num_rows + 1)).astype(np.int32)
-            names = pa.array(numbered.words, pa.binary()).take(pa.array(rest % len(numbered.words)))
-            cols = [b.column(0), pa.array(row + np.arange(b.num_rows)), pa.array(numbered.size), pa.array(np.add.reduceat(common.astype(np.int64), start))]
-            cols += [pa.array(np.add.reduceat(logs, start)), pa.array(model.scores(numbered))]
-            cols += [pa.ListArray.from_arrays(pa.array(offsets), names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32)))]
-            row += b.num_rows
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "row", "n_tokens", "known", "base", "score", "words", "times"])
-
-    scored = written(df.select(F.col(id_col), text).mapInArrow(run, schema))
+            for k, lot in enumerate(_lots_of(b)):
+                ids, first, levels = b.column("ids")[k].values, b.column("lot")[k].as_py(), b.column("levels")[k].as_py()
+                docs = len(lot.size)
+                exact = np.fromiter((top.get(w, -1) for w in lot.words), np.int64, len(lot.words))
+                start = lot.end - lot.size
+                each = exact[lot.number]
+                common = each >= 0
+                logs = np.where(common, np.log10((np.maximum(each, 0) + 0.5) / total), 0.0)
+                doc = np.repeat(np.arange(docs), lot.size)
+                # the other words of each document, with how often they stand in it
+                rest, times = np.unique(doc[~common] * len(lot.words) + lot.number[~common], return_counts=True)
+                offsets = np.searchsorted(rest // len(lot.words), np.arange(docs + 1)).astype(np.int32)
+                names = pa.array(lot.words, pa.binary()).take(pa.array(rest % len(lot.words)))
+                cols = [ids, pa.array(first + np.arange(docs)), pa.array(lot.size), pa.array(np.add.reduceat(common.astype(np.int64), start))]
+                cols += [pa.array(np.add.reduceat(logs, start)), pa.array(scores(lot, levels))]
+                cols += [pa.ListArray.from_arrays(pa.array(offsets), names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "row", "n_tokens", "known", "base", "score", "words", "times"])
+
+    scored = written(of.join(model.levels(of), "lot").mapInArrow(run, schema))
+    for t in (of, model.words.table, model.pairs.table, model.successors.table):
+        drop_written(t)
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     met = rare.join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))

@@ -231,6 +231,49 @@ def test_lm_filter_never_undercounts(spark):
         assert np.mean(filt.count(rng.integers(0, 2**63, 5000, dtype=np.uint64)) == 0) > 0.95
 
 
+def test_lm_filter_grows_with_its_levels(spark, monkeypatch):
+    """No size of corpus drops n-grams of count 1 or takes bits from the levels."""
+    monkeypatch.setattr(lm, "FILTER_BITS", 1 << 16, raising=False)  # the bound that there was
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 2**63, 60_000, dtype=np.uint64))
+    counts = rng.integers(1, 3, len(keys))
+    bucket = lm._bucket(keys, 4)
+    table = spark.createDataFrame([(b, *map(bytearray, lm._pack(keys[bucket == b], counts[bucket == b]))) for b in range(4)], lm._BLOB)
+    filt = lm.build_filter(table, 4, lm.COARSE)
+    assert (filt.count(keys) >= 1).all()
+    assert np.mean(filt.count(rng.integers(2**63, 2**64 - 1, 20_000, dtype=np.uint64)) > 0) < 0.04
+
+
+def test_lm_scores_against_brute_force(spark, docs, texts, monkeypatch):
+    """Levels that come back from the segments are those of the counts, but for rare false hits."""
+    monkeypatch.setattr(lm, "SEGMENT", 300)  # many segments
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, F.col("doc_id") % 5 != 1).collect()}
+    words = {i: lm.words_of(t) for i, t in texts}
+    single, pair = Counter(), Counter()
+    for i in words:
+        if i % 5 != 1:
+            single.update(words[i])
+            pair.update(zip([lm.END, *words[i][:-1]], words[i], strict=True))
+    after = Counter(a for a, _ in pair)
+    total, types = sum(single.values()), len(single)
+
+    def value(n, steps):
+        return float(lm._value_of_level(steps)[lm._levels(np.array([n]), steps)[0]]) if n else 0.0
+
+    near = []
+    for i, ws in words.items():
+        a = b = 0.0
+        for u, w in zip([lm.END, *ws[:-1]], ws, strict=True):
+            p = (value(single[w], lm.FINE) + 0.5) / (total + 0.5 * (types + 1))
+            n = max(value(single[u], lm.FINE), 1.0)
+            rest = min(max(lm.DISCOUNT * value(after[u], lm.FINE) / n, 0.01), 1.0)
+            found = min(max(min(value(pair[u, w], lm.COARSE), n) - lm.DISCOUNT, 0) / n, 1 - rest)
+            a, b = a + math.log10(p), b + math.log10(min(found + rest * p, 1.0) if single[u] else p)
+        top = max(a, b)
+        near.append(abs(got[i] - (top + math.log10(0.5 * 10 ** (a - top) + 0.5 * 10 ** (b - top)))) / max(1, len(ws)))
+    assert len(got) == len(texts) and np.median(near) < 0.02 and max(near) < 0.3
+
+
 def test_lm_packed_tables_round_trip():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**64 - 1, 1000, dtype=np.uint64))
     k, c = lm._unpack(*lm._pack(keys, np.arange(len(keys))))
