@@ -21,6 +21,7 @@ the links it has verified: components are exact, and pairs are never multiplied
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -398,10 +399,12 @@ def near_groups(
     return marks.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
-#: near_dedup: bits that may differ in 64 to be a candidate, more words of 64 bits, and bits that
-#: may differ in all 128.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 19 bits of 128 on
-#: average; 27 leaves room for two standard deviations.
-CANDIDATE_BITS, WIDE, WIDE_BITS = 6, 1, 27
+#: near_dedup: bits that may differ in one word of 64 to be a candidate, further words of 64 bits, and bits
+#: that may differ in all 256.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 38 bits of 256 on
+#: average; 54 leaves room for the scatter.
+CANDIDATE_BITS, WIDE, WIDE_BITS = 8, 3, 54
+#: What comparing two fingerprints costs, as a share of dealing one row; chooses partitions, not results.
+PAIR_COST = 0.002
 
 
 def near_dedup(
@@ -409,14 +412,21 @@ def near_dedup(
 ) -> DataFrame:
     """The rows that stay: of each group of similar texts the row with the smallest id; all columns kept.
 
-    Candidates differ in at most ``max_bits`` of 64 bits and are verified on 128 bits, so that
+    Candidates differ in at most ``max_bits`` bits of any of four words of 64 bits, so that a pair which scatters
+    widely in one word is met by another; they are verified on all 256 bits, so that
     dissimilar texts whose short fingerprints happen to be near stay.  Rows with a null id stay
     (they have no name to be dropped by); rows that repeat an id stay or go together.
     """
     wide = [f"w{n + 1}" for n in range(WIDE)]
     marks = written(simhash(df.where(F.col(id_col).isNotNull()), id_col, text_col, words, WIDE))
     distinct = written(marks.groupBy("fp", *wide).agg(F.min(id_col).cast("bigint").alias("node")))
-    roots = connected_components(fingerprint_links(distinct, max_bits, BLOCK, wide, wide_bits, pair_cost=0.05))
+    words_of_64 = ["fp", *wide]
+    links = []
+    for k in range(len(words_of_64)):  # each word in turn is what candidates are taken by
+        turned = words_of_64[k:] + words_of_64[:k]
+        sigs = distinct.select("node", *[F.col(old).alias(new) for old, new in zip(turned, words_of_64, strict=True)])
+        links.append(fingerprint_links(sigs, max_bits, BLOCK, wide, wide_bits, pair_cost=PAIR_COST))
+    roots = connected_components(reduce(DataFrame.unionByName, links))
     # A node is the smallest id of its signature, so the root is the smallest id of the group.
     named = distinct.join(roots, "node", "left").select("fp", *wide, F.coalesce("root", "node").alias("_keep"))
     gone = marks.join(named, ["fp", *wide]).where(F.col(id_col) != F.col("_keep")).select(F.col(id_col).alias("_gone")).distinct()

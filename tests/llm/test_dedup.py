@@ -154,6 +154,29 @@ def test_near_dedup_drops_similar_texts_and_leaves_others(spark):
     assert len(kept) < 75  # most of the 60 edited copies go
 
 
+def test_near_dedup_finds_texts_of_jaccard_08(spark):
+    """Recall against the exact similarity of five-word shingles, from 0.8 on; unlike texts stay."""
+    rng = random.Random(23)
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    base, edited, alike = [], [], []
+    for k in range(120):
+        w = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        e = list(w)
+        for at in rng.sample(range(10, 290), 5 + k % 3 if k < 100 else 60):
+            e[at] = f"x{rng.randrange(5000)}"
+        a, b = shingles(w), shingles(e)
+        base.append(w), edited.append(e), alike.append(len(a & b) / len(a | b))
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(1000 + i, " ".join(w)) for i, w in enumerate(edited)]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = [i for i, j in enumerate(alike) if j >= 0.8]
+    assert set(range(120)) <= kept and len(near) > 50
+    assert sum(1000 + i not in kept for i in near) >= 0.85 * len(near)
+    assert all(1000 + i in kept for i, j in enumerate(alike) if j < 0.5)
+
+
 def test_components_of_chains_and_loops(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100), (60, 61), (61, 60), (None, 3)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
