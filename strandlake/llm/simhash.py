@@ -1,13 +1,13 @@
 """SimHash near-dedup by a generalised pigeonhole.
 
-64-bit fingerprints link where at most ``max_bits`` bits differ.  Bits that vary
+Signatures of one or more words of 64 bits link where few bits differ.  Bits that vary
 together are grouped into m partitions of whole 8-bit blocks.  By the general
 pigeonhole principle, if the thresholds t_i (-1: not probed) of the partitions sum
-to max_bits - m + 1, every linked pair differs by at most t_i in some partition i.
+to max_bits - m + 1, every pair within max_bits differs by at most t_i in some partition i.
 Unequal thresholds are chosen by dynamic programming on estimated numbers of
-probes and candidates, from statistics of *all* fingerprints:
+probes and candidates, from statistics of *all* signatures:
 
-* a 64 x 64 table of how often two bits are set together says which bits correlate;
+* a table of how often two bits are set together says which bits correlate;
 * a histogram of the 256 values of each block gives the exact distribution of the
   distance of two random fingerprints within the block; blocks of one partition
   are convolved.
@@ -21,7 +21,6 @@ the links it has verified: components are exact, and pairs are never multiplied
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -88,25 +87,27 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 # -- statistics of all fingerprints ------------------------------------------------
 
 
-def _unpacked(fps: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def _words(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Signatures of a batch, a row each."""
+    return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names]).view(np.uint64)
 
 
-def _bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and the 64 x 64 counts of bits set together."""
+def _bit_statistics(fps: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
+    """Number of signatures and the (bits x bits) counts of bits set together."""
+    bits = BITS * len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, both = 0, np.zeros((BITS, BITS))
+        n, both = 0, np.zeros((bits, bits))
         for b in batches:
-            x = _unpacked(b.column(0).to_numpy(zero_copy_only=False)).astype(np.float32)
+            x = np.unpackbits(_words(b, names).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
             n, both = n + len(x), both + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits * bits + 1)), pa.array(np.append(both.ravel(), n).astype(np.int64))], names=["cell", "n"])
 
-    cells = fps.select("fp").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    flat = np.zeros(BITS * BITS + 1, np.int64)
-    for cell, n in cells.collect():  # 4097 rows, whatever the input
+    cells = fps.select(*names).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    flat = np.zeros(bits * bits + 1, np.int64)
+    for cell, n in cells.collect():  # bits x bits rows, whatever the input
         flat[cell] = n
-    return int(flat[-1]), flat[:-1].reshape(BITS, BITS).astype(float)
+    return int(flat[-1]), flat[:-1].reshape(bits, bits).astype(float)
 
 
 def group_bits(n: int, both: np.ndarray, size: int = 8) -> list[list[int]]:
@@ -116,7 +117,7 @@ def group_bits(n: int, both: np.ndarray, size: int = 8) -> list[list[int]]:
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(cov / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
-    free, blocks = list(range(BITS)), []
+    free, blocks = list(range(len(both))), []
     while free:
         rest = corr[np.ix_(free, free)]
         block = [free[int(rest.max(axis=1).argmax())]]
@@ -128,29 +129,28 @@ def group_bits(n: int, both: np.ndarray, size: int = 8) -> list[list[int]]:
     return blocks
 
 
-def _values(fps: np.ndarray, bits: list[int]) -> np.ndarray:
-    """The chosen bits of each fingerprint as a number."""
-    fps = fps.view(np.uint64)
-    out = np.zeros(len(fps), np.uint64)
+def _values(sigs: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The chosen bits (64 at most) of each signature as a number."""
+    out = np.zeros(len(sigs), np.uint64)
     for i, b in enumerate(bits):
-        out |= ((fps >> np.uint64(b)) & np.uint64(1)) << np.uint64(i)
+        out |= ((sigs[:, b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)) << np.uint64(i)
     return out
 
 
-def _block_distances(fps: DataFrame, blocks: list[list[int]]) -> np.ndarray:
-    """Per block, the share of (ordered) pairs of fingerprints at distance 0..8 within the block."""
+def _block_distances(fps: DataFrame, names: list[str], blocks: list[list[int]]) -> np.ndarray:
+    """Per block, the share of (ordered) pairs of signatures at distance 0..8 within the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(blocks), 256), np.int64)
         for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False)
+            x = _words(b, names)
             for k, bits in enumerate(blocks):
                 counts[k] += np.bincount(_values(x, bits).astype(np.int64), minlength=256)
         cell = np.arange(counts.size)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts.ravel())], names=["cell", "n"])
 
     counts = np.zeros(len(blocks) * 256)
-    for cell, n in fps.select("fp").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, n in fps.select(*names).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
         counts[cell] = n
     apart = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)).astype(int)
     out = np.zeros((len(blocks), 9))
@@ -187,11 +187,13 @@ def allocate(n: int, shares: list[np.ndarray], widths: list[int], max_bits: int,
 
 
 def plan(n: int, both: np.ndarray, blocks: list[list[int]], distances: np.ndarray, max_bits: int, pair_cost: float = 1.0) -> list[tuple[list[int], int]]:
-    """Partitions (bits, threshold): the cheapest over 2 to 8 partitions of neighbouring blocks."""
+    """Partitions (bits, threshold): the cheapest over all numbers of partitions of neighbouring blocks."""
     found: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(2, len(blocks) + 1):
         groups = [list(g) for g in np.array_split(np.arange(len(blocks)), m)]
         bits = [[b for k in g for b in blocks[k]] for g in groups]
+        if max(map(len, bits)) > BITS:  # a partition's bits are one key
+            continue
         shares = []
         for g in groups:
             share = np.ones(1)
@@ -207,16 +209,16 @@ def plan(n: int, both: np.ndarray, blocks: list[list[int]], distances: np.ndarra
 # -- probing and verifying -----------------------------------------------------------
 
 
-def _probe_rows(fps: DataFrame, parts: list[tuple[list[int], int]], wide: list[str]) -> DataFrame:
-    """(part, key, probe, node, fp, wide...): each fingerprint's own key, and for thresholds above 0 the keys around it."""
-    names = ["node", "fp", *wide]
-    schema = "part int, key bigint, probe boolean, " + ", ".join(f"{n} bigint" for n in names)
+def _probe_rows(fps: DataFrame, names: list[str], parts: list[tuple[list[int], int]]) -> DataFrame:
+    """(part, key, probe, node, words...): each signature's own key, and for thresholds above 0 the keys around it."""
+    schema = "part int, key bigint, probe boolean, " + ", ".join(f"{n} bigint" for n in ["node", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            sigs = _words(b, names)
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             for p, (bits, t) in enumerate(parts):
-                own = _values(cols[1], bits)
+                own = _values(sigs, bits)
                 for e in range(t + 1):
                     for flips in combinations(range(len(bits)), e):
                         mask = np.uint64(sum(1 << f for f in flips))
@@ -225,9 +227,9 @@ def _probe_rows(fps: DataFrame, parts: list[tuple[list[int], int]], wide: list[s
                         keys = (own ^ mask)[has].view(np.int64)
                         if size := len(keys):
                             head = [pa.array(np.full(size, p, np.int32)), pa.array(keys), pa.array(np.full(size, e > 0))]
-                            yield pa.RecordBatch.from_arrays([*head, *[pa.array(c[has]) for c in cols]], names=["part", "key", "probe", *names])
+                            yield pa.RecordBatch.from_arrays([*head, *[pa.array(c[has]) for c in cols]], names=["part", "key", "probe", "node", *names])
 
-    return fps.select(*names).mapInArrow(run, schema)
+    return fps.select("node", *names).mapInArrow(run, schema)
 
 
 class _Forest:
@@ -250,39 +252,49 @@ class _Forest:
 
 
 class _Near:
-    """Which signatures are near: at most max_bits differ in the first word, and wide_bits in all of them."""
+    """Which signatures are near: at most ``bits`` differ in all words together."""
 
-    def __init__(self, max_bits: int, wide_bits: int | None):
-        self.max_bits, self.wide_bits = max_bits, wide_bits
+    def __init__(self, bits: int):
+        self.bits = bits
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """a, b: signatures along the last axis; the other axes are broadcast."""
-        first = np.bitwise_count(a[..., 0] ^ b[..., 0])
-        if self.wide_bits is None:
-            return first <= self.max_bits
-        near = first <= self.max_bits
-        if near.any():
-            total = first.astype(np.int64)
-            for k in range(1, a.shape[-1]):
-                total = total + np.bitwise_count(a[..., k] ^ b[..., k])
-            near &= total <= self.wide_bits
+        words = a.shape[-1]
+        apart = np.bitwise_count(a[..., 0] ^ b[..., 0])
+        if words > 1:
+            apart += np.bitwise_count(a[..., 1] ^ b[..., 1])
+        near = apart <= self.bits
+        if words > 2 and near.any():  # two words tell most pairs apart
+            at = np.nonzero(near)
+            a, b = (np.broadcast_to(x, (*near.shape, words))[at][:, 2:] for x in (a, b))
+            near[at] = apart[at] + np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= self.bits
         return near
 
 
+#: Pairs that are compared at once.
+TILE = 1_000_000
+
+
 def _tree_links(own: np.ndarray, probes: np.ndarray, sigs: np.ndarray, near: _Near) -> list[tuple[int, int]]:
-    """Spanning forest, as row numbers, of the verified links own x own and own x probes; small buckets."""
-    forest, links = _Forest(len(sigs)), []
-    rest = np.concatenate((own, probes))
-    hit = near(sigs[rest][:, None, :], sigs[own][None, :, :])
-    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-        i, j = int(rest[i]), int(own[j])
-        if i != j and forest.link(i, j):
-            links.append((i, j))
-    return links
+    """Spanning forest, as row numbers, of the verified links own x own and own x probes.
+
+    Where many pairs are near, the sweep takes over, which does not list them.
+    """
+    rest, found, links = np.concatenate((own, probes)), [], 0
+    step = max(1, TILE // len(own))
+    for at in range(0, len(rest), step):
+        i, j = np.nonzero(near(sigs[rest[at : at + step]][:, None, :], sigs[own][None, :, :]))
+        i, j = rest[at + i], own[j]
+        found.append(np.column_stack((i, j))[i != j])
+        links += len(found[-1])
+        if links > 8 * len(sigs):
+            return _sweep_links(own, probes, sigs, near)
+    forest = _Forest(len(sigs))
+    return [(i, j) for i, j in np.concatenate(found).tolist() if forest.link(i, j)]
 
 
 def _sweep_links(own: np.ndarray, probes: np.ndarray, sigs: np.ndarray, near: _Near) -> list[tuple[int, int]]:
-    """The same for large buckets: a row that has been reached is not compared as a partner again."""
+    """The same for dense buckets: a row that has been reached is not compared as a partner again."""
     is_own = np.zeros(len(sigs), bool)
     is_own[own] = True
     left = np.ones(len(sigs), bool)
@@ -318,8 +330,7 @@ def _verified(near: _Near):
             own, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
             if len(node) < 2 or not len(own):
                 return []
-            links = (_tree_links if len(node) * len(own) <= 40_000 else _sweep_links)(own, probes, sigs, near)
-            return [(int(node[i]), int(node[j])) for i, j in links]
+            return [(int(node[i]), int(node[j])) for i, j in _tree_links(own, probes, sigs, near)]
 
         def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
             x = np.array(links, np.int64).reshape(-1, 2)
@@ -350,23 +361,23 @@ def _verified(near: _Near):
 
 
 def fingerprint_links(
-    fps: DataFrame, max_bits: int = 4, block: int = BLOCK, wide: list[str] | None = None, wide_bits: int | None = None, pair_cost: float = 1.0
+    fps: DataFrame, max_bits: int = 4, block: int = BLOCK, names: tuple[str, ...] = ("fp",), link_bits: int | None = None, pair_cost: float = 1.0
 ) -> DataFrame:
-    """Links (a, b) among nodes that connect all pairs within ``max_bits`` of the first 64 bits.
+    """Links (a, b) among nodes that connect all pairs of signatures within ``max_bits``.
 
-    fps: fp, the columns ``wide``, and node (fp itself where that column is absent), one row per node.
-    With ``wide_bits`` a link also needs at most so many different bits in all words together.
+    fps: the columns ``names`` (words of 64 bits) and node (fp itself where that column is absent), one row per
+    node.  With ``link_bits`` above ``max_bits``, pairs that the probes meet link up to that distance too.
     """
     spark: SparkSession = fps.sparkSession
-    wide = wide or []
+    names = list(names)
     if "node" not in fps.columns:
         fps = fps.withColumn("node", F.col("fp"))
-    n, both = _bit_statistics(fps)
+    n, both = _bit_statistics(fps, names)
     if n < 2:
         return spark.createDataFrame([], "a bigint, b bigint")
     blocks = group_bits(n, both)
-    parts = plan(n, both, blocks, _block_distances(fps, blocks), max_bits, pair_cost)
-    rows = _probe_rows(fps, parts, wide)
+    parts = plan(n, both, blocks, _block_distances(fps, names, blocks), max_bits, pair_cost)
+    rows = _probe_rows(fps, names, parts)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size"), F.count_if(~F.col("probe")).alias("own"))
     shared = sizes.where("size > 1 and own > 0").drop("own")
     met = rows.join(shared, ["part", "key"])
@@ -374,11 +385,11 @@ def fingerprint_links(
     cuts = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), cuts).cast("int")
     other = F.explode(F.when(cuts <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), cuts - 1))).alias("_o")
-    met = met.select("part", "key", "probe", "node", "fp", *wide, cuts.alias("_c"), mine.alias("_m"), other)
+    met = met.select("part", "key", "probe", "node", *names, cuts.alias("_c"), mine.alias("_m"), other)
     pair = (F.least("_m", "_o") * F.col("_c") + F.greatest("_m", "_o")).cast("int")
-    dealt = met.select("part", "key", pair.alias("pair"), "probe", "node", "fp", *wide)
+    dealt = met.select("part", "key", pair.alias("pair"), "probe", "node", *names)
     dealt = dealt.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
-    return dealt.mapInArrow(_verified(_Near(max_bits, wide_bits)), "a bigint, b bigint")
+    return dealt.mapInArrow(_verified(_Near(max_bits if link_bits is None else link_bits)), "a bigint, b bigint")
 
 
 def near_groups(
@@ -399,35 +410,38 @@ def near_groups(
     return marks.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
-#: near_dedup: bits that may differ in one word of 64 to be a candidate, further words of 64 bits, and bits
-#: that may differ in all 256.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 38 bits of 256 on
-#: average; 54 leaves room for the scatter.
-CANDIDATE_BITS, WIDE, WIDE_BITS = 8, 3, 54
-#: What comparing two fingerprints costs, as a share of dealing one row; chooses partitions, not results.
-PAIR_COST = 0.002
+#: near_dedup: further words of 64 bits, differing bits of all 256 up to which every pair is a candidate, and up to
+#: which candidates are near.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 39 of 256 bits on average with a
+#: spread of 6; 50 leaves room for the scatter.
+WIDE, SURE_BITS, NEAR_BITS = 3, 31, 50
+#: What comparing two signatures costs, as a share of dealing one row; chooses partitions, not results.
+PAIR_COST = 0.005
 
 
 def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = CANDIDATE_BITS, wide_bits: int = WIDE_BITS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, sure_bits: int = SURE_BITS, near_bits: int = NEAR_BITS
 ) -> DataFrame:
     """The rows that stay: of each group of similar texts the row with the smallest id; all columns kept.
 
-    Candidates differ in at most ``max_bits`` bits of any of four words of 64 bits, so that a pair which scatters
-    widely in one word is met by another; they are verified on all 256 bits, so that
-    dissimilar texts whose short fingerprints happen to be near stay.  Rows with a null id stay
-    (they have no name to be dropped by); rows that repeat an id stay or go together.
+    Texts are near where at most ``near_bits`` of 256 bits of their signatures differ, which means a Jaccard
+    similarity of ``words``-word shingles of about 0.8 or more.  The pigeonhole finds all pairs within ``sure_bits``,
+    and each pair beyond that which falls together in some partition: at 39 bits 99 of 100 and more.
+    A null or blank text has the signature zero, and such texts are copies of each other.  Ids may have any type that
+    can be ordered.  Rows with a null id stay (they have no name to be dropped by); rows that
+    repeat an id stay or go together.  An empty table gives an empty result; extra columns may have any name.
     """
-    wide = [f"w{n + 1}" for n in range(WIDE)]
-    marks = written(simhash(df.where(F.col(id_col).isNotNull()), id_col, text_col, words, WIDE))
-    distinct = written(marks.groupBy("fp", *wide).agg(F.min(id_col).cast("bigint").alias("node")))
-    words_of_64 = ["fp", *wide]
-    links = []
-    for k in range(len(words_of_64)):  # each word in turn is what candidates are taken by
-        turned = words_of_64[k:] + words_of_64[:k]
-        sigs = distinct.select("node", *[F.col(old).alias(new) for old, new in zip(turned, words_of_64, strict=True)])
-        links.append(fingerprint_links(sigs, max_bits, BLOCK, wide, wide_bits, pair_cost=PAIR_COST))
-    roots = connected_components(reduce(DataFrame.unionByName, links))
-    # A node is the smallest id of its signature, so the root is the smallest id of the group.
-    named = distinct.join(roots, "node", "left").select("fp", *wide, F.coalesce("root", "node").alias("_keep"))
-    gone = marks.join(named, ["fp", *wide]).where(F.col(id_col) != F.col("_keep")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    names = ["fp", *[f"w{n + 1}" for n in range(WIDE)]]
+    ids = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
+    marks = written(simhash(ids, "_id", "_text", words, WIDE))
+    # nodes have names of their own, since ids may be of any type; written, so that the names last
+    distinct = written(marks.groupBy(*names).agg(F.min("_id").alias("_least")).withColumn("node", F.monotonically_increasing_id()))
+    roots = connected_components(fingerprint_links(distinct, sure_bits, BLOCK, tuple(names), near_bits, PAIR_COST))
+    named = distinct.join(roots, "node", "left").select(*names, "_least", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("_least").alias("_keep"))
+    keep = named.join(least, "root").select(*names, "_keep")
+    gone = marks.join(keep, names).where(F.col("_id") != F.col("_keep")).select(F.col("_id").alias("_gone")).distinct()
+    free = "_gone"
+    while free in df.columns:
+        free = "_" + free
+    gone = gone.withColumnRenamed("_gone", free)
+    return df.join(gone, df[id_col] == gone[free], "left_anti")
