@@ -15,18 +15,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words that one Python worker remembers (about 250 bytes each).
 CACHE_WORDS = 500_000
+#: Bytes of text that are cut and encoded at once, about.
+LOT = 8_000_000
 
 
 class MergeReplay:
@@ -149,70 +151,105 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-#: A space or line end that does not simply stand before the next word.
-_ODD_SPACE = re.compile(r"[ \n](?:\s|\Z)")
+#: A space or line end that does not simply stand before the next word (white space as Python has it).
+_ODD_SPACE = r"[ \n](?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 
 
-def cut_at_spaces(text: str) -> list:
-    """Keys of pieces of ``text`` whose words can be found separately, in order.
+def cut_at_spaces(text: str) -> list[str]:
+    """Pieces of ``text`` whose words can be found separately, in order; without the space that a piece begins with.
 
     A space before a character that is no white space always begins a word of the
-    pattern, so the text may be cut there; a line end before such a character is a word
-    of its own.  Other white space stays inside a piece.  The first key is a tuple of
-    the first piece; each other key is a piece without the space that it begins with,
-    or a piece that begins with a line end.
+    pattern, so the text may be cut there.  Other white space stays inside a piece.
     """
-    if _ODD_SPACE.search(text) is None:
-        parts: list = text.replace("\n", " \n").split(" ")
-        parts[0] = (parts[0],)
-        return parts
     parts = text.split(" ")
-    keys: list = [parts[0]]
+    out = [parts[0]]
     for p in parts[1:]:
         if p and not p[0].isspace():
-            keys.append(p)
+            out.append(p)
         else:
-            keys[-1] += " " + p
-    keys[0] = (keys[0],)
-    return keys
+            out[-1] += " " + p
+    return out
 
 
 class PieceCache:
-    """Key of a piece -> its ids as little-endian unsigned 32-bit bytes; bounded.
+    """Packed ids (little-endian, unsigned, 32 bits) of texts; pieces of texts are encoded once and stay in a bounded cache.
 
-    ``encode`` takes a list of unknown pieces and returns their packed ids.
+    ``encode`` takes a list of unknown pieces and returns their packed ids.  A piece is named by its text without
+    the space that it begins with; the first piece of a text, which has none, has a space before its name.
+    Texts are cut and their distinct pieces are found by Arrow; Python sees each distinct piece of a lot once.
     """
 
     def __init__(self, encode, size: int = CACHE_WORDS):
         self.encode, self.size, self.known = encode, size, {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text; what is unknown in them is encoded as one corpus."""
-        cut = [cut_at_spaces(t) for t in texts]
+    def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Packed ids of each text (null: empty); what is unknown in them is encoded as one corpus."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "").cast(pa.large_string())
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        out, at = [], 0
+        while at < len(texts):  # lots of about LOT bytes, of one text at least
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + LOT, side="right")))
+            out += self._lot(texts.slice(at, to - at))
+            at = to
+        return out
+
+    def _lot(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        # a line end before a character that is no white space is a word of its own
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        sizes, flat = pc.list_value_length(cut).to_numpy().astype(np.int64), cut.flatten()
+        at = np.cumsum(sizes) - sizes
+        first = pc.binary_join_element_wise(pa.scalar(" ", flat.type), flat.take(pa.array(at)), pa.scalar("", flat.type))
+        if some := np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            own = {k: cut_at_spaces(texts[k].as_py()) for k in some}
+            names = first.to_pylist()
+            for k, parts in own.items():
+                names[k] = " " + parts[0]
+                sizes[k] = len(parts)
+            first = pa.array(names, flat.type)
+            lists, old = [], 0
+            for k in some:
+                lists += [flat.slice(old, at[k] - old), pa.array(own[k], flat.type)]
+                old = int(at[k]) + 1  # an emptied text has one piece
+            flat = pa.concat_arrays([*lists, flat.slice(old)])
+            at = np.cumsum(sizes) - sizes
+        coded = pa.concat_arrays([first, flat]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        of, names = codes[len(first) :].copy(), coded.dictionary
+        of[at] = codes[: len(first)]
+        used = np.unique(of)
+        packed = self._packed(names.take(pa.array(used)).to_pylist())
+        counts = np.zeros(len(names), np.int64)
+        counts[used] = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start = np.cumsum(counts) - counts
+        table = np.frombuffer(b"".join(packed), "<u4")
+        each = counts[of]
+        end = np.cumsum(each)
+        ids = table[np.repeat(start[of] - end + each, each) + np.arange(int(end[-1]))]
+        to = end[at + sizes - 1].tolist()
+        return [ids[x:y].tobytes() for x, y in zip([0, *to], to, strict=False)]
+
+    def _packed(self, names: list[str]) -> list[bytes]:
+        """Packed ids of distinct pieces."""
         if len(self.known) > self.size:  # what these texts use stays: the frequent pieces are among it
-            self.known = {k: self.known[k] for k in set().union(*cut) if k in self.known}
-        known, fresh, holes = self.known, set(), []
-        found = [list(map(known.get, keys)) for keys in cut]
-        for keys, row in zip(cut, found, strict=True):
-            at = [i for i, x in enumerate(row) if x is None] if None in row else []
-            holes.append(at)
-            fresh.update([keys[i] for i in at])
-        # A letter and the full stop or comma after it never share a word: the rest may be known already.
-        ended = {k for k in fresh if k[-1:] in (".", ",") and "a" <= k[-2:-1].lower() <= "z"}
-        fresh -= ended
-        fresh.update(k[:-1] for k in ended if k[:-1] not in known)
-        fresh.update(t for t in ((".",), (",",)) if t not in known)
-        new = list(fresh)
-        known.update(zip(new, self.encode([k[0] if type(k) is tuple else k if k[:1] == "\n" else " " + k for k in new]), strict=True))
-        stops = {t: known[(t,)] for t in ".,"}
-        known.update([(k, known[k[:-1]] + stops[k[-1]]) for k in ended])
-        for keys, row, at in zip(cut, found, holes, strict=True):
-            for i in at:
-                row[i] = known[keys[i]]
-        return list(map(b"".join, found))
-
-
-def gathered(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 6_000_000) -> Iterator[list[pa.RecordBatch]]:
+            self.known = {k: self.known[k] for k in names if k in self.known}
+        known = self.known
+        found = list(map(known.get, names))
+        fresh = [k for k, x in zip(names, found, strict=True) if x is None]
+        if fresh:
+            # A letter and the full stop or comma after it never share a word: the rest may be known already.
+            ended = {k for k in fresh if k[-1:] in (".", ",") and "a" <= k[-2:-1].lower() <= "z"}
+            new = {k[:-1] if k in ended else k for k in fresh}
+            new = [k for k in new if k not in known]
+            new += [t for t in (" .", " ,") if t not in known and t not in new]
+            pieces = [k[1:] if k[:1] == " " else k if k[:1] == "\n" else " " + k for k in new]
+            known.update(zip(new, self.encode(pieces), strict=True))
+            known.update([(k, known[k[:-1]] + known[" " + k[-1]]) for k in ended])
+            found = list(map(known.__getitem__, names))
+        return found
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text_at: int, most: int = LOT) -> Iterator[list[pa.RecordBatch]]:
     """Runs of batches of about ``most`` bytes of text: what one replay takes as its corpus."""
     group: list[pa.RecordBatch] = []
     size = 0
@@ -277,7 +314,7 @@ def bpe_encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, cache = coder(path, pattern)
         for group in gathered(batches, 1):
-            every = iter(cache.ids([t or "" for batch in group for t in batch.column(1).to_pylist()]))
+            every = iter(cache.ids(pa.concat_arrays([batch.column(1) for batch in group])))
             for batch in group:
                 packed = list(islice(every, batch.num_rows))
                 if digests:

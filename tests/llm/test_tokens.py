@@ -57,9 +57,10 @@ def test_replay_where_a_lower_rank_comes_up_late():
 
 
 def test_cache_is_bounded():
-    cache = bpe.PieceCache(lambda pieces: [p.encode() for p in pieces], size=50)
+    cache = bpe.PieceCache(lambda pieces: [p.encode("utf-32-le") for p in pieces], size=50)
     for k in range(20):
-        assert cache.ids([f"a{k} b{k} c", "c d"])[1] == b"c d"
+        texts = [f"a{k} b{k} c.", "c d", "", None, " x  y ", "c d"]
+        assert [x.decode("utf-32-le") for x in cache.ids(texts)] == [t or "" for t in texts]
         assert len(cache.known) < 120
 
 
@@ -120,10 +121,31 @@ def test_bins_use_every_piece_once():
         packing.minimum_bin_slack({2000: 1})
 
 
-def test_running_numbers_with_many_salts(docs, monkeypatch):
-    monkeypatch.setattr(packing, "SLICE", 7)
-    rows = packing.pack_documents(docs, JSON, capacity=64).collect()
+def test_each_place_is_taken_once_over_many_parts(docs, spark):
+    rows = packing.pack_documents(docs.repartition(9), JSON, capacity=64).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    same = spark.range(500).selectExpr("id", "5L as length", "'x' as _part", "id as sequence_id").repartition(7)  # one length for all
+    got = packing.pack(same, 64).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 500 and len({r["sequence_id"] for r in got}) == -(-500 // 12)
+    assert set(got[0].asDict()) == {"id", "length", "_part", "sequence_id", "offset"}
+
+
+def test_fast_encoder_equals_the_library():
+    tokenizer = Tokenizer.from_file(JSON)
+    tokenizer.encode_special_tokens = True
+    fast, plain = packing._coder(JSON), packing.PlainCoder(tokenizer)
+    assert isinstance(fast, packing.RankCoder)
+    rng = random.Random(3)
+    vocab = [t for t in bpe.load_ranks(RANKS)]
+    made = [b"".join(rng.choice(vocab) for _ in range(rng.randrange(1, 6))).decode("utf-8", "ignore") for _ in range(20_000)]
+    for k in range(0, len(made), 200):
+        text = " ".join(made[k : k + 200])
+        assert np.array_equal(fast(text), plain(text))
+    for text in ("", "a <|endoftext|> b", "x" * 5000, " " * 3000, "\u3000 \x85\x1c\r\n y", "中文" * 2000):
+        assert np.array_equal(fast(text), plain(text))
+    assert len(fast(" " * 2_000_000)) == len(plain(" " * 2_000_000))
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert isinstance(packing._coder(other), packing.PlainCoder)
 
 
 # -- chat -------------------------------------------------------------------------------------
