@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; bounds memory where single texts are long.
-ARROW_ROWS = 1000
-#: Used only where the session names no checkpoint folder (tests, notebooks).
-OWN_CHECKPOINTS = "/tmp/checkpoints"
+#: Rows, and bytes, handed to Python at once; bounds memory where single texts are long.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -24,10 +24,10 @@ def tuned(spark: SparkSession) -> SparkSession:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -36,8 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINTS
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session has a temporary folder of its own; on a cluster that is an error,
+    since each executor would write to its own disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = str(Path(tempfile.gettempdir()) / "checkpoints")
     return f"{root.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
 
 

@@ -39,9 +39,11 @@ BITS_PER_LEVEL, PROBES = 8, 3
 #: Words that are broadcast with their exact counts, at most.
 HEAD = 100_000
 #: N-grams of one segment, about.
-SEGMENT = 1_000_000
+SEGMENT = 500_000
 #: Bytes of text in one lot of documents, about.
-LOT = 4_000_000
+LOT = 8_000_000
+#: Bits by which n-grams are told apart within a segment.
+NAME_BITS = 40
 DISCOUNT = 0.75
 #: Levels for each doubling of a count: words and successors, pairs.
 FINE, COARSE = 4, 1
@@ -82,6 +84,14 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(keys ^ _U(0x5851F42D4C957F2D)) % _U(buckets)).astype(np.int64)
 
 
+def _names(keys: np.ndarray) -> np.ndarray:
+    """What of a key a segment's places hang on; shorter than a key, since it travels with every question.
+
+    That two n-grams of a segment share a name is 10,000 times rarer than a false hit of the filter.
+    """
+    return _mix(keys ^ _U(0x2545F4914F6CDD1D)) >> _U(64 - NAME_BITS)
+
+
 # -- packed tables of (key, count), dealt by bucket ------------------------------------------
 
 
@@ -146,15 +156,15 @@ def _merged(blobs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([p[0]], pa.binary()), pa.array([p[1]], pa.binary())], names=["bucket", "keys", "counts"])
 
         for b in batches:
-            for bucket, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if bucket != last and keys:
+            for bucket, k, c in zip(*b.columns, strict=True):  # one row at a time: a batch of packed rows is large
+                if (bucket := bucket.as_py()) != last and keys:
                     yield out()
                     keys, counts, size = [], [], 0
                 last = bucket
-                k, c = _unpack(k, c)
+                k, c = _unpack(k.as_py(), c.as_py())
                 keys.append(k), counts.append(c)
                 size += len(k)
-                if size > 4 * SEGMENT and len(keys) > 8:  # partial sums keep a bucket near its final size
+                if size > 2 * SEGMENT + 2 * len(keys[0]):  # partial sums keep a bucket near its final size
                     k, c = _summed(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, size = [k], [c], len(k)
         if keys:
@@ -262,7 +272,7 @@ def pair_counts(of: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for lot in _lots_of(b):
                 held.append(lot.pairs()[lot.learned()])
-                if sum(map(len, held)) > 3_000_000:
+                if sum(map(len, held)) > 2_000_000:
                     yield _blobs(*_summed(np.concatenate(held), None), buckets)
                     held = []
         if held:
@@ -323,23 +333,23 @@ class Segment:
         self.data, self.bits = np.frombuffer(data, np.uint8), 8 * len(data)
 
     @staticmethod
-    def of_levels(keys: np.ndarray, level: np.ndarray) -> bytes:
+    def of_levels(names: np.ndarray, level: np.ndarray) -> bytes:
         bits = max(1024, -(-int(level.sum()) * BITS_PER_LEVEL // 8) * 8)
         on = np.zeros(bits, bool)
         for k in range(1, int(level.max(initial=0)) + 1):
-            for place in _places(keys[level >= k], k, bits):
+            for place in _places(names[level >= k], k, bits):
                 on[place] = True
         return np.packbits(on, bitorder="little").tobytes()
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of distinct keys, by probing 1, 2, ... until one is missing."""
-        level = np.zeros(len(keys), np.uint8)  # 2^63 has level 253
-        alive = np.arange(len(keys))
+    def levels(self, names: np.ndarray) -> np.ndarray:
+        """Levels of the keys of these names, by probing 1, 2, ... until one is missing."""
+        level = np.zeros(len(names), np.uint8)  # 2^63 has level 253
+        alive = np.arange(len(names))
         for k in range(1, 256):
-            ok = np.ones(len(keys), bool)
-            for place in _places(keys, k, self.bits):
+            ok = np.ones(len(names), bool)
+            for place in _places(names, k, self.bits):
                 ok &= (self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            keys, alive = keys[ok], alive[ok]
+            names, alive = names[ok], alive[ok]
             if not len(alive):
                 break
             level[alive] = k
@@ -360,7 +370,7 @@ class LogFrequencyFilter:
         level = np.zeros(len(distinct), np.int64)
         for no, data in self.table.toLocalIterator():
             mine = bucket == no
-            level[mine] = Segment(data).levels(distinct[mine])
+            level[mine] = Segment(data).levels(_names(distinct[mine]))
         return self.values[level][at]
 
 
@@ -371,7 +381,7 @@ def build_filter(table: DataFrame, segments: int, steps: int) -> LogFrequencyFil
         for b in batches:
             for bucket, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 keys, counts = _unpack(k, c)
-                data = Segment.of_levels(keys, _levels(counts, steps))
+                data = Segment.of_levels(_names(keys), _levels(counts, steps))
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "data"])
 
     return LogFrequencyFilter(written(table.mapInArrow(segment, "bucket bigint, data binary")), segments, steps)
@@ -399,7 +409,8 @@ class LanguageModel:
                     for kind, keys in enumerate(_asked(lot)):
                         bucket, order = _dealt(keys, kind, segments[kind])
                         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                        data = [_pack_keys(k) for k in np.split(keys[order], cuts[1:])]
+                        sent = (_names(keys) if kind else keys)[order]  # a word's key names its class too
+                        data = [_pack_keys(k) for k in np.split(sent, cuts[1:])]
                         head = [pa.array(np.full(len(cuts), kind, np.int32)), pa.array(bucket[cuts]), pa.array(np.full(len(cuts), lot_id))]
                         yield pa.RecordBatch.from_arrays([*head, pa.array(data, pa.binary())], names=["kind", "bucket", "lot", "data"])
 
@@ -407,16 +418,17 @@ class LanguageModel:
             at, held = None, {}
             for b in batches:
                 out = []
-                for kind, bucket, lot, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                for kind, bucket, lot, data in zip(*b.columns, strict=True):
+                    kind, bucket, lot, data = kind.as_py(), bucket.as_py(), lot.as_py(), data.as_py()
                     if (kind, bucket) != at:
                         at, held = (kind, bucket), {}
                     if lot < 0:
                         held[lot] = Segment(data)
                         continue
                     keys = _unpack_keys(data)
-                    got = [held[-1].levels(keys) if -1 in held else np.zeros(len(keys), np.uint8)]
+                    got = [held[-1].levels(keys if kind else _names(keys)) if -1 in held else np.zeros(len(keys), np.uint8)]
                     if kind == 0:
-                        got.append(held[-2].levels(class_keys(keys)) if -2 in held else np.zeros(len(keys), np.uint8))
+                        got.append(held[-2].levels(_names(class_keys(keys))) if -2 in held else np.zeros(len(keys), np.uint8))
                     out.append((lot, kind, bucket, _squeeze(np.concatenate(got))))
                 if out:
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -468,9 +480,9 @@ def _asked(lot: _Lot) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(keys: np.ndarray, kind: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets in order, and the order that keys have in them."""
+    """Buckets in order, and the order that keys have in them: words by key, pairs by name."""
     bucket = _bucket(keys if kind else class_keys(keys), segments)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((_names(keys) if kind else keys, bucket))
     return bucket[order], order
 
 
