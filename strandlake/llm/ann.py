@@ -3,16 +3,20 @@
 Largest inner product becomes smallest Euclidean distance when every row x gets one
 more coordinate, sqrt(M^2 - |x|^2), M the largest norm, and every query gets 0 there.
 A Gaussian (2-stable) projection to ``PROJECTED`` coordinates turns a squared distance
-d^2 into d^2 times a chi-square variable.  Rows are dealt into blocks by a hash of
-their id; each block is indexed by a kd-tree over its projected rows.
+d^2 into d^2 times a chi-square variable.
 
-For a query, the leaves of the tree come in the order of their projected distance, and the
+The top of the kd-tree is fitted on the projections of a bounded sample (``SAMPLE`` rows) and
+deals *every* row into one of at most ``CELLS`` cells; a cell of more than ``BLOCK`` rows is dealt to several
+blocks by a hash of the id.  Each block has the rest of the tree over its projected rows.
+
+For a query, the leaves of a block come in the order of their projected distance, and the
 rows in them are verified on the original vectors.  Once the next leaf is at projected
 distance r and the k-th nearest verified row is at distance d, a nearer row has been
 seen with probability F(r^2 / d^2), F the chi-square distribution; the search stops
 when that reaches ``CONFIDENCE``.
 
-Queries stream past the blocks: a task holds one block and one batch of queries.
+A query first searches the cell that its projection is nearest to.  The k-th distance found there
+goes on with it, and by the same test it visits only those other cells whose box is near enough.
 """
 
 from __future__ import annotations
@@ -24,11 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import written
+
 PROJECTED, CONFIDENCE, SEED = 10, 0.9, 5
-#: Rows of one block (one kd-tree), about, and of one leaf.
-BLOCK, LEAF = 20_000, 32
+#: Rows of one block (the lower part of the tree), about, and of one leaf.
+BLOCK, LEAF = 10_000, 32
+#: Cells of the upper part of the tree, at most, and rows that it is fitted on, at most.
+CELLS, SAMPLE = 4096, 100_000
 #: Queries that are searched at once.
 TOGETHER = 256
 
@@ -52,14 +61,70 @@ def chi_square_quantile(p: float, m: int) -> float:
     return hi
 
 
+def axes_of(width: int, m: int, seed: int = SEED) -> np.ndarray:
+    """Projection of vectors with their additional coordinate, which is the last row."""
+    return np.random.default_rng(seed).normal(size=(width + 1, m))
+
+
+def projected(vectors: np.ndarray, top: float, axes: np.ndarray, query: bool = False) -> np.ndarray:
+    """Projections; ``top`` is the largest squared norm."""
+    at = vectors @ axes[:-1]
+    if not query:
+        at += np.sqrt(np.maximum(top - (vectors * vectors).sum(axis=1), 0))[:, None] * axes[-1]
+    return at
+
+
+def gaps(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each box."""
+    out = np.zeros((len(at), len(low)))
+    for axis in range(at.shape[1]):
+        x = at[:, axis, None]
+        out += np.maximum(np.maximum(low[:, axis] - x, x - high[:, axis]), 0) ** 2
+    return out
+
+
+class Cells:
+    """Upper part of the tree: splits at medians of the widest axis, until there are ``cells`` parts."""
+
+    def __init__(self, points: np.ndarray, cells: int):
+        self.splits: list[tuple[int, float, int, int]] = []  # axis, value, lower node, upper node; a cell as -1 - its number
+        self.cells = 0
+        self.root = self._split(points, cells)
+
+    def _split(self, points: np.ndarray, cells: int) -> int:
+        spread = np.ptp(points, axis=0) if len(points) > 1 else np.zeros(1)
+        if cells < 2 or not spread.max() > 0:
+            self.cells += 1
+            return -self.cells
+        axis, left = int(spread.argmax()), cells // 2
+        order = np.sort(points[:, axis])
+        value = float(order[min(len(order) - 1, max(1, len(order) * left // cells))])
+        below = points[:, axis] < value
+        if not below.any() or below.all():
+            value = float(np.nextafter(order[0], np.inf))
+            below = points[:, axis] < value
+        me = len(self.splits)
+        self.splits.append((axis, value, 0, 0))
+        self.splits[me] = (axis, value, self._split(points[below], left), self._split(points[~below], cells - left))
+        return me
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        node = np.full(len(points), self.root)
+        if self.splits:
+            axis, value, lower, upper = (np.array(c) for c in zip(*self.splits, strict=True))
+            while len(at := np.flatnonzero(node >= 0)):
+                k = node[at]
+                node[at] = np.where(points[at, axis[k]] < value[k], lower[k], upper[k])
+        return -1 - node
+
+
 class ProjectionTree:
     """kd-tree over projected rows, and the search with the stopping test."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, m: int, seed: int, leaf: int = LEAF):
-        self.ids, self.vectors, self.top = ids, vectors, top
-        self.axes = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, m))
-        rest = np.sqrt(np.maximum(top - (vectors * vectors).sum(axis=1), 0))
-        points = vectors @ self.axes[:-1] + rest[:, None] * self.axes[-1]
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, axes: np.ndarray, leaf: int = LEAF):
+        self.ids, self.vectors, self.top, self.axes = ids, vectors, top, axes
+        points = projected(vectors, top, axes)
         parts, leaves = [np.arange(len(ids))], []
         while parts:
             part = parts.pop()
@@ -72,33 +137,37 @@ class ProjectionTree:
         self.leaves = np.full((len(leaves), leaf), -1)
         for k, part in enumerate(leaves):
             self.leaves[k, : len(part)] = part
-        # leaf by leaf in single precision: what a first look at a leaf reads
-        self.coarse = np.where((self.leaves >= 0)[:, :, None], vectors[self.leaves], 0).astype(np.float32)
-        self.coarse_error = 2.0**-18 * float(np.sqrt(max(top, 1e-300)))  # times the query's norm
+        # leaf by leaf in single precision, the largest norm being 1: what a first look at a leaf reads
+        self.scale = 1 / math.sqrt(top) if top > 0 else 1.0
+        self.coarse = np.where((self.leaves >= 0)[:, :, None], vectors[self.leaves] * self.scale, 0).astype(np.float32)
+        self.coarse_error = (vectors.shape[1] + 8) * 2.0**-23  # of a look, for vectors of norm 1 at most
         self.low = np.array([points[p].min(axis=0) for p in leaves])
         self.high = np.array([points[p].max(axis=0) for p in leaves])
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, quantile: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores (queries x k) of the rows found, best first; id -1 where there are fewer."""
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, quantile: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores (queries x k) of the rows found, best first; id -1 where there are fewer.
+
+        ``bound``: for each query a score that k rows elsewhere reach; lower ones need not be found.
+        """
         n = len(queries)
-        at = queries @ self.axes[:-1]
-        gap = np.zeros((n, len(self.leaves)))
-        for axis in range(at.shape[1]):
-            x = at[:, axis, None]
-            gap += np.maximum(np.maximum(self.low[:, axis] - x, x - self.high[:, axis]), 0) ** 2
+        bound = np.full(n, -np.inf) if bound is None else bound
+        gap = gaps(projected(queries, self.top, self.axes, True), self.low, self.high)
         order = np.argsort(gap, axis=1, kind="stable")
         gap = np.take_along_axis(gap, order, axis=1)
-        norm = (queries * queries).sum(axis=1) + self.top
-        single = queries.astype(np.float32)
-        slack = self.coarse_error * np.sqrt((queries * queries).sum(axis=1))
+        size_of = np.sqrt((queries * queries).sum(axis=1))
+        norm = size_of**2 + self.top
+        single = (queries / size_of[:, None]).astype(np.float32)
+        unit = size_of / self.scale  # of a look
         best_id = np.full((n, k), -1)
         best = np.full((n, k), -np.inf)
         alive, step, size = np.arange(n), 0, max(1, 128 // self.leaves.shape[1])
+        alive = alive[gap[alive, 0] < quantile * np.maximum(norm - 2 * bound, 0)]
         while len(alive) and step < len(self.leaves):
             pick = order[alive, step : step + size]
             rows = self.leaves[pick].reshape(len(alive), -1)
             look = np.einsum("qlrd,qd->qlr", self.coarse[pick], single[alive]).reshape(len(alive), -1)
-            better = look >= (best[alive, -1] - slack[alive])[:, None]
+            least = np.maximum(best[alive, -1], bound[alive]) / unit[alive] - self.coarse_error
+            better = look >= least[:, None]
             better &= (rows >= 0) & (self.ids[rows] != ids[alive, None])
             at = np.flatnonzero(better.any(axis=1))
             if len(at):  # only these queries have something to verify and merge
@@ -116,56 +185,43 @@ class ProjectionTree:
                 best[q] = np.take_along_axis(all_score, pick, axis=1)
             step += size
             if step < len(self.leaves):
-                far = norm[alive] - 2 * best[alive, -1]  # infinite until k rows are found
+                far = norm[alive] - 2 * np.maximum(best[alive, -1], bound[alive])  # infinite until k rows are found
                 alive = alive[gap[alive, step] < quantile * np.maximum(far, 0)]
         best_id[np.isinf(best)] = -1
         return best_id, best
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v array<double>) of the vectors that take part.
+    """(id, v) of the vectors that take part; v holds floats where the vectors do, doubles else.
 
     Null ids, and vectors that are null, zero, or hold null or non-finite components, take no part; of
     vectors of several lengths only those of the most frequent length (the longer, on a tie) do.
     """
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    of = df.schema[vec_col].dataType
+    kind = "float" if isinstance(of, T.ArrayType) and isinstance(of.elementType, T.FloatType) else "double"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
     return rows.where(F.size("v") == (size["s"] if size else 0))
 
 
-def nearest(
-    df: DataFrame, query_where: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK,
-    m: int = PROJECTED, confidence: float = CONFIDENCE,
-) -> DataFrame:
-    """query_id, rank (from 1), id, score: for each query the k rows of largest inner product found.
+def _flat(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(rows, -1).astype(np.float64)
 
-    Queries are the rows of ``query_where``, candidates all rows but those with the query's
-    own id; ties go to the smaller id.  Rows that repeat an id are candidates each; a query that
-    repeats is searched once, with the vector that sorts first.  Fewer rows than k: all of them.
-    """
-    rows = usable(df, id_col, vec_col)
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    count, top = rows.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0.0))).first()
-    blocks = max(1, -(-count // block))
-    quantile = chi_square_quantile(confidence, m)
-    of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    indexed = rows.select(of.alias("block"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where(query_where).groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
-    dealt = indexed.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind", "id")
+
+def _searched(dealt: DataFrame, k: int, quantile: float, top: float, axes: np.ndarray) -> DataFrame:
+    """(query_id, id, score) over (block, kind, id, v, bound): in each block, rows (kind 0) come before queries (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids, vectors, tree = None, [], [], None
-        waiting_ids, waiting = [], []
+        waiting: list[tuple[np.ndarray, ...]] = []
 
         def asked_now() -> pa.RecordBatch:
-            nonlocal waiting_ids, waiting
-            q = np.concatenate(waiting_ids)
-            found, score = tree.search(q, np.concatenate(waiting), k, quantile)
-            waiting_ids, waiting = [], []
+            q, v, bound = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            waiting.clear()
+            found, score = tree.search(q, v, k, quantile, bound)
             ok = ~np.isinf(score)
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(q, ok.sum(axis=1))), pa.array(found[ok]), pa.array(score[ok])], names=["query_id", "id", "score"])
 
@@ -173,7 +229,7 @@ def nearest(
             if not b.num_rows:
                 continue
             block_no, kind, row_id = (b.column(i).to_numpy() for i in range(3))
-            flat = b.column(3).flatten().to_numpy().reshape(b.num_rows, -1)
+            flat, bound = _flat(b.column(3), b.num_rows), b.column(4).to_numpy()
             cuts = np.append(np.flatnonzero((block_no[1:] != block_no[:-1]) | (kind[1:] != kind[:-1])) + 1, b.num_rows).tolist()
             at = 0
             for z in cuts:
@@ -185,17 +241,115 @@ def nearest(
                     ids.append(row_id[at:z]), vectors.append(flat[at:z])
                 elif ids:
                     if tree is None:
-                        tree = ProjectionTree(np.concatenate(ids), np.concatenate(vectors), top, m, SEED)
+                        tree = ProjectionTree(np.concatenate(ids), np.concatenate(vectors), top, axes)
                         vectors = []
                     for s in range(at, z, TOGETHER):
-                        waiting_ids.append(row_id[s : min(z, s + TOGETHER)]), waiting.append(flat[s : min(z, s + TOGETHER)])
-                        if sum(map(len, waiting_ids)) >= TOGETHER:
+                        part = slice(s, min(z, s + TOGETHER))
+                        waiting.append((row_id[part], flat[part], bound[part]))
+                        if sum(len(w[0]) for w in waiting) >= TOGETHER:
                             yield asked_now()
                 at = z
         if waiting:
             yield asked_now()
 
-    found = dealt.mapInArrow(run, "query_id bigint, id bigint, score double")
+    return dealt.mapInArrow(run, "query_id bigint, id bigint, score double")
+
+
+def nearest(
+    df: DataFrame, query_where: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK,
+    m: int = PROJECTED, confidence: float = CONFIDENCE, sample: int = SAMPLE, cells: int = CELLS,
+) -> DataFrame:
+    """query_id, rank (from 1), id, score: for each query the k rows of largest inner product found.
+
+    Queries are the rows of ``query_where``, candidates all rows but those with the query's
+    own id; ties go to the smaller id.  Rows that repeat an id are candidates each; a query that
+    repeats is searched once, with the vector that sorts first.  Fewer rows than k: all of them.
+    Which vectors take no part is said at ``usable``.  An empty table gives an empty result.  Other columns of ``df``,
+    whatever their names, take no part.  The tree's upper part is fitted on the ``sample`` rows of smallest hash.
+    """
+    spark, rows = df.sparkSession, usable(df, id_col, vec_col)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    kind = rows.schema["v"].dataType.simpleString()
+    count, top, width = rows.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    quantile = chi_square_quantile(confidence, m)
+    axes = axes_of(width, m)
+    parts = min(cells, -(-count // block))
+    tree = Cells(np.zeros((0, m)), 1)
+    if parts > 1:
+        picked = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toArrow()  # ``sample`` rows at most
+        tree = Cells(projected(_flat(picked.column(0).combine_chunks(), picked.num_rows), top, axes), parts)
+        del picked
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell = tree.of(projected(_flat(b.column(1), b.num_rows), top, axes)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *b.columns], names=["cell", "id", "v"])
+
+    indexed = written(rows.select("id", "v").mapInArrow(placed, f"cell int, id bigint, v {kind}"))
+    names = [f"{n}{i}" for n in ("lo", "hi") for i in range(m)]
+
+    def boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell, at = b.column(0).to_numpy(), projected(_flat(b.column(1), b.num_rows), top, axes)
+                order = np.argsort(cell, kind="stable")
+                cut = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                ends = np.concatenate([f.reduceat(at[order], cut, axis=0) for f in (np.minimum, np.maximum)], axis=1)
+                cols = [pa.array(cell[order][cut]), pa.array(np.diff(np.append(cut, len(cell)))), *map(pa.array, np.ascontiguousarray(ends.T))]
+                yield pa.RecordBatch.from_arrays(cols, names=["cell", "n", *names])
+
+    of_batches = indexed.select("cell", "v").mapInArrow(boxed, "cell int, n bigint, " + ", ".join(f"{n} double" for n in names))
+    ends = [(F.min if n[:2] == "lo" else F.max)(n).alias(n) for n in names]
+    boxes = sorted(of_batches.groupBy("cell").agg(F.sum("n").alias("n"), *ends).collect())  # a row for each cell, ``cells`` at most
+    if not boxes:
+        return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
+    numbers = np.array([r["cell"] for r in boxes])
+    low, high = (np.array([[r[f"{n}{i}"] for i in range(m)] for r in boxes]) for n in ("lo", "hi"))
+    # blocks of a cell have numbers in a row
+    shares = np.array([-(-r["n"] // block) for r in boxes])
+    first = np.cumsum(shares) - shares
+    table = spark.createDataFrame(list(zip(numbers.tolist(), first.tolist(), shares.tolist(), strict=True)), "cell int, first bigint, share bigint")
+    block_of = F.col("first") + F.pmod(F.xxhash64("id"), F.col("share"))
+    held = indexed.join(F.broadcast(table), "cell").select(block_of.alias("block"), F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("bound"))
+    asked = rows.where(query_where).groupBy("id").agg(F.min("v").alias("v"))
+
+    def sent(home: bool):
+        """Queries with the blocks that they visit: those of the nearest cell, or of all others that the test leaves."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v, bound = _flat(b.column(1), b.num_rows), b.column(2).to_numpy()
+                gap = gaps(projected(v, top, axes, True), low, high)
+                go = np.zeros(gap.shape, bool)
+                go[np.arange(len(v)), gap.argmin(axis=1)] = True
+                if not home:
+                    far = (v * v).sum(axis=1) + top - 2 * bound
+                    go = ~go & (gap < quantile * np.maximum(far, 0)[:, None])
+                q, c = np.nonzero(go)
+                row = np.repeat(q, shares[c])
+                at = np.arange(len(row)) - np.repeat(np.cumsum(shares[c]) - shares[c], shares[c]) + np.repeat(first[c], shares[c])
+                take = pa.array(row)
+                cols = [pa.array(at), pa.array(np.ones(len(row), np.int32)), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "kind", "id", "v", "bound"])
+
+        return run
+
+    def searched(queries: DataFrame, home: bool) -> DataFrame:
+        visits = queries.mapInArrow(sent(home), f"block bigint, kind int, id bigint, v {kind}, bound double")
+        both = held.unionByName(visits)
+        # by number, not by its hash: each task has as many blocks as any other
+        dealt = both.repartitionByRange(min(int(shares.sum()), 100_000), "block") if shares.sum() > 1 else both.coalesce(1)
+        return _searched(dealt.sortWithinPartitions("block", "kind", "id"), k, quantile, top, axes)
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = searched(asked.withColumn("bound", F.lit(float("-inf"))), True)
+    if len(boxes) > 1:
+        found = written(found)
+        kth = ranked(found).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+        again = asked.join(kth, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        found = found.unionByName(searched(again, False))
+    return ranked(found).select("query_id", "rank", F.col("id").alias(id_col), "score")

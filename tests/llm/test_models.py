@@ -70,6 +70,43 @@ def test_a_vector_that_a_third_of_the_rows_share(spark, points):
     assert sum(len({v for _, v in got[q]} & set(want[q])) for q in want) / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("scale, width", [(1e-25, 16), (1e25, 16), (1.0, 300)])
+def test_recall_at_any_scale_and_width(spark, scale, width):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(700, width))
+    v[::7] *= 1e-3  # short ones beside long ones
+    rows = [(i, [float(np.float32(x * scale)) for x in r], 0) for i, r in enumerate(v)]
+    got = {}
+    for r in ann.nearest(vectors(spark, rows), F.col("id") % 20 == 0, k=20, block=150).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    want, by_id = brute(rows, 20), {i: np.array(x) for i, x, _ in rows}
+    assert set(got) == set(want) and all(len(got[q]) == 20 for q in got)
+    assert sum(len({x for x, _ in got[q].values()} & set(want[q])) for q in want) / (20 * len(want)) >= 0.9
+    assert all(s == pytest.approx(float(by_id[q] @ by_id[x]), rel=1e-9) for q in got for x, s in got[q].values())
+
+
+def test_recall_of_the_query_on_embeddings(spark, small):
+    """op1_ann itself, production parameters; and with cells of 200 rows in place of one block."""
+    frame = spark.read.parquet(f"{small}/embeddings.parquet")
+    rows = [(r["vec_id"], None if r["embedding"] is None else list(r["embedding"]), 0) for r in frame.collect()]
+    want = brute(rows, 20)
+    for found in (entries.op1_ann(spark, small), ann.nearest(frame, F.col("id") % 20 == 0, block=200)):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert set(got) == set(want)
+        assert sum(len(got[q] & set(want[q])) for q in want) / sum(map(len, want.values())) >= 0.95
+
+
+def test_cells_part_points_evenly():
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(5000, 4))
+    tree = ann.Cells(points, 13)
+    assert tree.cells == 13 and np.bincount(tree.of(points), minlength=13).min() > 250
+    same = ann.Cells(np.ones((100, 4)), 8)
+    assert same.cells == 1 and set(same.of(np.ones((5, 4)))) == {0}
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 2) == pytest.approx(-2 * math.log(0.05))
     assert ann.chi_square_quantile(0.9, 10) == pytest.approx(15.987, abs=1e-3)
