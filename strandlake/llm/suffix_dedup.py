@@ -6,8 +6,9 @@ Sorting every suffix of a corpus is not needed to find its long repeats.
    (by polynomial hash, leftmost on ties) as its anchor.  The choice depends on
    the window's bytes alone, so equal windows have equal anchors at equal places.
    Neighbouring windows with one anchor are one *context*.
-2. Contexts that are equal as a whole (BLAKE2b, 128 bits) repeat as a whole.  They are
-   found by counting, with map-side sums, however many there are.
+2. Contexts that are equal as a whole repeat as a whole.  They are found by counting, with map-side sums,
+   however many there are: by a cryptographic digest (BLAKE2b, 128 bits), for which no two different texts
+   are known, so that these are not compared byte by byte.
 3. The rest of an anchor's contexts are sorted twice as suffixes: by what follows the
    anchor, and by what precedes it, read backwards.  The sort is a mergesort whose
    comparisons find the common extension by binary search on prefix polynomial hashes;
@@ -31,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -440,8 +441,12 @@ def _with(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(*_keys(id_col, text_col))
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
     text = whole_text(text_col)
-    return df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    return [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text")]
 
 
 def merged(spans: list) -> list[list[int]]:
@@ -490,9 +495,10 @@ def repeat_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """All rows and columns, with the repeated bytes taken out of the text.
 
-    Only whole characters go: one that is only partly covered stays.  A null text stays null.
+    Only whole characters go: one that is only partly covered stays.  A null text stays null.  Other columns may have
+    any name and come back as they are.
     """
-    rows = df.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(whole_text(text_col)), "_text": whole_text(text_col)})
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *_keys(id_col, text_col))
     spans = repeated_intervals(rows.select("_id", "_th", "_text"), length, gram, group).groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     @F.pandas_udf(T.StringType())
@@ -516,4 +522,5 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(out, dtype=object)
 
     joined = _with(rows, spans, "left").withColumn("_kept", kept("_text", "spans"))
-    return joined.select(*[F.when(F.col(text_col).isNotNull(), F.col("_kept")).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    own = F.col("_row")
+    return joined.select(*[F.when(own[c].isNotNull(), F.col("_kept")).alias(c) if c == text_col else own[c].alias(c) for c in df.columns])

@@ -25,6 +25,20 @@ def test_exact_groups(docs, texts):
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == want
 
 
+def test_exact_groups_with_and_without_hot_texts(spark, monkeypatch):
+    """A third of the rows hold one text; HOT decides only how winners travel."""
+    data = [(i, "hot" if i % 3 == 0 else f"t{i % 40}" if i % 3 == 1 else f"own {i}") for i in range(600)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string").repartition(5)
+    groups = {}
+    for i, t in data:
+        groups.setdefault(t, []).append(i)
+    want = {(i, max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t in data}
+    for hot in (1, 10, 4096):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        got = exact_dedup.exact_groups(frame).collect()
+        assert len(got) == 600 and {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == want
+
+
 def test_exact_dedup_keeps_rows_whole(docs, texts):
     got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs).collect()}
     last = {}
@@ -151,7 +165,7 @@ def test_near_dedup_against_brute_force(docs, texts):
 def test_wide_links_are_complete_within_the_sure_bits(spark, most, monkeypatch):
     """For several numbers of signatures, that is for several choices of partitions."""
     rng = random.Random(most)
-    for n, cost in ((300, 1.0), (300, 1e-6), (300, 1e4)):
+    for n, cost in ((150, 1e-6), (150, 1e4)):
         rows = []
         for k in range(n):
             v = rng.getrandbits(256)
@@ -283,6 +297,17 @@ def test_suffix_dedup_keeps_rows_and_characters(spark, docs, texts):
     assert [r["text"] for r in suffix_dedup.suffix_dedup(same, length=60, gram=16).orderBy("doc_id").collect()] == ["", "x"]
 
 
+def test_suffix_dedup_leaves_columns_of_any_name_alone(spark):
+    text = "".join(random.Random(6).choice("abcdefgh") for _ in range(200))
+    rows = [(k, text + str(k), *(f"{n}{k}" for n in range(7))) for k in range(3)]
+    names = ["_id", "_th", "_text", "_mid", "_kept", "spans", "_row"]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, " + ", ".join(f"{n} string" for n in names))
+    got = suffix_dedup.suffix_dedup(frame, length=60, gram=16)
+    assert got.columns == frame.columns
+    assert sorted(got.collect()) == [(k, str(k), *(f"{n}{k}" for n in range(7))) for k in range(3)]
+    assert suffix_dedup.repeat_report(frame, length=60, gram=16).count() == 3
+
+
 def test_repeated_rows_are_copies_of_each_other(spark):
     text = "".join(random.Random(4).choice("abcdefgh") for _ in range(500))
     rows = spark.createDataFrame([(1, text), (1, text), (None, text[:450]), (None, None)], "doc_id bigint, text string")
