@@ -85,6 +85,12 @@ def comparable_rows(packed: DataFrame, gap: int) -> DataFrame:
     return column_pairs(packed).groupBy("pos_i", "pos_j").agg(F.sum(both).alias("n"))
 
 
+def pair_gap_share(packed: DataFrame, gap: int) -> DataFrame:
+    """pos_i, pos_j, gap_fraction: share of rows with a gap in both columns, which is the gap of a pair."""
+    both = ((F.col("a") == gap) & (F.col("b") == gap)).cast("int")
+    return column_pairs(packed).groupBy("pos_i", "pos_j").agg(F.avg(both).alias("gap_fraction"))
+
+
 def consensus(long: DataFrame) -> DataFrame:
     """Most frequent code of each column, the lowest on a tie."""
     counted = long.groupBy("pos", "code").agg(F.count("*").alias("cnt"))

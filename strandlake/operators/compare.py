@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .pairs import cut, running
+
 
 def compare_methods(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], names: tuple[str, str]) -> DataFrame:
     """Rows that both have, each value with both names as suffix, and its difference."""
@@ -64,7 +66,8 @@ def top_labels(rows: DataFrame, key: str, order: list[Column], label: str, n: in
 def dense_positions(rows: DataFrame, first: str, second: str) -> DataFrame:
     """Both columns re-numbered by the sorted union of their values."""
     used = rows.select(F.explode(F.array(first, second)).alias("v")).distinct()
-    number = used.withColumn("n", F.dense_rank().over(Window.orderBy("v")) - 1)  # distinct positions
+    numbered = running(used.withColumn("_one", F.lit(1)), "v", [], {"n": "_one"})
+    number = numbered.select("v", (F.col("n") - 1).cast("int").alias("n"))
     a = number.select(F.col("v").alias(first), F.col("n").alias(f"{first}_index"))
     b = number.select(F.col("v").alias(second), F.col("n").alias(f"{second}_index"))
     return rows.join(a, first).join(b, second)
@@ -97,14 +100,12 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     now = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node")
-    if links.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        links.sparkSession.sparkContext.setCheckpointDir(links.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    now = now.checkpoint()
+    now = cut(now)
     for _ in range(max_rounds):
         near = both.join(now.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
         step = now.join(near, now["node"] == near["a"]).select("node", F.least("root", "r").alias("root"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = step.join(jump, "root").select("node", F.least("root", "far").alias("root")).checkpoint()
+        after = cut(step.join(jump, "root").select("node", F.least("root", "far").alias("root")))
         moved = after.join(now.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
         now = after
         if moved:

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pairs import once, tiled
+
 
 def row_pairs(packed: DataFrame, *by: str) -> DataFrame:
     """(by..., i, j, a, b): all rows i < j with their packed codes.
 
-    With ``by`` (an alignment id) this is an equi-join; rows of one alignment only meet each other.
+    Rows meet in tiles of two blocks of rows each, so that the pairs of one alignment are spread over many tasks
+    and nothing is broadcast.  With ``by`` (an alignment id) rows of one alignment only meet each other.
     """
-    key = list(by) or ["_all"]
-    rows = packed if by else packed.withColumn("_all", F.lit(0))
-    left = rows.select(*key, F.col("seq_idx").alias("i"), F.col("codes").alias("a"))
-    right = rows.select(*key, F.col("seq_idx").alias("j"), F.col("codes").alias("b"))
-    return left.join(right, key).where("i < j").select(*by, "i", "j", "a", "b")
+    left, right, on = tiled(packed.select(*by, "seq_idx", "codes"), "seq_idx", list(by))
+    left = left.withColumnsRenamed({"seq_idx": "x", "codes": "u"})
+    right = right.withColumnsRenamed({"seq_idx": "y", "codes": "v"})
+    met = left.join(right, on).where(once("x", "y"))
+    first = F.col("x") < F.col("y")
+    codes = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    return met.select(*by, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), codes("u", "v").alias("a"), codes("v", "u").alias("b"))
 
 
 def _count(cells: Column) -> Column:
@@ -71,6 +76,19 @@ def trace_similarity(packed: DataFrame, scores: list[list[float]], gap: int, *by
     return pairs.select(*by, "i", "j", F.try_divide(same, shorter).alias("identity"), (1 - F.try_divide(alike, shorter)).alias("pseudo_distance"))
 
 
+def distances(packed: DataFrame, model: str = "identity", scores: list[list[float]] | None = None, gap: int | None = None) -> DataFrame:
+    """i, j, d by model: identity, substitution (over a score table) or trace (its pseudo distance)."""
+    if model == "identity":
+        return identity_distance(packed)
+    if model not in ("substitution", "trace"):
+        raise ValueError(f"no distance model {model!r}: identity, substitution or trace")
+    if scores is None or gap is None:
+        raise ValueError(f"the model {model!r} needs a score table and the code of the gap")
+    if model == "substitution":
+        return substitution_distance(packed, scores, gap)
+    return trace_similarity(packed, scores, gap).select("i", "j", F.coalesce("pseudo_distance", F.lit(1.0)).alias("d"))
+
+
 def effective_size(distances: DataFrame, rows: DataFrame, threshold: float = 0.62) -> DataFrame:
     """One row: sum over rows of 1 / (rows with identity >= threshold, itself included)."""
     near = distances.where(F.round(1 - F.col("d"), 12) >= threshold)

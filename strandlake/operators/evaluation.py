@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .pairs import running
+
 #: The sets of separation categories that are evaluated together.
 CATEGORY_SETS = {
     "Any": ["Neighbors", "Short", "Medium", "Long"],
@@ -58,12 +60,13 @@ def auprc(rows: DataFrame, by: list[str], score: str = "score", truth: str = "tr
     return parts.groupBy(*by).agg(F.sum("a").alias("auprc"))
 
 
-def top_scores(rows: DataFrame, size: Column, order: list[Column], truth: str = "truth") -> DataFrame:
-    """One row: n, tp, precision, recall, f1 of the first ``size`` distinct places; undefined is 0."""
-    place = F.dense_rank().over(Window.orderBy(*order))
-    marked = rows.withColumn("_top", place <= size)
+def top_scores(rows: DataFrame, size: int, order: Column, truth: str = "truth", descending: bool = True) -> DataFrame:
+    """One row: n, tp, precision, recall, f1 of the rows with the first ``size`` distinct values; undefined is 0."""
     t = F.col(truth).cast("int")
-    got = marked.agg(F.count_if("_top").alias("n"), F.sum(F.when(F.col("_top"), t).otherwise(0)).alias("tp"), F.sum(t).alias("p"))
+    # by distinct value first: the window sees a row for each of the first places only
+    at = rows.groupBy(order.alias("_v")).agg(F.count("*").alias("n"), F.sum(t).alias("tp"))
+    first = at.orderBy(F.desc("_v") if descending else F.asc("_v")).limit(size)
+    got = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("tp").alias("tp")).crossJoin(F.broadcast(rows.agg(F.sum(t).alias("p"))))  # one row each
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     precision, recall = zero(F.try_divide("tp", "n")), zero(F.try_divide("tp", "p"))
     return got.select("n", "tp", precision.alias("precision"), recall.alias("recall"), zero(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"))
@@ -71,8 +74,8 @@ def top_scores(rows: DataFrame, size: Column, order: list[Column], truth: str =
 
 def log_factorials(spark, most: int) -> DataFrame:
     """(k, lf) for k = 0..most: running sums of ln k."""
-    numbers = spark.range(0, most + 1).withColumnRenamed("id", "k")
-    return numbers.withColumn("lf", F.sum(F.ln(F.greatest(F.col("k"), F.lit(1)))).over(Window.orderBy("k")))
+    numbers = spark.range(0, most + 1).select(F.col("id").alias("k"), F.ln(F.greatest(F.col("id"), F.lit(1))).alias("l"))
+    return running(numbers, "k", [], {"lf": "l"}).select("k", "lf")
 
 
 def hypergeometric_sf(counts: DataFrame, most: int) -> DataFrame:

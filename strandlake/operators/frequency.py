@@ -5,11 +5,16 @@ All tables have a column ``node``; a table of one group has one node.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import metrics
 from .columns import column_pairs
+from .distance import row_pairs
 
 
 def depths(packed: DataFrame) -> DataFrame:
@@ -35,6 +40,39 @@ def merge(*tables: DataFrame) -> DataFrame:
     return out.groupBy(*[c for c in tables[0].columns if c != "cnt"]).agg(F.sum("cnt").alias("cnt"))
 
 
+def with_depth(counts: DataFrame, depth: float) -> DataFrame:
+    """Counts with a given depth (not negative) in place of their sum, and frequencies by it; depth 0 gives nulls."""
+    if depth < 0:
+        raise ValueError("a depth is not negative")
+    return counts.withColumn("depth", F.lit(float(depth))).withColumn("frequency", F.try_divide("cnt", "depth"))
+
+
+def count_matrix(counts: DataFrame, letters: list[int], frequency: bool = False) -> DataFrame:
+    """A row for each position and a column c<code> for each code: counts, or their share of the position's depth."""
+    cells = counts.withColumn("depth", F.sum("cnt").over(Window.partitionBy("pos"))) if frequency else counts
+    value = F.col("cnt") / F.col("depth") if frequency else F.col("cnt")
+    each = [F.coalesce(F.sum(F.when(F.col("code") == k, value)), F.lit(0)).alias(f"c{k}") for k in letters]
+    return cells.groupBy("pos").agg(*each)
+
+
+def triangle(status: DataFrame, rows: DataFrame) -> DataFrame:
+    """The statuses of pairs s < t with both ends among ``rows`` (seq_idx)."""
+    ends = rows.select("seq_idx").distinct()
+    inside = status.join(ends.withColumnRenamed("seq_idx", "s"), "s", "left_semi")
+    return inside.join(ends.withColumnRenamed("seq_idx", "t"), "t", "left_semi")
+
+
+def rectangle(status: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """The statuses of pairs s < t with one end in each of two sets of rows (seq_idx)."""
+    a, b = (x.select("seq_idx").distinct() for x in (first, second))
+
+    def ends(p: DataFrame, q: DataFrame) -> DataFrame:
+        some = status.join(p.withColumnRenamed("seq_idx", "s"), "s", "left_semi")
+        return some.join(q.withColumnRenamed("seq_idx", "t"), "t", "left_semi")
+
+    return ends(a, b).unionByName(ends(b, a)).distinct()
+
+
 def with_frequency(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Add depth and frequency: the counts of one position sum to the depth."""
     total = counts.groupBy(*keys).agg(F.sum("cnt").alias("depth"))
@@ -102,6 +140,12 @@ def product_corrected(mi: DataFrame, threshold: float | None = None) -> DataFram
 # -- transitions between sequences ------------------------------------------------------------
 
 
+@F.pandas_udf(T.LongType())
+def _earlier(rows, later):
+    """For two rising arrays, how many pairs have the first before the second: each later row is looked up."""
+    return pd.Series([int(np.searchsorted(s, t).sum()) for s, t in zip(rows, later, strict=True)], dtype="int64")
+
+
 def pair_transitions(packed: DataFrame) -> DataFrame:
     """node, pos_i, pos_j, is_match, cnt, of the transitions between rows s < t of a node.
 
@@ -109,15 +153,14 @@ def pair_transitions(packed: DataFrame) -> DataFrame:
     neither does, else a mismatch; its text is ordered, so AB -> CD is not CD -> AB.
 
     Rows are first counted by what stands in the two columns and by order: with the distinct
-    row numbers of each (a, b) as a sorted array, ordered pairs of two such groups are counted,
-    so the step grows with distinct pairs of characters, not with pairs of rows alone.
+    row numbers of each (a, b) as a sorted array, ordered pairs of two such groups are counted by looking
+    each later row up among the earlier ones: n log n for each pair of characters, not all pairs of rows.
     """
     places = column_pairs(packed, "node", "seq_idx").groupBy("node", "pos_i", "pos_j", "a", "b").agg(F.array_sort(F.collect_list("seq_idx")).alias("rows"))
     keys = ["node", "pos_i", "pos_j"]
     left, right = places, places.select(*keys, F.col("a").alias("c"), F.col("b").alias("d"), F.col("rows").alias("later"))
     met = left.join(right, keys)
-    # ordered pairs: for each later row, the number of earlier rows before it
-    n = F.aggregate(F.transform("later", lambda t: F.size(F.filter("rows", lambda s: s < t))), F.lit(0), lambda x, y: x + y)
+    n = _earlier(F.col("rows"), F.col("later"))
     is_match = (F.col("a") != F.col("c")) == (F.col("b") != F.col("d"))
     return met.select(*keys, "a", "b", "c", "d", is_match.alias("is_match"), n.cast("long").alias("cnt")).where("cnt > 0")
 
@@ -151,9 +194,7 @@ def transition_scores(packed: DataFrame) -> DataFrame:
 
 def match_status(packed: DataFrame) -> DataFrame:
     """node, pos, s, t, status (1 or -1) and the two characters, for all rows s < t of a node."""
-    left = packed.select("node", F.col("seq_idx").alias("s"), F.col("codes").alias("a"))
-    right = packed.select("node", F.col("seq_idx").alias("t"), F.col("codes").alias("b"))
-    met = left.join(right, "node").where("s < t")
+    met = row_pairs(packed, "node").withColumnsRenamed({"i": "s", "j": "t"})
     cells = met.select("node", "s", "t", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "c"))
     status = F.when(F.col("c.a") == F.col("c.b"), 1).otherwise(-1)
     return cells.select("node", "pos", "s", "t", status.alias("status"), F.col("c.a").alias("from_code"), F.col("c.b").alias("to_code"))

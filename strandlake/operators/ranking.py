@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .pairs import running
+
 
 def ranked(scores: DataFrame, order: str, digits: int = 9, by: list[str] | None = None) -> DataFrame:
     """Add rank (dense, from 1) and coverage (share of rows that rank as well or better).
@@ -17,17 +19,13 @@ def ranked(scores: DataFrame, order: str, digits: int = 9, by: list[str] | None
     if order not in ("min", "max"):
         raise ValueError(f"order must be 'min' or 'max', not {order!r}")
     rounded = scores.withColumn("score", F.round("score", digits))
-    # Ranks go over the distinct scores, which are counted first: only those meet in one window.
+    # Ranks go over the distinct scores, which are counted first, in ranges of scores.
     keys = by or []
     counts = rounded.groupBy(*keys, "score").agg(F.count("*").alias("_n"))
-    first = F.asc("score") if order == "min" else F.desc("score")
-    window = Window.partitionBy(*keys).orderBy(first)
-    places = counts.select(
-        *keys,
-        F.col("score").alias("_score"),
-        F.dense_rank().over(window).alias("rank"),
-        (F.sum("_n").over(window) / F.sum("_n").over(Window.partitionBy(*keys))).alias("coverage"),
-    )
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    summed = running(counts.withColumn("_one", F.lit(1)), "score", keys, {"rank": "_one", "_upto": "_n"}, order == "max")
+    whole = summed.join(totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_all"), [summed[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys] or F.lit(True))
+    places = whole.select(*keys, F.col("score").alias("_score"), F.col("rank").cast("int").alias("rank"), (F.col("_upto") / F.col("_all")).alias("coverage"))
     on = [rounded["score"].eqNullSafe(places["_score"]), *[rounded[k].eqNullSafe(places[k]) for k in keys]]
     return rounded.join(places, on).select(rounded["*"], places["rank"], places["coverage"])
 

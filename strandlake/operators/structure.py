@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .pairs import once, tiled
+
 #: From so many positions apart, a pair is short, medium or long range.
 SHORT, MEDIUM, LONG = 6, 12, 24
 #: Distance below which two residues touch in the clustering score.
@@ -30,11 +32,26 @@ def atoms_for(atoms: DataFrame, method: str = "Any") -> DataFrame:
 def residue_distances(atoms: DataFrame, method: str = "Any") -> DataFrame:
     """chain, res_i < res_j, distance: the least distance of their atoms."""
     use = atoms_for(atoms, method).select("chain", "resno", "x", "y", "z")
-    a = use.select("chain", F.col("resno").alias("res_i"), F.struct("x", "y", "z").alias("p"))
-    b = use.select("chain", F.col("resno").alias("res_j"), F.struct("x", "y", "z").alias("q"))
-    square = sum((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in "xyz")
-    met = a.join(b, "chain").where("res_i < res_j")
-    return met.groupBy("chain", "res_i", "res_j").agg(F.sqrt(F.min(square)).alias("distance"))
+    use = use.groupBy("chain", "resno").agg(F.collect_list(F.struct("x", "y", "z")).alias("p"))  # the atoms of one residue
+    a, b, on = tiled(use, "resno", ["chain"], 128)
+    a = a.withColumnRenamed("resno", "r")
+    b = b.withColumnsRenamed({"resno": "s", "p": "q"})
+    met = a.join(b, on).where(once("r", "s"))
+    square = F.array_min(F.flatten(F.transform("p", lambda u: F.transform("q", lambda v: sum((u[c] - v[c]) * (u[c] - v[c]) for c in "xyz")))))
+    return met.select("chain", F.least("r", "s").alias("res_i"), F.greatest("r", "s").alias("res_j"), F.sqrt(square).alias("distance"))
+
+
+def near_residues(atoms: DataFrame, cutoff: float, method: str = "Any") -> DataFrame:
+    """chain, res_i < res_j, distance of the residues within ``cutoff``: only atoms of neighbouring cells of a grid meet."""
+    use = atoms_for(atoms, method).select("chain", "resno", "x", "y", "z")
+    cell = [F.floor(F.col(c) / cutoff).alias(f"c{c}") for c in "xyz"]
+    a = use.select("chain", F.col("resno").alias("res_i"), *[F.col(c).alias(f"p{c}") for c in "xyz"], *cell)
+    around = F.array(*[F.struct(*[F.lit(s).alias(c) for c, s in zip("xyz", (i, j, k), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    b = use.select("chain", F.col("resno").alias("res_j"), "x", "y", "z", *cell, F.explode(around).alias("s"))
+    b = b.select("chain", "res_j", "x", "y", "z", *[(F.col(f"c{c}") + F.col(f"s.{c}")).alias(f"c{c}") for c in "xyz"])
+    square = sum((F.col(f"p{c}") - F.col(c)) * (F.col(f"p{c}") - F.col(c)) for c in "xyz")
+    met = a.join(b, ["chain", "cx", "cy", "cz"]).where("res_i < res_j").withColumn("d", F.sqrt(square)).where(F.col("d") <= cutoff)
+    return met.groupBy("chain", "res_i", "res_j").agg(F.min("d").alias("distance"))
 
 
 def separation_category(i: Column, j: Column) -> Column:
@@ -49,9 +66,13 @@ def pair_frame(positions: DataFrame, mapped: DataFrame, distances: DataFrame, cu
     res_i, res_j, distance).  Unmapped pairs have null distance and no contact.
     """
     known = positions.join(mapped, ["query", "pos"], "left")
-    a = known.select("query", F.col("pos").alias("pos_i"), F.col("aa").alias("aa_i"), F.col("resno").alias("res_i"))
-    b = known.select("query", F.col("pos").alias("pos_j"), F.col("aa").alias("aa_j"), F.col("resno").alias("res_j"))
-    pairs = a.join(b, "query").where("pos_i < pos_j")
+    a, b, on = tiled(known.select("query", "pos", "aa", "resno"), "pos", ["query"])
+    spot = lambda t, n: t.select(*on, F.col("pos").alias(f"_k{n}"), F.struct("pos", "aa", "resno").alias(n))
+    met = spot(a, "u").join(spot(b, "v"), on).where(once("_ku", "_kv"))
+    low, high = F.least("u", "v"), F.greatest("u", "v")  # by position, which comes first in them
+    pairs = met.select("query", low.alias("u"), high.alias("v")).select(
+        "query", *[F.col(f"{s}.{c}").alias(f"{n}_{e}") for s, e in (("u", "i"), ("v", "j")) for c, n in (("pos", "pos"), ("aa", "aa"), ("resno", "res"))]
+    )
     far = distances.select("query", F.col("res_i").alias("_r"), F.col("res_j").alias("_s"), "distance")
     low, high = F.least("res_i", "res_j"), F.greatest("res_i", "res_j")
     on = (pairs["query"] == far["query"]) & (low == far["_r"]) & (high == far["_s"])

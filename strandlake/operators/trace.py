@@ -34,7 +34,7 @@ def combine(scores: DataFrame, assigned: DataFrame, metric: str) -> DataFrame:
         out = scores.select(*keys).distinct().join(hits, keys, "left").fillna(0.0, ["score"])
     else:
         weights = assigned.groupBy("node").agg(F.sum(1 / F.col("rank")).alias("weight"))
-        out = scores.join(F.broadcast(weights), "node").groupBy(*keys).agg(F.sum(F.col("score") * F.col("weight")).alias("score"))  # one row per node of a tree
+        out = scores.join(weights, "node").groupBy(*keys).agg(F.sum(F.col("score") * F.col("weight")).alias("score"))
     return out.withColumn("score", F.col("score") + 1) if metrics.direction(metric) == "min" else out
 
 

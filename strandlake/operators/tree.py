@@ -1,27 +1,36 @@
 """Trees: agglomeration, rank intervals, closures, traversals, annotation, Newick.
 
 Merging is sequential by nature, so trees are built in numpy on the driver from one
-alignment's distances (a few thousand rows); everything on a finished tree is a DataFrame.
+alignment's distances (MOST_LEAVES rows at most); everything on a finished tree is a DataFrame.
 Inner nodes are numbered so that rank r splits node r: the root is Inner1, and parents
 have smaller numbers than their children.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TREE_NODE
+from .pairs import cut
 
 #: node: (parent, inner number, leaf?, branch length)
 Node = tuple[str, str | None, int | None, bool, float]
 
 
-def square(pairs: list[tuple[int, int, float]], ids: list[int]) -> np.ndarray:
+#: Rows of an alignment that a tree is made of, at most: the driver holds their distances.
+MOST_LEAVES = 20_000
+
+
+def square(pairs: Iterable[tuple[int, int, float]], ids: list[int]) -> np.ndarray:
+    if len(ids) > MOST_LEAVES:
+        raise ValueError(f"a tree of {len(ids)} rows is too large: its distances are merged on the driver, {MOST_LEAVES} rows at most")
     at = {r: k for k, r in enumerate(ids)}
     out = np.zeros((len(ids), len(ids)))
     for i, j, d in pairs:
@@ -29,54 +38,81 @@ def square(pairs: list[tuple[int, int, float]], ids: list[int]) -> np.ndarray:
     return out
 
 
+class _Nearest:
+    """The least distance of each row to the rows before it (or after it), kept up while rows are merged."""
+
+    def __init__(self, work: np.ndarray, before: bool):
+        self.work, self.before = work, before
+        self.least = np.array([self._of(k) for k in range(len(work))])
+
+    def _side(self, k: int) -> np.ndarray:
+        return self.work[k, :k] if self.before else self.work[k, k + 1 :]
+
+    def _of(self, k: int) -> float:
+        side = self._side(k)
+        return side.min() if side.size else np.inf
+
+    def changed(self, i: int, j: int, old_i: np.ndarray, old_j: np.ndarray) -> None:
+        """Row i has new distances and row j is gone; ``old_i`` and ``old_j`` are what they were."""
+        held = np.minimum(old_i, old_j) <= self.least  # may have been the least
+        self.least = np.where(held, self.least, np.minimum(self.least, np.where(self._sees(i), self.work[i], np.inf)))
+        for k in np.flatnonzero(held & np.isfinite(self.least)).tolist():
+            self.least[k] = self._of(k)
+        self.least[i], self.least[j] = self._of(i), np.inf
+
+    def _sees(self, i: int) -> np.ndarray:
+        """Rows on whose side row i stands."""
+        rows = np.arange(len(self.work))
+        return rows > i if self.before else rows < i
+
+
 def agglomerate(d: np.ndarray, names: list[str], method: str = "upgma_first") -> list[Node]:
     """Join the nearest two clusters until one is left.
 
     upgma_first: distances averaged by size; of equal minima the lowest column, then row.
     wpgma_last: plain average of the two rows; of equal minima the last in row order.
     ward, complete, average: Lance-Williams updates, first minimum.
+
+    Each row's least distance is kept, so a step looks at one number for each row, and again at those rows
+    whose nearest cluster has been merged.
     """
     n = len(names)
     work = np.array(d, float)
     if method == "ward":
         work = work**2
+    np.fill_diagonal(work, np.inf)
     size, height, label = np.ones(n), np.zeros(n), list(names)
-    active = list(range(n))
     joins: list[tuple[str, str, str, float, float]] = []
+    near = _Nearest(work, method != "upgma_first")
+    alive = np.ones(n, bool)
     for step in range(n - 1):
-        sub = work[np.ix_(active, active)].copy()
-        low = np.tril_indices(len(active), -1)
-        values = sub[low]
-        least = values.min()
-        at = np.flatnonzero(np.isclose(values, least, rtol=0, atol=1e-12))
-        if method == "wpgma_last":
-            k = at[-1]
-        elif method == "upgma_first":
-            k = min(at, key=lambda t: (low[1][t], low[0][t]))
-        else:
-            k = at[0]
-        i, j = active[low[1][k]], active[low[0][k]]
+        least = near.least.min()
+        hits = np.flatnonzero(near.least <= least + 1e-12)
+        a = int(hits[-1] if method == "wpgma_last" else hits[0])
+        side = np.flatnonzero(near._side(a) <= least + 1e-12) + (0 if near.before else a + 1)
+        b = int(side[-1] if method == "wpgma_last" else side[0])
+        i, j = min(a, b), max(a, b)
+        least = work[i, j]
         top = (np.sqrt(least) if method == "ward" else least) / 2
         name = f"Inner{n - 1 - step}"
         joins.append((name, label[i], label[j], max(top - height[i], 0.0), max(top - height[j], 0.0)))
-        for other in active:
-            if other in (i, j):
-                continue
-            a, b = work[i, other], work[j, other]
-            if method == "wpgma_last":
-                new = (a + b) / 2
-            elif method == "complete":
-                new = max(a, b)
-            elif method == "ward":
-                s = size[i] + size[j] + size[other]
-                new = ((size[i] + size[other]) * a + (size[j] + size[other]) * b - size[other] * least) / s
-            else:
-                new = (size[i] * a + size[j] * b) / (size[i] + size[j])
-            work[i, other] = work[other, i] = new
+        x, y = work[i].copy(), work[j].copy()
+        if method == "wpgma_last":
+            new = (x + y) / 2
+        elif method == "complete":
+            new = np.maximum(x, y)
+        elif method == "ward":
+            new = ((size[i] + size) * x + (size[j] + size) * y - size * least) / (size[i] + size[j] + size)
+        else:
+            new = (size[i] * x + size[j] * y) / (size[i] + size[j])
+        alive[j] = False
+        new[~alive] = new[i] = np.inf
+        work[i], work[:, i] = new, new
+        work[j], work[:, j] = np.inf, np.inf
+        near.changed(i, j, x, y)
         size[i] += size[j]
         height[i], label[i] = top, name
-        active.remove(j)
-    nodes: list[Node] = [(label[active[0]], None, 1 if n > 1 else None, n == 1, 0.0)] if n else []
+    nodes: list[Node] = [(label[0], None, 1 if n > 1 else None, n == 1, 0.0)] if n else []
     for name, a, b, la, lb in reversed(joins):
         for child, length in ((a, la), (b, lb)):
             inner = int(child[5:]) if re.fullmatch(r"Inner\d+", child) and child not in names else None
@@ -147,19 +183,23 @@ def to_newick(nodes: list[Node]) -> str:
 
 
 def closure(tree: DataFrame) -> DataFrame:
-    """(ancestor, node, steps, length): every node with each node above it and itself, by a recursive query."""
-    tree.createOrReplaceTempView("_tree_nodes")
-    return tree.sparkSession.sql(
-        """
-        WITH RECURSIVE up(ancestor, node, steps, length) AS (
-            SELECT node, node, 0, CAST(0 AS DOUBLE) FROM _tree_nodes
-            UNION ALL
-            SELECT t.parent, u.node, u.steps + 1, u.length + t.branch_length
-            FROM up u JOIN _tree_nodes t ON u.ancestor = t.node WHERE t.parent IS NOT NULL
-        )
-        SELECT * FROM up
-        """
-    )
+    """(ancestor, node, steps, length): every node with each node above it and itself.
+
+    By doubling: with jumps of 1, 2, 4, ... steps, a tree of any depth takes as many rounds as the logarithm of its
+    depth.  Every round is written to the checkpoint folder.  A loop among the parents raises an error.
+    """
+    jump = tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("to"), F.lit(1).alias("steps"), F.col("branch_length").cast("double").alias("length"))
+    jump = cut(jump)
+    above = tree.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("steps"), F.lit(0.0).alias("length"))
+    total = lambda a, b: (F.col(a) + F.col(b)).alias(a)
+    for _ in range(40):
+        if jump.isEmpty():
+            return above
+        on = jump.select(F.col("node").alias("ancestor"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("length").alias("_length"))
+        further = above.join(on, "ancestor").select(F.col("_to").alias("ancestor"), "node", total("steps", "_steps"), total("length", "_length"))
+        above = cut(above.unionByName(further))
+        jump = cut(jump.join(on.withColumnRenamed("ancestor", "to"), "to").select("node", F.col("_to").alias("to"), total("steps", "_steps"), total("length", "_length")))
+    raise ValueError("the parents of a tree form a loop")
 
 
 def leaves_under(tree: DataFrame) -> DataFrame:
@@ -219,3 +259,41 @@ def annotate(tree: DataFrame, labels: DataFrame) -> DataFrame:
     best = above.join(known, "ancestor").groupBy("leaf").agg(F.min_by("found", "steps").alias("found"))
     text = F.when(F.size("found") == 1, F.col("found")[0]).otherwise(F.concat(F.lit("AMBIGUOUS:"), F.array_join("found", ",")))
     return best.select("leaf", text.alias("annotation"))
+
+
+def bottom_up(tree: DataFrame) -> DataFrame:
+    """node, distance from the root, place: from the farthest to the nearest, a parent only after its first child.
+
+    Of the nodes that may come next (all leaves, and parents of what has come) the farthest comes, by name on a tie.
+    """
+    nodes = {r["node"]: r for r in tree.collect()}  # one tree, as for agglomeration
+    if len(nodes) > 2 * MOST_LEAVES:
+        raise ValueError(f"a traversal holds a whole tree: {2 * MOST_LEAVES} nodes at most")
+    far: dict[str, float] = {}
+
+    def distance(name: str) -> float:
+        way = []
+        while name not in far and nodes[name]["parent"] is not None:
+            way.append(name)
+            name = nodes[name]["parent"]
+        total = far.setdefault(name, 0.0)
+        for x in reversed(way):
+            total = far[x] = total + float(nodes[x]["branch_length"])
+        return total
+
+    heap = [(-distance(n), n) for n, r in nodes.items() if r["is_leaf"]]
+    heapq.heapify(heap)
+    seen, order = {n for _, n in heap}, []
+    while heap:
+        _, name = heapq.heappop(heap)
+        order.append((name, round(far[name], 9), len(order) + 1))
+        up = nodes[name]["parent"]
+        if up is not None and up not in seen:
+            seen.add(up)
+            heapq.heappush(heap, (-distance(up), up))
+    return tree.sparkSession.createDataFrame(order, "node string, distance double, place int")
+
+
+def by_rank(tree: DataFrame) -> DataFrame:
+    """rank, node: the nodes that are the groups of each rank, one more at each rank."""
+    return assignment(tree).select("rank", "node")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..functions.alphabets import letters_of
 from ..operators import columns, distance, trace, tree
 
 
@@ -21,12 +22,19 @@ class Settings:
     tree_method: str = "upgma_first"
     ranks: tuple[int, ...] | None = None
     distance_model: str = "identity"
+    #: Score table of the models that need one: a row and a column for each code.
+    scores: tuple[tuple[float, ...], ...] | None = None
     polymer: str = "Protein"
 
     def __post_init__(self) -> None:
         if self.position not in ("single", "pair"):
             raise ValueError("position must be 'single' or 'pair'")
         metrics.check(self.metric, self.pos_size)
+        letters_of(self.polymer)
+        if self.distance_model not in ("identity", "substitution", "trace"):
+            raise ValueError(f"no distance model {self.distance_model!r}: identity, substitution or trace")
+        if self.distance_model != "identity" and self.scores is None:
+            raise ValueError(f"the model {self.distance_model!r} needs a score table")
 
     @property
     def pos_size(self) -> int:
@@ -54,9 +62,10 @@ def run(packed: DataFrame, gap: int, settings: Settings, distances: DataFrame |
     into a tree; each row then takes part in the nodes above it by a join with the tree's closure.
     """
     spark = packed.sparkSession
-    pairs = distance.identity_distance(packed) if distances is None else distances
-    ids = sorted(r[0] for r in packed.select("seq_idx").collect())
-    matrix = tree.square([(r["i"], r["j"], r["d"]) for r in pairs.select("i", "j", "d").toLocalIterator()], ids)
+    table = [list(r) for r in settings.scores] if settings.scores else None
+    pairs = distance.distances(packed, settings.distance_model, table, gap) if distances is None else distances
+    ids = sorted(r[0] for r in packed.select("seq_idx").limit(tree.MOST_LEAVES + 1).collect())  # the bound of a tree
+    matrix = tree.square(((r["i"], r["j"], r["d"]) for r in pairs.select("i", "j", "d").toLocalIterator()), ids)
     nodes = tree.tree_frame(spark, tree.agglomerate(matrix, [str(i) for i in ids], settings.tree_method))
     under = tree.leaves_under(nodes).select("node", F.col("leaf").cast("bigint").alias("seq_idx"))
     member = packed.join(under, "seq_idx").select("node", "seq_idx", "codes")
@@ -64,4 +73,6 @@ def run(packed: DataFrame, gap: int, settings: Settings, distances: DataFrame |
     gaps = None
     if settings.gap_correction is not None and settings.pos_size == 1:
         gaps = columns.gap_share(columns.residues(packed), gap).select("pos", "gap_fraction")
+    elif settings.gap_correction is not None:
+        gaps = columns.pair_gap_share(packed, gap)
     return trace.trace(member, columns.residues(member, "node"), assigned, settings.metric, settings.pos_size, gaps, settings.gap_correction)

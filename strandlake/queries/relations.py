@@ -276,7 +276,7 @@ def auroc_by_category_set(spark, sf_dir):
     c AS (SELECT count(*) FILTER (place <= 50) AS n, CAST(sum(CAST(truth AS INT)) FILTER (place <= 50) AS BIGINT) AS tp, sum(CAST(truth AS INT)) AS p FROM r)
     SELECT n, tp, round(tp / n, 6) AS precision, round(tp / p, 6) AS recall, round(2 * (tp / n) * (tp / p) / (tp / n + tp / p), 6) AS f1 FROM c""")
 def precision_recall_f1_topk(spark, sf_dir):
-    got = evaluation.top_scores(truth(spark, sf_dir), F.lit(50), [F.desc("score")])
+    got = evaluation.top_scores(truth(spark, sf_dir), 50, F.col("score"))
     return got.select("n", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
