@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .frequency import earlier
 from .pairs import cut, running
 
 
@@ -66,7 +67,7 @@ def top_labels(rows: DataFrame, key: str, order: list[Column], label: str, n: in
 def dense_positions(rows: DataFrame, first: str, second: str) -> DataFrame:
     """Both columns re-numbered by the sorted union of their values."""
     used = rows.select(F.explode(F.array(first, second)).alias("v")).distinct()
-    numbered = running(used.withColumn("_one", F.lit(1)), "v", [], {"n": "_one"})
+    numbered = running(cut(used).withColumn("_one", F.lit(1)), "v", [], {"n": "_one"})
     number = numbered.select("v", (F.col("n") - 1).cast("int").alias("n"))
     a = number.select(F.col("v").alias(first), F.col("n").alias(f"{first}_index"))
     b = number.select(F.col("v").alias(second), F.col("n").alias(f"{second}_index"))
@@ -111,3 +112,71 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         if moved:
             return now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def cluster_mapping(members: DataFrame) -> DataFrame:
+    """(branch, cluster, first_branch, first_cluster): each cluster with the first one, in order, that has the same members.
+
+    members: (branch, cluster, seq_idx).
+    """
+    sets = members.groupBy("branch", "cluster").agg(F.array_sort(F.collect_set("seq_idx")).alias("_m")).withColumn("_d", F.sha2(F.to_json("_m"), 256))
+    first = sets.groupBy("_d").agg(F.min(F.struct("branch", "cluster")).alias("f"))
+    return sets.join(first, "_d").select("branch", "cluster", F.col("f.branch").alias("first_branch"), F.col("f.cluster").alias("first_cluster"))
+
+
+def largest_members(components: DataFrame, size: str) -> DataFrame:
+    """The node of largest ``size`` of each component (root, node), the largest first; the smaller name on a tie."""
+    best = F.min_by("node", F.struct((-F.col(size)).alias("s"), "node")).alias("node")
+    return components.groupBy("root").agg(best, F.max(size).alias(size)).orderBy(F.desc(size), "node")
+
+
+def repeated_rows(rows: DataFrame, count: str) -> DataFrame:
+    """Each row as often as its ``count`` says, numbered from 0."""
+    return rows.where(F.col(count) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1)))
+
+
+def string_entropies(strings: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, kind, letter, n, share, term): counts of a string's letters (kind letter) and of its ordered pairs of letters at any
+    distance, equal (match) or different (mismatch), each with its share and entropy term; letter null is the total.
+    """
+    letters = strings.select(key, F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias("i", "c"))
+    single = letters.groupBy(key, F.col("c").alias("letter")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("letter"))
+    places = letters.groupBy(key, "c").agg(F.array_sort(F.collect_list("i")).alias("first"))
+    later = places.select(key, F.col("c").alias("d"), F.col("first").alias("second"))
+    met = places.join(later, key).withColumn("n", earlier(F.col("first"), F.col("second"))).where("n > 0")
+    pairs = met.select(key, F.concat("c", "d").alias("letter"), "n", F.when(F.col("c") == F.col("d"), "match").otherwise("mismatch").alias("kind"))
+    both = single.select(key, "letter", "n", "kind").unionByName(pairs)
+    depth = F.when(F.col("kind") == "letter", F.sum(F.when(F.col("kind") == "letter", F.col("n"))).over(Window.partitionBy(key)))
+    depth = depth.otherwise(F.sum(F.when(F.col("kind") != "letter", F.col("n"))).over(Window.partitionBy(key)))
+    share = F.col("n") / F.col("_depth")
+    rows = both.withColumn("_depth", depth).select(key, "kind", "letter", "n", share.alias("share"), (-share * F.ln(share)).alias("term"))
+    total = rows.groupBy(key, "kind").agg(F.sum("n").alias("n"), F.sum("share").alias("share"), F.sum("term").alias("term")).withColumn("letter", F.lit(None).cast("string"))
+    return rows.unionByName(total)
+
+
+def optimum_angle(values: list[Column], best: list[Column]) -> Column:
+    """Angle between a vector of metrics and the best one: acos of the cosine, which is kept within -1..1; null for a zero vector."""
+    dot = sum(v * b for v, b in zip(values, best, strict=True))
+    size = F.sqrt(sum(v * v for v in values)) * F.sqrt(sum(b * b for b in best))
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, size))))
+
+
+def wide_annotations(rows: DataFrame, key: str, level: str, value: str) -> DataFrame:
+    """One row for each key with a column for each level that occurs anywhere; levels that a key lacks are null.
+
+    Levels are few (those of an annotation); they are read first, so that the columns are known.
+    """
+    levels = sorted(r[0] for r in rows.select(level).where(F.col(level).isNotNull()).distinct().limit(1001).collect())
+    if len(levels) > 1000:
+        raise ValueError("more than 1000 levels: keep the table long")
+    return rows.groupBy(key).agg(*[F.max(F.when(F.col(level) == x, F.col(value))).alias(str(x)) for x in levels])
+
+
+def group_statistics(rows: DataFrame, group: str, distinct: str, value: str) -> DataFrame:
+    """For each group the number of distinct entries and the range of a value."""
+    return rows.groupBy(group).agg(F.count_distinct(distinct).alias("types"), F.min(value).alias("first"), F.max(value).alias("last"))
+
+
+def timings(rows: DataFrame, key: str, seconds: str) -> DataFrame:
+    """The distinct times of each key in minutes and hours."""
+    return rows.select(key, (F.col(seconds) / 60).alias("minutes"), (F.col(seconds) / 3600).alias("hours")).dropDuplicates()

@@ -21,6 +21,16 @@ def passing_hits(hits: DataFrame, max_expect: float, min_fraction: float, min_id
     return rows if banned is None else rows.where(~F.col("definition").rlike(banned))
 
 
+def alphabet_only(hits: DataFrame, letters: str, seq: str = "sbjct") -> DataFrame:
+    """Hits whose aligned sequence has only the given letters and gaps."""
+    return hits.where(~F.translate(F.col(seq), letters + "-", "").rlike("."))
+
+
+def within_lineage(hits: DataFrame, taxa: str, wanted: str) -> DataFrame:
+    """Hits whose array of taxa holds the wanted one."""
+    return hits.where(F.coalesce(F.array_contains(taxa, wanted), F.lit(False)))
+
+
 def best_per_hit(hits: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each hit in the given order."""
     return hits.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_p = 1").drop("_p")
@@ -55,3 +65,17 @@ def checked_thresholds(records: DataFrame, min_fraction: float, min_identity: fl
     """Filtered records again; a record outside the thresholds raises an error."""
     ok = (F.col("fraction") >= min_fraction) & F.col("identity").between(min_identity, max_identity)
     return records.withColumn("identity", F.when(ok, F.col("identity")).otherwise(F.raise_error(F.lit("a record breaks its thresholds")).cast("double")))
+
+
+def data_set_summary(ids: DataFrame, hits: DataFrame, filtered: DataFrame, aligned: DataFrame) -> DataFrame:
+    """One row for each id: sequence_length, hits, filtered, aligned: counts of its sequence, which several ids may share.
+
+    ids: (id, seq); hits, filtered, aligned: (seq, ...), a row for each hit of a sequence.
+    """
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("seq").agg(F.count("*").alias(name))
+
+    out = ids.select("id", "seq", F.length("seq").alias("sequence_length"))
+    for rows, name in ((hits, "hits"), (filtered, "filtered"), (aligned, "aligned")):
+        out = out.join(counts(rows, name), "seq", "left")
+    return out.fillna(0, ["hits", "filtered", "aligned"])

@@ -141,7 +141,7 @@ def product_corrected(mi: DataFrame, threshold: float | None = None) -> DataFram
 
 
 @F.pandas_udf(T.LongType())
-def _earlier(rows, later):
+def earlier(rows, later):
     """For two rising arrays, how many pairs have the first before the second: each later row is looked up."""
     return pd.Series([int(np.searchsorted(s, t).sum()) for s, t in zip(rows, later, strict=True)], dtype="int64")
 
@@ -160,7 +160,7 @@ def pair_transitions(packed: DataFrame) -> DataFrame:
     keys = ["node", "pos_i", "pos_j"]
     left, right = places, places.select(*keys, F.col("a").alias("c"), F.col("b").alias("d"), F.col("rows").alias("later"))
     met = left.join(right, keys)
-    n = _earlier(F.col("rows"), F.col("later"))
+    n = earlier(F.col("rows"), F.col("later"))
     is_match = (F.col("a") != F.col("c")) == (F.col("b") != F.col("d"))
     return met.select(*keys, "a", "b", "c", "d", is_match.alias("is_match"), n.cast("long").alias("cnt")).where("cnt > 0")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """``df``, after Python workers have been told where this package is (workers that share the driver's files)."""
+    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return df
+
+
 def tiled(rows: DataFrame, key: str, by: list[str], size: int = TILE) -> tuple[DataFrame, DataFrame, list[str]]:
     """(left, right, columns to join by) so that each unordered pair of rows of a ``by`` group meets in one tile.
 

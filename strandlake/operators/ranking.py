@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .pairs import running
+from .pairs import cut, running
 
 
 def ranked(scores: DataFrame, order: str, digits: int = 9, by: list[str] | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def ranked(scores: DataFrame, order: str, digits: int = 9, by: list[str] | None
     rounded = scores.withColumn("score", F.round("score", digits))
     # Ranks go over the distinct scores, which are counted first, in ranges of scores.
     keys = by or []
-    counts = rounded.groupBy(*keys, "score").agg(F.count("*").alias("_n"))
+    counts = cut(rounded.groupBy(*keys, "score").agg(F.count("*").alias("_n")))  # used several times below
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     summed = running(counts.withColumn("_one", F.lit(1)), "score", keys, {"rank": "_one", "_upto": "_n"}, order == "max")
     whole = summed.join(totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_all"), [summed[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys] or F.lit(True))

@@ -281,7 +281,7 @@ def bottom_up(tree: DataFrame) -> DataFrame:
             total = far[x] = total + float(nodes[x]["branch_length"])
         return total
 
-    heap = [(-distance(n), n) for n, r in nodes.items() if r["is_leaf"]]
+    heap = [(-round(distance(n), 9), n) for n, r in nodes.items() if r["is_leaf"]]
     heapq.heapify(heap)
     seen, order = {n for _, n in heap}, []
     while heap:
@@ -290,7 +290,7 @@ def bottom_up(tree: DataFrame) -> DataFrame:
         up = nodes[name]["parent"]
         if up is not None and up not in seen:
             seen.add(up)
-            heapq.heappush(heap, (-distance(up), up))
+            heapq.heappush(heap, (-round(distance(up), 9), up))
     return tree.sparkSession.createDataFrame(order, "node string, distance double, place int")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, files, relations  # noqa: F401  (they register their queries)
+from . import alignment, files, predictions, relations  # noqa: F401  (they register their queries)
 from .inputs import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]

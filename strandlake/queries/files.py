@@ -112,12 +112,13 @@ def pair_status(spark, sf_dir):
 
 @query("family_statistics", "SELECT p_brand AS family, count(DISTINCT p_type) AS types, min(p_size) AS first, max(p_size) AS last FROM part GROUP BY p_brand")
 def family_statistics(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("family")).agg(F.count_distinct("p_type").alias("types"), F.min("p_size").alias("first"), F.max("p_size").alias("last"))
+    return compare.group_statistics(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_size").withColumnRenamed("p_brand", "family")
 
 
 @query("unit_conversion", "SELECT DISTINCT event_type, round(value / 60, 6) AS minutes, round(value / 3600, 6) AS hours FROM events")
 def unit_conversion(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_type", F.round(F.col("value") / 60, 6).alias("minutes"), F.round(F.col("value") / 3600, 6).alias("hours")).dropDuplicates()
+    got = compare.timings(table(spark, sf_dir, "events"), "event_type", "value")
+    return got.select("event_type", F.round("minutes", 6).alias("minutes"), F.round("hours", 6).alias("hours")).dropDuplicates()
 
 
 @query("checked_hits", "SELECT count(*) AS n, round(min(1 - l_discount), 6) AS lowest FROM lineitem")

@@ -351,10 +351,10 @@ def best_hit(spark, sf_dir):
     return best.select("query", "hit", F.round("identity", 6).alias("identity"))
 
 
-@query("same_sequences", "SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text")
+@query("same_sequences", "SELECT sha256(t) AS digest, min(doc_id) AS first_id, CAST(count(*) AS INTEGER) AS n FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) GROUP BY t")
 def same_sequences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.coalesce("text", F.lit("")).alias("seq")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).select(F.sha2("seq", 256).alias("digest"), "first_id", "n")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.coalesce("text", F.lit("")).alias("seq"))
+    return dataset.same_sequences(docs).select(F.sha2("seq", 256).alias("digest"), "first_id", "n")
 
 
 @query("record_header_filter", "SELECT doc_id FROM documents WHERE NOT regexp_matches(split_part(text, chr(10), 1), 'MIT License|\\(Fragment\\)|LOW QUALITY')")
@@ -497,6 +497,7 @@ def trace_report(spark, sf_dir):
     return reports.trace_report(scores, columns.variability(cells, letter), row)
 
 
-@query("gap_evaluation")
+@query("gap_evaluation", f"""WITH {RESIDUE}, g AS (SELECT seq_idx, count(*) FILTER (code = {GAP}) AS gaps FROM residue GROUP BY seq_idx)
+    SELECT seq_idx, coalesce((gaps - avg(gaps) OVER ()) / nullif(stddev_pop(gaps) OVER (), 0) < 20, TRUE) AS keep FROM g""")
 def gap_evaluation(spark, sf_dir):
     return columns.gap_evaluation(long(embedded(spark, sf_dir)), GAP)

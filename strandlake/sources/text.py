@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranking import ranked
+
 #: Three-letter names of the standard amino acids.
 THREE_TO_ONE = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
@@ -108,6 +110,23 @@ def chain_sequence(chains: DataFrame, source: str = "PDB") -> DataFrame:
     return chains.select("chain", F.col(column).alias("seq"))
 
 
+def first_source(sequences: DataFrame, sources: list[str]) -> DataFrame:
+    """(id, source, seq): of the sequences that an id has, the one whose source comes first in the list; others are left out."""
+    order = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
+    rows = sequences.where(F.col("seq").isNotNull() & F.col("source").isin(sources)).withColumn("_o", order)
+    best = F.min_by(F.struct("source", "seq"), F.struct("_o", "seq")).alias("b")
+    return rows.groupBy("id").agg(best).select("id", "b.source", "b.seq")
+
+
+def lineages(ids: DataFrame, *tables: DataFrame) -> DataFrame:
+    """(id, taxa): the lineage (accession, lineage) of the first table that has the id's accession."""
+    accession = F.regexp_extract("id", r"^(?:UniRef\d+_)?([^\s|]+)", 1)
+    rows = ids.select("id", accession.alias("accession"))
+    for k, t in enumerate(tables):
+        rows = rows.join(t.select("accession", F.col("lineage").alias(f"_l{k}")), "accession", "left")
+    return rows.select("id", lineage(F.coalesce(*[F.col(f"_l{k}") for k in range(len(tables))])).alias("taxa"))
+
+
 def flat_file_sequence(value: Column) -> Column:
     """The letters of the SQ block of a flat file."""
     return F.regexp_replace(F.regexp_extract(value, r"(?s)\nSQ [^\n]*\n(.*?)//", 1), r"\s+", "")
@@ -198,6 +217,39 @@ def covariance_file(rows: DataFrame, value: str = "value") -> DataFrame:
     return got.dropna(subset=["a", "b"]).select((F.least("a", "b") - 1).alias("i"), (F.greatest("a", "b") - 1).alias("j"), "score", "coverage")
 
 
+#: The score columns of the long file of intermediate scores.
+GROUP_SCORES = ("MI", "AMIi", "AMIj", "AMI", "MIp")
+
+
+def group_scores(rows: DataFrame, value: str = "value") -> DataFrame:
+    """i < j (from 0), rank, grp and five scores from lines 'i j rank group scores...' that count from 1; headers and notes are left out."""
+    p = _pairs(rows, value, r"\s+")
+    number = lambda k: F.get("p", F.lit(k)).try_cast("int")
+    scores = [F.get("p", F.lit(4 + k)).try_cast("double").alias(n.lower()) for k, n in enumerate(GROUP_SCORES)]
+    got = p.select(number(0).alias("a"), number(1).alias("b"), number(2).alias("rank"), number(3).alias("grp"), *scores).dropna(subset=["a", "b", "rank", "grp"])
+    return got.select((F.least("a", "b") - 1).alias("i"), (F.greatest("a", "b") - 1).alias("j"), "rank", "grp", *[n.lower() for n in GROUP_SCORES])
+
+
+def position_ranks(rows: DataFrame, value: str = "value", real: bool = False) -> DataFrame:
+    """pos (from 0), score, coverage, rank from a report of single positions; ``real``: with a column of real scores.
+
+    The columns are number, residue, letter, score, variability, characters, (real score,) coverage; the
+    rank is the dense rank of the scores.
+    """
+    p = _pairs(rows, value, r"\s+")
+    number = lambda k: F.get("p", F.lit(k)).try_cast("double")
+    got = p.select((F.get("p", F.lit(1)).try_cast("int") - 1).alias("pos"), number(3).alias("score"), number(7 if real else 6).alias("file_coverage")).dropna(subset=["pos"])
+    return ranked(got, "min").select("pos", "score", F.col("file_coverage").alias("coverage"), "rank")
+
+
+def score_file(rows: DataFrame, method: str, value: str = "value") -> DataFrame:
+    """The scores of a report by its method: pairs, real (single positions) or integer (single positions)."""
+    ways = {"pairs": covariance_file, "real": lambda r, v: position_ranks(r, v, True), "integer": lambda r, v: position_ranks(r, v)}
+    if method not in ways:
+        raise ValueError(f"method must be one of {sorted(ways)}")
+    return ways[method](rows, value)
+
+
 def frequency_csv(spark: SparkSession, path: str, depth: int | None = None) -> DataFrame:
     """pos, char, cnt from a frequency TSV; counts of every position must sum to one depth."""
     schema = "Position int, Variability int, Characters string, Counts string, Frequencies string"
