@@ -322,7 +322,7 @@ def _places(keys: np.ndarray, level: int | np.ndarray, bits: int) -> Iterator[np
     h = _mix(keys + np.asarray(level, np.uint64) * _U(0xD6E8FEB86659FD93))
     step = _mix(h) | _U(1)
     for _ in range(PROBES):
-        yield (h % _U(bits)).astype(np.int64)
+        yield (((h >> _U(32)) * _U(bits)) >> _U(32)).astype(np.int64)  # scaled down to 0..bits-1 without a division
         h = h + step
 
 
@@ -406,33 +406,47 @@ class LanguageModel:
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for lot_id, lot in zip(b.column("lot").to_pylist(), _lots_of(b), strict=True):
-                    for kind, keys in enumerate(_asked(lot)):
-                        bucket, order = _dealt(keys, kind, segments[kind])
+                    for kind, keys in enumerate((np.unique(lot.hash), np.unique(lot.pairs()))):
+                        bucket, _, sent = _dealt(keys, kind, segments[kind])
                         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                        sent = (_names(keys) if kind else keys)[order]  # a word's key names its class too
                         data = [_pack_keys(k) for k in np.split(sent, cuts[1:])]
                         head = [pa.array(np.full(len(cuts), kind, np.int32)), pa.array(bucket[cuts]), pa.array(np.full(len(cuts), lot_id))]
                         yield pa.RecordBatch.from_arrays([*head, pa.array(data, pa.binary())], names=["kind", "bucket", "lot", "data"])
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, held = None, {}
+            at, held, waiting = None, {}, []
+
+            def told() -> Iterator[pa.RecordBatch]:
+                """Answers to all that waits for the segments at hand; a word of many lots is looked up once."""
+                if not waiting:
+                    return
+                lots_of, sent = [lot for lot, _ in waiting], [k for _, k in waiting]
+                keys, ends = np.concatenate(sent), np.cumsum([len(k) for k in sent])[:-1]
+                waiting.clear()
+                none = lambda k: np.zeros(len(k), np.uint8)
+                if at[0]:
+                    found = [held[-1].levels(keys) if -1 in held else none(keys)]
+                else:
+                    words, place = np.unique(keys, return_inverse=True)
+                    each = [held[-1].levels(_names(words)) if -1 in held else none(words), held[-2].levels(_names(class_keys(words))) if -2 in held else none(words)]
+                    found = [x[place] for x in each]
+                parts = [_squeeze(np.concatenate(p)) for p in zip(*[np.split(x, ends) for x in found], strict=True)]
+                cols = [pa.array(lots_of, pa.int64()), pa.array([at[0]] * len(parts), pa.int32()), pa.array([at[1]] * len(parts), pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lot", "kind", "bucket", "levels"])
+
             for b in batches:
-                out = []
                 for kind, bucket, lot, data in zip(*b.columns, strict=True):
                     kind, bucket, lot, data = kind.as_py(), bucket.as_py(), lot.as_py(), data.as_py()
                     if (kind, bucket) != at:
+                        yield from told()
                         at, held = (kind, bucket), {}
                     if lot < 0:
                         held[lot] = Segment(data)
                         continue
-                    keys = _unpack_keys(data)
-                    got = [held[-1].levels(keys if kind else _names(keys)) if -1 in held else np.zeros(len(keys), np.uint8)]
-                    if kind == 0:
-                        got.append(held[-2].levels(_names(class_keys(keys))) if -2 in held else np.zeros(len(keys), np.uint8))
-                    out.append((lot, kind, bucket, _squeeze(np.concatenate(got))))
-                if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["lot", "kind", "bucket", "levels"])
+                    waiting.append((lot, _unpack_keys(data)))
+                    if sum(len(k) for _, k in waiting) > SEGMENT or len(waiting) >= 1000:
+                        yield from told()
+            yield from told()
 
         rows = of.select("lot", *_LOT).mapInArrow(ask, "kind int, bucket bigint, lot bigint, data binary")
         for kind, lot, filt in ((0, -1, self.words), (0, -2, self.successors), (1, -1, self.pairs)):
@@ -448,20 +462,19 @@ class LanguageModel:
         segments = (self.words.segments, self.pairs.segments)
 
         def scores(lot: _Lot, levels: list[dict]) -> np.ndarray:
-            got = []
-            for kind, keys in enumerate(_asked(lot)):
-                _, order = _dealt(keys, kind, segments[kind])
+            got, places = [], []
+            for kind, asked in enumerate((lot.hash, lot.pairs())):
+                keys, place = np.unique(asked, return_inverse=True)
+                _, order, _ = _dealt(keys, kind, segments[kind])
                 parts = [_expand(x["levels"], "u1").reshape(2 - kind, -1) for x in levels if x["kind"] == kind]
-                level = np.empty((2 - kind, len(keys)), np.int64)
+                level = np.empty((2 - kind, len(keys)), np.uint8)
                 level[:, order] = np.concatenate(parts, axis=1)
-                got.append(level)
-            place = np.unique(lot.hash, return_inverse=True)[1]
-            count, after = fine[got[0][0]][place], fine[got[0][1]][place]
-            keys = lot.pairs()
+                got.append(level), places.append(place)
+            count, after = fine[got[0][0]][places[0]], fine[got[0][1]][places[0]]
             before, now = lot.before(), lot.number
             single = (count + 0.5) / (tokens + 0.5 * (types + 1))
             context = np.maximum(count[before], 1.0)
-            seen = np.minimum(coarse[got[1][0]][np.unique(keys, return_inverse=True)[1]], context)
+            seen = np.minimum(coarse[got[1][0]][places[1]], context)
             rest = np.clip(DISCOUNT * after[before] / context, 0.01, 1.0)  # what discounting leaves to unseen pairs
             found = np.minimum(np.maximum(seen - DISCOUNT, 0) / context, 1 - rest)
             pair = np.where(count[before] > 0, found + rest * single[now], single[now])
@@ -474,16 +487,21 @@ class LanguageModel:
         return scores
 
 
-def _asked(lot: _Lot) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of a lot's words, and keys of its pairs."""
-    return np.unique(lot.hash), np.unique(lot.pairs())
-
+def _dealt(keys: np.ndarray, kind: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted distinct keys: buckets in order, the order that keys have in them, and what is sent of them in that order.
 
-def _dealt(keys: np.ndarray, kind: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets in order, and the order that keys have in them: words by key, pairs by name."""
-    bucket = _bucket(keys if kind else class_keys(keys), segments)
-    order = np.lexsort((_names(keys) if kind else keys, bucket))
-    return bucket[order], order
+    A word is sent by its key, which names its class too, a pair by its name.
+    """
+    if not kind:
+        bucket = _bucket(class_keys(keys), segments)
+        order = np.argsort(bucket, kind="stable")
+        return bucket[order], order, keys[order]
+    bucket, names = _bucket(keys, segments), _names(keys)
+    if segments < 1 << (64 - NAME_BITS):
+        order = np.argsort((bucket.astype(np.uint64) << _U(NAME_BITS)) | names)
+    else:
+        order = np.lexsort((names, bucket))
+    return bucket[order], order, names[order]
 
 
 def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -510,12 +528,13 @@ def train(of: DataFrame) -> tuple[LanguageModel, DataFrame]:
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     filters = []
     segments = lambda n: max(4, -(-n // SEGMENT))
-    word_table = _word_blobs(counts, segments(types))
-    filters.append(build_filter(word_table, segments(types), FINE))
+    of_words = segments(tokens // 4)  # not by distinct words, as all lots ask for the frequent ones
+    word_table = _word_blobs(counts, of_words)
+    filters.append(build_filter(word_table, of_words, FINE))
     pairs = pair_counts(of, segments(tokens))
     filters.append(build_filter(pairs, segments(tokens), COARSE))
-    successors = _successor_blobs(pairs, segments(types))
-    filters.append(build_filter(successors, segments(types), FINE))
+    successors = _successor_blobs(pairs, of_words)
+    filters.append(build_filter(successors, of_words, FINE))
     for t in (word_table, pairs, successors):
         drop_written(t)
     return LanguageModel(*filters, tokens, types), counts
