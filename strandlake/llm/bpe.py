@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -269,10 +270,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_coders: dict[tuple[str, str], tuple[MergeReplay, PieceCache]] = {}
+class PatternCoder:
+    """Packed ids for any pattern: its words are looked for in whole texts.  (PieceCache's cuts hold for PATTERN alone.)"""
 
+    def __init__(self, replay: MergeReplay, find, size: int = CACHE_WORDS):
+        self.replay, self.find, self.size, self.known = replay, find, size, {}
 
-def coder(path: str, pattern: str) -> tuple[MergeReplay, PieceCache]:
+    def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        words = [self.find(t or "") for t in (texts if isinstance(texts, list) else texts.to_pylist())]
+        if len(self.known) > self.size:
+            self.known = {}
+        fresh = list({w for ws in words for w in ws if w not in self.known})
+        self.known.update(zip(fresh, self.replay.encode_words([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+
+
+_coders: dict[tuple[str, str], tuple[MergeReplay, PieceCache | PatternCoder]] = {}
+
+
+def coder(path: str, pattern: str) -> tuple[MergeReplay, PieceCache | PatternCoder]:
     """The worker's encoder for a vocabulary; made once in each Python process."""
     if (path, pattern) not in _coders:
         replay = MergeReplay(load_ranks(path))
@@ -290,7 +306,7 @@ def coder(path: str, pattern: str) -> tuple[MergeReplay, PieceCache]:
             known.update(zip(fresh, replay.encode_words(raw), strict=True))
             return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in words]
 
-        _coders[(path, pattern)] = (replay, PieceCache(encode))
+        _coders[(path, pattern)] = (replay, PieceCache(encode) if pattern == PATTERN else PatternCoder(replay, find))
     return _coders[(path, pattern)]
 
 
@@ -300,7 +316,8 @@ def bpe_encode(
     """Encode each whole text; returns id, ids array<int>.
 
     A null text counts as empty (no ids).  Ids, order and number of rows are
-    those of the input; nulls and repeats in the id column are kept.  With ``digests`` the
+    those of the input; nulls and repeats in the id column are kept.  Very long texts are encoded whole, one lot
+    at a time; an empty table gives an empty result; other columns, whatever their names, take no part.  With ``digests`` the
     ids are decoded again and only counts and SHA-256 digests are returned:
     id, n_tokens, ids_sha256, decoded_sha256.
     """

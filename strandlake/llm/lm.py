@@ -544,8 +544,9 @@ def lm_scores(df: DataFrame, train_where: Column, id_col: str = "doc_id", text_c
     """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train_where`` chooses the rows that are learned from (null: not).  A null text counts as
-    empty: it has one token, its end.  Repeated rows count each.  Without training
-    tokens every word has the same probability of 1 in the base score.
+    empty: it has one token, its end.  Repeated rows and null ids count each.  Without training
+    tokens every word has the same probability of 1 in the base score.  Texts of any length are whole (a lot of
+    documents has one at least); an empty table gives an empty result; other columns take no part.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
     of = lots(df.select(F.col(id_col), text, F.coalesce(train_where.cast("boolean"), F.lit(False)).alias("_learn")))

@@ -146,8 +146,10 @@ def toxicity_scores(
 ) -> DataFrame:
     """id, severity (expected grade), grade (most likely), p_toxic, toxic (p_toxic >= threshold).
 
-    Whole texts; a null or blank text has no features.  Without labelled rows of both
-    kinds nothing is called toxic and every severity is 0.
+    Whole texts, however long; a null or blank text has no features.  Without labelled rows of both
+    kinds nothing is called toxic and every severity is 0.  Repeated rows and null ids are scored each; of equal
+    probabilities the lower grade is the most likely.  An empty table gives an empty result; other columns of
+    ``docs``, whatever their names, take no part.
     """
     model = fit(docs, labels, rows, id_col=id_col, text_col=text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES words at most

@@ -47,6 +47,14 @@ def test_bpe_on_odd_strings(reference):
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_other_patterns_are_honoured(spark):
+    pattern = r"[a-z]{1,3}|[^a-z]+"
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    rows = [(1, "Hello there, general words\n  and more."), (2, None), (3, ""), (4, "x,y. z")]
+    got = {r["doc_id"]: r["ids"] for r in bpe.bpe_encode(spark.createDataFrame(rows, "doc_id int, text string"), RANKS, pattern).collect()}
+    assert got == {i: own.encode_ordinary(t or "") for i, t in rows}
+
+
 def test_replay_where_a_lower_rank_comes_up_late():
     """A vocabulary that no training makes: merging b+c uncovers a+bc, whose rank is lower."""
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256, b"bc": 257, b"abca": 258, b"bcb": 259}
