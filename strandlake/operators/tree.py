@@ -192,14 +192,16 @@ def closure(tree: DataFrame) -> DataFrame:
     jump = cut(jump)
     above = tree.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("steps"), F.lit(0.0).alias("length"))
     total = lambda a, b: (F.col(a) + F.col(b)).alias(a)
-    for _ in range(40):
-        if jump.isEmpty():
-            return above
+    left, before = jump.count(), None
+    while left:
+        if left == before:  # of a tree, fewer nodes have a node twice as far above them
+            raise ValueError("the parents of a tree form a loop")
         on = jump.select(F.col("node").alias("ancestor"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("length").alias("_length"))
         further = above.join(on, "ancestor").select(F.col("_to").alias("ancestor"), "node", total("steps", "_steps"), total("length", "_length"))
         above = cut(above.unionByName(further))
         jump = cut(jump.join(on.withColumnRenamed("ancestor", "to"), "to").select("node", F.col("_to").alias("to"), total("steps", "_steps"), total("length", "_length")))
-    raise ValueError("the parents of a tree form a loop")
+        left, before = jump.count(), left
+    return above
 
 
 def leaves_under(tree: DataFrame) -> DataFrame:

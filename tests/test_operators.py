@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import alphabets, metrics
-from strandlake.operators import columns, compare, dataset, distance, evaluation, frequency, ranking, structure, trace, tree
+from strandlake.operators import columns, compare, dataset, distance, evaluation, frequency, pairs, prediction, ranking, structure, trace, tree
 from strandlake.plans import presets
 from strandlake.sources import reports, text
 from strandlake.streaming import streams
@@ -379,3 +379,189 @@ def test_trace_counts_ranks_with_any_difference(spark):
     assigned = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "rank int, node string")
     got = {r["pos"]: r["score"] for r in trace.combine(scores, assigned, "identity").collect()}
     assert got == {0: 3.0, 1: 1.0}
+
+
+# -- pairs in tiles, running sums, deep trees --------------------------------------------------------
+
+
+def test_rows_meet_once_in_tiles(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, i, [i]) for n in "ab" for i in range(23)], "node string, seq_idx bigint, codes array<int>")
+    for size in (4, 512):
+        monkeypatch.setattr(distance, "tiled", lambda r, key, by, size=size: pairs.tiled(r, key, by, size))
+        got = sorted((r["node"], r["i"], r["j"], r["a"][0], r["b"][0]) for r in distance.row_pairs(rows, "node").collect())
+        assert got == [(n, i, j, i, j) for n in "ab" for i, j in itertools.combinations(range(23), 2)]
+        assert distance.row_pairs(rows.where("node = 'a'").drop("node")).count() == 253
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_over_ranges(spark, descending):
+    rng = random.Random(3)
+    rows = [("x" if k % 3 else None, float(v), rng.randrange(5)) for k, v in enumerate(rng.sample(range(1000), 200))]
+    frame = spark.createDataFrame(rows, "k string, v double, n bigint")
+    got = {(r["k"], r["v"]): (r["s"], r["c"]) for r in pairs.running(frame.withColumn("one", F.lit(1)), "v", ["k"], {"s": "n", "c": "one"}, descending).collect()}
+    for key in ("x", None):
+        total = 0
+        for c, (_, v, n) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1], reverse=descending), 1):
+            total += n
+            assert got[key, v] == (total, c)
+
+
+def test_closure_of_a_deep_tree(spark):
+    """A caterpillar of 150 leaves: deeper than a recursive query goes."""
+    nodes = [("n0", None, 0.0, False)] + [(f"n{k}", f"n{k - 1}", 0.5, False) for k in range(1, 150)] + [(f"l{k}", f"n{k}", 1.0, True) for k in range(150)]
+    frame = spark.createDataFrame([(n, p, None, leaf, b) for n, p, b, leaf in nodes], tree.TREE_NODE)
+    got = tree.closure(frame)
+    assert got.count() == 150 * 151 // 2 + sum(k + 2 for k in range(150))
+    far = got.where("ancestor = 'n0' AND node = 'l149'").first()
+    assert (far["steps"], far["length"]) == (150, pytest.approx(149 * 0.5 + 1))
+    assert tree.leaves_under(frame).where("node = 'n100'").count() == 50
+    loop = spark.createDataFrame([("a", "b", None, False, 1.0), ("b", "a", None, False, 1.0)], tree.TREE_NODE)
+    with pytest.raises(ValueError, match="loop"):
+        tree.closure(loop)
+
+
+def slow_agglomeration(d, method):
+    """Joins of pairs (sets of leaves, height), by looking at all pairs in each step."""
+    n = len(d)
+    work = {(i, j): float(d[i, j]) ** (2 if method == "ward" else 1) for j in range(n) for i in range(j)}
+    sets, size, out = {i: {i} for i in range(n)}, dict.fromkeys(range(n), 1), []
+    get = lambda a, b: work[min(a, b), max(a, b)]
+    for _ in range(n - 1):
+        live = [(a, b) for a, b in work if a in sets and b in sets]
+        least = min(work[p] for p in live)
+        near = [p for p in live if work[p] <= least + 1e-12]
+        i, j = max(near, key=lambda p: (p[1], p[0])) if method == "wpgma_last" else min(near) if method == "upgma_first" else min(near, key=lambda p: (p[1], p[0]))
+        least = work[i, j]
+        out.append((frozenset(sets[i]), frozenset(sets[j]), (math.sqrt(least) if method == "ward" else least) / 2))
+        for x in sets:
+            if x in (i, j):
+                continue
+            a, b = get(i, x), get(j, x)
+            if method == "wpgma_last":
+                new = (a + b) / 2
+            elif method == "complete":
+                new = max(a, b)
+            elif method == "ward":
+                new = ((size[i] + size[x]) * a + (size[j] + size[x]) * b - size[x] * least) / (size[i] + size[j] + size[x])
+            else:
+                new = (size[i] * a + size[j] * b) / (size[i] + size[j])
+            work[min(i, x), max(i, x)] = new
+        sets[i] |= sets.pop(j)
+        size[i] += size[j]
+    return out
+
+
+@pytest.mark.parametrize("method", ["upgma_first", "wpgma_last", "ward", "complete", "average"])
+def test_agglomeration_equals_looking_at_all_pairs(method):
+    for seed in range(6):
+        d = random_distances(14, seed)
+        if seed % 2:
+            d = np.round(d * 4) / 4  # many ties
+            np.fill_diagonal(d, 0)
+        nodes = tree.agglomerate(d, [str(i) for i in range(14)], method)
+        below, kids = leaves(nodes), {}
+        for x in nodes:
+            kids.setdefault(x[1], []).append(x[0])
+        want = slow_agglomeration(d, method)
+        for step, (a, b, _) in enumerate(want):
+            node = f"Inner{13 - step}"
+            assert {frozenset(map(int, below[c])) for c in kids[node]} == {a, b}
+
+
+def test_too_many_leaves_are_refused(monkeypatch):
+    monkeypatch.setattr(tree, "MOST_LEAVES", 3)
+    with pytest.raises(ValueError, match="at most"):
+        tree.square([], [1, 2, 3, 4])
+
+
+def test_bottom_up_waits_for_a_first_child(spark):
+    nodes = [("root", None, 1, False, 0.0), ("a", "root", 2, False, 1.0), ("x", "a", None, True, 5.0), ("y", "a", None, True, 1.0), ("b", "root", 3, False, 0.0), ("z", "b", None, True, 0.0), ("w", "b", None, True, 0.0)]
+    got = [r["node"] for r in tree.bottom_up(spark.createDataFrame(nodes, tree.TREE_NODE)).orderBy("place").collect()]
+    assert got == ["x", "y", "a", "root", "w", "b", "z"]
+
+
+def test_settings_of_a_trace_are_read(spark):
+    with pytest.raises(ValueError, match="distance model"):
+        presets.Settings(distance_model="other")
+    with pytest.raises(ValueError, match="score table"):
+        presets.Settings(distance_model="substitution")
+    with pytest.raises(ValueError, match="polymer"):
+        presets.Settings(polymer="RNA")
+    rows = ["ACDA", "ACDC", "AAA-", "CCC-", "CCD-", "CAA-"]
+    packed = block(spark, rows).drop("node")
+    size = max(CODES.values()) + 1
+    table = tuple(tuple(4.0 if a == b else 1.0 if abs(a - b) == 1 else -1.0 for b in range(size)) for a in range(size))
+    got = {m: {r["pos"]: r["score"] for r in presets.run(packed, GAP, presets.Settings("single", "plain_entropy", distance_model=m, scores=table)).collect()} for m in ("substitution", "trace")}
+    assert got["substitution"].keys() == got["trace"].keys() == set(range(4))
+    pair = presets.Settings("pair", "plain_entropy", gap_correction=0.3)
+    scores = {(r["pos_i"], r["pos_j"]): r["score"] for r in presets.run(packed, GAP, pair).collect()}
+    assert len(scores) == 6
+    share = {(r["pos_i"], r["pos_j"]): r["gap_fraction"] for r in columns.pair_gap_share(block(spark, ["A--", "C--", "ACA"]), GAP).collect()}
+    assert share == {(0, 1): 0.0, (0, 2): 0.0, (1, 2): pytest.approx(2 / 3)}
+
+
+def test_near_residues_equal_all_distances_within_the_cutoff(spark):
+    rng = random.Random(4)
+    rows = [(c, k // 3, f"A{k % 3}", *(rng.uniform(-9, 9) for _ in range(3))) for c in "AB" for k in range(60)]
+    atoms = spark.createDataFrame(rows, "chain string, resno int, atom_name string, x double, y double, z double")
+    want = {(r["chain"], r["res_i"], r["res_j"], round(r["distance"], 9)) for r in structure.residue_distances(atoms).where("distance <= 4").collect()}
+    got = [(r["chain"], r["res_i"], r["res_j"], round(r["distance"], 9)) for r in structure.near_residues(atoms, 4.0).collect()]
+    assert set(got) == want and len(got) == len(want)
+    brute = {}
+    for a, b in itertools.combinations(rows, 2):
+        if a[0] == b[0] and a[1] != b[1]:
+            key = (a[0], min(a[1], b[1]), max(a[1], b[1]))
+            brute[key] = min(brute.get(key, 99.0), math.dist(a[3:], b[3:]))
+    assert want == {(*k, round(v, 9)) for k, v in brute.items() if v <= 4}
+
+
+def test_best_chain_is_the_one_that_scores_most(spark):
+    sequences = spark.createDataFrame([("q", "METREE")], "query string, seq string")
+    chains = spark.createDataFrame([("q", "A", "MEEE", [5, 6, 9, 10]), ("q", "B", "METREE", [1, 2, 3, 4, 5, 7]), ("q", "C", "METREE", [11, 12, 13, 14, 15, 16])], "query string, chain string, seq string, resnos array<int>")
+    got = sorted((r["chain"], r["pos"], r["resno"]) for r in prediction.best_chain(sequences, chains).collect())
+    assert got == [("B", 0, 1), ("B", 1, 2), ("B", 2, 3), ("B", 3, 4), ("B", 4, 5), ("B", 5, 7)]
+
+
+def test_relevant_takes_one_limit(spark):
+    frame = spark.createDataFrame([(0, 1, 5, 6, "Short", 0.5), (0, 2, 5, None, "Short", 0.25)], "pos_i int, pos_j int, res_i int, res_j int, category string, coverage double")
+    assert prediction.relevant(frame, 10).count() == 1
+    assert prediction.relevant(frame, 10, n=0).count() == 0
+    with pytest.raises(ValueError):
+        prediction.relevant(frame, 10, n=1, k=2)
+    with pytest.raises(ValueError):
+        prediction.position_coverage(frame, "Best")
+
+
+def test_bad_methods_and_depths_raise(spark):
+    counts = frequency.single_counts(columns.residues(block(spark), "node"))
+    with pytest.raises(ValueError):
+        frequency.with_depth(counts, -1)
+    with pytest.raises(ValueError):
+        text.score_file(spark.createDataFrame([("1 1 A",)], "value string"), "other")
+    with pytest.raises(ValueError):
+        distance.distances(block(spark), "other")
+    assert alphabets.identity_matrix("AC") == {("A", "A"): 1.0, ("A", "C"): 0.0, ("C", "A"): 0.0, ("C", "C"): 1.0}
+
+
+def test_checked_hits_raise(spark):
+    frame = spark.createDataFrame([(0.5, 0.9), (0.99, 0.9)], "identity double, fraction double")
+    with pytest.raises(Exception, match="breaks its thresholds"):
+        dataset.checked_thresholds(frame, 0.7, 0.6, 1.0).collect()
+
+
+def test_tables_in_files(spark, tmp_path):
+    (tmp_path / "ranks.tsv").write_text("% note\nPosition\tRho\tRank 1 Entropy\tRank 2 Entropy\n1\t0.5\t0.25\t0.75\n")
+    got = sorted((r["Position"], r["rank"], r["entropy"]) for r in text.rank_table(spark, str(tmp_path / "ranks.tsv")).collect())
+    assert got == [(1, 1, 0.25), (1, 2, 0.75)]
+    (tmp_path / "d.tsv").write_text("name\ta\tb\na\t0\t0.5\nb\t0.5\t0\n")
+    assert sorted((r["i"], r["j"], r["d"]) for r in text.square_matrix(spark, str(tmp_path / "d.tsv")).collect())[1] == ("a", "b", 0.5)
+    (tmp_path / "c.csv").write_text("i,A_i,j,A_j,fn,cn,segment_i,segment_j,probability\n3,A,1,C,0,0.5,x,y,0.9\n")
+    assert text.read_couplings_csv(spark, str(tmp_path / "c.csv")).first().asDict() == {"i": 0, "j": 2, "cn": 0.5, "probability": 0.9}
+    rows = spark.createDataFrame([("f", k, v) for k, v in enumerate(["Rank 1", "a", "Rank 2", "b"])], "f string, n int, value string")
+    assert [r["table_no"] for r in text.stacked_tables(rows, "f", "n", "value", "Rank").orderBy("n").collect()] == [1, 1, 2, 2]
+    flat = spark.createDataFrame([("ID x\nSQ   SEQUENCE 5 AA\n     MET RE\n//",)], "v string")
+    assert flat.select(text.flat_file_sequence(F.col("v"))).first()[0] == "METRE"
+    chains = spark.createDataFrame([("A", "ME", "MET", "M")], "chain string, seq string, unp_seq string, gb_seq string")
+    assert text.chain_sequence(chains, "UNP").first()["seq"] == "MET"
+    with pytest.raises(ValueError):
+        text.chain_sequence(chains, "XYZ")
