@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.  All stages but the last return the
 columns of ``documents``; the last returns packed pieces.
+
+In every stage: a null text counts as empty (and stays null in what is kept); empty and very long texts are
+whole texts like any other; repeated rows count each, and go or stay as the stage says; an empty table gives an
+empty result; other columns come along, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ REPEAT_BYTES = 250
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects (score below 0.3)."""
+    """Drop the documents that the classifier rejects (score below 0.3; of equal scores all go or stay)."""
     return quality_filter(docs, table(spark, sf_dir, "labels"), threshold=0.3, where=fold("_id") != 0)
 
 
@@ -34,18 +38,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are similar (five-word shingles, about 0.8 or more), keep the smallest doc_id."""
+    """Of documents that are similar, keep the smallest doc_id: five-word shingles, a similarity of 0.8 or more as 256-bit signatures tell it.
+
+    README says how many pairs of which similarity that finds.  Rows without an id stay.
+    """
     return near_dedup(docs, words=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings that occur twice anywhere out of the texts; n_chars follows the text."""
+    """Cut strings of REPEAT_BYTES that occur twice anywhere out of the texts; n_chars follows the text."""
     cut = suffix_dedup(docs, length=REPEAT_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise what is left and pack it into sequences of 1024 ids."""
+    """Tokenise what is left and pack it into sequences of 1024 ids; an empty text is a piece of its end alone."""
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
