@@ -132,18 +132,74 @@ def annotate_nearest_ancestor(spark, sf_dir):
     return tree.annotate(hierarchy(spark, sf_dir), labels)
 
 
+def _joined(method: str) -> str:
+    """Common tables up to ``tree``: agglomeration of the supplier names by a recursive query, one step a join.
+
+    The working table holds all pairs of clusters with their distance, sizes, heights and labels.
+    """
+    tie = {"upgma_first": "i, j", "wpgma_last": "j DESC, i DESC"}.get(method, "j, i")
+    averaged = "(m.si * a.d + m.sj * b.d) / (m.si + m.sj)"
+    ward = "((m.si + a.s) * a.d + (m.sj + a.s) * b.d - a.s * m.d) / (m.si + m.sj + a.s)"
+    new = {"wpgma_last": "(a.d + b.d) / 2", "complete": "greatest(a.d, b.d)", "ward": ward}.get(method, averaged)
+    first, top = ("d * d", "sqrt(d) / 2") if method == "ward" else ("d", "d / 2")
+    return f"""{NAMES},
+    xy AS (SELECT x.seq_idx AS i, y.seq_idx AS j, 1 - avg(CAST(x.code = y.code AS INT)) AS d FROM names x JOIN names y ON x.pos = y.pos AND x.seq_idx < y.seq_idx GROUP BY ALL),
+    total AS (SELECT count(DISTINCT seq_idx) AS n FROM names),
+    t AS (
+        SELECT 0 AS step, i, j, {first} AS d, CAST(1 AS DOUBLE) AS si, CAST(1 AS DOUBLE) AS sj, CAST(0 AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS hj, CAST(i AS VARCHAR) AS li, CAST(j AS VARCHAR) AS lj FROM xy
+        UNION ALL (
+            WITH m AS (SELECT *, {top} AS top FROM t WHERE d <= (SELECT min(d) FROM t) + 1e-12 ORDER BY {tie} LIMIT 1),
+            ends AS (SELECT i AS p, j AS q, d, sj AS s, hj AS h, lj AS l FROM t UNION ALL SELECT j, i, d, si, hi, li FROM t),
+            fresh AS (SELECT m.step, m.i AS c, a.q AS o, {new} AS d, m.si + m.sj AS sc, m.top AS hc, 'Inner' || ((SELECT n FROM total) - 1 - m.step) AS lc, a.s, a.h, a.l
+                FROM m JOIN ends a ON a.p = m.i AND a.q <> m.j JOIN ends b ON b.p = m.j AND b.q = a.q)
+            SELECT t.step + 1, t.i, t.j, t.d, t.si, t.sj, t.hi, t.hj, t.li, t.lj FROM t, m WHERE t.i NOT IN (m.i, m.j) AND t.j NOT IN (m.i, m.j)
+            UNION ALL SELECT step + 1, least(c, o), greatest(c, o), d, CASE WHEN c < o THEN sc ELSE s END, CASE WHEN c < o THEN s ELSE sc END, CASE WHEN c < o THEN hc ELSE h END,
+                CASE WHEN c < o THEN h ELSE hc END, CASE WHEN c < o THEN lc ELSE l END, CASE WHEN c < o THEN l ELSE lc END FROM fresh
+        )
+    ),
+    lows AS (SELECT *, min(d) OVER (PARTITION BY step) AS low FROM t),
+    joins AS (SELECT *, {top} AS top FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY {tie}) AS r FROM lows WHERE d <= low + 1e-12) WHERE r = 1),
+    kids AS (SELECT 'Inner' || (n - 1 - step) AS parent, unnest([li, lj]) AS node, unnest([top - hi, top - hj]) AS length FROM joins, total),
+    tree AS (SELECT node, parent, CASE WHEN node LIKE 'Inner%' THEN CAST(substr(node, 6) AS INTEGER) END AS inner_no, node NOT LIKE 'Inner%' AS is_leaf, round(greatest(length, 0), 6) AS branch_length FROM kids
+        UNION ALL SELECT 'Inner1', NULL, 1, FALSE, 0 FROM total WHERE n > 1)"""
+
+
 def _tree_query(method):
     def run(spark, sf_dir):
         packed = named(spark, sf_dir)
-        ids = sorted(r[0] for r in packed.select("seq_idx").collect())
-        pairs = [(r["i"], r["j"], r["d"]) for r in distance.identity_distance(packed).toLocalIterator()]
-        return tree.tree_frame(spark, tree.agglomerate(tree.square(pairs, ids), [str(i) for i in ids], method))
+        ids = sorted(r[0] for r in packed.select("seq_idx").limit(tree.MOST_LEAVES + 1).collect())  # the bound of a tree
+        pairs = ((r["i"], r["j"], r["d"]) for r in distance.identity_distance(packed).toLocalIterator())
+        nodes = tree.tree_frame(spark, tree.agglomerate(tree.square(pairs, ids), [str(i) for i in ids], method))
+        return nodes.withColumn("branch_length", F.round("branch_length", 6))
 
     return run
 
 
 for _m in ("upgma_first", "wpgma_last", "ward", "complete", "average"):
-    query(f"tree_{_m}")(_tree_query(_m))
+    query(f"tree_{_m}", f"WITH RECURSIVE {_joined(_m)} SELECT * FROM tree")(_tree_query(_m))
+
+
+#: Members and harmonic weights of the nodes of the first tree.
+_GROUPS = _joined("upgma_first") + """,
+    over AS (SELECT node AS ancestor, node FROM tree UNION ALL SELECT t.parent, o.node FROM over o JOIN tree t ON o.ancestor = t.node WHERE t.parent IS NOT NULL),
+    member AS (SELECT ancestor AS node, CAST(node AS BIGINT) AS seq_idx FROM over WHERE node NOT LIKE 'Inner%'),
+    life AS (SELECT t.node, unnest(generate_series(coalesce(p.inner_no, 0) + 1, coalesce(t.inner_no, (SELECT n FROM total)))) AS r FROM tree t LEFT JOIN tree p ON t.parent = p.node),
+    weight AS (SELECT node, sum(1 / r) AS weight FROM life GROUP BY node),
+    cell AS (SELECT m.node, x.pos, x.code, count(*) AS cnt FROM member m JOIN names x USING (seq_idx) GROUP BY ALL),
+    single AS (SELECT node, pos, CASE WHEN count(*) = 1 THEN 0 ELSE ln(sum(cnt)) - sum(cnt * ln(cnt)) / sum(cnt) END AS h FROM cell GROUP BY ALL)"""
+_PAIR_GROUPS = _GROUPS + """,
+    two AS (SELECT m.node, x.pos AS pos_i, y.pos AS pos_j, x.code AS a, y.code AS b, count(*) AS cnt FROM member m JOIN names x USING (seq_idx) JOIN names y ON y.seq_idx = m.seq_idx AND x.pos < y.pos GROUP BY ALL),
+    joint AS (SELECT node, pos_i, pos_j, CASE WHEN count(*) = 1 THEN 0 ELSE ln(sum(cnt)) - sum(cnt * ln(cnt)) / sum(cnt) END AS h FROM two GROUP BY ALL),
+    mi AS (SELECT j.node, pos_i, pos_j, x.h + y.h - j.h AS mi FROM joint j JOIN single x ON x.node = j.node AND x.pos = pos_i JOIN single y ON y.node = j.node AND y.pos = pos_j),
+    part AS (SELECT node, pos, avg(mi) AS m FROM (SELECT node, pos_i AS pos, mi FROM mi UNION ALL SELECT node, pos_j, mi FROM mi) GROUP BY ALL), whole AS (SELECT node, avg(mi) AS m FROM mi GROUP BY node),
+    apc AS (SELECT mi.node, pos_i, pos_j, CASE WHEN mi <= 1e-4 THEN 0 ELSE mi - CASE WHEN round(w.m, 12) <> 0 THEN x.m * y.m / w.m ELSE 0 END END AS score
+        FROM mi JOIN whole w USING (node) JOIN part x ON x.node = mi.node AND x.pos = pos_i JOIN part y ON y.node = mi.node AND y.pos = pos_j)"""
+_PRESET_SQL = {
+    "integer": f"WITH RECURSIVE {_GROUPS} " + ranked_sql("SELECT pos, 1 + CAST(count(DISTINCT r) FILTER (varied) AS DOUBLE) AS score FROM (SELECT node, pos, count(*) > 1 AS varied FROM cell GROUP BY ALL) JOIN life USING (node) GROUP BY pos", "pos", "ASC"),
+    "entropy": f"WITH RECURSIVE {_GROUPS} " + ranked_sql(
+        f"SELECT pos, CASE WHEN gap > 0.6 THEN max(score) OVER () ELSE score END AS score FROM (SELECT pos, 1 + sum(h * weight) AS score FROM single JOIN weight USING (node) GROUP BY pos) JOIN (SELECT pos, avg(CAST(code = {ZERO} AS INT)) AS gap FROM names GROUP BY pos) USING (pos)", "pos", "ASC"),
+    "mutual-information": f"WITH RECURSIVE {_PAIR_GROUPS} " + ranked_sql("SELECT pos_i, pos_j, sum(score * weight) AS score FROM apc JOIN weight USING (node) GROUP BY ALL", "pos_i, pos_j", "DESC"),
+}
 
 
 def _preset_query(name):
@@ -155,7 +211,7 @@ def _preset_query(name):
 
 
 for _p in presets.PRESETS:
-    query("trace_preset_" + _p.replace("-", "_"))(_preset_query(_p))
+    query("trace_preset_" + _p.replace("-", "_"), _PRESET_SQL.get(_p))(_preset_query(_p))
 
 # -- structures: three dimensions of each embedding are an atom, five atoms a residue ---------------------
 
