@@ -41,7 +41,7 @@ HEAD = 100_000
 #: N-grams of one segment, about.
 SEGMENT = 500_000
 #: Bytes of text in one lot of documents, about.
-LOT = 8_000_000
+LOT = 4_000_000
 #: Bits by which n-grams are told apart within a segment.
 NAME_BITS = 40
 DISCOUNT = 0.75
@@ -272,7 +272,7 @@ def pair_counts(of: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for lot in _lots_of(b):
                 held.append(lot.pairs()[lot.learned()])
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > 1_000_000:
                     yield _blobs(*_summed(np.concatenate(held), None), buckets)
                     held = []
         if held:
