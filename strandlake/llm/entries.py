@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, lm, packing, quality, simhash, suffix_dedup, toxicity
+from . import ann, bpe, chat, exact_dedup, lm, packing, quality, rules, simhash, suffix_dedup, toxicity
 from .common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -68,6 +68,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", fold("doc_id") == 1)
 
 
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("lost_chars", "n_failed_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_toxicity": op2_toxicity,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_lm": op10_lm,
+    "op13_rules": op13_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +96,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_rules": rules.CONTRACT_SQL,
 }
