@@ -12,11 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, lm, packing, quality, rules, simhash, suffix_dedup, toxicity
+from . import align, ann, bpe, chat, exact_dedup, fim, lm, packing, quality, rules, simhash, suffix_dedup, toxicity
 from .common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,14 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", fold("doc_id") == 1)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("lost_chars", "n_failed_lines")
 
@@ -83,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_lm": op10_lm,
+    "op11_fim": op11_fim,
+    "op12_align": op12_align,
     "op13_rules": op13_rules,
 }
 

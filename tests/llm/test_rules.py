@@ -78,8 +78,8 @@ def test_empty_table(spark, no_docs):
     assert rules.quality_rules(no_docs).count() == 0 and rules.clean_documents(no_docs).columns == no_docs.columns
 
 
-def test_no_python_in_the_plan(docs):
-    plan = rules.clean_documents(docs)._jdf.queryExecution().executedPlan().toString()
+def test_no_python_and_no_shuffle_in_the_plan(spark, small):
+    plan = rules.clean_documents(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
