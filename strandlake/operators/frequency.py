@@ -107,9 +107,12 @@ def pair_scores(packed: DataFrame, long: DataFrame, metric: str) -> DataFrame:
     if metric == "identity":
         return counts.groupBy(*keys).agg(metrics.identity(F.struct("a", "b")).cast("double").alias("score"))
     joint = entropies(counts, keys)
-    if metric == "plain_entropy":
-        return joint
-    single = entropies(single_counts(long), ["node", "pos"])
+    return joint if metric == "plain_entropy" else from_entropies(joint, entropies(single_counts(long), ["node", "pos"]), metric)
+
+
+def from_entropies(joint: DataFrame, single: DataFrame, metric: str) -> DataFrame:
+    """node, pos_i, pos_j, score of the metrics of information, from the entropies of pairs and of single positions."""
+    keys = ["node", "pos_i", "pos_j"]
     h_i = single.select("node", F.col("pos").alias("pos_i"), F.col("score").alias("h_i"))
     h_j = single.select("node", F.col("pos").alias("pos_j"), F.col("score").alias("h_j"))
     mi = joint.join(h_i, ["node", "pos_i"]).join(h_j, ["node", "pos_j"]).withColumn("mi", F.col("h_i") + F.col("h_j") - F.col("score"))

@@ -19,9 +19,15 @@ def ranked(scores: DataFrame, order: str, digits: int = 9, by: list[str] | None
     if order not in ("min", "max"):
         raise ValueError(f"order must be 'min' or 'max', not {order!r}")
     rounded = scores.withColumn("score", F.round("score", digits))
-    # Ranks go over the distinct scores, which are counted first, in ranges of scores.
     keys = by or []
-    counts = cut(rounded.groupBy(*keys, "score").agg(F.count("*").alias("_n")))  # used several times below
+    if "pos_j" not in scores.columns:  # a group has a row for each position: a window of that many rows
+        group = Window.partitionBy(*keys)
+        best_first = group.orderBy(F.desc("score") if order == "max" else F.asc("score"))
+        upto = F.count(F.lit(1)).over(best_first.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return rounded.select("*", F.dense_rank().over(best_first).alias("rank"), (upto / F.count(F.lit(1)).over(group)).alias("coverage"))
+    # Ranks of pairs go over the distinct scores, which are counted first, in ranges of scores.
+    rounded = cut(rounded)  # used twice below
+    counts = cut(rounded.groupBy(*keys, "score").agg(F.count("*").alias("_n")))
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     summed = running(counts.withColumn("_one", F.lit(1)), "score", keys, {"rank": "_one", "_upto": "_n"}, order == "max")
     whole = summed.join(totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_all"), [summed[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys] or F.lit(True))

@@ -1,7 +1,6 @@
 """Trees: agglomeration, rank intervals, closures, traversals, annotation, Newick.
 
-Merging is sequential by nature, so trees are built in numpy on the driver from one
-alignment's distances (MOST_LEAVES rows at most); everything on a finished tree is a DataFrame.
+Trees are merged by :mod:`.agglomerate`; everything on a finished tree is a DataFrame.
 Inner nodes are numbered so that rank r splits node r: the root is Inner1, and parents
 have smaller numbers than their children.
 """
@@ -12,14 +11,18 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterable
+from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TREE_NODE
+from .agglomerate import join_order, tree_rows
 from .pairs import cut
 
+EULER = 0.57721566490153286061
+
 #: node: (parent, inner number, leaf?, branch length)
 Node = tuple[str, str | None, int | None, bool, float]
 
@@ -38,86 +41,11 @@ def square(pairs: Iterable[tuple[int, int, float]], ids: list[int]) -> np.ndarra
     return out
 
 
-class _Nearest:
-    """The least distance of each row to the rows before it (or after it), kept up while rows are merged."""
-
-    def __init__(self, work: np.ndarray, before: bool):
-        self.work, self.before = work, before
-        self.least = np.array([self._of(k) for k in range(len(work))])
-
-    def _side(self, k: int) -> np.ndarray:
-        return self.work[k, :k] if self.before else self.work[k, k + 1 :]
-
-    def _of(self, k: int) -> float:
-        side = self._side(k)
-        return side.min() if side.size else np.inf
-
-    def changed(self, i: int, j: int, old_i: np.ndarray, old_j: np.ndarray) -> None:
-        """Row i has new distances and row j is gone; ``old_i`` and ``old_j`` are what they were."""
-        held = np.minimum(old_i, old_j) <= self.least  # may have been the least
-        self.least = np.where(held, self.least, np.minimum(self.least, np.where(self._sees(i), self.work[i], np.inf)))
-        for k in np.flatnonzero(held & np.isfinite(self.least)).tolist():
-            self.least[k] = self._of(k)
-        self.least[i], self.least[j] = self._of(i), np.inf
-
-    def _sees(self, i: int) -> np.ndarray:
-        """Rows on whose side row i stands."""
-        rows = np.arange(len(self.work))
-        return rows > i if self.before else rows < i
-
-
 def agglomerate(d: np.ndarray, names: list[str], method: str = "upgma_first") -> list[Node]:
-    """Join the nearest two clusters until one is left.
-
-    upgma_first: distances averaged by size; of equal minima the lowest column, then row.
-    wpgma_last: plain average of the two rows; of equal minima the last in row order.
-    ward, complete, average: Lance-Williams updates, first minimum.
-
-    Each row's least distance is kept, so a step looks at one number for each row, and again at those rows
-    whose nearest cluster has been merged.
-    """
-    n = len(names)
+    """The tree of a small matrix of distances: :func:`agglomerate.agglomerated` in one piece."""
     work = np.array(d, float)
-    if method == "ward":
-        work = work**2
-    np.fill_diagonal(work, np.inf)
-    size, height, label = np.ones(n), np.zeros(n), list(names)
-    joins: list[tuple[str, str, str, float, float]] = []
-    near = _Nearest(work, method != "upgma_first")
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        least = near.least.min()
-        hits = np.flatnonzero(near.least <= least + 1e-12)
-        a = int(hits[-1] if method == "wpgma_last" else hits[0])
-        side = np.flatnonzero(near._side(a) <= least + 1e-12) + (0 if near.before else a + 1)
-        b = int(side[-1] if method == "wpgma_last" else side[0])
-        i, j = min(a, b), max(a, b)
-        least = work[i, j]
-        top = (np.sqrt(least) if method == "ward" else least) / 2
-        name = f"Inner{n - 1 - step}"
-        joins.append((name, label[i], label[j], max(top - height[i], 0.0), max(top - height[j], 0.0)))
-        x, y = work[i].copy(), work[j].copy()
-        if method == "wpgma_last":
-            new = (x + y) / 2
-        elif method == "complete":
-            new = np.maximum(x, y)
-        elif method == "ward":
-            new = ((size[i] + size) * x + (size[j] + size) * y - size * least) / (size[i] + size[j] + size)
-        else:
-            new = (size[i] * x + size[j] * y) / (size[i] + size[j])
-        alive[j] = False
-        new[~alive] = new[i] = np.inf
-        work[i], work[:, i] = new, new
-        work[j], work[:, j] = np.inf, np.inf
-        near.changed(i, j, x, y)
-        size[i] += size[j]
-        height[i], label[i] = top, name
-    nodes: list[Node] = [(label[0], None, 1 if n > 1 else None, n == 1, 0.0)] if n else []
-    for name, a, b, la, lb in reversed(joins):
-        for child, length in ((a, la), (b, lb)):
-            inner = int(child[5:]) if re.fullmatch(r"Inner\d+", child) and child not in names else None
-            nodes.append((child, name, inner, inner is None, float(length)))
-    return nodes
+    merges = list(join_order(work**2 if method == "ward" else work, np.ones(len(names)), method))
+    return tree_rows(merges, names, method)
 
 
 def tree_frame(spark: SparkSession, nodes: list[Node]) -> DataFrame:
@@ -235,9 +163,36 @@ def assignment(tree: DataFrame, ranks: list[int] | None = None) -> DataFrame:
     return rows.withColumn("grp", F.row_number().over(Window.partitionBy("rank").orderBy("node")))
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: a list for small n, beyond it the asymptotic series, which is exact to the last bits there."""
+    few = list(accumulate((1 / k for k in range(1, 33)), initial=0.0))
+    x = n.cast("double")
+    series = F.ln(x) + EULER + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return F.when(n < len(few), F.get(F.array(*map(F.lit, few)), n.cast("int"))).otherwise(series)
+
+
+def lives(tree: DataFrame, ranks: list[int] | None = None) -> DataFrame:
+    """node, lo, hi, weight: the run of ranks at which a node is a group of its own, and the sum of 1/rank over them.
+
+    Nothing is exploded: the weight is a difference of two harmonic numbers.  With chosen ``ranks`` (1 is always among
+    them), lo and hi count those in order.
+    """
+    if ranks is not None and min(ranks) < 1:
+        raise ValueError("ranks start at 1")
+    spans = rank_intervals(tree).where("first_rank <= last_rank")
+    first, last = F.col("first_rank"), F.col("last_rank")
+    if ranks is None:
+        return spans.select("node", first.alias("lo"), last.alias("hi"), (harmonic(last) - harmonic(first - 1)).alias("weight"))
+    listed = F.array(*[F.lit(r) for r in sorted({1, *ranks})])
+    inside = F.filter(listed, lambda r: (r >= first) & (r <= last))
+    lo = F.size(F.filter(listed, lambda r: r < first)) + 1
+    weight = F.aggregate(inside, F.lit(0.0), lambda s, r: s + 1 / r)
+    return spans.where(F.size(inside) > 0).select("node", lo.alias("lo"), (lo + F.size(inside) - 1).alias("hi"), weight.alias("weight"))
+
+
 def node_weights(tree: DataFrame, ranks: list[int] | None = None) -> DataFrame:
     """node, weight: sum of 1/r over the ranks at which the node lives."""
-    return assignment(tree, ranks).groupBy("node").agg(F.sum(1 / F.col("rank")).alias("weight"))
+    return lives(tree, ranks).select("node", "weight")
 
 
 def top_down(tree: DataFrame) -> DataFrame:

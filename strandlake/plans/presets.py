@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.alphabets import letters_of
-from ..operators import columns, distance, trace, tree
+from ..operators import agglomerate, columns, distance, trace
 
 
 @dataclass(frozen=True)
@@ -58,21 +58,16 @@ def preset(name: str, **changes) -> Settings:
 def run(packed: DataFrame, gap: int, settings: Settings, distances: DataFrame | None = None) -> DataFrame:
     """Distances -> tree -> ranks -> node scores -> positions with score, rank and coverage.
 
-    ``packed`` is one alignment (seq_idx, codes).  Only its distances come to the driver, to be merged
-    into a tree; each row then takes part in the nodes above it by a join with the tree's closure.
+    ``packed`` is one alignment (seq_idx, codes).  Neither its distances nor its counts come to the driver; each row
+    takes part in the nodes above it by counts that are rolled up the tree.
     """
-    spark = packed.sparkSession
     table = [list(r) for r in settings.scores] if settings.scores else None
     pairs = distance.distances(packed, settings.distance_model, table, gap) if distances is None else distances
-    ids = sorted(r[0] for r in packed.select("seq_idx").limit(tree.MOST_LEAVES + 1).collect())  # the bound of a tree
-    matrix = tree.square(((r["i"], r["j"], r["d"]) for r in pairs.select("i", "j", "d").toLocalIterator()), ids)
-    nodes = tree.tree_frame(spark, tree.agglomerate(matrix, [str(i) for i in ids], settings.tree_method))
-    under = tree.leaves_under(nodes).select("node", F.col("leaf").cast("bigint").alias("seq_idx"))
-    member = packed.join(under, "seq_idx").select("node", "seq_idx", "codes")
-    assigned = tree.assignment(nodes, list(settings.ranks) if settings.ranks else None)
+    nodes = agglomerate.agglomerated(pairs, packed, settings.tree_method)
     gaps = None
     if settings.gap_correction is not None and settings.pos_size == 1:
         gaps = columns.gap_share(columns.residues(packed), gap).select("pos", "gap_fraction")
     elif settings.gap_correction is not None:
         gaps = columns.pair_gap_share(packed, gap)
-    return trace.trace(member, columns.residues(member, "node"), assigned, settings.metric, settings.pos_size, gaps, settings.gap_correction)
+    ranks = list(settings.ranks) if settings.ranks else None
+    return trace.tree_trace(packed, nodes, settings.metric, settings.pos_size, ranks, gaps, settings.gap_correction)

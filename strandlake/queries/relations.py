@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import columns, compare, dataset, distance, evaluation, ranking, structure, tree
+from ..operators import agglomerate, columns, compare, dataset, distance, evaluation, ranking, structure, tree
 from ..plans import presets
 from ..sources import reports, text
 from .alignment import ranked_sql, shown
@@ -167,9 +167,7 @@ def _joined(method: str) -> str:
 def _tree_query(method):
     def run(spark, sf_dir):
         packed = named(spark, sf_dir)
-        ids = sorted(r[0] for r in packed.select("seq_idx").limit(tree.MOST_LEAVES + 1).collect())  # the bound of a tree
-        pairs = ((r["i"], r["j"], r["d"]) for r in distance.identity_distance(packed).toLocalIterator())
-        nodes = tree.tree_frame(spark, tree.agglomerate(tree.square(pairs, ids), [str(i) for i in ids], method))
+        nodes = agglomerate.agglomerated(distance.identity_distance(packed), packed, method)
         return nodes.withColumn("branch_length", F.round("branch_length", 6))
 
     return run
@@ -194,11 +192,20 @@ _PAIR_GROUPS = _GROUPS + """,
     part AS (SELECT node, pos, avg(mi) AS m FROM (SELECT node, pos_i AS pos, mi FROM mi UNION ALL SELECT node, pos_j, mi FROM mi) GROUP BY ALL), whole AS (SELECT node, avg(mi) AS m FROM mi GROUP BY node),
     apc AS (SELECT mi.node, pos_i, pos_j, CASE WHEN mi <= 1e-4 THEN 0 ELSE mi - CASE WHEN round(w.m, 12) <> 0 THEN x.m * y.m / w.m ELSE 0 END END AS score
         FROM mi JOIN whole w USING (node) JOIN part x ON x.node = mi.node AND x.pos = pos_i JOIN part y ON y.node = mi.node AND y.pos = pos_j)"""
+_TRANSITION_GROUPS = _GROUPS + """,
+    cols AS (SELECT x.seq_idx, x.pos AS pos_i, y.pos AS pos_j, x.code AS a, y.code AS b FROM names x JOIN names y ON x.seq_idx = y.seq_idx AND x.pos < y.pos),
+    met AS (SELECT s.node, s.seq_idx AS s, t.seq_idx AS t FROM member s JOIN member t ON s.node = t.node AND s.seq_idx < t.seq_idx),
+    way AS (SELECT m.node, x.pos_i, x.pos_j, count(*) AS cnt FROM met m JOIN cols x ON x.seq_idx = m.s JOIN cols y ON y.seq_idx = m.t AND y.pos_i = x.pos_i AND y.pos_j = x.pos_j
+        WHERE (x.a = y.a) <> (x.b = y.b) GROUP BY m.node, x.pos_i, x.pos_j, x.a, x.b, y.a, y.b),
+    depth AS (SELECT node, greatest(count(*) * (count(*) - 1) / 2, 1) AS depth FROM member GROUP BY node),
+    odd AS (SELECT node, pos_i, pos_j, 0 - sum(cnt / depth * ln(cnt / depth)) AS h FROM way JOIN depth USING (node) GROUP BY ALL),
+    grid AS (SELECT node, pos_i, pos_j FROM weight, (SELECT DISTINCT pos_i, pos_j FROM cols))"""
 _PRESET_SQL = {
     "integer": f"WITH RECURSIVE {_GROUPS} " + ranked_sql("SELECT pos, 1 + CAST(count(DISTINCT r) FILTER (varied) AS DOUBLE) AS score FROM (SELECT node, pos, count(*) > 1 AS varied FROM cell GROUP BY ALL) JOIN life USING (node) GROUP BY pos", "pos", "ASC"),
     "entropy": f"WITH RECURSIVE {_GROUPS} " + ranked_sql(
         f"SELECT pos, CASE WHEN gap > 0.6 THEN max(score) OVER () ELSE score END AS score FROM (SELECT pos, 1 + sum(h * weight) AS score FROM single JOIN weight USING (node) GROUP BY pos) JOIN (SELECT pos, avg(CAST(code = {ZERO} AS INT)) AS gap FROM names GROUP BY pos) USING (pos)", "pos", "ASC"),
     "mutual-information": f"WITH RECURSIVE {_PAIR_GROUPS} " + ranked_sql("SELECT pos_i, pos_j, sum(score * weight) AS score FROM apc JOIN weight USING (node) GROUP BY ALL", "pos_i, pos_j", "DESC"),
+    "transitions": f"WITH RECURSIVE {_TRANSITION_GROUPS} " + ranked_sql("SELECT pos_i, pos_j, 1 + sum(exp(coalesce(h, 0)) * weight) AS score FROM grid LEFT JOIN odd USING (node, pos_i, pos_j) JOIN weight USING (node) GROUP BY ALL", "pos_i, pos_j", "ASC"),
 }
 
 
