@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from .common import written
 from .components import connected_components
+from .verify import shingle_sets, verified_links
 
 BITS = 64
 BLOCK = 2048
@@ -411,31 +412,40 @@ def near_groups(
 
 
 #: near_dedup: further words of 64 bits, differing bits of all 256 up to which every pair is a candidate, and up to
-#: which candidates are near.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 39 of 256 bits on average with a
-#: spread of 6, and one of 0.7 means 49: at 44 most pairs of 0.8 and more are near, and most of 0.7 and less are not.
-WIDE, SURE_BITS, NEAR_BITS = 3, 31, 44
+#: which pairs that the probes meet are.  A Jaccard similarity of 0.8 is a cosine of 0.89, hence 39 of 256 bits on
+#: average with a spread of 6.
+WIDE, SURE_BITS, NEAR_BITS = 3, 31, 50
 #: What comparing two signatures costs, as a share of dealing one row; chooses partitions, not results.
 PAIR_COST = 0.005
+SIMILARITY = 0.8
 
 
 def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, sure_bits: int = SURE_BITS, near_bits: int = NEAR_BITS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, sure_bits: int = SURE_BITS, near_bits: int = NEAR_BITS
 ) -> DataFrame:
     """The rows that stay: of each group of similar texts the row with the smallest id; all columns kept.
 
-    Texts are near where at most ``near_bits`` of 256 bits of their signatures differ, which means a Jaccard
-    similarity of ``words``-word shingles of about 0.8 or more.  The pigeonhole finds all pairs within ``sure_bits``,
-    and each pair beyond that which falls together in some partition: at 39 bits 99 of 100 and more.
-    A null or blank text has the signature zero, and such texts are copies of each other.  Ids may have any type that
-    can be ordered.  Rows with a null id stay (they have no name to be dropped by); rows that
-    repeat an id stay or go together.  An empty table gives an empty result; extra columns may have any name.
+    Two texts are similar where the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or
+    more; a group is what such pairs connect.  Candidates come from signatures of 256 bits: the pigeonhole finds all
+    pairs within ``sure_bits``, and each pair of up to ``near_bits`` that falls together in some partition; each is then
+    compared on its sets (:mod:`.verify`).  A null or blank text has an empty set, and such texts are copies of each
+    other, as are texts of equal signatures.  Ids may have any type that can be ordered.  Rows with a null id stay (they
+    have no name to be dropped by); rows that repeat an id stay or go together.  An empty table gives an empty result;
+    extra columns may have any name.
     """
     names = ["fp", *[f"w{n + 1}" for n in range(WIDE)]]
-    ids = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    ids = df.select(id_.alias("_id"), text.cast("string").alias("_text")).where("_id is not null")
     marks = written(simhash(ids, "_id", "_text", words, WIDE))
     # nodes have names of their own, since ids may be of any type; written, so that the names last
     distinct = written(marks.groupBy(*names).agg(F.min("_id").alias("_least")).withColumn("node", F.monotonically_increasing_id()))
-    roots = connected_components(fingerprint_links(distinct, sure_bits, BLOCK, tuple(names), near_bits, PAIR_COST))
+    links = fingerprint_links(distinct, sure_bits, BLOCK, tuple(names), near_bits, PAIR_COST)
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # a node's text is that of its smallest id; of rows that repeat the id, any with its signature would do
+    asked = distinct.join(ends, "node").select("node", F.col("_least").alias("_id"))
+    sets = written(shingle_sets(ids.join(asked, "_id"), words).dropDuplicates(["node"]))
+    roots = connected_components(verified_links(links, distinct, names, sets, near_bits, similarity))
     named = distinct.join(roots, "node", "left").select(*names, "_least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("_least").alias("_keep"))
     keep = named.join(least, "root").select(*names, "_keep")
@@ -444,4 +454,4 @@ def near_dedup(
     while free in df.columns:
         free = "_" + free
     gone = gone.withColumnRenamed("_gone", free)
-    return df.join(gone, df[id_col] == gone[free], "left_anti")
+    return df.join(gone, id_ == gone[free], "left_anti")

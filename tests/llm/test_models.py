@@ -213,8 +213,11 @@ def test_pipeline_stage_by_stage(spark, small):
         best[r["text"]] = max(best.get(r["text"], -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in exact.collect()) == sorted(best.values())
     near = corpus_pipeline.near(spark, exact, small).cache()
-    assert sorted(r["doc_id"] for r in near.collect()) == sorted(r["doc_id"] for r in simhash.near_dedup(exact, words=5).collect())
-    assert 0.95 * exact.count() < near.count() < exact.count()
+    held = {r["doc_id"]: r["text"] for r in exact.collect()}
+    kept = {r["doc_id"] for r in near.collect()}
+    sets = {i: set(zip(*[w[k:] for k in range(5)], strict=False)) or {tuple(w)} for i, w in ((i, (t or "").encode().lower().split()) for i, t in held.items())}
+    alike = [i for i in held if any(j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in held)]  # goes, as a smaller id is similar
+    assert set(held) - kept <= set(alike) and len(set(alike) - kept) <= 0.1 * len(alike)
     cut = corpus_pipeline.repeats(spark, near, small).cache()
     report = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffix_dedup.repeat_report(near, length=corpus_pipeline.REPEAT_BYTES).collect()}
     assert cut.columns == docs.columns
