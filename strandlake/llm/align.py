@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text, written
-from .packing import _coder, byte_letters
+from .common import named, whole_text, written
+from .packing import RankCoder, _coder, byte_letters
 
 LOT_BYTES = 8 << 20
 #: Chunks that a worker remembers between lots.
@@ -46,6 +47,9 @@ CUT = re.compile(r"(?<=\S)(?= )")
 
 _pairs: dict[tuple[str, str], Encoders] = {}
 
+#: Of a chunk: its groups as one text, its groups, numbers of tokens; None where its tokens do not spell it.
+Known = tuple[str, tuple[str, ...], int, int] | None
+
 
 class Encoders:
     """Tokenizer A (byte-level, the ``tokenizers`` file format) and B (a sentencepiece model)."""
@@ -63,39 +67,61 @@ class Encoders:
             self.a_bytes[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        self.known: dict[str, tuple[list[str], int, int] | None] = {}
-
-    def groups(self, chunks: list[str]) -> None:
-        """Learn the groups of chunks, each of which begins with a space."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.number = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.spells = isinstance(self.a, RankCoder)  # its tokens are the bytes of any text
+        self.young: dict[str, Known] = {}
+        self.old: dict[str, Known] = {}
+
+    def known(self, chunks: list[str]) -> list[Known]:
+        """What is known of chunks, each of which begins with a space; the last ``CACHE`` of them are remembered."""
+        old, young = self.old, self.young
+        new = [c for c in chunks if c not in young and c not in old]
+        for c in chunks:
+            if c in old:
+                young[c] = old.pop(c)
         if " " in new:  # the space that ends a text; the library adds none to an empty text
             new.remove(" ")
-            self.known[" "] = self._cut(b" ", self.a(" ").tolist(), [self.b.piece_to_id("▁")])
-        for chunk, b in zip(new, self.b.encode([c[1:] for c in new], num_threads=1) if new else [], strict=True):
-            self.known[chunk] = self._cut(chunk.encode("utf-8", "surrogatepass"), self.a(chunk).tolist(), b)
+            young[" "] = self._cut(" ", self._a_ids(" "), [self.b.piece_to_id("▁")])
+        for c, b in zip(new, self.b.encode([c[1:] for c in new], num_threads=1) if new else [], strict=True):
+            young[c] = self._cut(c, self._a_ids(c), b)
+        out = [young[c] for c in chunks]
+        if len(young) > CACHE // 2:
+            self.old, self.young = young, {}
+        return out
 
-    def _cut(self, text: bytes, a: list[int], b: list[int]) -> tuple[list[str], int, int] | None:
-        if b"".join(map(self.a_bytes.__getitem__, a)) != text or b"".join(map(self.b_bytes.__getitem__, b)) != text:
+    def _a_ids(self, chunk: str) -> list[int]:
+        if self.spells:
+            try:
+                return self.a.encoding.encode_ordinary(chunk)
+            except ValueError:  # refused for its length
+                pass
+        return self.a(chunk).tolist()
+
+    def _cut(self, chunk: str, a: list[int], b: list[int]) -> Known:
+        text = chunk.encode("utf-8", "surrogatepass")
+        if b"".join(map(self.b_bytes.__getitem__, b)) != text or not self.spells and b"".join(map(self.a_bytes.__getitem__, a)) != text:
             return None
-        out, i, j = [], 0, 0
-        at_a = at_b = 0
-        first_a = first_b = 0
-        while i < len(a):
-            if at_a <= at_b:
-                at_a, i = at_a + len(self.a_bytes[a[i]]), i + 1
+        said, join = self.number.__getitem__, ",".join
+        if len(a) == 1 or len(b) == 1:
+            whole = f"{join(map(said, a))}|{join(map(said, b))}"
+            return whole, (whole,), len(a), len(b)
+        a_size, b_size = self.a_size, self.b_size
+        out, j, at_a, at_b, first_a, first_b = [], 0, 0, 0, 0, 0
+        for i, x in enumerate(a):
+            at_a += a_size[x]
             while at_b < at_a:
-                at_b, j = at_b + len(self.b_bytes[b[j]]), j + 1
+                at_b += b_size[b[j]]
+                j += 1
             if at_a == at_b:
-                out.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-        return out, len(a), len(b)
+                out.append(f"{join(map(said, a[first_a : i + 1]))}|{join(map(said, b[first_b:j]))}")
+                first_a, first_b = i + 1, j
+        return ";".join(out), tuple(map(intern, out)), len(a), len(b)
 
     def links(self, group: str) -> Counter:
         """(A id, B id) -> pairs of tokens of the group with overlapping bytes."""
         a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
-        ends = [np.cumsum([len(table[x]) for x in ids]).tolist() for table, ids in ((self.a_bytes, a), (self.b_bytes, b))]
+        ends = [np.cumsum([size[x] for x in ids]).tolist() for size, ids in ((self.a_size, a), (self.b_size, b))]
         out, i, j = Counter(), 0, 0
         while i < len(a) and j < len(b):
             out[a[i], b[j]] += 1
@@ -128,50 +154,54 @@ class _Lot:
         self.by_documents = by_documents
         self.chunk: dict[str, int] = {}
         self.group: dict[str, int] = {}
-        self.texts: list[str | None] = []  # of each chunk, its groups as text; None: no tokens
+        self.texts: list[str] = []  # of each chunk, its groups as one text
+        self.bad: set[int] = set()  # chunks whose tokens do not spell them
         self.tokens: list[tuple[int, int]] = []
         self.of_chunk: list[list[int]] = []
-        self.weight = np.zeros(1024, np.int64)  # of each chunk or, by documents, of each group
-        self.rows: list[tuple] = []
+        self.held: list[tuple[int, ...]] = []  # by documents: the groups that each holds
+        self.rows: list[tuple[str, np.ndarray]] = []
         self.ids: list[pa.Array] = []
         self.bytes = 0
 
-    def _count(self, at: np.ndarray) -> None:
-        while len(self.weight) <= at.max(initial=0):
-            self.weight = np.append(self.weight, np.zeros_like(self.weight))
-        np.add.at(self.weight, at, 1)
+    def _learn(self, chunks: list[str], pair: Encoders) -> None:
+        number = self.group
+        for c, known in zip(chunks, pair.known(chunks), strict=True):
+            self.chunk[c] = k = len(self.texts)
+            text, groups, n_a, n_b = known or ("", (), 0, 0)
+            if known is None:
+                self.bad.add(k)
+            self.texts.append(text)
+            self.tokens.append((n_a, n_b))
+            self.of_chunk.append([number.setdefault(g, len(number)) for g in groups])
 
     def add(self, text: str, pair: Encoders) -> None:
         self.bytes += len(text)
         chunks = CUT.split(" " + text) if text else []
-        new = list(dict.fromkeys(c for c in chunks if c not in self.chunk))
-        pair.groups(new)
-        for c in new:
-            groups, n_a, n_b = pair.known[c] or (None, 0, 0)
-            self.chunk[c] = len(self.texts)
-            self.texts.append(None if groups is None else ";".join(groups))
-            self.tokens.append((n_a, n_b))
-            self.of_chunk.append([self.group.setdefault(g, len(self.group)) for g in groups or ()])
-        at = [self.chunk[c] for c in chunks]
-        said = [self.texts[k] for k in at]
-        if not at or None in said:
-            self.rows.append((0, 0, 0, "", b""))
+        chunk = self.chunk
+        if new := [c for c in dict.fromkeys(chunks) if c not in chunk]:
+            self._learn(new, pair)
+        at = list(map(chunk.__getitem__, chunks))
+        if not at or self.bad and not self.bad.isdisjoint(at):
+            self.rows.append(("", np.zeros(0, np.int32)))
             return
-        uses = np.array(at, np.int64)
-        whole = ";".join(said)
-        a, b = (sum(self.tokens[k][side] for k in at) for side in (0, 1))
-        n = sum(len(self.of_chunk[k]) for k in at)
-        self.rows.append((a, b, n, hashlib.sha256(whole.encode()).hexdigest(), _packed(uses)))
-        self._count(np.array(sorted({g for k in set(at) for g in self.of_chunk[k]})) if self.by_documents else uses)
+        said = ";".join(map(self.texts.__getitem__, at))
+        self.rows.append((hashlib.sha256(said.encode()).hexdigest(), np.array(at, np.int32)))
+        if self.by_documents:
+            self.held.append(tuple({g for k in set(at) for g in self.of_chunk[k]}))
 
     def batches(self, lot: int, names: list[str], id_type: pa.DataType, step: int = 20_000) -> Iterator[pa.RecordBatch]:
-        starts = np.cumsum([0, *map(len, self.of_chunk)])
+        sizes = np.array(list(map(len, self.of_chunk)), np.int64)
         flat = np.array([g for groups in self.of_chunk for g in groups], np.int64)
+        uses = np.concatenate([u for _, u in self.rows])
+        ends = np.cumsum([len(u) for _, u in self.rows])
         if self.by_documents:
-            weight = np.append(self.weight, np.zeros(len(self.group), np.int64))[: len(self.group)]
+            weight = np.bincount(np.array([g for held in self.held for g in held], np.int64), minlength=len(self.group))
         else:
-            each = np.append(self.weight, np.zeros(len(self.texts), np.int64))[: len(self.texts)]
-            weight = np.bincount(flat, np.repeat(each, np.diff(starts)), len(self.group)).astype(np.int64)
+            each = np.bincount(uses, minlength=len(sizes))
+            weight = np.bincount(flat, np.repeat(each, sizes), len(self.group)).astype(np.int64)
+        of_use = np.column_stack((np.array(self.tokens, np.int64).reshape(-1, 2), sizes))[uses]
+        sums = np.vstack((np.zeros((1, 3), np.int64), np.cumsum(of_use, axis=0)))
+        counts = np.diff(sums[np.append(0, ends)], axis=0)
 
         def batch(n: int, kind: int, **of: pa.Array) -> pa.RecordBatch:
             kinds = dict(zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), id_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True))
@@ -182,14 +212,16 @@ class _Lot:
         for k in range(0, len(texts), step):
             part = slice(k, k + step)
             yield batch(len(texts[part]), 0, g=pa.array(range(k, k + len(texts[part])), pa.int32()), group=pa.array(texts[part]), weight=pa.array(weight[part]))
-        chunk_map = _packed(np.concatenate(([len(self.of_chunk)], np.diff(starts), flat)).astype(np.int64))
+        chunk_map = _packed(np.concatenate(([len(sizes)], sizes, flat)))
         yield batch(1, 1, uses=pa.array([chunk_map], pa.binary()))
         ids, at = pa.concat_arrays(self.ids), 0
         for k in range(0, len(self.rows), 500):
-            a, b, n, sha, uses = zip(*self.rows[k : k + 500], strict=True)
-            cols = {"n_a": pa.array(a, pa.int64()), "n_b": pa.array(b, pa.int64()), "n_groups": pa.array(n, pa.int64()), "sha": pa.array(sha), "uses": pa.array(uses, pa.binary())}
-            yield batch(len(a), 2, id=ids.slice(at, len(a)), **cols)
-            at += len(a)
+            sha, used = zip(*self.rows[k : k + 500], strict=True)
+            n = counts[k : k + 500]
+            cols = {c: pa.array(np.ascontiguousarray(n[:, z])) for z, c in enumerate(("n_a", "n_b", "n_groups"))}
+            cols |= {"sha": pa.array(sha), "uses": pa.array([_packed(u) if len(u) else b"" for u in used], pa.binary())}
+            yield batch(len(sha), 2, id=ids.slice(at, len(sha)), **cols)
+            at += len(sha)
 
 
 def encoded_lots(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, by_documents: bool = False, lot_bytes: int = LOT_BYTES) -> DataFrame:
@@ -214,7 +246,7 @@ def encoded_lots(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
         if lot.rows:
             yield from lot.batches(part + k, schema.names, kind)
 
-    return written(df.select(F.col(f"`{id_col}`").alias("_id"), whole_text(f"`{text_col}`").alias("_text")).mapInArrow(run, schema))
+    return written(df.select(named(id_col).alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(run, schema))
 
 
 def group_dictionary(lots: DataFrame) -> DataFrame:
