@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import named, whole_text, written
+from .common import col, whole_text, written
 from .packing import RankCoder, _coder, byte_letters
 
 LOT_BYTES = 8 << 20
@@ -246,7 +246,7 @@ def encoded_lots(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
         if lot.rows:
             yield from lot.batches(part + k, schema.names, kind)
 
-    return written(df.select(named(id_col).alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(run, schema))
+    return written(df.select(col(id_col).alias("_id"), whole_text(text_col).alias("_text")).mapInArrow(run, schema))
 
 
 def group_dictionary(lots: DataFrame) -> DataFrame:

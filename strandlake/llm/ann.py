@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import col, written
 
 PROJECTED, CONFIDENCE, SEED = 10, 0.9, 5
 #: Rows of one block (the lower part of the tree), about, and of one leaf.
@@ -201,7 +201,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     of = df.schema[vec_col].dataType
     kind = "float" if isinstance(of, T.ArrayType) and isinstance(of.elementType, T.FloatType) else "double"
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("v"))
+    rows = df.select(col(id_col).cast("long").alias("id"), col(vec_col).cast(f"array<{kind}>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
     return rows.where(F.size("v") == (size["s"] if size else 0))

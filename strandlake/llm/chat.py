@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import col
+
 #: Strings with a meaning in the formatted text; none may come out of a message.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 TEMPLATE = (
@@ -495,7 +497,7 @@ class Reader:
 
 
 def _sorted(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    said = df.select(conv_col, turn_col, F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("_role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    said = df.select(col(conv_col), col(turn_col), F.coalesce(col(role_col).cast("string"), F.lit("")).alias("_role"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("_text"))
     return said.repartition(conv_col).sortWithinPartitions(conv_col, turn_col, "_role", "_text").select(conv_col, "_role", "_text")
 
 

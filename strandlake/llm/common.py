@@ -70,16 +70,16 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def named(name: str) -> Column:
-    """The column of that name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def col(name: str) -> Column:
+    """The column of that name, which may hold dots and blanks."""
+    return F.col(f"`{name}`")
 
 
 def fold(id_col: str, n: int = 5) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id hashes as the empty text."""
-    text = F.coalesce(named(id_col).cast("string"), F.lit(""))
+    text = F.coalesce(col(id_col).cast("string"), F.lit(""))
     return (F.crc32(text.cast("binary")) % n).cast("int")
 
 
 def whole_text(text_col: str) -> Column:
-    return F.coalesce(named(text_col).cast("string"), F.lit(""))
+    return F.coalesce(col(text_col).cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text
+from .common import col, whole_text
 
 SALTS = 16
 #: A text that more than one in so many rows hold is hot; hence there are fewer hot texts than this.
@@ -38,7 +38,7 @@ def _winners(df: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame
     """One row per distinct text: digest, largest id, number of rows."""
     text = whole_text(text_col)
     rows = df.select(
-        F.col(id_col).alias("_id"),
+        col(id_col).alias("_id"),
         text.alias("_text"),
         F.unhex(F.sha2(text, 256)).alias("_sha"),
         _salt(salts),
@@ -67,7 +67,7 @@ def exact_groups(
     copies = _winners(df, id_col, text_col, salts).where("_n > 1")
     most = max(2, df.count() // HOT)
     hot = copies.where(F.col("_n") > most).select("_sha", F.col("_keep").alias("_hot_keep"), F.col("_n").alias("_hot_n"))
-    rows = df.select(F.col(id_col).alias("_id"), F.sha2(whole_text(text_col), 256).alias("_hex"))
+    rows = df.select(col(id_col).alias("_id"), F.sha2(whole_text(text_col), 256).alias("_hex"))
     rows = rows.withColumn("_sha", F.unhex("_hex")).join(F.broadcast(hot), "_sha", "left")  # fewer than HOT rows
     # what has its winner already is dealt by a number of eight bytes, which is no digest
     done = F.unhex(F.lpad(F.hex(F.xxhash64("_id", F.monotonically_increasing_id())), 16, "0"))
@@ -102,11 +102,11 @@ def exact_dedup(
     others = [c for c in df.columns if c != text_col]
     rows = df.select(
         text.alias("_text"),
-        F.col(text_col).isNull().alias("_null"),
+        col(text_col).isNull().alias("_null"),
         F.unhex(F.sha2(text, 256)).alias("_sha"),
         _salt(salts),
-        F.struct(F.col(id_col), *[F.col(c) for c in plain]).alias("_order"),
-        F.struct(*[F.col(c) for c in others]).alias("_row"),
+        F.struct(col(id_col), *[col(c) for c in plain]).alias("_order"),
+        F.struct(*[col(c) for c in others]).alias("_row"),
     )
     best = [
         F.max_by(F.struct("_row", "_null"), "_order").alias("_best"),

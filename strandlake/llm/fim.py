@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text
+from .common import col, whole_text
 
 #: Markers before the prefix, the suffix and the middle.
 MARKERS = ("<P>", "<S>", "<M>")
@@ -154,8 +154,8 @@ def fill_in_middle(
     texts, repeats and empty tables: as the module says.
     """
     id_type = df.schema[id_col].dataType
-    text = whole_text(f"`{text_col}`")
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
+    text = whole_text(text_col)
+    rows = df.select(col(id_col).alias("_id"), text.alias("_text"))
     sha = F.unhex(F.sha2("_text", 256))
     most = max(2, rows.count() // HOT)
     hot = rows.groupBy(sha.alias("_sha")).count().where(F.col("count") > most)  # fewer than HOT rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import col, written
 
 #: Labelled rows that a classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -21,10 +21,10 @@ def labelled_sample(
     order of rows.  Null ids and labels are left out; an id that is labelled twice has
     its largest label, and rows that repeat an id all count.  ``where`` may filter on ``_id``.
     """
-    named = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label")).dropna()
+    named = labels.select(col(id_col).alias("_id"), col(label).cast("int").alias("label")).dropna()
     if where is not None:
         named = named.where(where)
     named = named.groupBy("_id").agg(F.max("label").alias("label"))
     picked = named.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(col(id_col).alias("_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     return written(texts.join(F.broadcast(picked), "_id").select("_id", "label", "text"))  # broadcast: ``rows`` rows at most

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, written
+from .common import drop_written, col, written
 
 #: Bits of a filter for each level that it stores, and bits that are set for one.
 BITS_PER_LEVEL, PROBES = 8, 3
@@ -548,8 +548,8 @@ def lm_scores(df: DataFrame, train_where: Column, id_col: str = "doc_id", text_c
     tokens every word has the same probability of 1 in the base score.  Texts of any length are whole (a lot of
     documents has one at least); an empty table gives an empty result; other columns take no part.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
-    of = lots(df.select(F.col(id_col), text, F.coalesce(train_where.cast("boolean"), F.lit(False)).alias("_learn")))
+    text = F.coalesce(col(text_col).cast("string"), F.lit("")).alias("_text")
+    of = lots(df.select(col(id_col), text, F.coalesce(train_where.cast("boolean"), F.lit(False)).alias("_learn")))
     model, counts = train(of)
     shared = df.sparkSession.sparkContext.broadcast(frequent_words(counts, head))
     scores = model.formula()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import col, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -138,7 +138,7 @@ def token_pieces(
                 cols.append(pa.array(data, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
+    return df.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written
+from .common import drop_written, col
 from .labelled import SAMPLE_ROWS, labelled_sample
 
 BUCKETS, SYMBOLS, DIM, NONZERO = 8192, 512, 32, 4
@@ -90,24 +90,24 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 for k in range(NONZERO):
                     total += np.bincount(a * DIM + places[z, k], signs[z, k], total.size)
                     total += np.bincount(z * DIM + places[a, k], signs[a, k], total.size)
-        data = [x.astype("<f4").tobytes() for x in np.split(total, CHUNKS)]
+        data = [x.astype("<f8").tobytes() for x in np.split(total, CHUNKS)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(data, pa.binary())], names=["chunk", "data"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[chunk] = held.get(chunk, 0.0) + np.frombuffer(data, "<f4").astype(np.float64)
+                held[chunk] = held.get(chunk, 0.0) + np.frombuffer(data, "<f8")
         if held:
-            data = [x.astype("<f4").tobytes() for x in held.values()]
+            data = [x.astype("<f8").tobytes() for x in held.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "data"])
 
     schema = "chunk int, data binary"
-    partial = docs.select(F.col(text_col).cast("string")).mapInArrow(sums, schema)
+    partial = docs.select(col(text_col).cast("string")).mapInArrow(sums, schema)
     whole = partial.repartition(CHUNKS, "chunk").mapInArrow(added, schema).collect()  # BUCKETS x DIM floats, whatever the input
     total = np.zeros((CHUNKS, BUCKETS * DIM // CHUNKS), np.float32)
     for chunk, data in whole:
-        total[chunk] = np.frombuffer(data, "<f4")
+        total[chunk] = np.frombuffer(data, "<f8")  # sums of whole numbers, so their order does not matter
     vectors = total.reshape(BUCKETS, DIM)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     own = np.zeros((BUCKETS, DIM), np.float32)
@@ -212,7 +212,7 @@ def quality_scores(
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     columns = docs.columns if keep else [id_col]
     names = {"score": _free("score", columns), "predicted": _free("predicted", columns)} if keep else {"score": "score", "predicted": "predicted"}
-    picked = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
+    picked = docs.select(*map(col, columns), col(text_col).cast("string").alias(_free("_text", columns)))
     schema = T.StructType([*picked.schema.fields[:-1], T.StructField(names["score"], T.DoubleType()), T.StructField(names["predicted"], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,4 +236,4 @@ def _free(name: str, taken: list[str]) -> str:
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = SAMPLE_ROWS, where=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
     scored = quality_scores(docs, labels, threshold, rows, where, True, id_col, text_col)
-    return scored.where(F.col(_free("predicted", docs.columns)) == 1).select(*docs.columns)
+    return scored.where(col(_free("predicted", docs.columns)) == 1).select(*map(col, docs.columns))

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import col, whole_text
 
 #: White space that parts words, for patterns and as the characters themselves.
 BLANK, BLANKS = "[\\x20\\x09-\\x0D]", " \t\n\x0b\x0c\r"
@@ -164,8 +164,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Nulls, blanks, repeated rows and empty tables: as the module says.  Other columns take no part, whatever their names.
     """
-    keep = F.col(f"`{id_col}`").alias("_id")
-    return _judged(_cleaned(df, f"`{text_col}`", [keep]), "_id").withColumnRenamed("_id", id_col)
+    keep = col(id_col).alias("_id")
+    return _judged(_cleaned(df, text_col, [keep]), "_id").withColumnRenamed("_id", id_col)
 
 
 def clean_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -173,9 +173,9 @@ def clean_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     A null text has no words, so its row goes.
     """
-    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]) if len(df.columns) > 1 else F.lit(None)
+    rest = F.struct(*[col(c) for c in df.columns if c != text_col]) if len(df.columns) > 1 else F.lit(None)
     stay = F.transform(F.filter("_lines", lambda x: ~x["fails"]), lambda x: x["line"])
-    cleaned = _cleaned(df, f"`{text_col}`", [rest.alias("_row")]).withColumn("_new", F.array_join(stay, "\n"))
+    cleaned = _cleaned(df, text_col, [rest.alias("_row")]).withColumn("_new", F.array_join(stay, "\n"))
     kept = _judged(cleaned, "_row", "_new").where("kept")
     return kept.select(*[F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in df.columns])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import col, written
 from .components import connected_components
 from .verify import shingle_sets, verified_links
 
@@ -82,7 +82,7 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             fps = np.array(rows, np.uint64).reshape(-1, wide + 1).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, n]) for n in range(wide + 1)]], names=schema.names)
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 # -- statistics of all fingerprints ------------------------------------------------
@@ -403,12 +403,12 @@ def near_groups(
     it are null.  An empty table gives an empty result.
     """
     marks = written(simhash(df, id_col, text_col, words))
-    distinct = written(marks.groupBy("fp").agg(F.min(id_col).alias("_least")))
+    distinct = written(marks.groupBy("fp").agg(F.min(col(id_col)).alias("_least")))
     roots = connected_components(fingerprint_links(distinct, max_bits))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
     of_fp = named.select("fp", "root").join(least, "root").drop("root")
-    return marks.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    return marks.join(of_fp, "fp").select(col(id_col), "fp", "component_id")
 
 
 #: near_dedup: further words of 64 bits, differing bits of all 256 up to which every pair is a candidate, and up to
@@ -434,7 +434,7 @@ def near_dedup(
     extra columns may have any name.
     """
     names = ["fp", *[f"w{n + 1}" for n in range(WIDE)]]
-    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    id_, text = col(id_col), col(text_col)
     ids = df.select(id_.alias("_id"), text.cast("string").alias("_text")).where("_id is not null")
     marks = written(simhash(ids, "_id", "_text", words, WIDE))
     # nodes have names of their own, since ids may be of any type; written, so that the names last
@@ -454,4 +454,4 @@ def near_dedup(
     while free in df.columns:
         free = "_" + free
     gone = gone.withColumnRenamed("_gone", free)
-    return df.join(gone, id_ == gone[free], "left_anti")
+    return df.join(gone, id_ == col(free), "left_anti")

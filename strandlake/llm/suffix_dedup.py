@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, whole_text, written
+from .common import drop_written, col, whole_text, written
 
 LENGTH, GRAM = 400, 64
 #: Contexts of one anchor that are sorted in one task.
@@ -446,7 +446,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
     text = whole_text(text_col)
-    return [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text")]
+    return [col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text")]
 
 
 def merged(spans: list) -> list[list[int]]:
@@ -498,7 +498,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only whole characters go: one that is only partly covered stays.  A null text stays null.  Other columns may have
     any name and come back as they are.
     """
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *_keys(id_col, text_col))
+    rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), *_keys(id_col, text_col))
     spans = repeated_intervals(rows.select("_id", "_th", "_text"), length, gram, group).groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     @F.pandas_udf(T.StringType())

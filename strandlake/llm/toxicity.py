@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written
+from .common import drop_written, col
 from .labelled import SAMPLE_ROWS, labelled_sample
 
 #: Words that the model may weigh.
@@ -170,4 +170,4 @@ def toxicity_scores(
             cols = [b.column(0), pa.array((1 - below).sum(axis=1)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= threshold)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, schema)
