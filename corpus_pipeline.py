@@ -38,9 +38,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are similar, keep the smallest doc_id: five-word shingles, a similarity of 0.8 or more as 256-bit signatures tell it.
+    """Of documents that are similar, keep the smallest doc_id: five-word shingles, a similarity of 0.8 or more.
 
-    README says how many pairs of which similarity that finds.  Rows without an id stay.
+    Candidates come from 256-bit signatures and are compared on their sets of shingles.  Rows without an id stay.
     """
     return near_dedup(docs, words=5)
 
