@@ -349,7 +349,7 @@ def bpe_encode(
                     cols = [batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), flat)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return df.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
+    return df.select(col(id_col).alias("_id"), col(text_col).cast("string").alias("_text")).mapInArrow(run, T.StructType(fields))
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -362,4 +362,4 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
             data = [replay.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=schema.names)
 
-    return df.select(col(id_col), col(ids_col)).mapInArrow(run, schema)
+    return df.select(col(id_col).alias("_id"), col(ids_col).alias("_ids")).mapInArrow(run, schema)

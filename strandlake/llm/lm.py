@@ -549,7 +549,7 @@ def lm_scores(df: DataFrame, train_where: Column, id_col: str = "doc_id", text_c
     documents has one at least); an empty table gives an empty result; other columns take no part.
     """
     text = F.coalesce(col(text_col).cast("string"), F.lit("")).alias("_text")
-    of = lots(df.select(col(id_col), text, F.coalesce(train_where.cast("boolean"), F.lit(False)).alias("_learn")))
+    of = lots(df.select(col(id_col).alias("_id"), text, F.coalesce(train_where.cast("boolean"), F.lit(False)).alias("_learn")))
     model, counts = train(of)
     shared = df.sparkSession.sparkContext.broadcast(frequent_words(counts, head))
     scores = model.formula()

@@ -138,7 +138,7 @@ def token_pieces(
                 cols.append(pa.array(data, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return df.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, T.StructType(fields))
+    return df.select(col(id_col).alias("_id"), col(text_col).cast("string").alias("_text")).mapInArrow(run, T.StructType(fields))
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

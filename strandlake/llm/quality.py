@@ -103,7 +103,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "data"])
 
     schema = "chunk int, data binary"
-    partial = docs.select(col(text_col).cast("string")).mapInArrow(sums, schema)
+    partial = docs.select(col(text_col).cast("string").alias("_text")).mapInArrow(sums, schema)
     whole = partial.repartition(CHUNKS, "chunk").mapInArrow(added, schema).collect()  # BUCKETS x DIM floats, whatever the input
     total = np.zeros((CHUNKS, BUCKETS * DIM // CHUNKS), np.float32)
     for chunk, data in whole:
@@ -212,8 +212,8 @@ def quality_scores(
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
     columns = docs.columns if keep else [id_col]
     names = {"score": _free("score", columns), "predicted": _free("predicted", columns)} if keep else {"score": "score", "predicted": "predicted"}
-    picked = docs.select(*map(col, columns), col(text_col).cast("string").alias(_free("_text", columns)))
-    schema = T.StructType([*picked.schema.fields[:-1], T.StructField(names["score"], T.DoubleType()), T.StructField(names["predicted"], T.IntegerType())])
+    picked = docs.select(*[col(c).alias(f"_{k}") for k, c in enumerate(columns)], col(text_col).cast("string").alias("_text"))  # plain names for the workers
+    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField(names["score"], T.DoubleType()), T.StructField(names["predicted"], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = shared.value

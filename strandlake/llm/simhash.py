@@ -82,7 +82,7 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             fps = np.array(rows, np.uint64).reshape(-1, wide + 1).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, n]) for n in range(wide + 1)]], names=schema.names)
 
-    return df.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(col(id_col).alias("_id"), col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 # -- statistics of all fingerprints ------------------------------------------------

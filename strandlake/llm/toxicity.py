@@ -170,4 +170,4 @@ def toxicity_scores(
             cols = [b.column(0), pa.array((1 - below).sum(axis=1)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= threshold)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(col(id_col).alias("_id"), col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
