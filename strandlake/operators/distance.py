@@ -23,6 +23,32 @@ def row_pairs(packed: DataFrame, *by: str) -> DataFrame:
     return met.select(*by, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), codes("u", "v").alias("a"), codes("v", "u").alias("b"))
 
 
+def near_rows(packed: DataFrame, least: float) -> DataFrame:
+    """i, j, d of the pairs of rows with identity of ``least`` or more, and of no others.
+
+    Rows that differ in at most m columns agree in one of m + 1 blocks of columns.  So rows meet by block and what
+    stands in it, each pair in the first block where it agrees, and are counted through; blocks take every (m + 1)-th
+    column, which spreads conserved stretches over all of them.  Many rows with equal blocks are dealt in tiles.  Where
+    m + 1 blocks would be more than there are columns, all pairs of rows are compared.
+    """
+    width = packed.select(F.size("codes")).first()
+    allowed = int((1 - least) * width[0] + 1e-9) if width else 0
+    blocks = allowed + 1
+    if width and blocks > width[0]:
+        return identity_distance(packed).where(F.col("d") <= 1 - least + 1e-12)
+    last = F.size("codes") - 1
+    key = lambda b: F.transform(F.sequence(b, last, F.lit(blocks)), lambda c: F.get("codes", c))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(b.alias("b"), key(b).alias("key")))
+    rows = packed.select("seq_idx", "codes", F.explode(cut).alias("x")).select("seq_idx", "codes", "x.b", "x.key")
+    left, right, on = tiled(rows, "seq_idx", ["b", "key"])
+    met = left.withColumnsRenamed({"seq_idx": "x", "codes": "u"}).join(right.withColumnsRenamed({"seq_idx": "y", "codes": "v"}), on).where(once("x", "y"))
+    apart = F.filter(F.zip_with("u", F.sequence(F.lit(0), F.size("u") - 1), lambda a, c: F.when(a != F.get("v", c), c)), lambda c: c.isNotNull())
+    found = met.select("b", "x", "y", F.size("u").alias("n"), apart.alias("apart")).where(F.size("apart") <= allowed)
+    dirty = F.array_distinct(F.transform("apart", lambda c: c % blocks))  # blocks in which the rows differ
+    first = found.where(F.size(F.filter(dirty, lambda x: x < F.col("b"))) == F.col("b"))
+    return first.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.size("apart") / F.col("n")).alias("d"))
+
+
 def _count(cells: Column) -> Column:
     return F.aggregate(cells, F.lit(0), lambda n, x: n + x)
 

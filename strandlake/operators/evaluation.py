@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .pairs import running
@@ -99,24 +103,56 @@ def hypergeometric_sf(counts: DataFrame, most: int) -> DataFrame:
     return p
 
 
-def signed_rank(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """by..., n, w_plus, w_minus, statistic, z of the Wilcoxon signed-rank test of (a, b) pairs.
+#: Pairs up to which the distribution of the signed-rank statistic is counted exactly.
+EXACT_PAIRS = 50
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_two_sided(z: pd.Series) -> pd.Series:
+    """Probability of a standard normal value as far from 0 as z or farther."""
+    return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
+
+
+def rank_sum_tail(doubled: Column, upto: Column) -> Column:
+    """P(sum of a random subset <= upto) for the whole numbers ``doubled`` (array), by counting subset sums.
+
+    An array holds the probability of each sum; each number moves half of it up by itself.
+    """
+    total = F.aggregate(doubled, F.lit(0), lambda s, r: s + r)
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), total))
+
+    def step(p: Column, r: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0.0), r), F.slice(p, F.lit(1), F.size(p) - r))
+        return F.zip_with(p, moved, lambda x, y: (x + y) / 2)
+
+    return F.aggregate(F.slice(F.aggregate(doubled, start, step), F.lit(1), upto + 1), F.lit(0.0), lambda s, x: s + x)
+
+
+def signed_rank(pairs: DataFrame, by: list[str], exact_pairs: int = EXACT_PAIRS) -> DataFrame:
+    """by..., n, w_plus, w_minus, statistic, z, p_exact, p_value of the two-sided Wilcoxon signed-rank test of (a, b) pairs.
 
-    Zero differences are left out; tied differences share their mean rank.  z is the normal
-    approximation with the tie correction (null where it has no deviation).
+    Zero differences are left out; tied differences share their mean rank.  z is the normal approximation with the tie
+    correction (null where it has no deviation).  p_exact counts all 2^n ways to give signs to the ranks, ties
+    included, for up to ``exact_pairs`` differences (else null); p_value is p_exact, or else that of z.
     """
     diff = pairs.select(*by, F.round(F.col("a") - F.col("b"), 9).alias("d")).where("d <> 0")
     size = diff.groupBy(*by, F.abs("d").alias("_m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = size.withColumn("rank", before + (F.col("t") + 1) / 2)
+    order = Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("t").over(order), F.lit(0))
+    ranks = size.withColumn("_before", before).withColumn("rank", F.col("_before") + (F.col("t") + 1) / 2)
+    # the ranks themselves, doubled so that they are whole, of groups that are counted exactly
+    few = F.when(F.col("_before") + F.col("t") <= exact_pairs, F.array_repeat((2 * F.col("rank")).cast("int"), F.col("t").cast("int")))
     got = ranks.groupBy(*by).agg(
         F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("w_minus"),
-        F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"),
+        F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"), F.flatten(F.collect_list(few)).alias("_ranks"),
     )
     n = F.col("n").cast("double")
     deviation = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     statistic = F.least("w_plus", "w_minus")
-    return got.select(*by, "n", "w_plus", "w_minus", statistic.alias("statistic"), F.try_divide(statistic - n * (n + 1) / 4, deviation).alias("z"))
+    out = got.select(*by, "n", "w_plus", "w_minus", statistic.alias("statistic"), F.try_divide(statistic - n * (n + 1) / 4, deviation).alias("z"), "_ranks")
+    tail = rank_sum_tail(F.col("_ranks"), (2 * F.col("statistic")).cast("int"))
+    out = out.withColumn("p_exact", F.when(F.col("n") <= exact_pairs, F.least(F.lit(1.0), 2 * tail))).drop("_ranks")
+    return out.withColumn("p_value", F.coalesce("p_exact", normal_two_sided("z")))
 
 
 def significance(p: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -16,6 +17,20 @@ from pyspark.sql.window import Window
 TILE = 512
 
 
+def _checkpoint_root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    return root
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the shared folder that spark.checkpoint.dir names."""
+    return f"{_checkpoint_root(spark).rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder that spark.checkpoint.dir names; its lineage ends here.
 
@@ -23,12 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = f"{tempfile.gettempdir()}/checkpoints"
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(_checkpoint_root(df.sparkSession))
     return df.checkpoint()
 
 
@@ -43,14 +53,16 @@ def importable(df: DataFrame) -> DataFrame:
 def tiled(rows: DataFrame, key: str, by: list[str], size: int = TILE) -> tuple[DataFrame, DataFrame, list[str]]:
     """(left, right, columns to join by) so that each unordered pair of rows of a ``by`` group meets in one tile.
 
-    Rows are dealt into parts by a hash of ``key``; the pairs of two parts are a tile, hence no task gets a
-    whole group.  Rows of one part meet both ways round: :func:`once` says which way counts.
+    Rows are dealt into parts by a hash of ``key``, as many as their own group needs; the pairs of two parts are a tile,
+    hence no task gets a whole group, and a small group beside a large one is not copied.  Rows of one part meet both
+    ways round: :func:`once` says which way counts.
     """
-    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-most // size))
-    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-    left = rows.withColumn("_p", part).withColumn("_q", F.explode(F.sequence("_p", F.lit(parts - 1))))
-    right = rows.withColumn("_q", part).withColumn("_p", F.explode(F.sequence(F.lit(0), "_q")))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    held = rows.join(sizes, by) if by else rows.crossJoin(F.broadcast(sizes))  # one row
+    parts = F.ceil(F.col("_n") / size).cast("int")
+    dealt = held.withColumn("_part", F.pmod(F.xxhash64(key), parts).cast("int"))
+    left = dealt.select(*rows.columns, F.col("_part").alias("_p"), F.explode(F.sequence("_part", parts - 1)).alias("_q"))
+    right = dealt.select(*rows.columns, F.explode(F.sequence(F.lit(0), "_part")).alias("_p"), F.col("_part").alias("_q"))
     return left, right, [*by, "_p", "_q"]
 
 

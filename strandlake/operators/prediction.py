@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import evaluation, ranking, structure
 from .pairs import cut, importable
@@ -97,11 +98,32 @@ def curve_points(rows: DataFrame, by: list[str], score: str = "score", truth: st
     )
 
 
-def evaluate(frame: DataFrame, length: int, parts: int = 10) -> DataFrame:
+def clustering_summary(frame: DataFrame, distances: DataFrame, length: int, biased: bool = True, method: str = "Top") -> DataFrame:
+    """One row: max_z, auc_z of how far the residues of the best pairs cluster on the structure.
+
+    Pairs are taken in order of coverage; at each coverage the residues seen so far have a z-score, and the curve runs
+    over the largest coverage of their positions.  auc_z is its area by trapezoids; coverages without a z-score are left out.
+    distances: (res_i, res_j, distance) of the structure; ``biased`` weighs a contact by its separation.
+    """
+    rows = cut(relevant(frame, length, coverage=1.0, method=method).select("res_i", "res_j", "coverage", F.greatest("pos_i_coverage", "pos_j_coverage").alias("seen")))
+    first = rows.select(F.explode(F.array("res_i", "res_j")).alias("res"), "coverage").groupBy("res").agg(F.min("coverage").alias("cut"))
+    curve = structure.clustering_curve(first, structure.contact_weights(distances, biased), first.count())
+    at = rows.groupBy(F.col("coverage").alias("cut")).agg(F.max("seen").alias("seen"))
+    order = Window.orderBy("cut")  # one row per distinct coverage
+    seen = at.select("cut", F.max("seen").over(order).alias("x"))
+    # a coverage that adds no residue keeps the z-score of the one before
+    known = seen.join(curve.select("cut", "z_score"), "cut", "left").withColumn("z", F.last("z_score", ignorenulls=True).over(order)).dropna(subset=["z"])
+    step = (F.col("x") - F.lag("x").over(order)) * (F.col("z") + F.lag("z").over(order)) / 2
+    return known.select("z", step.alias("a")).agg(F.max("z").alias("max_z"), F.sum("a").alias("auc_z"))
+
+
+def evaluate(frame: DataFrame, length: int, parts: int = 10, distances: DataFrame | None = None) -> DataFrame:
     """A whole evaluation of pair predictions: for each set of separation categories its auroc and auprc, and for the
     first L, L/2, ... L/``parts`` places precision, recall and f1 of the confident predictions.
 
-    category_set, auroc, auprc, top, n, precision, recall, f1; undefined precision, recall and f1 are 0.
+    category_set, auroc, auprc, top, n, precision, recall, f1; undefined precision, recall and f1 are 0.  With the
+    ``distances`` of the structure also max_biased_z, auc_biased_z, max_unbiased_z, auc_unbiased_z, which are the same in
+    all rows: see :func:`clustering_summary`.
     """
     mapped = frame.dropna(subset=["res_i", "res_j"])
     rows = cut(evaluation.in_category_sets(mapped).withColumn("truth", F.col("contact").cast("int")).withColumn("score", -F.col("coverage")))
@@ -116,10 +138,14 @@ def evaluate(frame: DataFrame, length: int, parts: int = 10) -> DataFrame:
     precision, recall = zero(F.try_divide("tp", "said")), zero(F.try_divide("tp", "p"))
     got = every.join(counts, ["category_set", "k"], "left")
     top = F.when(F.col("k") == 1, "L").otherwise(F.concat(F.lit("L/"), F.col("k").cast("string")))
-    return got.select(
+    shown = got.select(
         "category_set", "auroc", "auprc", top.alias("top"), F.coalesce("n", F.lit(0)).alias("n"), precision.alias("precision"), recall.alias("recall"),
         zero(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"),
     )
+    for name, biased in (("biased", True), ("unbiased", False)) if distances is not None else ():
+        one = clustering_summary(frame, distances, length, biased).select(F.col("max_z").alias(f"max_{name}_z"), F.col("auc_z").alias(f"auc_{name}_z"))
+        shown = shown.crossJoin(F.broadcast(one))  # one row
+    return shown
 
 
 def best_chain(sequences: DataFrame, chains: DataFrame, score=None, gap_open: float = -10.0, gap_extend: float = -0.5) -> DataFrame:

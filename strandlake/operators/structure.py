@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,39 +131,93 @@ def clustering_curve(first_seen: DataFrame, contacts: DataFrame, size: int) -> D
     return run.crossJoin(F.broadcast(clustering_background(contacts))).select("cut", "residues", "w", z.alias("z_score"))  # one row
 
 
+#: Diagonals whose choices are held at once; longer stretches are halved.
+HELD = 256
+
+
+class _Wavefront:
+    """Global alignment with affine gaps, a whole anti-diagonal at a time.
+
+    Scores of a cell are kept for three states: its letters aligned (0), a gap in b (1), a gap in a (2).
+    A diagonal needs only the two before it.  To trace back through a stretch of diagonals, it is halved: the second
+    half is done from the diagonals in the middle, then the first, and only ``HELD`` diagonals hold their choices.  So memory
+    is linear in the lengths (times a logarithm), and what is chosen is the same as with a full table.
+    """
+
+    def __init__(self, a: str, b: str, score, gap_open: float, gap_extend: float):
+        self.n, self.m = len(a), len(b)
+        letters = sorted(set(a) | set(b))
+        code = {c: k for k, c in enumerate(letters)}
+        self.table = np.array([[float(score(x, y)) for y in letters] for x in letters]).reshape(len(letters), len(letters))
+        self.a, self.b = (np.array([code[c] for c in x], int) for x in (a, b))
+        self.step = np.full((3, 3), float(gap_open))  # from a state (row) into a gap (1, 2)
+        self.step[1, 1] = self.step[2, 2] = float(gap_extend)
+
+    def diagonal(self, d: int, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states x rows of cells) of diagonal d, and from which state each came, from those of d - 2 and d - 1."""
+        now, came = np.full((3, self.n + 1), -np.inf), np.zeros((3, self.n + 1), np.int8)
+        lo, hi = max(0, d - self.m), min(self.n, d)
+        i = np.arange(max(lo, 1), min(hi, d - 1) + 1)
+        if len(i):
+            before = two[:, i - 1]
+            k = before.argmax(axis=0)
+            now[0, i] = before[k, np.arange(len(i))] + self.table[self.a[i - 1], self.b[d - i - 1]]
+            came[0, i] = k
+        for state, i, back in ((1, np.arange(max(lo, 1), hi + 1), 1), (2, np.arange(lo, min(hi, d - 1) + 1), 0)):
+            if len(i):
+                before = one[:, i - back] + self.step[:, state, None]
+                k = before.argmax(axis=0)
+                now[state, i] = before[k, np.arange(len(i))]
+                came[state, i] = k
+        return now, came
+
+    def solve(self) -> tuple[float, list[tuple[int, int]]]:
+        empty = np.full((3, self.n + 1), -np.inf)
+        first = empty.copy()
+        first[0, 0] = 0.0
+        last = self.n + self.m
+        two, one = empty, first
+        for d in range(1, last + 1):
+            two, one = one, self.diagonal(d, two, one)[0]
+        end = one[:, self.n]
+        state = int(end.argmax())
+        self.pairs: list[tuple[int, int]] = []
+        self._trace(0, last, empty, first, self.n, state)
+        return float(end[state]), self.pairs[::-1]
+
+    def _trace(self, lo: int, hi: int, two: np.ndarray, one: np.ndarray, i: int, state: int) -> tuple[int, int, int]:
+        """Walk back from cell (i, hi - i) to the first cell on diagonal ``lo`` or before; two, one: diagonals lo - 1 and lo.
+
+        Returns the cell reached: its diagonal, row and state.
+        """
+        if hi - lo > HELD:
+            mid, x, y = (lo + hi) // 2, two, one
+            for d in range(lo + 1, mid + 1):
+                x, y = y, self.diagonal(d, x, y)[0]
+            d, i, state = self._trace(mid, hi, x, y, i, state)
+            return self._trace(lo, d, two, one, i, state) if d > lo else (d, i, state)
+        chosen = []
+        for d in range(lo + 1, hi + 1):
+            now, came = self.diagonal(d, two, one)
+            two, one = one, now
+            chosen.append(came)
+        d = hi
+        while d > lo:
+            came = int(chosen[d - lo - 1][state, i])
+            if state == 0:
+                self.pairs.append((i - 1, d - i - 1))
+                i, d = i - 1, d - 2
+            elif state == 1:
+                i, d = i - 1, d - 1
+            else:
+                d -= 1
+            state = came
+        return d, i, state
+
+
 def global_alignment(a: str, b: str, score, gap_open: float = -10.0, gap_extend: float = -0.5) -> tuple[float, list[tuple[int, int]]]:
     """Best global alignment with affine gaps: (score, aligned index pairs); ends cost like other gaps.
 
-    Ties prefer a match, then a gap in b, then a gap in a.
+    Ties prefer a match, then a gap in b, then a gap in a.  Memory is linear in the lengths, see :class:`_Wavefront`.
     """
-    n, m, low = len(a), len(b), -math.inf
-    best = [[low] * (m + 1) for _ in range(3 * (n + 1))]
-    back = [[0] * (m + 1) for _ in range(3 * (n + 1))]
-    best[0][0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if i and j:
-                came = [best[3 * (i - 1) + s][j - 1] for s in range(3)]
-                k = max(range(3), key=lambda s: (came[s], -s))
-                best[3 * i][j], back[3 * i][j] = came[k] + score(a[i - 1], b[j - 1]), k
-            if i:
-                came = [best[3 * (i - 1) + s][j] + (gap_extend if s == 1 else gap_open) for s in range(3)]
-                k = max(range(3), key=lambda s: (came[s], -s))
-                best[3 * i + 1][j], back[3 * i + 1][j] = came[k], k
-            if j:
-                came = [best[3 * i + s][j - 1] + (gap_extend if s == 2 else gap_open) for s in range(3)]
-                k = max(range(3), key=lambda s: (came[s], -s))
-                best[3 * i + 2][j], back[3 * i + 2][j] = came[k], k
-    state = max(range(3), key=lambda s: (best[3 * n + s][m], -s))
-    total, i, j, pairs = best[3 * n + state][m], n, m, []
-    while i or j:
-        came = back[3 * i + state][j]
-        if state == 0:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif state == 1:
-            i -= 1
-        else:
-            j -= 1
-        state = came
-    return total, pairs[::-1]
+    return _Wavefront(a, b, score, gap_open, gap_extend).solve()

@@ -10,16 +10,17 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schemas import TREE_NODE
 from .agglomerate import join_order, tree_rows
-from .pairs import cut
+from .pairs import cut, importable
 
 EULER = 0.57721566490153286061
 
@@ -27,20 +28,10 @@ EULER = 0.57721566490153286061
 Node = tuple[str, str | None, int | None, bool, float]
 
 
-#: Rows of an alignment that a tree is made of, at most: the driver holds their distances.
+#: Leaves of a tree whose order from the bottom up is made on the driver, at most.
 MOST_LEAVES = 20_000
 
 
-def square(pairs: Iterable[tuple[int, int, float]], ids: list[int]) -> np.ndarray:
-    if len(ids) > MOST_LEAVES:
-        raise ValueError(f"a tree of {len(ids)} rows is too large: its distances are merged on the driver, {MOST_LEAVES} rows at most")
-    at = {r: k for k, r in enumerate(ids)}
-    out = np.zeros((len(ids), len(ids)))
-    for i, j, d in pairs:
-        out[at[i], at[j]] = out[at[j], at[i]] = d
-    return out
-
-
 def agglomerate(d: np.ndarray, names: list[str], method: str = "upgma_first") -> list[Node]:
     """The tree of a small matrix of distances: :func:`agglomerate.agglomerated` in one piece."""
     work = np.array(d, float)
@@ -52,62 +43,86 @@ def tree_frame(spark: SparkSession, nodes: list[Node]) -> DataFrame:
     return spark.createDataFrame(nodes, TREE_NODE)
 
 
-def parse_newick(text: str) -> list[Node]:
-    """Nodes of a Newick string; unnamed inner nodes are numbered from the root down by distance."""
-    tokens = re.findall(r"\(|\)|,|;|:[^,();]+|'(?:[^']|'')*'|[^,():;\s][^,():;]*", text.strip())
-    at = 0
-    parents: dict[int, int | None] = {}
-    info: dict[int, list] = {}
-
-    def node(parent: int | None) -> int:
-        nonlocal at
-        me = len(info)
-        info[me], parents[me] = ["", 0.0, True], parent
-        if at < len(tokens) and tokens[at] == "(":
-            info[me][2] = False
-            while True:
-                at += 1
-                node(me)
-                if at >= len(tokens) or tokens[at] not in ",)":
-                    raise ValueError("unbalanced Newick string")
-                if tokens[at] == ")":
-                    at += 1
-                    break
-        if at < len(tokens) and tokens[at] not in "(),;" and not tokens[at].startswith(":"):
-            info[me][0] = tokens[at].strip().strip("'").replace("''", "'")
-            at += 1
-        if at < len(tokens) and tokens[at].startswith(":"):
-            info[me][1] = float(tokens[at][1:])
-            at += 1
-        return me
-
-    node(None)
-    distance = {k: (distance_of(k, parents, info)) for k in info}
-    inner = sorted((k for k in info if not info[k][2]), key=lambda k: (distance[k], k))
-    number = {k: r + 1 for r, k in enumerate(inner)}
-    name = {k: info[k][0] if info[k][2] else f"Inner{number[k]}" for k in info}
-    return [(name[k], None if parents[k] is None else name[parents[k]], number.get(k), info[k][2], float(info[k][1])) for k in info]
-
-
-def distance_of(k: int, parents: dict, info: dict) -> float:
-    total = 0.0
-    while k is not None:
-        total += info[k][1]
-        k = parents[k]
-    return total
+#: An opening bracket, or a node: a closing bracket or nothing, a name that may be quoted, a length.
+_TOKEN = r"\(|(\)?)\s*('(?:[^']|'')*'|[^(),:;'\s][^(),:;]*)?(?:\s*:\s*([^(),:;]+))?\s*(?=[,);]|$)"
+
+
+def newick_trees(texts: DataFrame, by: str = "tree", text: str = "newick") -> DataFrame:
+    """(by, node, parent, inner_no, is_leaf, branch_length) of many Newick texts at once.
+
+    No recursion and no stack: brackets are counted along the text, so that the depth of each place is a running sum.
+    A node that closes at a depth is the parent of what stands one deeper before it, up to the last one that closed
+    there: the next closing bracket of that depth.  The sum of lengths above a node is a running sum too, an inner
+    node's length being added at its opening bracket and taken off at its closing one.  Inner nodes are named by their
+    distance from the root, then by where they open.  Brackets that do not match raise an error.
+    """
+    found = texts.select(by, F.posexplode(F.regexp_extract_all(F.trim(F.regexp_replace(text, r";\s*$", "")), F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+    part = lambda g: F.regexp_extract("token", _TOKEN, g)
+    opens, closes = F.col("token").startswith("("), F.col("token").startswith(")")
+    marks = found.where("token <> ''").select(by, "pos", opens.alias("opens"), closes.alias("closes"), part(2).alias("label"), F.coalesce(part(3).try_cast("double"), F.lit(0.0)).alias("length"))
+    along = Window.partitionBy(by).orderBy("pos")
+    step = F.col("opens").cast("int") - F.col("closes").cast("int")
+    placed = marks.withColumn("after", F.sum(step).over(along)).withColumn("level", F.col("after") - F.col("opens").cast("int"))  # of a bracket, outside it
+    least, last = (f("after").over(Window.partitionBy(by)) for f in (F.min, lambda c: F.max_by(c, "pos")))
+    wrong = (least < 0) | (last != 0)
+    placed = placed.withColumn("level", F.when(wrong, F.raise_error(F.lit("unbalanced Newick string")).cast("int")).otherwise(F.col("level")))
+    # the bracket that a closing one belongs to is the last opening one at its level, and the other way round
+    same = Window.partitionBy(by, "level").orderBy("pos")
+    until, on = same.rowsBetween(Window.unboundedPreceding, 0), same.rowsBetween(0, Window.unboundedFollowing)
+    opened = F.last(F.when(F.col("opens"), F.col("pos")), ignorenulls=True).over(until)
+    ends = F.first(F.when(F.col("closes"), F.col("length")), ignorenulls=True).over(on)
+    matched = placed.select("*", opened.alias("start"), F.when(F.col("opens"), ends).when(F.col("closes"), -F.col("length")).otherwise(0.0).alias("gain"))
+    summed = matched.withColumn("above", F.sum("gain").over(along))
+    nodes = summed.where("NOT opens").withColumn("far", F.round(F.col("above") + F.col("length"), 9))
+    # a node's parent is the next node that closes one level up
+    parents = nodes.where("closes").select(by, (F.col("level") + 1).alias("level"), "pos", F.lit(True).alias("up"))
+    line = nodes.select(by, "level", "pos", F.lit(False).alias("up")).unionByName(parents)
+    following = Window.partitionBy(by, "level").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    of = line.withColumn("parent_pos", F.first(F.when(F.col("up"), F.col("pos")), ignorenulls=True).over(following)).where("NOT up").select(by, "pos", "parent_pos")
+    number = F.row_number().over(Window.partitionBy(by).orderBy("far", "start"))
+    inner = nodes.where("closes").select(by, "pos", number.alias("inner_no"))
+    plain = F.regexp_replace(F.regexp_replace(F.trim("label"), "^'|'$", ""), "''", "'")
+    named = nodes.join(inner, [by, "pos"], "left").select(
+        by, "pos", F.when(F.col("closes"), F.concat(F.lit("Inner"), F.col("inner_no").cast("string"))).otherwise(plain).alias("node"), "inner_no", (~F.col("closes")).alias("is_leaf"), "length"
+    )
+    up = named.select(by, F.col("pos").alias("parent_pos"), F.col("node").alias("parent"))
+    return named.join(of, [by, "pos"]).join(up, [by, "parent_pos"], "left").select(by, "node", "parent", F.col("inner_no").cast("int").alias("inner_no"), "is_leaf", F.col("length").alias("branch_length"))
+
+
+def newick_texts(trees: DataFrame, by: str = "tree") -> DataFrame:
+    """(by, newick) of trees (by, node, parent, branch_length); children in order of name.  One tree is one text, written by one task."""
+
+    def run(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
+        rows = nodes[["node", "parent", "inner_no", "is_leaf", "branch_length"]].astype(object).where(nodes.notna(), None)
+        return pd.DataFrame({by: [key[0]], "newick": [to_newick(list(rows.itertuples(index=False, name=None)))]})
+
+    kind = trees.schema[by].dataType.simpleString()
+    return importable(trees).groupBy(by).applyInPandas(run, f"{by} {kind}, newick string")
 
 
 def to_newick(nodes: list[Node]) -> str:
-    """Newick text; children in order of name."""
+    """Newick text; children in order of name.  A stack holds what is still to be written, so depth does not matter."""
     children: dict[str | None, list[Node]] = defaultdict(list)
-    for x in sorted(nodes, key=lambda x: x[0]):
+    for x in sorted(nodes, key=lambda x: x[0], reverse=True):
         children[x[1]].append(x)
-
-    def text(x: Node) -> str:
-        inside = f"({','.join(text(c) for c in children[x[0]])})" if children[x[0]] else ""
-        return f"{inside}{x[0]}:{x[4]:.6f}"
-
-    return text(children[None][0]) + ";"
+    plain = re.compile(r"[^(),:;'\s][^(),:;']*")
+    quoted = lambda name: name if plain.fullmatch(name) else "'" + name.replace("'", "''") + "'"
+    out: list[str] = []
+    stack: list[Node | str] = [children[None][0]]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        mark = f"{quoted(x[0])}:{x[4]:.6f}"
+        if not children[x[0]]:
+            out.append(mark)
+            continue
+        stack.append(")" + mark)
+        for k, c in enumerate(children[x[0]]):  # the last by name lies deepest
+            stack += [c, ","] if k + 1 < len(children[x[0]]) else [c]
+        out.append("(")
+    return "".join(out) + ";"
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -158,8 +173,6 @@ def assignment(tree: DataFrame, ranks: list[int] | None = None) -> DataFrame:
     rows = spans.select(F.explode(F.sequence("first_rank", "last_rank")).alias("rank"), "node")
     if ranks is not None:
         rows = rows.where(F.col("rank").isin(sorted({1, *ranks})))
-    from pyspark.sql.window import Window
-
     return rows.withColumn("grp", F.row_number().over(Window.partitionBy("rank").orderBy("node")))
 
 
@@ -197,8 +210,6 @@ def node_weights(tree: DataFrame, ranks: list[int] | None = None) -> DataFrame:
 
 def top_down(tree: DataFrame) -> DataFrame:
     """node, distance from the root, place in the order (distance, name)."""
-    from pyspark.sql.window import Window
-
     roots = tree.where("parent IS NULL").select(F.col("node").alias("ancestor"))
     far = closure(tree).join(F.broadcast(roots), "ancestor").select("node", F.round("length", 9).alias("distance"))
     return far.withColumn("place", F.row_number().over(Window.orderBy("distance", "node")))  # nodes of one tree

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, dataset, evaluation, frequency
-from ..sources import text
+from ..operators import compare, dataset, evaluation, frequency, tree
+from ..operators.pairs import shared_folder
+from ..sources import reports, text
 from .inputs import NAMES, named, one_node, query, table
 
 # -- fixed-width and delimited lines --------------------------------------------------------------
@@ -93,6 +94,37 @@ def lineage_levels(spark, sf_dir):
     return rows.select("line", F.size(taxa).alias("levels"), F.element_at(taxa, -1).alias("lowest"))
 
 
+@query("fasta_files", "SELECT 'nation' || s_nationkey AS alignment, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS seq_idx, s_name AS seq_id, s_name || ' in ' || s_nationkey AS description, upper(substr(s_name, 1, 4)) AS seq FROM supplier")
+def fasta_files(spark, sf_dir):
+    """Alignments written as files, in order, and read back by ranges of bytes."""
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("aln_id"), F.col("s_suppkey").alias("seq_idx"),
+        F.concat("s_name", F.lit(" in "), F.col("s_nationkey").cast("string")).alias("seq_id"), F.upper(F.substring("s_name", 1, 4)).alias("seq"),
+    )
+    folder = shared_folder(spark)
+    reports.write_fasta(rows, folder, 1)  # one file for an alignment, whose rows the reader numbers
+    got = text.read_fasta(spark, f"{folder}/*")
+    name = F.regexp_extract("aln_id", "aln_id=([^/]+)", 1)
+    return got.select(name.alias("alignment"), "seq_idx", "seq_id", "description", "seq")
+
+
+@query("newick_trees", """WITH c AS (SELECT n_regionkey AS r, n_nationkey AS n, c_custkey AS k, round(abs(c_acctbal) / 1000, 6) AS len FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    i AS (SELECT r, n, row_number() OVER (PARTITION BY r ORDER BY n) + 1 AS no FROM (SELECT DISTINCT r, n FROM c))
+    SELECT 'region' || r AS tree, 'c' || k AS node, 'Inner' || no AS parent, NULL::INTEGER AS inner_no, len AS branch_length FROM c JOIN i USING (r, n)
+    UNION ALL SELECT 'region' || r, 'Inner' || no, 'Inner1', CAST(no AS INTEGER), 0.5 FROM i UNION ALL SELECT DISTINCT 'region' || r, 'Inner1', NULL, 1, 1 FROM i""")
+def newick_trees(spark, sf_dir):
+    """Customers under nations under regions, as one Newick text for each region, read back."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    both = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    leaf = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(":"), F.round(F.abs("c_acctbal") / 1000, 6).cast("decimal(20,6)").cast("string"))
+    inside = lambda items, end: F.concat(F.lit("("), F.array_join(items, ","), F.lit(f"){end}"))
+    nations = both.groupBy("n_regionkey", "n_nationkey").agg(inside(F.collect_list(leaf), "n:0.5").alias("part"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "part"))), lambda x: x["part"])
+    regions = nations.groupBy("n_regionkey").agg(F.concat(inside(ordered, "r:1"), F.lit(";")).alias("newick"))
+    trees = tree.newick_trees(regions.select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("tree"), "newick"))
+    return trees.select("tree", "node", "parent", "inner_no", "branch_length")
+
+
 # -- statuses of pairs of rows ---------------------------------------------------------------------
 
 
@@ -141,3 +173,17 @@ def methods_by_pairs(spark, sf_dir):
 @query("methods_complete", "SELECT o_custkey FROM (SELECT o_custkey, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1) WHERE n = (SELECT count(DISTINCT o_orderstatus) FROM orders)")
 def methods_complete(spark, sf_dir):
     return compare.having_all(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
+
+
+_FEW = """d AS (SELECT s_nationkey AS g, round(s_acctbal - s_suppkey % 10 * 1000, 9) AS d FROM supplier),
+    m AS (SELECT g, abs(d) AS a, d > 0 AS up FROM d WHERE d <> 0), r AS (SELECT g, up, CAST(2 * rank() OVER (PARTITION BY g ORDER BY a) - 1 + count(*) OVER (PARTITION BY g, a) AS INTEGER) AS r2 FROM m)"""
+
+
+@query("signed_rank_exact", f"""WITH {_FEW}, s AS (SELECT g, list(r2) AS rs, count(*) AS n, sum(r2) FILTER (up) AS w, sum(r2) AS total FROM r GROUP BY g), t AS (SELECT g, rs, n, least(coalesce(w, 0), total - coalesce(w, 0)) AS least FROM s),
+    signs AS (SELECT g, n, least, list_sum(list_transform(range(1, n + 1), lambda k: CASE WHEN (x >> (k - 1)) & 1 = 1 THEN rs[k] ELSE 0 END)) AS w FROM (SELECT *, unnest(range(CAST(pow(2, n) AS BIGINT))) AS x FROM t))
+    SELECT g AS nation, CAST(n AS BIGINT) AS n, round(max(least) / 2, 6) AS statistic, round(least(1, 2 * count(*) FILTER (w <= least) / count(*)), 6) AS p_exact FROM signs GROUP BY g, n""")
+def signed_rank_exact(spark, sf_dir):
+    """Exact p-values; the SQL tries all signs, so its work doubles with each supplier of a nation."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("a"), (F.col("s_suppkey") % 10 * 1000).cast("double").alias("b"))
+    got = evaluation.signed_rank(rows, ["nation"])
+    return got.select("nation", "n", F.round(F.col("statistic").cast("double"), 6).alias("statistic"), F.round("p_exact", 6).alias("p_exact"))

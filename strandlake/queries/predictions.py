@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import alphabets
 from ..operators import columns, compare, dataset, distance, evaluation, frequency, prediction, ranking, structure, trace, tree
 from ..sources import reports, text
-from .inputs import NAMES, RESIDUE, embedded, long, named, one_node, query, table
+from .inputs import NAME_LETTERS, NAMES, RESIDUE, embedded, long, named, one_node, query, table
 from .relations import _ATOMS, _DISTANCES, _FRAME, _PAIRED, SCORES, ZERO, atoms, frame, truth
 from .relations import CUT as SIMILAR
 from .relations import _s as score_sql
@@ -98,14 +98,37 @@ _SETS = """sets AS (SELECT * FROM (SELECT *, unnest(['Any', category, CASE WHEN
     CASE WHEN category <> 'Neighbors' THEN 'Short+Medium+Long' END, CASE WHEN category IN ('Medium', 'Long') THEN 'Medium+Long' END]) AS category_set FROM m) WHERE category_set IS NOT NULL)"""
 
 
-@query("evaluation_frame", f"""WITH {_MAPPED}, {_SETS}, z AS (SELECT category_set, -coverage AS score, contact AS truth FROM sets), {_curve_sql('z', 'category_set')},
+def _cluster_sql(tag: str, weight: str) -> str:
+    """max and area of the z-scores of the residues seen up to each coverage; contacts weigh ``weight``."""
+    return f"""w{tag} AS (SELECT res_i, res_j, CAST({weight} AS DOUBLE) AS w FROM dist WHERE distance < 4),
+    g{tag} AS (SELECT sum(w) AS d FROM (SELECT res_i AS r, w FROM w{tag} UNION ALL SELECT res_j, w FROM w{tag}) GROUP BY r),
+    b{tag} AS (SELECT c1, d2 - 2 * c1 AS c2, t * t - c1 - (d2 - 2 * c1) AS c3, t FROM (SELECT (SELECT coalesce(sum(w * w), 0) FROM w{tag}) AS c1, (SELECT coalesce(sum(d * d), 0) FROM g{tag}) AS d2, (SELECT coalesce(sum(w), 0) FROM w{tag}) AS t)),
+    m{tag} AS (SELECT greatest(x.cut, y.cut) AS cut, sum(w) AS w FROM w{tag} JOIN seen x ON x.res = res_i JOIN seen y ON y.res = res_j GROUP BY ALL),
+    r{tag} AS (SELECT cut, CAST(sum(n) OVER (ORDER BY cut) AS BIGINT) AS m, coalesce(sum(w) OVER (ORDER BY cut), 0) AS w FROM (SELECT cut, count(*) AS n FROM seen GROUP BY cut) LEFT JOIN m{tag} USING (cut)),
+    p{tag} AS (SELECT *, m * (m - 1) / (n * (n - 1)) AS p1, p1 * (m - 2) / (n - 2) AS p2, p2 * (m - 3) / (n - 3) AS p3 FROM (SELECT *, (SELECT count(*) FROM seen) AS n FROM r{tag}, b{tag})),
+    z{tag} AS (SELECT cut, CASE WHEN round(p1 * c1 + p2 * c2 + p3 * c3 - t * p1 * t * p1, 9) > 0 THEN (w - t * p1) / sqrt(p1 * c1 + p2 * c2 + p3 * c3 - t * p1 * t * p1) END AS z FROM p{tag}),
+    k{tag} AS (SELECT cut, x, last_value(z IGNORE NULLS) OVER (ORDER BY cut) AS z FROM cov LEFT JOIN z{tag} USING (cut)),
+    a{tag} AS (SELECT z, (x - lag(x) OVER (ORDER BY cut)) * (z + lag(z) OVER (ORDER BY cut)) / 2 AS a FROM k{tag} WHERE z IS NOT NULL),
+    s{tag} AS (SELECT round(max(z), 4) AS max_{tag}_z, round(sum(a), 4) AS auc_{tag}_z FROM a{tag})"""
+
+
+_CLUSTERED = f"""{_COVERED},
+    seen AS (SELECT res, min(coverage) AS cut FROM (SELECT res_i AS res, coverage FROM c UNION ALL SELECT res_j, coverage FROM c) GROUP BY res),
+    cov AS (SELECT cut, max(x) OVER (ORDER BY cut) AS x FROM (SELECT coverage AS cut, max(greatest(ci, cj)) AS x FROM c GROUP BY coverage)),
+    {_cluster_sql('biased', 'res_j - res_i')}, {_cluster_sql('unbiased', '1')}"""
+
+
+@query("evaluation_frame", f"""WITH {_CLUSTERED}, {_SETS}, z AS (SELECT category_set, -coverage AS score, contact AS truth FROM sets), {_curve_sql('z', 'category_set')},
     pl AS (SELECT *, dense_rank() OVER (PARTITION BY category_set ORDER BY coverage) AS p2 FROM sets), ks AS (SELECT unnest(generate_series(1, 10)) AS k),
     cnt AS (SELECT category_set, k, count(*) AS n, count(*) FILTER (contact AND true_prediction) AS tp, count(*) FILTER (true_prediction) AS said, count(*) FILTER (contact) AS p FROM pl JOIN ks ON p2 <= {LENGTH} // k GROUP BY ALL),
     r AS (SELECT category_set, auroc, auprc, k, coalesce(n, 0) AS n, coalesce(tp / nullif(said, 0), 0) AS pr, coalesce(tp / nullif(p, 0), 0) AS re FROM areas CROSS JOIN ks LEFT JOIN cnt USING (category_set, k))
-    SELECT category_set, auroc, auprc, CASE WHEN k = 1 THEN 'L' ELSE 'L/' || k END AS top, n, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1 FROM r""")
+    SELECT category_set, auroc, auprc, CASE WHEN k = 1 THEN 'L' ELSE 'L/' || k END AS top, n, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1,
+        max_biased_z, auc_biased_z, max_unbiased_z, auc_unbiased_z FROM r, sbiased, sunbiased""")
 def evaluation_frame(spark, sf_dir):
-    got = prediction.evaluate(predicted(spark, sf_dir), LENGTH)
-    return got.select("category_set", "top", "n", *[F.round(c, 6).alias(c) for c in ("auroc", "auprc", "precision", "recall", "f1")])
+    far = structure.residue_distances(atoms(spark, sf_dir))
+    got = prediction.evaluate(predicted(spark, sf_dir), LENGTH, distances=far)
+    areas = [F.round(c, 6).alias(c) for c in ("auroc", "auprc", "precision", "recall", "f1")]
+    return got.select("category_set", "top", "n", *areas, *[F.round(f"{k}_{w}_z", 4).alias(f"{k}_{w}_z") for k in ("max", "auc") for w in ("biased", "unbiased")])
 
 
 @query("curve_points", """WITH t AS (SELECT lang, CAST(n_chars AS DOUBLE) AS score, quality = 1 AS truth FROM labels JOIN documents USING (doc_id)), g AS (SELECT lang, score, count(*) FILTER (truth) AS pos, count(*) FILTER (NOT truth) AS neg FROM t GROUP BY ALL),
@@ -393,9 +416,9 @@ def lineage_lookup(spark, sf_dir):
     return text.lineages(ids, first, second).select("id", F.array_join("taxa", "/").alias("taxa"))
 
 
-@query("hits_by_alphabet", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_name, '[^aeiourstlnm -]')")
+@query("hits_by_alphabet", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_name, '[^abdegilmnorstu -]')")
 def hits_by_alphabet(spark, sf_dir):
-    return dataset.alphabet_only(table(spark, sf_dir, "part"), "aeiourstlnm ", "p_name").select("p_partkey")
+    return dataset.alphabet_only(table(spark, sf_dir, "part"), "abdegilmnorstu ", "p_name").select("p_partkey")
 
 
 @query("hits_by_lineage", "SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'")
@@ -404,13 +427,17 @@ def hits_by_lineage(spark, sf_dir):
     return dataset.within_lineage(both.withColumn("taxa", F.array("r_name", "n_name")), "taxa", "ASIA").select("n_nationkey")
 
 
-@query("substitution_table", "SELECT chr(CAST(65 + a AS INTEGER)) AS a, chr(CAST(65 + b AS INTEGER)) AS b, CAST(CASE WHEN a = b THEN 4 ELSE -(a + b) % 3 END AS DOUBLE) AS score FROM range(6) x(a), range(6) y(b)")
+@query("substitution_table", f"""WITH {NAMES}, p AS (SELECT x.code AS a, y.code AS b FROM names x JOIN names y ON x.pos = y.pos AND x.seq_idx < y.seq_idx)
+    SELECT a, b, CAST(CASE WHEN a = b THEN 4 ELSE -((a + b) % 3) END AS DOUBLE) AS score, count(*) AS n FROM p GROUP BY ALL""")
 def substitution_table(spark, sf_dir):
-    letters = "ABCDEF"
+    """What a matrix in the usual text form gives to the pairs of letters that meet in the columns of the names."""
+    letters = NAME_LETTERS.replace("#", "x")  # a line that begins with # is a note
     value = lambda a, b: 4 if a == b else -((a + b) % 3)
-    lines = ["# made by a rule", "   " + "  ".join(letters)] + [f"{x} " + " ".join(str(value(a, b)) for b in range(6)) for a, x in enumerate(letters)]
-    got = alphabets.parse_substitution_matrix("\n".join(lines))
-    return spark.createDataFrame([(a, b, v) for (a, b), v in sorted(got.items())], "a string, b string, score double")
+    body = ["   " + "  ".join(letters)] + [f"{x} " + " ".join(str(value(a, b)) for b in range(len(letters))) for a, x in enumerate(letters)]
+    found = alphabets.parse_substitution_matrix("\n".join(body))
+    table = F.create_map(*[F.lit(x) for (a, b), v in sorted(found.items()) for x in (letters.index(a) * 100 + letters.index(b), float(v))])
+    met = distance.row_pairs(named(spark, sf_dir)).select(F.explode(F.arrays_zip("a", "b")).alias("c")).groupBy("c.a", "c.b").agg(F.count("*").alias("n"))
+    return met.select("a", "b", F.element_at(table, F.col("a") * 100 + F.col("b")).alias("score"), "n")
 
 
 @query("best_chains")

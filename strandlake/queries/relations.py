@@ -44,19 +44,24 @@ def trace_similarity(spark, sf_dir):
     return got.select("i", "j", F.round("identity", 6).alias("identity"), F.round("pseudo_distance", 6).alias("pseudo_distance"))
 
 
+@query("near_rows", f"WITH {_PAIRED} SELECT i, j, round(1 - avg(CAST(a = b AS INT)), 6) AS d FROM xy GROUP BY ALL HAVING sum(CAST(a <> b AS INT)) <= 1")
+def near_rows(spark, sf_dir):
+    return distance.near_rows(named(spark, sf_dir), 0.94).withColumn("d", F.round("d", 6))
+
+
 @query("effective_size", f"""WITH {_PAIRED}, d AS (SELECT i, j FROM xy GROUP BY ALL HAVING round(avg(CAST(a = b AS INT)), 12) >= 0.9),
     n AS (SELECT s, count(*) AS n FROM (SELECT i AS s FROM d UNION ALL SELECT j FROM d) GROUP BY s)
     SELECT round(sum(1 / (1 + coalesce(n, 0))), 6) AS effective_size FROM (SELECT DISTINCT seq_idx FROM names) LEFT JOIN n ON s = seq_idx""")
 def effective_size(spark, sf_dir):
     packed = named(spark, sf_dir)
-    return distance.effective_size(distance.identity_distance(packed), packed, 0.9).select(F.round("effective_size", 6).alias("effective_size"))
+    return distance.effective_size(distance.near_rows(packed, 0.9), packed, 0.9).select(F.round("effective_size", 6).alias("effective_size"))
 
 
 @query("redundancy_filter", f"""WITH {_PAIRED}, d AS (SELECT i, j FROM xy GROUP BY ALL HAVING round(avg(CAST(a = b AS INT)), 12) > 0.9)
     SELECT DISTINCT seq_idx FROM names WHERE seq_idx NOT IN (SELECT j FROM d)""")
 def redundancy_filter(spark, sf_dir):
     packed = named(spark, sf_dir)
-    return distance.redundancy_filter(distance.identity_distance(packed), packed, 0.9)
+    return distance.redundancy_filter(distance.near_rows(packed, 0.9), packed, 0.9)
 
 
 @query("identity_bins", f"""WITH {_PAIRED}, d AS (SELECT i, j, floor(round(avg(CAST(a = b AS INT)), 9) * 100) AS p FROM xy GROUP BY ALL)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.pairs import cut
 from ..operators.ranking import ranked
 
 #: Three-letter names of the standard amino acids.
@@ -36,9 +37,29 @@ def fasta_rows(rows: DataFrame, group: str, order: str, value: str) -> DataFrame
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """aln_id (file), seq_idx, seq_id, description, seq."""
-    got = fasta_rows(lines(spark, path), "file", "line_no", "value")
-    return got.select(F.col("file").alias("aln_id"), "seq_idx", F.split("header", r"\s+")[0].alias("seq_id"), F.col("header").alias("description"), "seq")
+    """aln_id (file), seq_idx, seq_id, description, seq.
+
+    A record ends where the next one begins, at a line that starts with '>': that is the separator by which the files
+    are read, so that one large file is read by many tasks, each from the first record that begins in its range of bytes
+    on.  Rows are numbered within each range, and ranges by where they start in the file.  What stands before the
+    first record of a file is left out.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    read = spark.read.option("lineSep", "\n>").text(path).select("value", at.alias("at"), F.monotonically_increasing_id().alias("no"))
+    rows = cut(read)  # so that a row keeps its number
+    counts = rows.groupBy("at").agg(F.min("no").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("at.file").orderBy("at.start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = counts.select("at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(starts, "at").select(F.col("at.file").alias("aln_id"), (F.col("_before") + F.col("no") - F.col("first")).alias("at_row"), "value")
+    opened = placed.withColumn("_opens", (F.col("at_row") > 0) | F.col("value").startswith(">"))
+    # all records but a file's first have lost their mark
+    whole = F.when((F.col("at_row") == 0), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    parts = opened.where("_opens").select("aln_id", "at_row", F.split(whole, "\r?\n", 2).alias("p"))
+    odd = opened.where("NOT _opens").select("aln_id", F.lit(1).alias("_shift"))  # files with something before the first record
+    shifted = parts.join(odd, "aln_id", "left").withColumn("seq_idx", (F.col("at_row") - F.coalesce("_shift", F.lit(0))).cast("int"))
+    header = F.rtrim(F.regexp_replace(F.col("p")[0], "\r$", ""))
+    seq = F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), "\\s+", "")
+    return shifted.select("aln_id", "seq_idx", F.split(header, r"\s+")[0].alias("seq_id"), header.alias("description"), seq.alias("seq"))
 
 
 def require_query(sequences: DataFrame, query_id: str) -> DataFrame:
