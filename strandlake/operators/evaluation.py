@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .pairs import running
 
 #: The sets of separation categories that are evaluated together.
 CATEGORY_SETS = {
@@ -55,13 +54,12 @@ def auroc(rows: DataFrame, by: list[str], score: str = "score", truth: str = "tr
 
 def auprc(rows: DataFrame, by: list[str], score: str = "score", truth: str = "truth") -> DataFrame:
     """by..., auprc: trapezoids over recall, from the point (0, 1) on."""
-    at = thresholds(rows, by, score, truth)
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("p"))
-    curve = at.select(*by, score, precision.alias("precision"), recall.alias("recall"))
-    run = Window.partitionBy(*by).orderBy(F.desc(score))
-    before_p, before_r = F.lag("precision", 1, 1.0).over(run), F.lag("recall", 1, 0.0).over(run)
-    parts = curve.select(*by, ((F.col("recall") - before_r) * (F.col("precision") + before_p) / 2).alias("a"))
-    return parts.groupBy(*by).agg(F.sum("a").alias("auprc"))
+    tp, fp, p = F.col("tp"), F.col("fp"), F.col("p")
+    # the threshold before is what is left without the rows of this one
+    tp0, n0 = tp - F.col("pos"), tp + fp - F.col("pos") - F.col("neg")
+    before = F.when(n0 == 0, F.lit(1.0)).otherwise(F.try_divide(tp0, n0))
+    part = (F.try_divide(tp, p) - F.try_divide(tp0, p)) * (tp / (tp + fp) + before) / 2
+    return thresholds(rows, by, score, truth).select(*by, part.alias("a")).groupBy(*by).agg(F.sum("a").alias("auprc"))
 
 
 def top_scores(rows: DataFrame, size: int, order: Column, truth: str = "truth", descending: bool = True) -> DataFrame:
@@ -76,31 +74,29 @@ def top_scores(rows: DataFrame, size: int, order: Column, truth: str = "truth",
     return got.select("n", "tp", precision.alias("precision"), recall.alias("recall"), zero(F.try_divide(2 * precision * recall, precision + recall)).alias("f1"))
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """(k, lf) for k = 0..most: running sums of ln k."""
-    numbers = spark.range(0, most + 1).select(F.col("id").alias("k"), F.ln(F.greatest(F.col("id"), F.lit(1))).alias("l"))
-    return running(numbers, "k", [], {"lf": "l"}).select("k", "lf")
+def log_factorial(n: Column) -> Column:
+    """ln n!: a list for small n, beyond it Stirling's series, whose error is below the last bit there."""
+    few = [math.lgamma(k + 1) for k in range(33)]
+    x = n.cast("double")
+    series = x * F.ln(x) - x + F.ln(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n < len(few), F.get(F.array(*map(F.lit, few)), n.cast("int"))).otherwise(series)
 
 
-def hypergeometric_sf(counts: DataFrame, most: int) -> DataFrame:
+def hypergeometric_sf(counts: DataFrame) -> DataFrame:
     """Add p_value = P(X >= overlap) for X hypergeometric in (population, keys, drawn, overlap).
 
-    Terms come from a table of log factorials up to ``most`` (at least the largest population), joined by
-    equal keys; the sum is over overlap..min(keys, drawn).
+    The terms overlap..min(keys, drawn) are summed inside each row, so nothing is joined or shuffled, and populations may
+    have any size.
     """
-    lf = log_factorials(counts.sparkSession, most)
-    rows = counts.withColumn("_row", F.monotonically_increasing_id())
-    terms = rows.withColumn("x", F.explode(F.when(F.col("overlap") <= F.least("keys", "drawn"), F.sequence(F.col("overlap").cast("long"), F.least("keys", "drawn").cast("long")))))
-    parts = {
-        "a": F.col("keys"), "b": F.col("x"), "c": F.col("keys") - F.col("x"), "d": F.col("population") - F.col("keys"), "e": F.col("drawn") - F.col("x"),
-        "f": F.col("population") - F.col("keys") - F.col("drawn") + F.col("x"), "g": F.col("population"), "h": F.col("drawn"), "i": F.col("population") - F.col("drawn"),
-    }
-    terms = terms.where("population - keys - drawn + x >= 0")
-    for name, value in parts.items():
-        terms = terms.withColumn(f"_{name}", value.cast("long")).join(lf.select(F.col("k").alias(f"_{name}"), F.col("lf").alias(f"l{name}")), f"_{name}")
-    log_p = F.expr("la - lb - lc + ld - le - lf - lg + lh + li")
-    p = terms.groupBy(*counts.columns).agg(F.least(F.sum(F.exp(log_p)), F.lit(1.0)).alias("p_value"))
-    return p
+    total, keys, drawn, overlap = (F.col(c).cast("long") for c in ("population", "keys", "drawn", "overlap"))
+    least, most = F.greatest(overlap, keys + drawn - total, F.lit(0)), F.least(keys, drawn)
+    whole = log_factorial(keys) + log_factorial(total - keys) + log_factorial(drawn) + log_factorial(total - drawn) - log_factorial(total)
+
+    def term(x: Column) -> Column:
+        return F.exp(whole - log_factorial(x) - log_factorial(keys - x) - log_factorial(drawn - x) - log_factorial(total - keys - drawn + x))
+
+    tail = F.aggregate(F.sequence(least, most), F.lit(0.0), lambda s, x: s + term(x))
+    return counts.withColumn("p_value", F.when(least > most, 0.0).otherwise(F.least(F.lit(1.0), tail)))
 
 
 #: Pairs up to which the distribution of the signed-rank statistic is counted exactly.

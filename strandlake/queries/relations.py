@@ -359,7 +359,7 @@ def hypergeometric_overlap(spark, sf_dir):
     used = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(part, F.col("l_partkey") == F.col("p_partkey"))
     counts = used.groupBy(F.col("l_suppkey").alias("supp")).agg(F.count("*").alias("drawn"), F.count_if(F.col("p_size") <= 10).alias("overlap"))
     counts = counts.crossJoin(F.broadcast(sizes)).select("supp", "population", "keys", "drawn", "overlap")  # one row
-    return evaluation.hypergeometric_sf(counts, part.count()).withColumn("p_value", F.round("p_value", 6))
+    return evaluation.hypergeometric_sf(counts).withColumn("p_value", F.round("p_value", 6))
 
 
 _RANKED_PAIRS = _FRAME + ", rp AS (SELECT pos_i, pos_j, dense_rank() OVER (ORDER BY d) AS rank FROM (SELECT pos_i, pos_j, round(distance, 9) AS d FROM frame WHERE distance IS NOT NULL))"

@@ -262,9 +262,15 @@ def test_auc_of_ties(spark):
 
 def test_hypergeometric(spark):
     counts = spark.createDataFrame([(20, 7, 5, 3), (20, 7, 5, 0)], "population bigint, keys bigint, drawn bigint, overlap bigint")
-    got = {r["overlap"]: r["p_value"] for r in evaluation.hypergeometric_sf(counts, 20).collect()}
+    got = {r["overlap"]: r["p_value"] for r in evaluation.hypergeometric_sf(counts).collect()}
     want = sum(math.comb(7, k) * math.comb(13, 5 - k) for k in range(3, 6)) / math.comb(20, 5)
     assert got[3] == pytest.approx(want) and got[0] == pytest.approx(1.0)
+    rows = [(500, 120, 60, 25), (500, 480, 60, 58), (40, 7, 5, 6), (4000, 2000, 900, 451)]
+    large = spark.createDataFrame(rows, "population bigint, keys bigint, drawn bigint, overlap bigint")
+    for r in evaluation.hypergeometric_sf(large).collect():
+        n, k, d, x = r["population"], r["keys"], r["drawn"], r["overlap"]
+        want = sum(math.comb(k, i) * math.comb(n - k, d - i) for i in range(x, min(k, d) + 1)) / math.comb(n, d)
+        assert r["p_value"] == pytest.approx(want, rel=1e-9)
 
 
 def test_fasta_keeps_marks_inside_headers(spark, tmp_path):
