@@ -23,30 +23,31 @@ def row_pairs(packed: DataFrame, *by: str) -> DataFrame:
     return met.select(*by, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), codes("u", "v").alias("a"), codes("v", "u").alias("b"))
 
 
-def near_rows(packed: DataFrame, least: float) -> DataFrame:
-    """i, j, d of the pairs of rows with identity of ``least`` or more, and of no others.
+def near_rows(packed: DataFrame, least: float, *by: str) -> DataFrame:
+    """(by..., i, j, d) of the pairs of rows with identity of ``least`` or more, and of no others.
 
     Rows that differ in at most m columns agree in one of m + 1 blocks of columns.  So rows meet by block and what
     stands in it, each pair in the first block where it agrees, and are counted through; blocks take every (m + 1)-th
     column, which spreads conserved stretches over all of them.  Many rows with equal blocks are dealt in tiles.  Where
-    m + 1 blocks would be more than there are columns, all pairs of rows are compared.
+    m + 1 blocks would be more than there are columns, all pairs of rows meet in tiles.  With ``by`` (an alignment id)
+    rows of one alignment only meet each other; alignments may differ in length.
     """
-    width = packed.select(F.size("codes")).first()
-    allowed = int((1 - least) * width[0] + 1e-9) if width else 0
-    blocks = allowed + 1
-    if width and blocks > width[0]:
-        return identity_distance(packed).where(F.col("d") <= 1 - least + 1e-12)
-    last = F.size("codes") - 1
-    key = lambda b: F.transform(F.sequence(b, last, F.lit(blocks)), lambda c: F.get("codes", c))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(b.alias("b"), key(b).alias("key")))
-    rows = packed.select("seq_idx", "codes", F.explode(cut).alias("x")).select("seq_idx", "codes", "x.b", "x.key")
-    left, right, on = tiled(rows, "seq_idx", ["b", "key"])
+    width = F.size("codes")
+    allowed = F.floor((1 - least) * width + 1e-9).cast("int")
+    blocks, last = allowed + 1, width - 1
+    key = lambda b: F.transform(F.sequence(b, last, blocks), lambda c: F.get("codes", c))
+    some = F.transform(F.sequence(F.lit(0), allowed), lambda b: F.struct(b.alias("b"), key(b).alias("key")))
+    whole = F.array(F.struct(F.lit(0).alias("b"), F.array().cast("array<int>").alias("key")))
+    rows = packed.select(*by, "seq_idx", "codes", width.alias("_width"), F.explode(F.when(blocks > width, whole).otherwise(some)).alias("x"))
+    rows = rows.select(*by, "_width", "seq_idx", "codes", "x.b", F.col("x.key").cast("array<int>").alias("key"))
+    left, right, on = tiled(rows, "seq_idx", [*by, "_width", "b", "key"])
     met = left.withColumnsRenamed({"seq_idx": "x", "codes": "u"}).join(right.withColumnsRenamed({"seq_idx": "y", "codes": "v"}), on).where(once("x", "y"))
     apart = F.filter(F.zip_with("u", F.sequence(F.lit(0), F.size("u") - 1), lambda a, c: F.when(a != F.get("v", c), c)), lambda c: c.isNotNull())
-    found = met.select("b", "x", "y", F.size("u").alias("n"), apart.alias("apart")).where(F.size("apart") <= allowed)
-    dirty = F.array_distinct(F.transform("apart", lambda c: c % blocks))  # blocks in which the rows differ
+    most = F.floor((1 - least) * F.col("_width") + 1e-9).cast("int")
+    found = met.select(*by, "_width", "b", "x", "y", apart.alias("apart")).where(F.size("apart") <= most)
+    dirty = F.array_distinct(F.transform("apart", lambda c: c % (most + 1)))  # blocks in which the rows differ
     first = found.where(F.size(F.filter(dirty, lambda x: x < F.col("b"))) == F.col("b"))
-    return first.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.size("apart") / F.col("n")).alias("d"))
+    return first.select(*by, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.size("apart") / F.col("_width")).alias("d"))
 
 
 def _count(cells: Column) -> Column:
@@ -138,16 +139,16 @@ def greedy_redundancy(order: list[int], near: dict[int, set[int]], query: int |
     return [r for r in order if r not in gone]
 
 
-def redundancy_filter(distances: DataFrame, rows: DataFrame, max_identity: float, query: int | None = None) -> DataFrame:
-    """seq_idx of the rows that stay.
+def redundancy_filter(distances: DataFrame, rows: DataFrame, max_identity: float, query: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., seq_idx) of the rows that stay.
 
     Since a dropped row still drops its later neighbours, a row goes exactly if an
     earlier one is too near to it: no order of work is left, and the filter is one anti join.
     """
     near = distances.where(F.round(1 - F.col("d"), 12) > max_identity)
     if query is None:
-        gone = near.select(F.greatest("i", "j").alias("seq_idx"))
+        gone = near.select(*by, F.greatest("i", "j").alias("seq_idx"))
     else:
         drops = F.when(F.greatest("i", "j") == query, F.least("i", "j")).otherwise(F.greatest("i", "j"))
-        gone = near.select(drops.alias("seq_idx")).where(F.col("seq_idx") != query)
-    return rows.select("seq_idx").join(gone.distinct(), "seq_idx", "left_anti")
+        gone = near.select(*by, drops.alias("seq_idx")).where(F.col("seq_idx") != query)
+    return rows.select(*by, "seq_idx").join(gone.distinct(), [*by, "seq_idx"], "left_anti")

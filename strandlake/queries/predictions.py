@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabets
 from ..operators import columns, compare, dataset, distance, evaluation, frequency, prediction, ranking, structure, trace, tree
+from ..plans import data_set
 from ..sources import reports, text
 from .inputs import NAME_LETTERS, NAMES, RESIDUE, embedded, long, named, one_node, query, table
 from .relations import _ATOMS, _DISTANCES, _FRAME, _PAIRED, SCORES, ZERO, atoms, frame, truth
@@ -399,6 +400,27 @@ def data_set_summary(spark, sf_dir):
     return dataset.data_set_summary(ids, hits, hits.where("l_tax < 0.04"), hits.where("l_tax < 0.02"))
 
 
+_PLAN_HITS = """h AS (SELECT n_name || repeat('-', 18 - length(n_name)) AS seq, s_name AS hit_id, s_suppkey AS hit_no, CASE WHEN s_acctbal < 500 THEN 'LOW QUALITY ' ELSE '' END || s_name AS definition, abs(s_acctbal) / 180000 AS expect,
+    CAST(8 + s_suppkey % 11 AS INTEGER) AS identities, 18 AS align_length, s_name AS sbjct FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+@query("data_set_plan", f"""WITH {_PLAN_HITS}, f AS (SELECT * FROM h WHERE expect <= 0.05 AND identities / 18 >= 0.5 AND NOT contains(definition, 'LOW QUALITY')),
+    near AS (SELECT DISTINCT y.seq, y.hit_no FROM f x JOIN f y ON x.seq = y.seq AND x.hit_no < y.hit_no WHERE list_sum(list_transform(range(1, 19), lambda k: CASE WHEN x.sbjct[k] = y.sbjct[k] THEN 1 ELSE 0 END)) / 18 > 0.9),
+    k AS (SELECT f.* FROM f ANTI JOIN near ON near.seq = f.seq AND near.hit_no = f.hit_no), q AS (SELECT n_nationkey AS id, n_name || repeat('-', 18 - length(n_name)) AS seq FROM nation)
+    SELECT id, seq, CAST(18 AS INTEGER) AS sequence_length, (SELECT count(*) FROM h WHERE h.seq = q.seq) AS hits, (SELECT count(*) FROM f WHERE f.seq = q.seq) AS filtered, (SELECT count(*) FROM k WHERE k.seq = q.seq) AS aligned FROM q""")
+def data_set_plan(spark, sf_dir):
+    """The whole plan: the suppliers of a nation are the hits of its name."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.rpad("n_name", 18, "-").alias("seq"))
+    supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("id"))
+    hits = supplier.select(
+        "seq", F.col("s_name").alias("hit_id"), F.col("s_suppkey").alias("hit_no"), F.concat(F.when(F.col("s_acctbal") < 500, "LOW QUALITY ").otherwise(""), "s_name").alias("definition"),
+        (F.abs("s_acctbal") / 180000).alias("expect"), (8 + F.col("s_suppkey") % 11).cast("int").alias("identities"), F.lit(18).alias("align_length"), F.col("s_name").alias("sbjct"),
+    )
+    codes = {c: k for k, c in enumerate(NAME_LETTERS)}
+    limits = data_set.Thresholds(min_identity=0.5, max_redundancy=0.9)
+    return data_set.build(nation, hits, codes, NAME_LETTERS, limits).summary
+
+
 @query("first_source", "SELECT l_orderkey AS id, arg_min(l_returnflag, (instr('RAN', l_returnflag), l_shipmode)) AS source FROM (SELECT l_orderkey, l_returnflag, CAST(l_linenumber AS VARCHAR) AS l_shipmode FROM lineitem) GROUP BY l_orderkey")
 def first_source(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("source"), F.col("l_linenumber").cast("string").alias("seq"))
@@ -440,9 +462,26 @@ def substitution_table(spark, sf_dir):
     return met.select("a", "b", F.element_at(table, F.col("a") * 100 + F.col("b")).alias("score"), "n")
 
 
-@query("best_chains")
+_ALIGN = """c AS (SELECT CAST(s_suppkey AS VARCHAR) AS query, 'A' AS chain, s_name AS a, substr(s_name, 3, 12) AS b FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'B', s_name, reverse(s_name) FROM supplier),
+    dp AS (SELECT query, chain, a, b, 0 AS d, 0 AS i, 0 AS s, CAST(0 AS DOUBLE) AS score, CAST([] AS INTEGER[]) AS path, 0 AS cur FROM c
+        UNION ALL (
+            WITH w AS (SELECT * FROM dp WHERE cur < length(a) + length(b)),
+            steps AS (SELECT query, chain, a, b, cur + 1 AS d, i + 1 AS i, 0 AS t, s, score + CASE WHEN a[i + 1] = b[d - i + 1] THEN 5 ELSE -4 END AS score, list_append(path, i * 1000 + d - i) AS path FROM w WHERE d = cur - 1 AND i < length(a) AND d - i < length(b)
+                UNION ALL SELECT query, chain, a, b, cur + 1, i + 1, 1, s, score - CASE WHEN s = 1 THEN 0.5 ELSE 10 END, path FROM w WHERE d = cur AND i < length(a)
+                UNION ALL SELECT query, chain, a, b, cur + 1, i, 2, s, score - CASE WHEN s = 2 THEN 0.5 ELSE 10 END, path FROM w WHERE d = cur AND d - i < length(b)),
+            best AS (SELECT *, row_number() OVER (PARTITION BY query, chain, i, t ORDER BY score DESC, s) AS r FROM steps)
+            SELECT query, chain, a, b, d, i, t, score, path, d FROM best WHERE r = 1
+            UNION ALL SELECT query, chain, a, b, d, i, s, score, path, cur + 1 FROM w WHERE d = cur
+        )
+    ),
+    ends AS (SELECT *, row_number() OVER (PARTITION BY query, chain ORDER BY score DESC, s) AS r FROM dp WHERE d = length(a) + length(b) AND cur = d),
+    first AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chain) AS f FROM ends WHERE r = 1),
+    met AS (SELECT query, chain, score, a, b, unnest(path) AS p FROM first WHERE f = 1)"""
+
+
+@query("best_chains", f"WITH RECURSIVE {_ALIGN} SELECT query, chain, score, CAST(p // 1000 AS INTEGER) AS pos, CAST(p % 1000 + 1 AS INTEGER) AS resno FROM met WHERE a[p // 1000 + 1] = b[p % 1000 + 1]")
 def best_chains(spark, sf_dir):
-    """Suppliers' names aligned with two made-up chains each: no SQL, tests compare with all alignments."""
+    """Suppliers' names aligned with two chains made of each."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("query"), F.col("s_name").alias("seq"))
     part = lambda chain, seq: rows.select("query", F.lit(chain).alias("chain"), seq.alias("seq")).withColumn("resnos", F.sequence(F.lit(1), F.length("seq")))
     chains = part("A", F.substring("seq", 3, 12)).unionByName(part("B", F.reverse("seq")))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import distance, evaluation, structure, tree
+from strandlake.plans import data_set
 from strandlake.sources import reports, text
 
 # -- FASTA ----------------------------------------------------------------------------------------
@@ -273,3 +274,24 @@ def test_many_pairs_take_the_normal_approximation(spark):
     r, s = (evaluation.signed_rank(frame, ["g"], most).first() for most in (50, 60))
     assert r["p_exact"] is None and r["p_value"] == pytest.approx(2 * 0.5 * __import__("math").erfc(abs(r["z"]) / 2**0.5))
     assert s["p_value"] == s["p_exact"] == pytest.approx(r["p_value"], rel=0.1)
+
+
+# -- the plan of a data set --------------------------------------------------------------------------
+
+
+def test_data_set_plan(spark):
+    seq = "ACDEFGHIKL"
+    ids = spark.createDataFrame([("p1", seq), ("p2", seq), ("p3", "LLLLLLLLLL")], "id string, seq string")
+    rows = [  # hit, number, definition, expect, identities, length, row
+        ("h1", 1, "good", 0.01, 9, 10, "ACDEFGHIKA"), ("h1", 2, "a worse part of it", 0.01, 6, 10, "ACDEFGAAAA"), ("h2", 3, "too near to h1", 0.01, 9, 10, "ACDEFGHIKA"),
+        ("h3", 4, "(Fragment)", 0.01, 9, 10, "ACDEFGHIKC"), ("h4", 5, "expect", 0.9, 9, 10, "ACDEFGHIKC"), ("h5", 6, "short", 0.01, 4, 4, "ACDE------"),
+        ("h6", 7, "a letter", 0.01, 9, 10, "ACDEFGHIKX"), ("h7", 8, "far", 0.01, 5, 10, "ACDEF-----"), ("h8", 9, "too unlike", 0.01, 2, 10, "AC--------"),
+    ]
+    hits = spark.createDataFrame([(seq, *r) for r in rows], "seq string, hit_id string, hit_no bigint, definition string, expect double, identities int, align_length int, sbjct string")
+    letters = "ACDEFGHIKL"
+    made = data_set.build(ids, hits, {c: k for k, c in enumerate(letters + "-")}, letters)
+    assert sorted((r["hit_id"], r["seq_idx"]) for r in made.best.collect()) == [("h1", 1), ("h2", 3), ("h7", 8)]
+    assert sorted(r["hit_id"] for r in made.kept.collect()) == ["h1", "h7"] and made.filtered.count() == 4
+    assert sorted((r["id"], r["hits"], r["filtered"], r["aligned"]) for r in made.summary.collect()) == [("p1", 9, 3, 2), ("p2", 9, 3, 2), ("p3", 0, 0, 0)]
+    none = data_set.build(ids, hits.limit(0), {c: k for k, c in enumerate(letters)}, letters)
+    assert none.kept.count() == 0 and none.summary.count() == 3
