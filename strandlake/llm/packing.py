@@ -4,8 +4,8 @@ Only the *number* of pieces of each length (1..capacity) decides how bins are
 filled, so the search runs on that bounded histogram.  For the longest length
 left, a bitset subset-sum dynamic program over the available lengths (with their
 counts) finds the fullest feasible combination; it is removed as often as the
-counts allow.  Each combination uses up at least one length, hence there are at
-most ``capacity`` rounds, however many pieces there are.  The pieces then take
+counts allow, so that the number of rounds hangs on the lengths and hardly on how
+many pieces there are.  The pieces then take
 their places by their running number within their length: numbers are given within
 each part of the written pieces, and continue from part to part, so that a hot length is
 spread over all parts.
