@@ -107,5 +107,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_fim": fim.CONTRACT_SQL,
     "op13_rules": rules.CONTRACT_SQL,
 }

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,15 @@ def test_empty_table_and_clashing_names(spark, no_docs):
     assert fim.fill_in_middle(df, "a.b", "_text").first()["n"] == 9
 
 
+def test_query_equals_its_sql(spark, small):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = con.execute(entries.ORACLE_SQL["op11_fim"]).fetchall()
+    names = [c[0] for c in con.description]
+    got = entries.op11_fim(spark, small).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_query_equals_the_plain_version(spark, small):
     got = {r["doc_id"]: r for r in entries.op11_fim(spark, small).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
