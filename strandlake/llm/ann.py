@@ -3,17 +3,19 @@
 Largest inner product becomes smallest Euclidean distance when every row x gets one
 more coordinate, sqrt(M^2 - |x|^2), M the largest norm, and every query gets 0 there.
 A Gaussian (2-stable) projection to ``PROJECTED`` coordinates turns a squared distance
-d^2 into d^2 times a chi-square variable.
+d^2 into d^2 times a chi-square variable.  Its axes are made orthogonal and of one length, which
+keeps the mean and lessens the spread: the test below errs on the side of finding more.
 
 The top of the kd-tree is fitted on the projections of a bounded sample (``SAMPLE`` rows) and
 deals *every* row into one of at most ``CELLS`` cells; a cell of more than ``BLOCK`` rows is dealt to several
 blocks by a hash of the id.  Each block has the rest of the tree over its projected rows.
 
-For a query, the leaves of a block come in the order of their projected distance, and the
-rows in them are verified on the original vectors.  Once the next leaf is at projected
-distance r and the k-th nearest verified row is at distance d, a nearer row has been
-seen with probability F(r^2 / d^2), F the chi-square distribution; the search stops
-when that reaches ``CONFIDENCE``.
+For a query, the leaves of a block come in the order of their projected distance, and so do the
+rows, whose own projected distance is far larger than that of their leaf's box.  Where a row is at
+projected distance r and the k-th nearest verified row at distance d, a row nearer than that one would lie
+nearer than r with probability F(r^2 / d^2), F the chi-square distribution; rows for which that
+reaches ``CONFIDENCE`` are not verified on the original vectors, and the search stops at the first
+leaf that is so far away.
 
 A query first searches the cell that its projection is nearest to.  The k-th distance found there
 goes on with it, and by the same test it visits only those other cells whose box is near enough.
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window
 
 from .common import col, written
 
-PROJECTED, CONFIDENCE, SEED = 10, 0.9, 5
+PROJECTED, CONFIDENCE, SEED = 16, 0.9, 5
 #: Rows of one block (the lower part of the tree), about, and of one leaf.
 BLOCK, LEAF = 10_000, 32
 #: Cells of the upper part of the tree, at most, and rows that it is fitted on, at most.
@@ -62,8 +64,12 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 def axes_of(width: int, m: int, seed: int = SEED) -> np.ndarray:
-    """Projection of vectors with their additional coordinate, which is the last row."""
-    return np.random.default_rng(seed).normal(size=(width + 1, m))
+    """Projection of vectors with their additional coordinate, which is the last row.
+
+    Squared lengths grow m-fold on average.  Of fewer coordinates than ``m`` the axes are left as drawn.
+    """
+    drawn = np.random.default_rng(seed).normal(size=(width + 1, m))
+    return drawn if m > width + 1 else np.linalg.qr(drawn)[0] * math.sqrt(width + 1)
 
 
 def projected(vectors: np.ndarray, top: float, axes: np.ndarray, query: bool = False) -> np.ndarray:
@@ -141,6 +147,9 @@ class ProjectionTree:
         self.scale = 1 / math.sqrt(top) if top > 0 else 1.0
         self.coarse = np.where((self.leaves >= 0)[:, :, None], vectors[self.leaves] * self.scale, 0).astype(np.float32)
         self.coarse_error = (vectors.shape[1] + 8) * 2.0**-23  # of a look, for vectors of norm 1 at most
+        self.near = (points[self.leaves] * self.scale).astype(np.float32)
+        self.near_square = np.where(self.leaves >= 0, np.einsum("lrm,lrm->lr", self.near, self.near), np.inf)
+        self.verified = 0  # rows compared with a query on the original vectors, summed over all queries
         self.low = np.array([points[p].min(axis=0) for p in leaves])
         self.high = np.array([points[p].max(axis=0) for p in leaves])
 
@@ -151,7 +160,11 @@ class ProjectionTree:
         """
         n = len(queries)
         bound = np.full(n, -np.inf) if bound is None else bound
-        gap = gaps(projected(queries, self.top, self.axes, True), self.low, self.high)
+        at_query = projected(queries, self.top, self.axes, True)
+        gap = gaps(at_query, self.low, self.high) * self.scale**2
+        at_query *= self.scale
+        query_square = (at_query * at_query).sum(axis=1)
+        at_query = at_query.astype(np.float32)
         order = np.argsort(gap, axis=1, kind="stable")
         gap = np.take_along_axis(gap, order, axis=1)
         size_of = np.sqrt((queries * queries).sum(axis=1))
@@ -160,15 +173,31 @@ class ProjectionTree:
         unit = size_of / self.scale  # of a look
         best_id = np.full((n, k), -1)
         best = np.full((n, k), -np.inf)
+        flat = self.coarse.reshape(-1, self.coarse.shape[2])
+
+        def reach(of: np.ndarray) -> np.ndarray:
+            """Squared projected distance up to which a nearer row may lie; infinite until k rows are found.
+
+            The slack covers single precision, so that copies of a vector count as equally near.
+            """
+            far = norm[of] - 2 * np.maximum(best[of, -1], bound[of])
+            return quantile * np.maximum(far, 0) * self.scale**2 + 1e-5 * (1 + query_square[of])
+
         alive, step, size = np.arange(n), 0, max(1, 128 // self.leaves.shape[1])
-        alive = alive[gap[alive, 0] < quantile * np.maximum(norm - 2 * bound, 0)]
+        alive = alive[gap[alive, 0] <= reach(alive)]
         while len(alive) and step < len(self.leaves):
             pick = order[alive, step : step + size]
             rows = self.leaves[pick].reshape(len(alive), -1)
-            look = np.einsum("qlrd,qd->qlr", self.coarse[pick], single[alive]).reshape(len(alive), -1)
+            away = self.near_square[pick] - 2 * np.einsum("qlrm,qm->qlr", self.near[pick], at_query[alive])
+            near = away.reshape(len(alive), -1) + query_square[alive, None] <= reach(alive)[:, None]
+            near &= (rows >= 0) & (self.ids[rows] != ids[alive, None])
+            one, col = np.nonzero(near)
+            self.verified += len(one)
+            place = pick[one, col // self.leaves.shape[1]] * self.leaves.shape[1] + col % self.leaves.shape[1]
+            look = np.einsum("nd,nd->n", flat[place], single[alive[one]])
             least = np.maximum(best[alive, -1], bound[alive]) / unit[alive] - self.coarse_error
-            better = look >= least[:, None]
-            better &= (rows >= 0) & (self.ids[rows] != ids[alive, None])
+            better = near
+            better[one, col] = look >= least[one]
             at = np.flatnonzero(better.any(axis=1))
             if len(at):  # only these queries have something to verify and merge
                 q, (one, col) = alive[at], np.nonzero(better[at])
@@ -185,8 +214,7 @@ class ProjectionTree:
                 best[q] = np.take_along_axis(all_score, pick, axis=1)
             step += size
             if step < len(self.leaves):
-                far = norm[alive] - 2 * np.maximum(best[alive, -1], bound[alive])  # infinite until k rows are found
-                alive = alive[gap[alive, step] < quantile * np.maximum(far, 0)]
+                alive = alive[gap[alive, step] <= reach(alive)]
         best_id[np.isinf(best)] = -1
         return best_id, best
 
@@ -326,8 +354,9 @@ def nearest(
                 go = np.zeros(gap.shape, bool)
                 go[np.arange(len(v)), gap.argmin(axis=1)] = True
                 if not home:
-                    far = (v * v).sum(axis=1) + top - 2 * bound
-                    go = ~go & (gap < quantile * np.maximum(far, 0)[:, None])
+                    size = (v * v).sum(axis=1) + top
+                    reach = quantile * np.maximum(size - 2 * bound, 0) + 1e-5 * size  # as in ProjectionTree.search
+                    go = ~go & (gap <= reach[:, None])
                 q, c = np.nonzero(go)
                 row = np.repeat(q, shares[c])
                 at = np.arange(len(row)) - np.repeat(np.cumsum(shares[c]) - shares[c], shares[c]) + np.repeat(first[c], shares[c])
