@@ -42,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written below the shared folder and read back, for loops: unlike :func:`cut`, its size is that of its
+    files, where the estimate for a chain of joins would double its digits in each round."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def importable(df: DataFrame) -> DataFrame:
     """``df``, after Python workers have been told where this package is (workers that share the driver's files)."""
     root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
@@ -71,6 +79,20 @@ def once(left_key: str, right_key: str) -> Column:
     return ((F.col("_p") < F.col("_q")) & (F.col(left_key) != F.col(right_key))) | (F.col(left_key) < F.col(right_key)) & (F.col("_p") == F.col("_q"))
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """Add the place (int, from 1) of each row in the order of the columns ``order``, which together differ from row to row.
+
+    Rows are sorted in ranges; a range goes on from the number of rows in the ranges before it, so no task sees all.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    held = cut(dealt.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = held.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = (F.col("_start") + F.col("_at") + 1).cast("int").alias(name)
+    return held.join(F.broadcast(starts), "_range").select(*rows.columns, place)
+
+
 def running(rows: DataFrame, order: str, by: list[str], sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Add running sums (new name -> column) in the order of ``order``, whose values differ within each ``by`` group.
 

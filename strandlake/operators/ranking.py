@@ -50,7 +50,7 @@ def residue_coverage(pairs: DataFrame) -> DataFrame:
     first = pairs.select(F.explode(F.array("pos_i", "pos_j")).alias("pos"), "rank").groupBy("pos").agg(F.min("rank").alias("rank"))
     news = first.groupBy("rank").agg(F.count("*").alias("new_positions"))
     every = pairs.groupBy("rank").agg(F.count("*").alias("pairs")).join(news, "rank", "left").fillna(0, ["new_positions"])
-    window = Window.orderBy("rank")  # one row per rank
-    seen = F.sum("new_positions").over(window)
-    total = F.sum("new_positions").over(Window.partitionBy())
-    return every.select("rank", "pairs", "new_positions", seen.alias("seen"), F.round(seen / total, 9).alias("residue_coverage"))
+    every = cut(every)  # used several times below
+    total = every.agg(F.sum("new_positions").alias("_total"))  # one row
+    summed = running(every, "rank", [], {"seen": "new_positions"}).crossJoin(F.broadcast(total))
+    return summed.select("rank", "pairs", "new_positions", "seen", F.round(F.col("seen") / F.col("_total"), 9).alias("residue_coverage"))

@@ -7,7 +7,6 @@ have smaller numbers than their children.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import defaultdict
 from itertools import accumulate
@@ -20,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..schemas import TREE_NODE
 from .agglomerate import join_order, tree_rows
-from .pairs import cut, importable
+from .pairs import importable, numbered, stored
 
 EULER = 0.57721566490153286061
 
@@ -28,10 +27,6 @@ EULER = 0.57721566490153286061
 Node = tuple[str, str | None, int | None, bool, float]
 
 
-#: Leaves of a tree whose order from the bottom up is made on the driver, at most.
-MOST_LEAVES = 20_000
-
-
 def agglomerate(d: np.ndarray, names: list[str], method: str = "upgma_first") -> list[Node]:
     """The tree of a small matrix of distances: :func:`agglomerate.agglomerated` in one piece."""
     work = np.array(d, float)
@@ -132,7 +127,7 @@ def closure(tree: DataFrame) -> DataFrame:
     depth.  Every round is written to the checkpoint folder.  A loop among the parents raises an error.
     """
     jump = tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("to"), F.lit(1).alias("steps"), F.col("branch_length").cast("double").alias("length"))
-    jump = cut(jump)
+    jump = stored(jump)
     above = tree.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("steps"), F.lit(0.0).alias("length"))
     total = lambda a, b: (F.col(a) + F.col(b)).alias(a)
     left, before = jump.count(), None
@@ -141,8 +136,8 @@ def closure(tree: DataFrame) -> DataFrame:
             raise ValueError("the parents of a tree form a loop")
         on = jump.select(F.col("node").alias("ancestor"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("length").alias("_length"))
         further = above.join(on, "ancestor").select(F.col("_to").alias("ancestor"), "node", total("steps", "_steps"), total("length", "_length"))
-        above = cut(above.unionByName(further))
-        jump = cut(jump.join(on.withColumnRenamed("ancestor", "to"), "to").select("node", F.col("_to").alias("to"), total("steps", "_steps"), total("length", "_length")))
+        above = stored(above.unionByName(further))
+        jump = stored(jump.join(on.withColumnRenamed("ancestor", "to"), "to").select("node", F.col("_to").alias("to"), total("steps", "_steps"), total("length", "_length")))
         left, before = jump.count(), left
     return above
 
@@ -208,11 +203,53 @@ def node_weights(tree: DataFrame, ranks: list[int] | None = None) -> DataFrame:
     return lives(tree, ranks).select("node", "weight")
 
 
+def from_root(tree: DataFrame) -> DataFrame:
+    """node, distance and number of steps from the root: jumps double until all have come to a root.
+
+    One row for each node in each round, also in a tree that is one long line.  Nodes with a parent that is not in
+    the table do not appear; a loop among the parents raises an error.
+    """
+    rooted = F.col("parent").isNull()
+    length = F.when(rooted, 0.0).otherwise(F.col("branch_length").cast("double"))
+    jump = stored(tree.select("node", F.col("parent").alias("to"), F.when(rooted, 0).otherwise(1).alias("level"), length.alias("distance")))
+    left, before = jump.where("to IS NOT NULL").count(), None
+    while left:
+        if left == before:
+            raise ValueError("the parents of a tree form a loop")
+        on = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("level").alias("_level"), F.col("distance").alias("_distance"))
+        total = [(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("level", "distance")]
+        further = jump.join(on, "to").select("node", F.col("_to").alias("to"), *total)
+        jump = stored(jump.where("to IS NULL").unionByName(further))
+        left, before = jump.where("to IS NOT NULL").count(), left
+    return jump.select("node", F.round("distance", 9).alias("distance"), "level")
+
+
 def top_down(tree: DataFrame) -> DataFrame:
     """node, distance from the root, place in the order (distance, name)."""
-    roots = tree.where("parent IS NULL").select(F.col("node").alias("ancestor"))
-    far = closure(tree).join(F.broadcast(roots), "ancestor").select("node", F.round("length", 9).alias("distance"))
-    return far.withColumn("place", F.row_number().over(Window.orderBy("distance", "node")))  # nodes of one tree
+    return numbered(from_root(tree).drop("level"), "place", "distance", "node")
+
+
+def bottom_up(tree: DataFrame) -> DataFrame:
+    """node, distance from the root, place: from the farthest to the nearest, a parent only after its first child.
+
+    Of the nodes that may come next (all leaves, and parents of what has come) the farthest comes, by name on a tie.
+    A node's key is its place by (-distance, name), a number.  On each way up from a leaf some node has the largest key; a node comes
+    together with the least of those over the leaves below it, and of the nodes that come with one key, which all
+    stand above its owner, the deeper comes first.  These least largest keys are gathered by doubling jumps, so no
+    task walks a tree, and lengths may be zero or negative.  Inner nodes without a leaf below them do not appear.
+    """
+    far = numbered(from_root(tree).withColumn("near", -F.col("distance")), "key", "near", "node").drop("near")
+    keyed = stored(tree.select("node", "parent", "is_leaf").join(far, "node"))
+    above = keyed.select(F.col("node").alias("parent"), F.col("key").alias("most"))
+    jump = stored(keyed.join(above, "parent").select("node", F.col("parent").alias("to"), "most"))
+    least = stored(keyed.where("is_leaf").select("node", F.col("key").alias("least")))
+    while not jump.isEmpty():
+        reached = jump.join(least, "node").select(F.col("to").alias("node"), F.greatest("least", "most").alias("least"))
+        least = stored(least.unionByName(reached).groupBy("node").agg(F.min("least").alias("least")))
+        on = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("most").alias("_most"))
+        jump = stored(jump.join(on, "to").select("node", F.col("_to").alias("to"), F.greatest("most", "_most").alias("most")))
+    rows = keyed.join(least, "node").select("node", "distance", "least", (-F.col("level")).alias("depth"))
+    return numbered(rows, "place", "least", "depth").select("node", "distance", "place")
 
 
 def annotate(tree: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,39 +266,6 @@ def annotate(tree: DataFrame, labels: DataFrame) -> DataFrame:
     return best.select("leaf", text.alias("annotation"))
 
 
-def bottom_up(tree: DataFrame) -> DataFrame:
-    """node, distance from the root, place: from the farthest to the nearest, a parent only after its first child.
-
-    Of the nodes that may come next (all leaves, and parents of what has come) the farthest comes, by name on a tie.
-    """
-    nodes = {r["node"]: r for r in tree.collect()}  # one tree, as for agglomeration
-    if len(nodes) > 2 * MOST_LEAVES:
-        raise ValueError(f"a traversal holds a whole tree: {2 * MOST_LEAVES} nodes at most")
-    far: dict[str, float] = {}
-
-    def distance(name: str) -> float:
-        way = []
-        while name not in far and nodes[name]["parent"] is not None:
-            way.append(name)
-            name = nodes[name]["parent"]
-        total = far.setdefault(name, 0.0)
-        for x in reversed(way):
-            total = far[x] = total + float(nodes[x]["branch_length"])
-        return total
-
-    heap = [(-round(distance(n), 9), n) for n, r in nodes.items() if r["is_leaf"]]
-    heapq.heapify(heap)
-    seen, order = {n for _, n in heap}, []
-    while heap:
-        _, name = heapq.heappop(heap)
-        order.append((name, round(far[name], 9), len(order) + 1))
-        up = nodes[name]["parent"]
-        if up is not None and up not in seen:
-            seen.add(up)
-            heapq.heappush(heap, (-round(distance(up), 9), up))
-    return tree.sparkSession.createDataFrame(order, "node string, distance double, place int")
-
-
 def by_rank(tree: DataFrame) -> DataFrame:
     """rank, node: the nodes that are the groups of each rank, one more at each rank."""
     return assignment(tree).select("rank", "node")

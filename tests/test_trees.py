@@ -139,3 +139,49 @@ def test_runs_of_ranks_equal_exploded_ranks(spark):
     with pytest.raises(ValueError):
         tree.lives(nodes, [0])
     assert spark.createDataFrame([], TREE_NODE).count() == 0
+
+
+def slow_bottom_up(nodes):
+    """One node after another from a heap."""
+    by_name = {x[0]: x for x in nodes}
+
+    def far(name):
+        x = by_name[name]
+        return 0.0 if x[1] is None else far(x[1]) + x[4]
+
+    key = {n: (-round(far(n), 9), n) for n in by_name}
+    heap, seen, out = [key[x[0]] for x in nodes if x[3]], {x[0] for x in nodes if x[3]}, []
+    while heap:
+        heap.sort()
+        out.append(heap.pop(0)[1])
+        up = by_name[out[-1]][1]
+        if up is not None and up not in seen:
+            seen.add(up)
+            heap.append(key[up])
+    return out
+
+
+@pytest.mark.parametrize("lengths", [(0.0, 1.0), (0.0, 0.0, 0.0, 1.0), (0.5, 1.0, 2.0), (-1.0, 0.0, 1.0)])
+def test_traversals_match_a_heap(spark, lengths):
+    """Lengths of zero, where a parent waits for its first child, and negative ones, where a parent is farther than its child."""
+    rng = random.Random(len(lengths) + lengths.count(0.0))
+    names = [f"n{k}" for k in rng.sample(range(100, 999), 60)]
+    parent = {names[k]: names[rng.randrange(max(0, k - 6), k)] for k in range(1, 60)}
+    inner = set(parent.values())
+    nodes = [(n, parent.get(n), k + 1 if n in inner else None, n not in inner, rng.choice(lengths)) for k, n in enumerate(names)]
+    frame = spark.createDataFrame(nodes, tree.TREE_NODE)
+    assert [r["node"] for r in tree.bottom_up(frame).orderBy("place").collect()] == slow_bottom_up(nodes)
+    down = tree.top_down(frame).orderBy("place").collect()
+    assert [(r["distance"], r["node"]) for r in down] == sorted((r["distance"], r["node"]) for r in down)
+    assert [r["place"] for r in down] == list(range(1, 61))
+
+
+def test_traversals_of_a_long_line_and_of_no_tree(spark):
+    nodes = [(f"n{k:04}", f"n{k - 1:04}" if k else None, k + 1 if k < 1500 else None, k == 1500, 0.0) for k in range(1501)]
+    frame = spark.createDataFrame(nodes, tree.TREE_NODE)
+    assert [r["node"] for r in tree.bottom_up(frame).orderBy("place").collect()] == [x[0] for x in reversed(nodes)]
+    assert [r["node"] for r in tree.top_down(frame).orderBy("place").collect()] == [x[0] for x in nodes]
+    assert tree.bottom_up(frame.limit(0)).count() == tree.top_down(frame.limit(0)).count() == 0
+    loop = spark.createDataFrame([("a", "b", 1, False, 1.0), ("b", "a", 2, False, 1.0)], tree.TREE_NODE)
+    with pytest.raises(ValueError, match="loop"):
+        tree.top_down(loop)
