@@ -47,17 +47,19 @@ def usable_headers(records: DataFrame, header: str = "header") -> DataFrame:
     return records.where(~F.col(header).rlike(r"\(Fragment\)|LOW QUALITY"))
 
 
-def identity_histogram(rows: DataFrame, share: str, interval: int, lowest: int, highest: int) -> DataFrame:
-    """bin, n of percent identities."""
-    return rows.withColumn("bin", identity_bin(F.col(share), interval, lowest, highest)).groupBy("bin").agg(F.count("*").alias("n"))
+def identity_histogram(rows: DataFrame, share: str, interval: int, lowest: int, highest: int, times: str | None = None) -> DataFrame:
+    """bin, n of percent identities; a row counts as often as its column ``times`` says."""
+    n = F.count("*") if times is None else F.sum(times)
+    return rows.withColumn("bin", identity_bin(F.col(share), interval, lowest, highest)).groupBy("bin").agg(n.alias("n"))
 
 
-def identity_summary(rows: DataFrame, share: str, fraction: str, low: float, high: float) -> DataFrame:
-    """One row: least and largest fraction, and how many identities are low, passing and high."""
-    x = F.round(share, 9)
+def identity_summary(rows: DataFrame, share: str, fraction: str, low: float, high: float, times: str | None = None) -> DataFrame:
+    """One row: least and largest fraction, and how many identities are low, passing and high; see :func:`identity_histogram`."""
+    x, once = F.round(share, 9), F.lit(1) if times is None else F.col(times)
+    count = lambda where: F.coalesce(F.sum(F.when(where, once)), F.lit(0)).cast("long")
     return rows.agg(
         F.min(fraction).alias("min_fraction"), F.max(fraction).alias("max_fraction"),
-        F.count_if(x < low).alias("low"), F.count_if((x >= low) & (x <= high)).alias("passing"), F.count_if(x > high).alias("high"),
+        count(x < low).alias("low"), count((x >= low) & (x <= high)).alias("passing"), count(x > high).alias("high"),
     )
 
 
