@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import distance, frequency
+from strandlake.operators import distance, frequency, pairs, prediction, ranking, structure
 
 SCORES = [[random.Random(7 * a + b).choice([-2.0, 0.0, 1.0, 3.0]) for b in range(4)] for a in range(4)]  # not symmetric
 GAP = 3
@@ -26,10 +26,10 @@ def test_distances_of_pairs_equal_plain_sums(spark, monkeypatch, block):
     monkeypatch.setattr(distance, "BLOCK", block)
     rows = alignment(19)
     table = packed(spark, rows)
-    pairs = list(itertools.combinations(sorted(rows), 2))
+    every = list(itertools.combinations(sorted(rows), 2))
     got = {(r["i"], r["j"]): r["d"] for r in distance.substitution_distance(table, SCORES, GAP).collect()}
-    assert sorted(got) == pairs
-    for i, j in pairs:
+    assert sorted(got) == every
+    for i, j in every:
         cells = [(a, b) for a, b in zip(rows[i], rows[j], strict=True) if GAP not in (a, b)]
         most = max(sum(SCORES[a][a] for a, _ in cells), sum(SCORES[b][b] for _, b in cells))
         assert got[i, j] == pytest.approx(1 - sum(SCORES[a][b] for a, b in cells) / most if most else 1.0)
@@ -62,3 +62,46 @@ def test_status_at_two_columns_needs_no_grouping_of_pairs(spark):
 def test_tiles_are_not_put_together_by_their_size(spark):
     table = packed(spark, alignment(40))
     assert distance.row_pairs(table).rdd.getNumPartitions() == 2  # spark.sql.shuffle.partitions of the tests
+
+
+def chain(spark, n, lost=()):
+    rng = random.Random(n)
+    atoms = [("A", k, name, *(rng.uniform(-6, 6) for _ in "xyz")) for k in range(n) if k not in lost for name in ("CA", "CB", "X")[: 1 + k % 3]]
+    return spark.createDataFrame(atoms, "chain string, resno int, atom_name string, x double, y double, z double")
+
+
+@pytest.mark.parametrize("size", [4, 512])
+def test_frame_from_atoms_equals_frame_joined_with_distances(spark, monkeypatch, size):
+    monkeypatch.setattr(structure, "RESIDUES", size)
+    atoms = chain(spark, 17, lost=(3, 8))
+    spots = spark.createDataFrame([("A", k, "ACDE"[k % 4]) for k in range(19)], "query string, pos int, aa string")
+    mapped = spots.where("pos % 5 <> 1").select("query", "pos", F.least("pos", F.lit(14)).alias("resno"))  # 14 more than once, 3 and 8 without atoms
+    far = structure.residue_distances(atoms).withColumnRenamed("chain", "query")
+    want = structure.pair_frame(spots, mapped, far, 4.0)
+    got = structure.atom_frame(spots, mapped, atoms, 4.0)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 19 * 18 // 2
+
+
+def test_distances_within_a_cutoff_are_those_of_all(spark):
+    atoms = chain(spark, 21)
+    every = structure.residue_distances(atoms)
+    for below, where in ((False, "distance <= 4"), (True, "distance < 4")):
+        want = sorted(map(tuple, every.where(where).collect()))
+        assert want and sorted(map(tuple, structure.residue_distances(atoms, within=4.0, below=below).collect())) == want
+    assert every.rdd.getNumPartitions() == 2  # not put together by the small size of the atoms
+
+
+def test_scores_in_the_frame_rank_as_joined_ones_do(spark):
+    frame = spark.createDataFrame([(i, j, float((3 * i + 5 * j) % 7)) for i, j in itertools.combinations(range(12), 2)], "pos_i int, pos_j int, score double")
+    scores = ranking.ranked(frame, "min").withColumn("coverage", F.round("coverage", 9))
+    want = prediction.with_predictions(frame.drop("score"), scores, ["pos_i", "pos_j"])
+    got = prediction.scored(frame).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_running_sums_over_ranges(spark):
+    rows = spark.createDataFrame([(k % 2, float(k), k) for k in range(50)] + [(0, None, 7)], "g int, v double, n int")
+    got = {(r["g"], r["v"]): r["s"] for r in pairs.running(rows, "v", ["g"], {"s": "n"}).collect()}
+    assert got == {(0, None): 7} | {(k % 2, float(k)): sum(range(k % 2, k + 1, 2)) + (7 if k % 2 == 0 else 0) for k in range(50)}
