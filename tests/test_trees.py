@@ -185,3 +185,22 @@ def test_traversals_of_a_long_line_and_of_no_tree(spark):
     loop = spark.createDataFrame([("a", "b", 1, False, 1.0), ("b", "a", 2, False, 1.0)], tree.TREE_NODE)
     with pytest.raises(ValueError, match="loop"):
         tree.top_down(loop)
+
+
+def test_a_set_of_ties_beyond_a_thousand_is_merged_by_one_task(spark, monkeypatch):
+    """Names of few letters: nearly all rows tie, which took a round for each pair."""
+    n = 1100
+    digits = np.array([[int(c) for c in f"{k:04d}"] for k in range(n)])
+    d = (digits[:, None, :] != digits[None, :, :]).mean(axis=2)
+    rounds = []
+    monkeypatch.setattr(agglomerate, "_nearest", lambda *a: rounds.append(1) or [])
+    got = agglomerate.agglomerated(*pairs_of(spark, d), "upgma_first").collect()
+    merges = list(agglomerate.join_order(d.copy(), np.ones(n), "upgma_first"))
+    assert not rounds and len(got) == 2 * n - 1
+    want = agglomerate.tree_rows(merges, [str(k) for k in range(n)], "upgma_first")
+    assert [tuple(r)[:4] for r in got] == [r[:4] for r in want]
+
+
+def test_square_of_rows_that_differ_in_their_last_bits():
+    m = np.random.default_rng(1).random((1300, 1300))
+    assert (agglomerate._square(iter(m), 1300) == np.minimum(m, m.T)).all()
