@@ -17,7 +17,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
     # in ``links`` a > b, so for the small star each node's neighbours b are the smaller ones
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    met = both.join(least, "a")
+    met = both.join(least.hint("merge"), "a")  # never gathered in the driver to be broadcast
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -381,7 +381,7 @@ def fingerprint_links(
     rows = _probe_rows(fps, names, parts)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size"), F.count_if(~F.col("probe")).alias("own"))
     shared = sizes.where("size > 1 and own > 0").drop("own")
-    met = rows.join(shared, ["part", "key"])
+    met = rows.join(shared.hint("merge"), ["part", "key"])  # grows with the rows: not broadcast
     # A bucket is cut into blocks by hash; two blocks meet in the task of their pair.
     cuts = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), cuts).cast("int")
@@ -398,17 +398,18 @@ def near_groups(
 ) -> DataFrame:
     """One row per input row: id, fp, component_id (smallest id that links reach, itself included).
 
-    Rows with equal fingerprints are linked; blank and null texts share fingerprint 0.
+    Rows with equal fingerprints are linked; blank and null texts share fingerprint 0.  All joins are merges: what they
+    join grows with the rows, and a broadcast would gather it in the driver.
     A null id takes part in links but never names a component, unless all ids of
     it are null.  An empty table gives an empty result.
     """
     marks = written(simhash(df, id_col, text_col, words))
     distinct = written(marks.groupBy("fp").agg(F.min(col(id_col)).alias("_least")))
     roots = connected_components(fingerprint_links(distinct, max_bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    of_fp = named.select("fp", "root").join(least, "root").drop("root")
-    return marks.join(of_fp, "fp").select(col(id_col), "fp", "component_id")
+    of_fp = named.select("fp", "root").join(least.hint("merge"), "root").drop("root")
+    return marks.join(of_fp.hint("merge"), "fp").select(col(id_col), "fp", "component_id")
 
 
 #: near_dedup: further words of 64 bits, differing bits of all 256 up to which every pair is a candidate, and up to

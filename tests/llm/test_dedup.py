@@ -405,3 +405,11 @@ def test_empty_tables(no_docs):
     assert simhash.near_dedup(no_docs).count() == 0
     assert suffix_dedup.repeat_report(no_docs).count() == 0
     assert suffix_dedup.suffix_dedup(no_docs).where(F.col("text").isNotNull()).count() == 0
+
+
+def test_near_groups_broadcast_nothing_that_grows(spark, small):
+    from strandlake.llm import simhash
+
+    groups = simhash.near_groups(spark.read.parquet(f"{small}/documents.parquet"))
+    groups.collect()
+    assert "Broadcast" not in groups._jdf.queryExecution().toString()
