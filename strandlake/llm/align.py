@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from sys import intern
 
 import numpy as np
@@ -40,6 +41,8 @@ from .common import col, whole_text, written
 from .packing import RankCoder, _coder, byte_letters
 
 LOT_BYTES = 8 << 20
+#: Text whose new chunks are encoded at once.
+LEARN_BYTES = 1 << 18
 #: Chunks that a worker remembers between lots.
 CACHE = 300_000
 #: Before a space that follows something else than white space.
@@ -51,6 +54,18 @@ _pairs: dict[tuple[str, str], Encoders] = {}
 Known = tuple[str, tuple[str, ...], int, int] | None
 
 
+class _Names(dict):
+    """From the ids of a group (32 bits each, -1 between those of A and of B) to its text."""
+
+    def __missing__(self, data: bytes) -> str:
+        ids = np.frombuffer(data, np.int32)
+        at = int(np.flatnonzero(ids < 0)[0])
+        name = intern(f"{','.join(map(str, ids[:at].tolist()))}|{','.join(map(str, ids[at + 1 :].tolist()))}")
+        if len(self) < CACHE:
+            self[data] = name
+        return name
+
+
 class Encoders:
     """Tokenizer A (byte-level, the ``tokenizers`` file format) and B (a sentencepiece model)."""
 
@@ -68,6 +83,8 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_sizes, self.b_sizes = np.array(self.a_size, np.int64), np.array(self.b_size, np.int64)
+        self.names = _Names()
         self.number = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.spells = isinstance(self.a, RankCoder)  # its tokens are the bytes of any text
         self.young: dict[str, Known] = {}
@@ -83,8 +100,10 @@ class Encoders:
         if " " in new:  # the space that ends a text; the library adds none to an empty text
             new.remove(" ")
             young[" "] = self._cut(" ", self._a_ids(" "), [self.b.piece_to_id("▁")])
-        for c, b in zip(new, self.b.encode([c[1:] for c in new], num_threads=1) if new else [], strict=True):
-            young[c] = self._cut(c, self._a_ids(c), b)
+        ids = self.b.encode([c[1:] for c in new], num_threads=1) if new else []
+        found = self._cut_all(new, ids) if self.spells else {}
+        for c, b in zip(new, ids, strict=True):
+            young[c] = found[c] if c in found else self._cut(c, self._a_ids(c), b)
         out = [young[c] for c in chunks]
         if len(young) > CACHE // 2:
             self.old, self.young = young, {}
@@ -118,6 +137,53 @@ class Encoders:
                 first_a, first_b = i + 1, j
         return ";".join(out), tuple(map(intern, out)), len(a), len(b)
 
+    def _cut_all(self, chunks: list[str], ids: list[list[int]]) -> dict[str, Known]:
+        """What :meth:`_cut` says of chunks, given their B ids, all at once; some or all may be left out.
+
+        Chunks that do not end in white space are encoded in one string, since no token of A goes across their ends.
+        Left out are the others, and those whose B ids do not have as many bytes.
+        """
+        texts = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        size, n_b = np.array(list(map(len, texts)), np.int64), np.array(list(map(len, ids)), np.int64)
+        b = np.array(list(chain.from_iterable(ids)), np.int64)
+        end_b = np.append(0, np.cumsum(self.b_sizes[b]))
+        last_b = np.cumsum(n_b)
+        use = (end_b[last_b] - end_b[last_b - n_b] == size) & (n_b > 0) & ~np.array([c[-1:].isspace() for c in chunks], bool)
+        if not use.all():
+            b = b[np.repeat(use, n_b)]
+            chunks, texts = ([x for x, u in zip(xs, use.tolist(), strict=True) if u] for xs in (chunks, texts))
+            size, n_b = size[use], n_b[use]
+        if not chunks:
+            return {}
+        whole = b"".join(texts)
+        try:
+            a = np.array(self.a.encoding.encode_ordinary("".join(chunks)), np.int64)
+        except ValueError:  # refused for its length
+            return {}
+        end_a, end_b, ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), np.cumsum(size)
+        if end_a[-1] != len(whole) or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            return {}
+        last_a, last_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        if (end_a[last_a] != ends).any():
+            return {}
+        # the groups: tokens of A, a mark, tokens of B; cut where tokens of both end
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        to_a, to_b = np.searchsorted(end_a, both) + 1, np.searchsorted(end_b, both) + 1
+        k = np.arange(len(both))
+        of_a, of_b = np.repeat(k, np.diff(to_a, prepend=0)), np.repeat(k, np.diff(to_b, prepend=0))
+        laid = np.full(len(a) + len(b) + len(both), -1, np.int32)
+        laid[np.arange(len(a)) + np.append(0, to_b)[of_a] + of_a] = a
+        laid[np.arange(len(b)) + to_a[of_b] + of_b + 1] = b
+        data, stops = laid.tobytes(), (4 * (to_a + to_b + k + 1)).tolist()
+        groups = list(map(self.names.__getitem__, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+        to = (np.searchsorted(both, ends) + 1).tolist()
+        counts = np.diff(last_a + 1, prepend=0).tolist(), n_b.tolist()
+        out: dict[str, Known] = {}
+        for c, x, y, m, n in zip(chunks, [0, *to[:-1]], to, *counts, strict=True):
+            own = tuple(groups[x:y])
+            out[c] = ";".join(own), own, m, n
+        return out
+
     def links(self, group: str) -> Counter:
         """(A id, B id) -> pairs of tokens of the group with overlapping bytes."""
         a, b = ([int(x) for x in side.split(",")] for side in group.split("|"))
@@ -175,12 +241,18 @@ class _Lot:
             self.of_chunk.append([number.setdefault(g, len(number)) for g in groups])
 
     def add(self, text: str, pair: Encoders) -> None:
-        self.bytes += len(text)
-        chunks = CUT.split(" " + text) if text else []
-        chunk = self.chunk
-        if new := [c for c in dict.fromkeys(chunks) if c not in chunk]:
+        self.add_all([text], pair)
+
+    def add_all(self, texts: list[str], pair: Encoders) -> None:
+        """Documents whose new chunks are learnt together."""
+        self.bytes += sum(map(len, texts))
+        cuts, chunk = [CUT.split(" " + text) if text else [] for text in texts], self.chunk
+        if new := [c for c in dict.fromkeys(chain.from_iterable(cuts)) if c not in chunk]:
             self._learn(new, pair)
-        at = list(map(chunk.__getitem__, chunks))
+        for chunks in cuts:
+            self._row(list(map(chunk.__getitem__, chunks)))
+
+    def _row(self, at: list[int]) -> None:
         if not at or self.bad and not self.bad.isdisjoint(at):
             self.rows.append(("", np.zeros(0, np.int32)))
             return
@@ -234,9 +306,13 @@ def encoded_lots(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, part, k, lot, kind = encoders(a_path, b_path), TaskContext.get().partitionId() << 32, 0, _Lot(by_documents), None
         for b in batches:
-            kind, start = b.column(0).type, 0
+            kind, start, waiting, size = b.column(0).type, 0, [], 0
             for r in range(b.num_rows):
-                lot.add(b.column(1)[r].as_py(), pair)
+                waiting.append(b.column(1)[r].as_py())
+                size += len(waiting[-1])
+                if size >= LEARN_BYTES or lot.bytes + size >= lot_bytes or r + 1 == b.num_rows:
+                    lot.add_all(waiting, pair)
+                    waiting, size = [], 0
                 if lot.bytes >= lot_bytes or r + 1 == b.num_rows:
                     lot.ids.append(b.column(0).slice(start, r + 1 - start))
                     start = r + 1

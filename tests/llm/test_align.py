@@ -115,3 +115,14 @@ def test_empty_table_and_clashing_names(spark, no_docs):
 def test_query_equals_the_libraries(spark, small, libraries):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     compared(entries.op12_align(spark, small).collect(), brute(libraries, rows)[0])
+
+
+def test_chunks_cut_together_are_those_cut_one_by_one():
+    pair = align.encoders(A, B)
+    chunks = [" the", " Xylofa", " é½ﬁ", " ▁a", "  two", " 日本語", " a\tb", " 12345", " " + "word" * 300, " <0x0A>", " \x00q", " 🙂", " end\n"]
+    ids = pair.b.encode([c[1:] for c in chunks], num_threads=1)
+    found = pair._cut_all(chunks, ids)
+    one = {c: pair._cut(c, pair._a_ids(c), b) for c, b in zip(chunks, ids, strict=True)}
+    assert found and found.items() <= one.items()
+    assert {" the", " Xylofa", " 日本語"} <= found.keys() and " end\n" not in found  # white space at its end: by itself
+    assert pair._cut_all([], []) == {}
