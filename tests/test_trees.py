@@ -204,3 +204,12 @@ def test_a_set_of_ties_beyond_a_thousand_is_merged_by_one_task(spark, monkeypatc
 def test_square_of_rows_that_differ_in_their_last_bits():
     m = np.random.default_rng(1).random((1300, 1300))
     assert (agglomerate._square(iter(m), 1300) == np.minimum(m, m.T)).all()
+
+
+def test_distances_are_packed_by_row_before_they_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(agglomerate, "PACKED", 7)
+    d = distances("apart", 9)
+    got = {r["x"]: np.frombuffer(r["v"]) for r in agglomerate.distance_rows(pairs_of(spark, d)[0], list(range(9)), True).collect()}
+    np.fill_diagonal(d, np.inf)
+    assert sorted(got) == list(range(9)) and all((got[k] == d[k] ** 2).all() for k in got)
+    assert agglomerate.distance_rows(pairs_of(spark, d)[0], list(range(5)), True).count() == 5  # rows that are not leaves take no part
