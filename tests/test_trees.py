@@ -206,6 +206,20 @@ def test_square_of_rows_that_differ_in_their_last_bits():
     assert (agglomerate._square(iter(m), 1300) == np.minimum(m, m.T)).all()
 
 
+@pytest.mark.parametrize("sizes", [(40, 3), (30, 25), (3, 40), (60, 1), (0, 5)])
+@pytest.mark.parametrize("n", [3, 80])
+def test_transitions_across_sets_are_counted_without_listing_pairs(monkeypatch, sizes, n):
+    rng = np.random.default_rng(sum(sizes) + n)
+    rows = rng.permutation(sum(sizes) * 3)[: sum(sizes)]
+    mine, theirs = np.sort(rows[: sizes[0]]), np.sort(rows[sizes[0] :])
+    g, h = rng.integers(0, n, len(mine)), rng.integers(0, n, len(theirs))
+    listed = rollup._across(mine, g, theirs, h, n)
+    monkeypatch.setattr(rollup, "PAIRS_LISTED", 0)
+    counted = rollup._across(mine, g, theirs, h, n)
+    assert [x.tolist() for x in counted] == [x.tolist() for x in listed]
+    assert counted[1].sum() == len(mine) * len(theirs)
+
+
 def test_distances_are_packed_by_row_before_they_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(agglomerate, "PACKED", 7)
     d = distances("apart", 9)
