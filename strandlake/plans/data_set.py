@@ -51,7 +51,8 @@ def build(ids: DataFrame, hits: DataFrame, codes: dict[str, int], letters: str,
     best = dataset.best_per_hit(filtered, ["seq", "hit_id"], [F.desc("identity"), F.asc("expect"), F.asc("hit_no"), F.asc("sbjct")])
     best = cut(best.withColumnRenamed("hit_no", "seq_idx"))
     packed = best.select("seq", "seq_idx", encoded(F.col("sbjct"), codes).alias("codes"))
-    near = distance.near_rows(packed, t.max_redundancy, "seq")
-    stay = distance.redundancy_filter(near, packed, t.max_redundancy, by=("seq",))
+    distinct = distance.distinct_rows(packed, "seq")
+    near = distance.near_rows(distinct, t.max_redundancy, "seq")
+    stay = distance.redundancy_filter(near, distinct, t.max_redundancy, by=("seq",))
     kept = dataset.checked_thresholds(best.join(stay, ["seq", "seq_idx"]), t.min_fraction, t.min_identity, t.max_identity)
     return DataSet(filtered, best, kept, dataset.data_set_summary(ids, hits, best, kept))

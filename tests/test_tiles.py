@@ -105,3 +105,18 @@ def test_running_sums_over_ranges(spark):
     rows = spark.createDataFrame([(k % 2, float(k), k) for k in range(50)] + [(0, None, 7)], "g int, v double, n int")
     got = {(r["g"], r["v"]): r["s"] for r in pairs.running(rows, "v", ["g"], {"s": "n"}).collect()}
     assert got == {(0, None): 7} | {(k % 2, float(k)): sum(range(k % 2, k + 1, 2)) + (7 if k % 2 == 0 else 0) for k in range(50)}
+
+
+def test_copies_of_rows_are_not_paired(spark):
+    rng = random.Random(4)
+    kinds = [[rng.randrange(2) for _ in range(10)] for _ in range(12)]
+    table = packed(spark, {k: rng.choice(kinds) for k in range(60)})
+    distinct = distance.distinct_rows(table)
+    assert distinct.count() <= 12 and distinct.agg(F.sum("copies")).first()[0] == 60
+    assert distance.near_rows(distinct, 0.8).count() <= 66
+    want = distance.effective_size(distance.near_rows(table, 0.8), table, 0.8).first()[0]
+    assert distance.effective_size_of_distinct(distance.near_rows(distinct, 0.8), distinct, 0.8).first()[0] == pytest.approx(want)
+    want = sorted(map(tuple, distance.redundancy_filter(distance.near_rows(table, 0.8), table, 0.8).collect()))
+    assert want and sorted(map(tuple, distance.redundancy_filter(distance.near_rows(distinct, 0.8), distinct, 0.8).collect())) == want
+    none = spark.createDataFrame([(1, None), (2, None)], "seq_idx bigint, codes array<int>")
+    assert distance.distinct_rows(none).count() == 2
