@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -147,6 +148,16 @@ def test_a_tree_of_many_levels(spark):
     assert tree.to_newick(nodes).count("(") == n
 
 
+def test_a_tree_of_many_leaves_on_one_level_has_no_shrinking_frames(spark):
+    n = 3_000
+    frame = tree.newick_trees(spark.createDataFrame([("wide", "((" + ",".join(f"x{k}:{k}" for k in range(n)) + ")a:2,y:1)r:1;")], "tree string, newick string"))
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    starts = re.findall(r"specifiedwindowframe\(RowFrame, ([^,]+), unboundedfollowing", plan)
+    assert set(starts) <= {"unboundedpreceding$()"}  # any other is read anew for each row: the square of the leaves
+    rows = {r["node"]: (r["parent"], r["branch_length"]) for r in frame.collect()}
+    assert rows == {f"x{k}": ("Inner2", float(k)) for k in range(n)} | {"Inner2": ("Inner1", 2.0), "y": ("Inner1", 1.0), "Inner1": (None, 1.0)}
+
+
 # -- alignment ----------------------------------------------------------------------------------------
 
 
