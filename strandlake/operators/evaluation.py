@@ -29,13 +29,14 @@ def in_category_sets(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("category_set", F.explode(F.transform(hits, lambda s: s["name"])))
 
 
-def thresholds(rows: DataFrame, by: list[str], score: str = "score", truth: str = "truth") -> DataFrame:
+def thresholds(rows: DataFrame, by: list[str], score: str = "score", truth: str = "truth", times: str | None = None) -> DataFrame:
     """by..., score, tp, fp (running, best score first), p, n: ties are one threshold.
 
-    Counts per distinct score come first, so windows see thresholds, not rows.
+    Counts per distinct score come first, so windows see thresholds, not rows.  ``times``: a column that says for how many
+    equal rows a row stands.
     """
-    t = F.col(truth).cast("int")
-    at = rows.groupBy(*by, score).agg(F.sum(t).cast("long").alias("pos"), F.sum(1 - t).cast("long").alias("neg"))
+    t, each = F.col(truth).cast("int"), F.col(times) if times else F.lit(1)
+    at = rows.groupBy(*by, score).agg(F.sum(t * each).cast("long").alias("pos"), F.sum((1 - t) * each).cast("long").alias("neg"))
     run = Window.partitionBy(*by).orderBy(F.desc(score))
     whole = Window.partitionBy(*by)
     return at.select(
@@ -45,10 +46,10 @@ def thresholds(rows: DataFrame, by: list[str], score: str = "score", truth: str
     )
 
 
-def auroc(rows: DataFrame, by: list[str], score: str = "score", truth: str = "truth") -> DataFrame:
+def auroc(rows: DataFrame, by: list[str], score: str = "score", truth: str = "truth", times: str | None = None) -> DataFrame:
     """by..., auroc: area under the ROC by trapezoids; null without both kinds."""
     area = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
-    got = thresholds(rows, by, score, truth).groupBy(*by).agg(F.sum(area).alias("a"), F.max("p").alias("p"), F.max("n").alias("n"))
+    got = thresholds(rows, by, score, truth, times).groupBy(*by).agg(F.sum(area).alias("a"), F.max("p").alias("p"), F.max("n").alias("n"))
     return got.select(*by, F.try_divide(F.col("a"), (F.col("p") * F.col("n")).cast("double")).alias("auroc"))
 
 

@@ -1,8 +1,10 @@
 """Work on all pairs is done inside tiles: values against plain Python, and tiles spread over tasks."""
 
 import itertools
+import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,56 @@ def test_copies_of_rows_are_not_paired(spark):
     assert want and sorted(map(tuple, distance.redundancy_filter(distance.near_rows(distinct, 0.8), distinct, 0.8).collect())) == want
     none = spark.createDataFrame([(1, None), (2, None)], "seq_idx bigint, codes array<int>")
     assert distance.distinct_rows(none).count() == 2
+
+
+@pytest.mark.parametrize("size", [4, 1024])
+def test_frames_are_counted_inside_tiles(spark, monkeypatch, size):
+    monkeypatch.setattr(structure, "SUMMED", size)
+    atoms = chain(spark, 37, lost=(3, 8))
+    atoms = atoms.union(atoms.selectExpr("'B'", "resno + 1000", "atom_name", "CASE WHEN resno <> 9 THEN x END", "y", "z"))
+    spots = spark.createDataFrame([(c, k, "ACDE"[k % 4]) for c, o in (("A", 0), ("B", 1000)) for k in range(o, o + 39)], "query string, pos int, aa string")
+    mapped = spots.where("pos % 5 <> 1").select("query", "pos", F.expr("least(pos, IF(query = 'A', 30, 1030))").alias("resno"))
+    values = ["query", "separation", "category", "contact"]
+    want = structure.atom_frame(spots, mapped, atoms, 4.0).groupBy(*values).agg(F.count("*").alias("n"))
+    got = structure.frame_counts(spots, mapped, atoms, 4.0)
+    assert got.where("contact").count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert structure.frame_counts(spots.limit(0), mapped, atoms, 4.0).count() == 0
+
+
+@pytest.mark.parametrize("biased", [True, False])
+def test_contacts_are_summed_inside_tiles(spark, monkeypatch, biased):
+    monkeypatch.setattr(structure, "SUMMED", 6)
+    atoms = chain(spark, 41)
+    first = spark.createDataFrame([(k, k * 7 % 5) for k in range(0, 45, 2)], "res int, cut int")  # some never seen, some without atoms
+    contacts = structure.contact_weights(structure.residue_distances(atoms, within=structure.TOUCH, below=True), biased)
+    sums = structure.contact_sums(atoms, first, biased)
+    assert tuple(structure.summed_background(sums).first()) == pytest.approx(tuple(structure.clustering_background(contacts).first()))
+    want = sorted(map(tuple, structure.clustering_curve(first, contacts, 45).collect()))
+    got = sorted(map(tuple, structure.summed_curve(first, atoms, 45, biased).collect()))
+    assert len(got) == 5 and [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2:] == pytest.approx(w[2:]) for g, w in zip(got, want, strict=True))
+    whole = structure.contact_sums(atoms.limit(0), first, biased)
+    assert tuple(structure.summed_background(whole).first()) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("name", ["separation_categories", "auroc_by_category_set", "clustering_curve", "clustering_background"])
+def test_queries_that_count_pairs_list_none(spark, monkeypatch, small, name):
+    from strandlake import queries
+
+    def listed(*args, **more):
+        raise AssertionError("pairs are listed")
+
+    for f in ("residue_distances", "atom_frame"):
+        monkeypatch.setattr(structure, f, listed)
+    assert queries.QUERIES[name](spark, small).count() > 0
+
+
+def test_least_distances_with_even_and_uneven_residues():
+    rng = random.Random(6)
+    for most in (1, 3, 40):  # 40: one large residue among small ones
+        atoms = [[{c: rng.uniform(-5, 5) for c in "xyz"} for _ in range(k)] for k in (most, 2, 1, 2, 1, 1, 2)]
+        table = pa.table({"p": pa.array([*atoms, None])})
+        ((_, d),) = structure._least(table, table)
+        for i, p in enumerate(atoms):
+            assert list(d[i, :7]) == pytest.approx([min(math.dist(list(u.values()), list(v.values())) for u in p for v in q) for q in atoms])
+        assert all(math.isnan(x) for x in d[7])
