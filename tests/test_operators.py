@@ -521,6 +521,12 @@ def test_best_chain_is_the_one_that_scores_most(spark):
     assert got == [("B", 0, 1), ("B", 1, 2), ("B", 2, 3), ("B", 3, 4), ("B", 4, 5), ("B", 5, 7)]
 
 
+def test_best_chain_without_equal_letters_leaves_no_worse_chain(spark):
+    sequences = spark.createDataFrame([("q", "AA"), ("r", "A")], "query string, seq string")
+    chains = spark.createDataFrame([("q", "X", "CC", [1, 2]), ("q", "Y", "AGGGGGGGG", [*range(1, 10)]), ("r", "Z", "A", [9])], "query string, chain string, seq string, resnos array<int>")
+    assert list(map(tuple, prediction.best_chain(sequences, chains).collect())) == [("r", "Z", 5.0, 0, 9)]  # X scores -8, Y -12
+
+
 def test_relevant_takes_one_limit(spark):
     frame = spark.createDataFrame([(0, 1, 5, 6, "Short", 0.5), (0, 2, 5, None, "Short", 0.25)], "pos_i int, pos_j int, res_i int, res_j int, category string, coverage double")
     assert prediction.relevant(frame, 10).count() == 1

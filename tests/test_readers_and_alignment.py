@@ -230,6 +230,24 @@ def test_alignment_of_protein_length_takes_seconds():
     assert len(pairs) == 1940 and total == pytest.approx(1940 * 5 - 2 * (10 + 59 * 0.5)) and time.process_time() - began < 60
 
 
+def test_lots_of_alignments_equal_single_ones_and_take_a_fraction(monkeypatch):
+    rng = random.Random(12)
+    score = lambda x, y: 5.0 if x == y else -4.0
+    texts = ["".join(rng.choice("ACD") for _ in range(rng.choice([0, 1, 5, 6, 9]))) for _ in range(160)]
+    a, b = texts[:80], texts[80:]
+    one = [structure.global_alignment(x, y, score) for x, y in zip(a, b, strict=True)]
+    for held, cells in ((256, 50_000), (3, 50_000), (2, 12)):
+        monkeypatch.setattr(structure, "HELD", held)
+        monkeypatch.setattr(structure, "LOT_CELLS", cells)
+        totals, (k, i, j) = structure.global_alignments(a, b, score)
+        assert [(t, list(zip(i[k == x].tolist(), j[k == x].tolist(), strict=True))) for x, t in enumerate(totals.tolist())] == one
+    monkeypatch.undo()
+    a, b = ([f"Supplier#{rng.randrange(10**9):09d}"[o:] for _ in range(20_000)] for o in (0, 6))
+    began = time.process_time()
+    structure.global_alignments(a, b, score)
+    assert time.process_time() - began < 20  # one at a time: about 60
+
+
 # -- near rows ----------------------------------------------------------------------------------------
 
 
