@@ -175,3 +175,28 @@ def test_least_distances_with_even_and_uneven_residues():
         for i, p in enumerate(atoms):
             assert list(d[i, :7]) == pytest.approx([min(math.dist(list(u.values()), list(v.values())) for u in p for v in q) for q in atoms])
         assert all(math.isnan(x) for x in d[7])
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_copies_of_near_rows_are_listed_after_they_met(spark, monkeypatch, nulls):
+    monkeypatch.setattr(distance, "COPIES", 3)
+    rng = random.Random(11)
+    kinds = [[rng.randrange(2) for _ in range(6)] for _ in range(9)] + ([[None, 1, 0, 1, 0, 1]] if nulls else [])
+    table = packed(spark, {k: rng.choice(kinds) for k in range(50)} | {99: None})
+    for least in (0.8, 1.0):
+        met = []
+        with monkeypatch.context() as m:
+            m.setattr(distance, "tiled", lambda r, *a: met.append(r) or pairs.tiled(r, *a))
+            got = sorted(map(tuple, distance.near_rows_and_copies(table, least).collect()))
+        assert got and got == sorted(map(tuple, distance.near_rows(table, least).collect()))
+        assert met[0].select("seq_idx").distinct().count() <= len(kinds)  # copies do not meet
+
+
+def test_rows_that_differ_in_one_column_meet_without_others(spark):
+    rng = random.Random(5)
+    table = packed(spark, {k: [0] * 6 + [rng.randrange(10) for _ in range(4)] for k in range(300)})
+    rows = {r["seq_idx"]: r["codes"] for r in table.collect()}
+    want = sorted((i, j) for i, j in itertools.combinations(sorted(rows), 2) if sum(a != b for a, b in zip(rows[i], rows[j], strict=True)) <= 1)
+    frame = distance.near_rows(table, 0.9)
+    assert sorted((r["i"], r["j"]) for r in frame.collect()) == want
+    assert "slice" in frame._jdf.queryExecution().analyzed().toString()  # keys without one column, not blocks
