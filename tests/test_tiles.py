@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import distance, frequency, pairs, prediction, ranking, structure
+from strandlake.operators import compare, distance, frequency, pairs, prediction, ranking, structure
 
 SCORES = [[random.Random(7 * a + b).choice([-2.0, 0.0, 1.0, 3.0]) for b in range(4)] for a in range(4)]  # not symmetric
 GAP = 3
@@ -200,3 +200,13 @@ def test_rows_that_differ_in_one_column_meet_without_others(spark):
     frame = distance.near_rows(table, 0.9)
     assert sorted((r["i"], r["j"]) for r in frame.collect()) == want
     assert "slice" in frame._jdf.queryExecution().analyzed().toString()  # keys without one column, not blocks
+
+
+def test_larger_tables_are_joined_in_more_partitions(spark, monkeypatch):
+    monkeypatch.setattr(compare, "JOINED", 100)
+    rows = spark.range(1000).selectExpr("id % 90 * 3 AS a", "id % 70 * 5 AS b")
+    got = compare.dense_positions(rows, "a", "b")
+    assert got.rdd.getNumPartitions() == 10  # with 2 as spark.sql.shuffle.partitions
+    place = {v: k for k, v in enumerate(sorted({3 * k for k in range(90)} | {5 * k for k in range(70)}))}
+    found = got.collect()
+    assert len(found) == 1000 and all((r["a_index"], r["b_index"]) == (place[r["a"]], place[r["b"]]) for r in found)
