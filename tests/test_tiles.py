@@ -210,3 +210,24 @@ def test_larger_tables_are_joined_in_more_partitions(spark, monkeypatch):
     place = {v: k for k, v in enumerate(sorted({3 * k for k in range(90)} | {5 * k for k in range(70)}))}
     found = got.collect()
     assert len(found) == 1000 and all((r["a_index"], r["b_index"]) == (place[r["a"]], place[r["b"]]) for r in found)
+
+
+def test_transitions_are_counted_in_ranges_of_rows(spark, monkeypatch):
+    rows = {k: [None if c == 3 else c for c in r] for k, r in alignment(60, 4).items()}
+    table = packed(spark, rows).withColumn("node", F.explode(F.array(F.lit("root"), F.concat(F.lit("g"), F.col("seq_idx") % 3))))
+    want = {}
+    for node in ("root", "g0", "g1", "g2"):
+        some = [rows[k] for k in sorted(rows) if node == "root" or k % 3 == int(node[1])]
+        for (s, t), (i, j) in itertools.product(itertools.combinations(some, 2), itertools.combinations(range(4), 2)):
+            key = (node, i, j, s[i], s[j], t[i], t[j])  # a null code is a code as well
+            want[key] = want.get(key, 0) + 1
+    for most in (7, 4096):
+        monkeypatch.setattr(frequency, "ORDERED", most)
+        got = {tuple(r)[:7]: r["cnt"] for r in frequency.pair_transitions(table).select("node", "pos_i", "pos_j", "a", "b", "c", "d", "cnt").collect()}
+        assert got == want
+    monkeypatch.setattr(frequency, "ORDERED", 7)
+    same = packed(spark, {k: [1, 2] for k in range(70)}).withColumn("node", F.lit("root"))
+    held = []
+    monkeypatch.setattr(frequency, "stored", lambda t: held.append(pairs.stored(t)) or held[0])
+    assert frequency.pair_transitions(same).first()["cnt"] == 70 * 69 // 2
+    assert held[0].agg(F.max(F.size("rows"))).first()[0] <= 10  # no array of all rows
