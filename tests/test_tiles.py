@@ -86,6 +86,21 @@ def test_frame_from_atoms_equals_frame_joined_with_distances(spark, monkeypatch,
     assert got.count() == 19 * 18 // 2
 
 
+def test_tiles_of_a_frame_are_runs_listed_in_order(spark, monkeypatch):
+    monkeypatch.setattr(structure, "RESIDUES", 8)
+    atoms = chain(spark, 41, lost=(3,))
+    spots = spark.createDataFrame([("A", k, "ACDE"[k % 4]) for k in range(41)], "query string, pos int, aa string")
+    mapped = spots.select("query", "pos", F.col("pos").alias("resno"))
+    parts = structure.atom_frame(spots, mapped, atoms, 4.0).select("pos_i", "pos_j").rdd.glom().collect()
+    rows = [r for part in parts for r in part]
+    assert sorted(map(tuple, rows)) == list(itertools.combinations(range(41), 2))
+    # runs of 8 positions, the last of 1: a tile lists the pairs of a position together, so that no run is met again
+    runs = [k for part in parts for k, _ in itertools.groupby((r["pos_i"], r["pos_j"] // 8) for r in part)]
+    assert len(runs) == len(set(runs))
+    one = structure.atom_frame(spots.where("pos = 5"), mapped, atoms, 4.0)
+    assert one.count() == 0
+
+
 def test_distances_within_a_cutoff_are_those_of_all(spark):
     atoms = chain(spark, 21)
     every = structure.residue_distances(atoms)
