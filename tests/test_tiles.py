@@ -181,6 +181,24 @@ def test_queries_that_count_pairs_list_none(spark, monkeypatch, small, name):
     assert queries.QUERIES[name](spark, small).count() > 0
 
 
+@pytest.mark.parametrize("name", ["evaluation_frame", "relevant_by_coverage", "key_residue_recovery"])
+def test_queries_that_judge_pairs_store_them_once(spark, monkeypatch, small, name):
+    from strandlake import queries
+
+    sizes, stored = [], pairs.stored
+
+    def counted(df):
+        got = stored(df)
+        sizes.append(got.count())
+        return got
+
+    for module in (prediction, ranking):
+        monkeypatch.setattr(module, "stored", counted)
+    queries.QUERIES[name](spark, small).count()
+    listed = queries.QUERIES["pair_frame"](spark, small).count()
+    assert sum(n >= 0.5 * listed for n in sizes) == 1
+
+
 def test_least_distances_with_even_and_uneven_residues():
     rng = random.Random(6)
     for most in (1, 3, 40):  # 40: one large residue among small ones
