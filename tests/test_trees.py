@@ -227,3 +227,18 @@ def test_distances_are_packed_by_row_before_they_are_shuffled(spark, monkeypatch
     np.fill_diagonal(d, np.inf)
     assert sorted(got) == list(range(9)) and all((got[k] == d[k] ** 2).all() for k in got)
     assert agglomerate.distance_rows(pairs_of(spark, d)[0], list(range(5)), True).count() == 5  # rows that are not leaves take no part
+
+
+@pytest.mark.parametrize("method", agglomerate.METHODS)
+def test_copies_of_rows_are_merged_without_distances_of_their_own(spark, monkeypatch, method):
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 3, (9, 5))
+    x = kinds[rng.integers(0, 9, 45)]
+    d = (x[:, None] != x).mean(-1)
+    want = tree.agglomerate(d, [str(k) for k in range(45)], method)
+    met, sized = [], agglomerate.merge_rows
+    monkeypatch.setattr(agglomerate, "merge_rows", lambda rows, n, *more: met.append(n) or sized(rows, n, *more))
+    packed = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "seq_idx bigint, codes array<int>")
+    for tail in (agglomerate.TAIL, 3):
+        same_tree(agglomerate.identity_tree(packed, method, tail).collect(), want)
+    assert met == [len(np.unique(x, axis=0))] * 2
