@@ -61,6 +61,22 @@ def test_status_at_two_columns_needs_no_grouping_of_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_only_rows_of_the_sets_meet(spark, monkeypatch):
+    rows = alignment(40)
+    table = packed(spark, rows).withColumn("node", F.lit("root"))
+    ids = sorted(rows)
+    a, b = set(ids[::3]), set(ids[::4])  # some rows are in both
+    sets = [spark.createDataFrame([(k,) for k in s] * 2, "seq_idx bigint") for s in (a, b)]
+    met, tiled = [], pairs.tiled
+    monkeypatch.setattr(frequency, "tiled", lambda cells, *more: met.append({r[0] for r in cells.select("seq_idx").collect()}) or tiled(cells, *more))
+    both = list(itertools.combinations(ids, 2))
+    status = lambda found: sorted((p, s, t, 1 if rows[s][p] == rows[t][p] else -1) for s, t in found for p in range(7))
+    got = [sorted(map(tuple, f(table, *use).select("pos", "s", "t", "status").collect())) for f, use in ((frequency.triangle, sets[:1]), (frequency.rectangle, sets))]
+    assert got[0] == status((s, t) for s, t in both if s in a and t in a)
+    assert got[1] == status((s, t) for s, t in both if s in a and t in b or s in b and t in a)
+    assert met == [a, a | b]
+
+
 def test_tiles_are_not_put_together_by_their_size(spark):
     table = packed(spark, alignment(40))
     assert distance.row_pairs(table).rdd.getNumPartitions() == 2  # spark.sql.shuffle.partitions of the tests
