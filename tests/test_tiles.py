@@ -77,6 +77,27 @@ def test_only_rows_of_the_sets_meet(spark, monkeypatch):
     assert met == [a, a | b]
 
 
+@pytest.mark.parametrize("ordered", [7, 4096])
+def test_codes_of_ordered_rows_are_counted_without_pairs(spark, monkeypatch, small, ordered):
+    from strandlake import queries
+
+    monkeypatch.setattr(frequency, "ORDERED", ordered)
+    rows = alignment(40)
+    rows[2000] = rows[min(rows)][:3]  # a shorter one meets the others where it has columns
+    want = {}
+    for s, t in itertools.combinations(sorted(rows), 2):
+        for p, (a, b) in enumerate(zip(rows[s], rows[t], strict=False)):
+            want[p, a, b] = want.get((p, a, b), 0) + 1
+    got = frequency.ordered_counts(packed(spark, rows).withColumn("node", F.lit("root"))).collect()
+    assert {(r["pos"], r["a"], r["b"]): r["cnt"] for r in got} == want
+
+    def listed(*args, **more):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(distance, "row_pairs", listed)
+    assert queries.QUERIES["substitution_table"](spark, small).count() > 0
+
+
 def test_tiles_are_not_put_together_by_their_size(spark):
     table = packed(spark, alignment(40))
     assert distance.row_pairs(table).rdd.getNumPartitions() == 2  # spark.sql.shuffle.partitions of the tests
