@@ -236,6 +236,27 @@ def test_queries_that_judge_pairs_store_them_once(spark, monkeypatch, small, nam
     assert sum(n >= 0.5 * listed for n in sizes) == 1
 
 
+@pytest.mark.parametrize("name", ["residue_coverage_curve", "pair_to_single_median", "pair_to_single_top"])
+def test_queries_that_rank_distances_list_no_pairs(spark, monkeypatch, small, name):
+    from strandlake import queries
+
+    def listed(*args, **more):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(structure, "atom_frame", listed)
+    assert queries.QUERIES[name](spark, small).count() > 0
+
+
+def test_ranks_among_scores_in_bins(spark):
+    rng = random.Random(4)
+    values = [rng.randrange(60) / 7 for _ in range(500)] + [float("nan"), 1e6, -3.0]
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    order = sorted({round(v, 9) for v in values if v == v}) + [float("nan")]
+    got = ranking.ranks_of(scores, scores, 503).collect()
+    assert len(got) == len(order)
+    assert all(order[r["rank"] - 1] == r["score"] or r["score"] != r["score"] and r["rank"] == len(order) for r in got)
+
+
 def test_least_distances_with_even_and_uneven_residues():
     rng = random.Random(6)
     for most in (1, 3, 40):  # 40: one large residue among small ones
